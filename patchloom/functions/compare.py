@@ -7,6 +7,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import BooleanType
 
 NUMERIC_TYPES = ["int", "float", "bool"]
 CONTAINER_TYPES = ["list", "tuple", "dict", "set"]
@@ -54,7 +55,7 @@ def keys_equal(a: Column, b: Column) -> Column:
 def maps_match(a: Column, b: Column, tol: float = 1e-9) -> Column:
     """Same keys, numeric values that match."""
     return keys_equal(a, b) & F.forall(
-        F.map_keys(a), lambda k: numbers_match(F.element_at(a, k), F.element_at(b, k), tol)
+        F.map_keys(a), lambda k: numbers_match(F.try_element_at(a, k), F.try_element_at(b, k), tol)
     )
 
 
@@ -75,7 +76,7 @@ def _same(a, b, tol: float) -> bool:
     return a == b
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def nested_json_match(a: pd.Series, b: pd.Series, unordered: pd.Series) -> pd.Series:
     """Deep equality of JSON texts of any depth; null where either side is null."""
     def one(x, y, is_set):

@@ -149,7 +149,7 @@ def brace_units(
 
 def open_literals(files: DataFrame) -> DataFrame:
     """``file, open_literal``: files whose last literal or block comment never ends."""
-    last = F.element_at(_tokens(F.col("language"), F.col("content")), -1)
+    last = F.try_element_at(_tokens(F.col("language"), F.col("content")), F.lit(-1))
     starts_literal = last.rlike(r"^(?:/\*|[\"'`])")
     closed = (
         (last.startswith("/*") & last.endswith("*/") & (F.length(last) >= 4))

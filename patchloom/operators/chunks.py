@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from patchloom.functions.gather import gather
 from patchloom.functions.text import let, slice_lines, split_lines
 from patchloom.skew import scan_within
 
@@ -72,12 +73,11 @@ def batch(chunks: DataFrame, batch_size: int, columns: list[str]) -> DataFrame:
     grouped = (
         chunks.withColumn("prompt_id", F.floor((F.col("chunk_no") - 1) / size))
         .groupBy("file", "prompt_id")
-        .agg(F.sort_array(F.collect_list(F.struct("chunk_no", item.alias("c")))).alias("_rows"))
+        .agg(gather(F.col("chunk_no"), item).alias("chunks"))
     )
     return grouped.select(
         "file", "prompt_id", F.lit(size > 1).alias("is_batch"),
-        F.transform("_rows", lambda r: r["c"]["chunk_id"]).alias("chunk_ids"),
-        F.transform("_rows", lambda r: r["c"]).alias("chunks"),
+        F.transform("chunks", lambda c: c["chunk_id"]).alias("chunk_ids"), "chunks",
     )
 
 

@@ -57,7 +57,7 @@ def _blank_rules(lines: Column) -> Column:
                     "E302", x["no"], F.concat(F.lit("expected 2 blank lines, found "), gap.cast("string"))))
             )
         found = F.filter(F.transform(full, one), lambda v: v.isNotNull())
-        last = F.coalesce(F.element_at(full, -1)["no"], F.lit(0))
+        last = F.coalesce(F.try_element_at(full, F.lit(-1))["no"], F.lit(0))
         tail = F.when(n_lines > last, F.array(_violation("W391", last + 1, F.lit("blank line at end of file"))))
         return F.concat(found, F.coalesce(tail, F.array().cast("array<struct<rule:string,line_no:int,message:string>>")))
 

@@ -113,17 +113,17 @@ def splice(
             def one(x: Column, i: Column) -> Column:
                 resume = F.coalesce(F.get(good, i - 1)["end_line"], F.lit(0)) + 1
                 before = F.array_join(F.slice(lines, resume, F.greatest(x["start_line"] - resume, F.lit(0))), "")
-                new = fix_indent(x["code"], F.element_at(lines, x["start_line"]), indent)
+                new = fix_indent(x["code"], F.try_element_at(lines, x["start_line"]), indent)
                 if newline == "reference":
                     body = F.concat(F.array_join(new, "\n"), F.lit("\n"))
                 else:
-                    first_end = F.regexp_extract(F.element_at(lines, x["start_line"]), r"(\r\n|\n|\r)?\z", 1)
+                    first_end = F.regexp_extract(F.try_element_at(lines, x["start_line"]), r"(\r\n|\n|\r)?\z", 1)
                     inner = F.when(first_end == "", F.lit("\n")).otherwise(first_end)
-                    last_end = F.regexp_extract(F.element_at(lines, x["end_line"]), r"(\r\n|\n|\r)?\z", 1)
+                    last_end = F.regexp_extract(F.try_element_at(lines, x["end_line"]), r"(\r\n|\n|\r)?\z", 1)
                     body = let(inner, lambda sep: F.concat(F.array_join(new, sep), last_end))
                 return F.concat(before, F.when(F.size(new) > 0, body).otherwise(F.lit("")))
 
-            tail_from = F.coalesce(F.element_at(good, -1)["end_line"], F.lit(0)) + 1
+            tail_from = F.coalesce(F.try_element_at(good, F.lit(-1))["end_line"], F.lit(0)) + 1
             tail = F.array_join(F.slice(lines, tail_from, F.greatest(F.size(lines) - tail_from + 1, F.lit(0))), "")
             return F.struct(
                 F.concat(F.array_join(F.transform(good, one), ""), tail).alias("content"),

@@ -154,7 +154,7 @@ def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     shift = F.when(~old & (e % 17 == 0), 1).otherwise(0) + F.when((F.col("side") == "repeat") & (e % 29 == 0), 1).otherwise(0)
     is_list = e % 13 == 0
     number = F.when(e % 17 == 1, F.lit(float("nan"))).when(
-        ~old & (e % 17 == 2), F.col("value") * F.lit(1 + 1e-12)).otherwise(F.col("value") + shift)
+        ~old & (e % 17 == 2), (F.col("value") + shift) * F.lit(1 + 1e-12)).otherwise(F.col("value") + shift)
     shown = (F.col("cents") + shift * 100).cast("string")
     text = F.when(is_list, F.concat(F.lit("["), shown, F.lit(', {"a": ['), shown, F.lit("]}]"))).otherwise(shown)
     kind = F.when(is_list, F.lit("list")).when(~old & (e % 23 == 0), F.lit("int")).otherwise(F.lit("float"))

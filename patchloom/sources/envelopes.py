@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patchloom import schemas
+from patchloom.functions.gather import gather
 
 PART_ROWS = 10_000
 
@@ -23,11 +24,11 @@ def chunk_envelopes(chunks: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     parts = (
         chunks.withColumn("part", F.floor((F.col("chunk_no") - 1) / part_rows).cast("int"))
         .groupBy("file", "language", "part")
-        .agg(F.sort_array(F.collect_list(F.struct("chunk_no", item.alias("chunk")))).alias("_items"))
+        .agg(gather(F.col("chunk_no"), item).alias("chunks"))
     )
     return parts.join(totals, "file").select(
         F.col("file").alias("file_name"), "language", "total_chunks", "part",
-        F.transform("_items", lambda i: i["chunk"]).alias("chunks"),
+        "chunks",
     )
 
 
@@ -38,7 +39,7 @@ def prompt_envelopes(prompts: DataFrame, part_rows: int = PART_ROWS) -> DataFram
     parts = (
         prompts.withColumn("part", F.floor(F.col("prompt_id") / part_rows).cast("int"))
         .groupBy("file", "language", "part")
-        .agg(F.sort_array(F.collect_list(item)).alias("prompts"))
+        .agg(gather(F.col("prompt_id"), item).alias("prompts"))
     )
     return parts.join(totals, "file").select(
         F.col("file").alias("file_name"), "language", "total_prompts", "part",
@@ -56,7 +57,11 @@ def read_chunk_envelopes(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
     return parse_chunk_envelopes(text, "value")
 
 
-def parse_chunk_envelopes(documents: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+def parse_chunk_envelopes(
+    documents: DataFrame, text: str, keep: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Chunk rows of valid documents, and the rest with ``reject_reason``; ``keep`` names columns carried along."""
+    keep = keep or []
     parsed = documents.withColumn(
         "_doc", F.from_json(text, schemas.CHUNK_ENVELOPE, {"mode": "PERMISSIVE"})
     )
@@ -69,10 +74,10 @@ def parse_chunk_envelopes(documents: DataFrame, text: str) -> tuple[DataFrame, D
     )
     checked = parsed.withColumn("reject_reason", reason)
     rows = checked.filter(F.col("reject_reason").isNull()).select(
-        F.col("_doc.file_name").alias("file"), F.col("_doc.language").alias("language"),
+        *keep, F.col("_doc.file_name").alias("file"), F.col("_doc.language").alias("language"),
         F.inline("_doc.chunks"),
     )
-    rejects = checked.filter(F.col("reject_reason").isNotNull()).select(text, "reject_reason")
+    rejects = checked.filter(F.col("reject_reason").isNotNull()).select(*keep, text, "reject_reason")
     return rows, rejects
 
 
