@@ -6,35 +6,35 @@ from pyspark.sql import DataFrame, functions as F
 
 from patchloom.functions.gather import gather
 from patchloom.functions.text import let, slice_lines, split_lines
-from patchloom.skew import scan_within
+from patchloom.skew import heavy_keys, scan_within
 
 
-def renumber(chunks: DataFrame, emit: list[str]) -> DataFrame:
+def renumber(chunks: DataFrame, emit: list[str], heavy: dict | None = None) -> DataFrame:
     """``chunk_no`` 1..n per file by start line, ties in emit order; ``chunk_id`` from it."""
     numbered = scan_within(
-        chunks, ["file"], [F.col("start_line"), *[F.col(c) for c in emit]], rank="chunk_no"
+        chunks, ["file"], [F.col("start_line"), *[F.col(c) for c in emit]], rank="chunk_no", heavy=heavy
     )
     return numbered.withColumn("chunk_id", F.concat(F.lit("chunk_"), F.col("chunk_no").cast("string")))
 
 
-def flag_nested(chunks: DataFrame, emit: list[str]) -> DataFrame:
+def flag_nested(chunks: DataFrame, emit: list[str], heavy: dict | None = None) -> DataFrame:
     """``nested`` is true when an earlier-ordered chunk of the file covers the range.
 
     Ordered by start, longest first, every container precedes what it contains, so
     one running maximum replaces the pairwise test.
     """
     order = [F.col("start_line"), F.col("end_line").desc(), *[F.col(c) for c in emit]]
-    scanned = scan_within(chunks, ["file"], order, max_before={"_covered": "end_line"})
+    scanned = scan_within(chunks, ["file"], order, max_before={"_covered": "end_line"}, heavy=heavy)
     return scanned.withColumn(
         "nested", F.coalesce(F.col("_covered") >= F.col("end_line"), F.lit(False))
     ).drop("_covered")
 
 
-def drop_nested(chunks: DataFrame, emit: list[str]) -> DataFrame:
-    return flag_nested(chunks, emit).filter(~F.col("nested")).drop("nested")
+def drop_nested(chunks: DataFrame, emit: list[str], heavy: dict | None = None) -> DataFrame:
+    return flag_nested(chunks, emit, heavy).filter(~F.col("nested")).drop("nested")
 
 
-def nested_prompts(prompts: DataFrame) -> DataFrame:
+def nested_prompts(prompts: DataFrame, heavy: dict | None = None) -> DataFrame:
     """``file, prompt_id`` of prompts with a chunk inside a chunk of another prompt.
 
     ``prompts`` carry ``file, prompt_id, chunks``; prompts are cut from chunks in
@@ -42,25 +42,26 @@ def nested_prompts(prompts: DataFrame) -> DataFrame:
     found by the running maximum of ends; one in a later prompt must start on the
     same line and end later.
     """
+    heavy = heavy_keys(prompts, "file") if heavy is None else heavy
     spans = prompts.select(
         "file", "prompt_id",
         F.transform("chunks", lambda c: F.struct(c["start_line"].alias("s"), c["end_line"].alias("e"))).alias("spans"),
     ).withColumn("_end", F.array_max(F.transform("spans", lambda c: c["e"])))
-    earlier = scan_within(spans, ["file"], [F.col("prompt_id")], max_before={"_covered": "_end"})
+    earlier = scan_within(spans, ["file"], [F.col("prompt_id")], max_before={"_covered": "_end"}, heavy=heavy)
     inside_earlier = earlier.filter(
         F.exists("spans", lambda c: F.coalesce(F.col("_covered") >= c["e"], F.lit(False)))
     ).select("file", "prompt_id")
 
     rows = spans.select("file", "prompt_id", F.inline("spans"))
     later = scan_within(
-        rows, ["file", "s"], [F.col("prompt_id").desc(), F.col("e")], max_before={"_later": "e"}
+        rows, ["file", "s"], [F.col("prompt_id").desc(), F.col("e")], max_before={"_later": "e"}, heavy=heavy
     )
     inside_later = later.filter(F.col("_later") > F.col("e")).select("file", "prompt_id")
     return inside_earlier.unionByName(inside_later).distinct()
 
 
-def drop_nested_prompts(prompts: DataFrame) -> DataFrame:
-    return prompts.join(nested_prompts(prompts), ["file", "prompt_id"], "left_anti")
+def drop_nested_prompts(prompts: DataFrame, heavy: dict | None = None) -> DataFrame:
+    return prompts.join(nested_prompts(prompts, heavy), ["file", "prompt_id"], "left_anti")
 
 
 def batch(chunks: DataFrame, batch_size: int, columns: list[str]) -> DataFrame:

@@ -50,9 +50,10 @@ def stage_time_map(markers: DataFrame) -> DataFrame:
 
 
 def whole_stage_times(times: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """``job_id, t1..t5`` in microseconds, the earliest time per whole stage; ``done(job_id, ts)`` is stage 5.
+    """``job_id, t1..t5`` in microseconds, the earliest time per whole stage.
 
-    Five conditional minima over one grouping, so no window is needed.
+    ``done(job_id, ts)`` rows are stage 5, the last one counting. All five are
+    conditional aggregates of one grouping, so no window is needed.
     """
     rows = times.select("job_id", F.floor("stage").cast("int").alias("n"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     if done is not None:
@@ -60,7 +61,8 @@ def whole_stage_times(times: DataFrame, done: DataFrame | None = None) -> DataFr
             done.select("job_id", F.lit(5).alias("n"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
         )
     return rows.groupBy("job_id").agg(
-        *[F.min(F.when(F.col("n") == n, F.col("us"))).alias(f"t{n}") for n in range(1, 6)]
+        *[F.min(F.when(F.col("n") == n, F.col("us"))).alias(f"t{n}") for n in range(1, 5)],
+        F.max(F.when(F.col("n") == 5, F.col("us"))).alias("t5"),
     )
 
 
@@ -103,17 +105,18 @@ def current_stage(markers: DataFrame) -> DataFrame:
 
 
 def job_status(events: DataFrame) -> DataFrame:
-    """``job_id, status, created_at, updated_at`` from ``job_id, ts, status``.
+    """``job_id, status, created_at, updated_at, started_at, seen_at`` from ``job_id, ts, status``.
 
     The first terminal status stays; otherwise the latest status counts.
     """
     row = F.struct("ts", "status")
     return events.groupBy("job_id").agg(
         F.min(F.when(F.col("status").isin(TERMINAL), row)).alias("_end"),
-        F.max(row).alias("_last"), F.min("ts").alias("created_at"),
+        F.max(row).alias("_last"), F.min("ts").alias("created_at"), F.max("ts").alias("seen_at"),
+        F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"),
     ).select(
         "job_id", F.coalesce("_end.status", "_last.status").alias("status"), "created_at",
-        F.coalesce("_end.ts", "_last.ts").alias("updated_at"),
+        F.coalesce("_end.ts", "_last.ts").alias("updated_at"), "started_at", "seen_at",
     )
 
 

@@ -52,35 +52,27 @@ def functional_check(rows: DataFrame) -> DataFrame:
     )
 
 
-def gate_on_syntax(checks: DataFrame) -> DataFrame:
-    """Drop every other check of a file and attempt whose syntax check failed."""
-    broken = checks.filter((F.col("check") == "syntax") & ~F.col("ok")).select("file", "attempt").distinct()
-    rest = checks.filter(F.col("check") != "syntax").join(broken, ["file", "attempt"], "left_anti")
-    return checks.filter(F.col("check") == "syntax").unionByName(rest)
-
-
-def roll_up(checks: DataFrame) -> DataFrame:
+def roll_up(checks: DataFrame, gate: bool = True) -> DataFrame:
     """``file, attempt, passed, severity, first_failure, failed_checks, checks`` per file and attempt.
 
     A check name counts once (its last row by ``ord`` wins), so the lists below hold
-    one entry per check name.
+    one entry per check name. With ``gate`` a failed syntax check hides all others.
     """
     named = checks.groupBy("file", "attempt", "check").agg(
         F.min("ord").alias("ord"), F.max(F.struct("ord", "ok", "message")).alias("last")
-    ).select("file", "attempt", "check", "ord", "last.ok", "last.message")
-    bad = ~F.col("ok")
-    grouped = named.groupBy("file", "attempt").agg(
-        F.bool_and("ok").alias("passed"),
-        F.bool_and(F.when(F.col("check") == "syntax", F.col("ok"))).alias("_syntax"),
-        F.min(F.when(bad, F.struct("ord", "check", "message"))).alias("_first"),
-        F.sort_array(F.collect_list(F.struct("ord", "check", F.col("ok").alias("passed"), "message"))).alias("checks"),
-    )
-    return grouped.select(
-        "file", "attempt", "passed",
-        F.when(~F.coalesce("_syntax", F.lit(True)), F.lit("error"))
-        .when(~F.col("passed"), F.lit("warning")).otherwise(F.lit("pass")).alias("severity"),
-        F.when(F.col("_first").isNotNull(), F.concat(F.lit("["), "_first.check", F.lit("] "), "_first.message")).alias("first_failure"),
-        F.array_join(F.transform(F.filter("checks", lambda c: ~c["passed"]), lambda c: c["check"]), ", ").alias("failed_checks"),
+    ).select("file", "attempt", F.struct("ord", "check", F.col("last.ok").alias("passed"), "last.message").alias("c"))
+    grouped = named.groupBy("file", "attempt").agg(F.sort_array(F.collect_list("c")).alias("_all"))
+    syntax = F.filter("_all", lambda c: (c["check"] == "syntax") & ~c["passed"])
+    shown = F.when(F.size(syntax) > 0, syntax).otherwise(F.col("_all")) if gate else F.col("_all")
+    judged = grouped.select(
+        "file", "attempt", shown.alias("checks"), (F.size(syntax) > 0).alias("_broken"),
+    ).withColumn("_failed", F.filter("checks", lambda c: ~c["passed"]))
+    first = F.get("_failed", F.lit(0))
+    return judged.select(
+        "file", "attempt", (F.size("_failed") == 0).alias("passed"),
+        F.when(F.col("_broken"), F.lit("error")).when(F.size("_failed") > 0, F.lit("warning")).otherwise(F.lit("pass")).alias("severity"),
+        F.when(F.size("_failed") > 0, F.concat(F.lit("["), first["check"], F.lit("] "), first["message"])).alias("first_failure"),
+        F.array_join(F.transform("_failed", lambda c: c["check"]), ", ").alias("failed_checks"),
         "checks",
     )
 
@@ -106,7 +98,9 @@ def badge(severity: Column, pass_rate: Column) -> Column:
     return F.when(severity.isNotNull(), F.concat(word, percent(pass_rate, half_up=True)))
 
 
-def json_reports(results: DataFrame, failures: DataFrame | None = None, part_rows: int = REPORT_PART_ROWS) -> DataFrame:
+def json_reports(
+    results: DataFrame, failures: DataFrame | None = None, part_rows: int = REPORT_PART_ROWS, heavy: dict | None = None
+) -> DataFrame:
     """``file, part, report`` JSON text.
 
     ``results``: ``file, passed, severity, pass_rate, checks`` and, when functional
@@ -119,7 +113,7 @@ def json_reports(results: DataFrame, failures: DataFrame | None = None, part_row
     rows = results.withColumn("part", F.lit(0))
     if failures is not None:
         ranked = scan_within(
-            failures, ["file"], [F.col("func"), F.col("case_id"), F.col("property")], rank="_n"
+            failures, ["file"], [F.col("func"), F.col("case_id"), F.col("property")], rank="_n", heavy=heavy
         ).withColumn("part", F.floor((F.col("_n") - 1) / part_rows).cast("int"))
         lists = ranked.groupBy("file", "part").agg(F.sort_array(F.collect_list(F.struct(
             "_n", F.struct(F.col("func").alias("function"), "property", "message").alias("f")))).alias("_f"))

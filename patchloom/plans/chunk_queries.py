@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from patchloom.operators import brace, chunks, python_units, structure
 from patchloom.plans import derive
 from patchloom.plans.registry import query, read
+from patchloom.skew import heavy_keys, scan_within
 from patchloom.sources import envelopes
 
 SPANS = """
@@ -18,8 +19,12 @@ spans AS (
 numbered AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY start_line, emit) AS chunk_no FROM spans)"""
 
 
-def _numbered(spark, sf_dir):
-    return chunks.renumber(derive.intervals(spark, sf_dir), derive.LINE_KEY)
+def _heavy(spark, sf_dir):
+    return heavy_keys(derive.intervals(spark, sf_dir), "file")
+
+
+def _numbered(spark, sf_dir, heavy=None):
+    return chunks.renumber(derive.intervals(spark, sf_dir), derive.LINE_KEY, heavy)
 
 
 @query("chunk_renumber", f"""
@@ -44,12 +49,11 @@ WHERE NOT EXISTS (
   SELECT 1 FROM spans b WHERE b.file = a.file AND b.start_line <= a.start_line AND b.end_line >= a.end_line
     AND (b.start_line < a.start_line OR b.end_line > a.end_line OR b.emit < a.emit))""")
 def chunk_containment(spark, sf_dir):
-    from patchloom.skew import scan_within
-
+    heavy = _heavy(spark, sf_dir)
     spans = scan_within(
-        derive.intervals(spark, sf_dir), ["file"], [F.col(c) for c in derive.LINE_KEY], rank="emit"
+        derive.intervals(spark, sf_dir), ["file"], [F.col(c) for c in derive.LINE_KEY], rank="emit", heavy=heavy
     )
-    return chunks.drop_nested(spans, ["emit"]).select("file", "start_line", "end_line", "emit")
+    return chunks.drop_nested(spans, ["emit"], heavy).select("file", "start_line", "end_line", "emit")
 
 
 PROMPTS = SPANS + """,
@@ -66,8 +70,9 @@ WITH {PROMPTS}
 SELECT f.file, f.prompt_id, CAST(min(start_line) AS INT) AS first_line, count(*) AS chunks
 FROM flat f WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.file = f.file AND b.prompt_id = f.prompt_id) GROUP BY 1, 2""")
 def prompt_containment(spark, sf_dir):
-    prompts = chunks.batch(_numbered(spark, sf_dir), 3, ITEM)
-    kept = chunks.application_order(chunks.drop_nested_prompts(prompts))
+    heavy = _heavy(spark, sf_dir)
+    prompts = chunks.batch(_numbered(spark, sf_dir, heavy), 3, ITEM)
+    kept = chunks.application_order(chunks.drop_nested_prompts(prompts, heavy))
     return kept.select("file", "prompt_id", "first_line", F.size("chunks").cast("long").alias("chunks"))
 
 
@@ -89,12 +94,13 @@ WITH {SPANS},
 parts AS (SELECT file, CAST((chunk_no - 1) // 4 AS INT) AS part, count(*) AS n, string_agg('chunk_' || chunk_no, ',' ORDER BY chunk_no) AS ids FROM numbered GROUP BY 1, 2)
 SELECT CAST(file AS VARCHAR) AS file_name, 'python' AS language, part, n, ids, sum(n) OVER (PARTITION BY file)::BIGINT AS total_chunks FROM parts""")
 def chunk_envelopes(spark, sf_dir):
-    rows = _numbered(spark, sf_dir).select(
+    heavy = _heavy(spark, sf_dir)
+    rows = _numbered(spark, sf_dir, heavy).select(
         F.col("file").cast("string").alias("file"), F.lit("python").alias("language"), "chunk_no", "chunk_id",
         F.lit("function").alias("type"), F.lit(None).cast("string").alias("name"), "start_line", "end_line",
         F.lit("").alias("code"), F.lit(None).cast("map<string,string>").alias("metadata"),
     )
-    packed = envelopes.chunk_envelopes(rows, part_rows=4)
+    packed = envelopes.chunk_envelopes(rows, part_rows=4, heavy={str(k): n for k, n in heavy.items()})
     # through JSON text and back: what is written is what is read
     texts = packed.select(F.to_json(F.struct(*packed.columns)).alias("value"), "total_chunks", "part")
     rows, _ = envelopes.parse_chunk_envelopes(texts, "value", keep=["part", "total_chunks"])

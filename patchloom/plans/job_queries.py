@@ -106,11 +106,7 @@ SELECT job_id, CASE WHEN timed_out THEN 'failed' ELSE status END AS status, time
 FROM late""")
 def job_timeouts(spark, sf_dir):
     events = derive.status_events(read(spark, sf_dir, "events"))
-    # the same events as one grouping: status and span share the key
-    span = events.groupBy("job_id").agg(
-        F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"), F.max("ts").alias("seen_at")
-    )
-    rows = jobs.job_status(events).select("job_id", "status").join(span, "job_id")
+    rows = jobs.job_status(events)
     return jobs.timeouts(rows).select("job_id", "status", "timed_out", "error")
 
 

@@ -9,6 +9,7 @@ from patchloom.functions.text import percent
 from patchloom.operators import attempts, jobs, replay, rollup
 from patchloom.plans import derive
 from patchloom.plans.registry import query, read
+from patchloom.session import cut_lineage
 from patchloom.sources import corpus, envelopes
 
 
@@ -244,7 +245,7 @@ results AS (
 
 
 def _results(spark, sf_dir):
-    return rollup.roll_up(rollup.gate_on_syntax(derive.file_checks(spark, sf_dir)))
+    return rollup.roll_up(derive.file_checks(spark, sf_dir))
 
 
 @query("check_rollup", f"""
@@ -299,9 +300,10 @@ def rate_format(spark, sf_dir):
 
 def _detailed(spark, sf_dir):
     """Results with per-function detail, and their failed property rows."""
-    cases = replay.pair_runs(derive.recorded_runs(spark, sf_dir))
+    # judged cases feed four branches, so they are written once
+    cases = cut_lineage(replay.verdicts(replay.pair_runs(derive.recorded_runs(spark, sf_dir))))
     failures = replay.properties(cases).filter(~F.col("passed"))
-    total = replay.aggregate(replay.by_function(replay.verdicts(cases)), failures)
+    total = replay.aggregate(replay.by_function(cases), failures)
     ok = F.col("passed_tests") == F.col("total_tests")
     check = F.struct(F.lit(0).alias("ord"), F.lit("functional").alias("check"), ok.alias("passed"), F.lit("see functions").alias("message"))
     rows = total.withColumn("checks", F.array(check)).withColumn("passed", ok).withColumn(

@@ -53,14 +53,17 @@ def scan_within(
     order: Sequence[Column],
     rank: str | None = None,
     max_before: dict[str, str] | None = None,
+    heavy: dict | None = None,
 ) -> DataFrame:
     """Add per-group running values: ``rank`` is the row number; ``max_before`` maps
     an output name to a column whose maximum over strictly earlier rows is wanted.
 
     ``keys[0]`` is the column that may be heavy. ``order`` must be a total order.
+    ``heavy`` is the result of ``heavy_keys`` on a cheaper table with the same key,
+    which saves running ``df`` for it.
     """
     max_before = max_before or {}
-    heavy = heavy_keys(df, keys[0])
+    heavy = heavy_keys(df, keys[0]) if heavy is None else heavy
     light = df.filter(~_is_heavy(keys[0], heavy)) if heavy else df
 
     plain = Window.partitionBy(*keys).orderBy(*order)
@@ -113,14 +116,14 @@ def scan_within(
 
 
 def salted_join(
-    many: DataFrame, one: DataFrame, on: str, how: str, spread_by: Sequence[str]
+    many: DataFrame, one: DataFrame, on: str, how: str, spread_by: Sequence[str], heavy: dict | None = None
 ) -> DataFrame:
     """Join ``many`` (rows per key unbounded) to ``one`` (unique per key).
 
     Rows of heavy keys are spread over salts by a hash of ``spread_by``, and only
     the matching rows of ``one`` are repeated per salt.
     """
-    heavy = heavy_keys(many, on)
+    heavy = heavy_keys(many, on) if heavy is None else heavy
     if not heavy:
         return many.join(one, on, how)
     salts = max(2, math.ceil(max(heavy.values()) / heavy_rows(many)))

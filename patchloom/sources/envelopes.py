@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patchloom import schemas
 from patchloom.functions.gather import gather
+from patchloom.skew import salted_join
 
 PART_ROWS = 10_000
 
 
-def chunk_envelopes(chunks: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def chunk_envelopes(chunks: DataFrame, part_rows: int = PART_ROWS, heavy: dict | None = None) -> DataFrame:
     """``chunks`` carry ``chunk_no`` (1..n per file); metadata is left out when empty."""
     item = F.struct(
         "chunk_id", "type", "name", "start_line", "end_line", "code",
@@ -26,13 +27,13 @@ def chunk_envelopes(chunks: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
         .groupBy("file", "language", "part")
         .agg(gather(F.col("chunk_no"), item).alias("chunks"))
     )
-    return parts.join(totals, "file").select(
+    return salted_join(parts, totals, "file", "inner", ["part"], heavy or {}).select(
         F.col("file").alias("file_name"), "language", "total_chunks", "part",
         "chunks",
     )
 
 
-def prompt_envelopes(prompts: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def prompt_envelopes(prompts: DataFrame, part_rows: int = PART_ROWS, heavy: dict | None = None) -> DataFrame:
     """``prompts`` carry ``file, language, prompt_id`` (0..n-1 per file)."""
     item = F.struct("prompt_id", "is_batch", "chunk_ids", "chunks", "prompt")
     totals = prompts.groupBy("file").agg(F.count(F.lit(1)).alias("total_prompts"))
@@ -41,7 +42,7 @@ def prompt_envelopes(prompts: DataFrame, part_rows: int = PART_ROWS) -> DataFram
         .groupBy("file", "language", "part")
         .agg(gather(F.col("prompt_id"), item).alias("prompts"))
     )
-    return parts.join(totals, "file").select(
+    return salted_join(parts, totals, "file", "inner", ["part"], heavy or {}).select(
         F.col("file").alias("file_name"), "language", "total_prompts", "part",
         F.current_timestamp().alias("generated_at"), "prompts",
     )
