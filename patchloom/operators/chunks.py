@@ -64,20 +64,22 @@ def drop_nested_prompts(prompts: DataFrame, heavy: dict | None = None) -> DataFr
     return prompts.join(nested_prompts(prompts, heavy), ["file", "prompt_id"], "left_anti")
 
 
-def batch(chunks: DataFrame, batch_size: int, columns: list[str]) -> DataFrame:
+def batch(chunks: DataFrame, batch_size: int, columns: list[str], carry: list[str] | None = None) -> DataFrame:
     """One row per ``batch_size`` consecutive chunks: ``file, prompt_id, is_batch, chunk_ids, chunks``.
 
-    Groups hold at most ``batch_size`` rows. ``chunks`` carry ``chunk_no``.
+    Groups hold at most ``batch_size`` rows. ``chunks`` carry ``chunk_no``; ``carry``
+    names columns that are the same for all chunks of a file.
     """
+    carry = carry or []
     size = max(batch_size, 1)
     item = F.struct(*columns)
     grouped = (
         chunks.withColumn("prompt_id", F.floor((F.col("chunk_no") - 1) / size))
-        .groupBy("file", "prompt_id")
+        .groupBy("file", "prompt_id", *carry)
         .agg(gather(F.col("chunk_no"), item).alias("chunks"))
     )
     return grouped.select(
-        "file", "prompt_id", F.lit(size > 1).alias("is_batch"),
+        "file", "prompt_id", *carry, F.lit(size > 1).alias("is_batch"),
         F.transform("chunks", lambda c: c["chunk_id"]).alias("chunk_ids"), "chunks",
     )
 

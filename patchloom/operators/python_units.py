@@ -105,10 +105,12 @@ class ParsePython:
             yield _row(None, None, unit)
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """``file`` plus the ``PARSED`` columns; status rows have no ``kind``."""
-    rows = files.select("file", "content")
-    return rows.lateralJoin(ParsePython(F.col("file").outer(), F.col("content").outer()).alias("p")).select("file", "p.*")
+def parse(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``file``, the ``keep`` columns and the ``PARSED`` columns; status rows have no ``kind``."""
+    carried = ["file", *(keep or [])]
+    rows = files.select(*carried, "content")
+    call = ParsePython(F.col("file").cast("string").outer(), F.col("content").outer())
+    return rows.lateralJoin(call.alias("p")).select(*carried, "p.*")
 
 
 def syntax_status(parsed: DataFrame) -> DataFrame:

@@ -62,15 +62,18 @@ def apply_counts(prompts: DataFrame, applied: DataFrame) -> DataFrame:
     return joined.withColumn("failed", (F.col("applied") == 0) & (F.col("prompts") > 0))
 
 
-def fix_indent(code: Column, first_line: Column, mode: str = "reference") -> Column:
+def fix_indent(code: Column, first_line: Column, mode: str = "reference", keep_blank_end: bool = False) -> Column:
     """Lines of ``code`` with the indentation of the replaced first line.
 
+    A final line feed adds no line unless ``keep_blank_end``.
+
     ``reference`` indents only non-empty lines that start at column 0; ``shift``
     moves the whole block, which keeps body depth when the reply lost it.
     """
     indent = F.regexp_extract(first_line, r"^([ \t\f\x0b\r\n]*)", 1)
     lines = F.split(F.regexp_replace(code, "\r\n?", "\n"), "\n")
-    kept = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    ends_blank = (code == "") if keep_blank_end else (F.element_at(lines, -1) == "")
+    kept = F.when(ends_blank, F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
     if mode == "shift":
         return F.transform(kept, lambda x: F.when(x == "", x).otherwise(F.concat(indent, x)))
     return F.transform(kept, lambda x: F.when(x.rlike(r"^\S"), F.concat(indent, x)).otherwise(x))
@@ -113,14 +116,14 @@ def splice(
             def one(x: Column, i: Column) -> Column:
                 resume = F.coalesce(F.get(good, i - 1)["end_line"], F.lit(0)) + 1
                 before = F.array_join(F.slice(lines, resume, F.greatest(x["start_line"] - resume, F.lit(0))), "")
-                new = fix_indent(x["code"], F.try_element_at(lines, x["start_line"]), indent)
+                new = fix_indent(x["code"], F.try_element_at(lines, x["start_line"]), indent, newline != "reference")
                 if newline == "reference":
                     body = F.concat(F.array_join(new, "\n"), F.lit("\n"))
                 else:
                     first_end = F.regexp_extract(F.try_element_at(lines, x["start_line"]), r"(\r\n|\n|\r)?\z", 1)
                     inner = F.when(first_end == "", F.lit("\n")).otherwise(first_end)
                     last_end = F.regexp_extract(F.try_element_at(lines, x["end_line"]), r"(\r\n|\n|\r)?\z", 1)
-                    body = let(inner, lambda sep: F.concat(F.array_join(new, sep), last_end))
+                    body = let(inner, lambda sep: F.concat(F.call_function("array_join", new, sep), last_end))
                 return F.concat(before, F.when(F.size(new) > 0, body).otherwise(F.lit("")))
 
             tail_from = F.coalesce(F.try_element_at(good, F.lit(-1))["end_line"], F.lit(0)) + 1
