@@ -31,8 +31,15 @@ def slice_lines(lines: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(lines, first, F.greatest(end - first + 1, F.lit(0))), "\n")
 
 
+# The characters that count as white space when a text is trimmed.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def cut(text: Column, width: int, keep: int | None = None) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from patchloom.functions.gather import gather
 from patchloom.functions.text import let, slice_lines, split_lines
@@ -34,34 +34,35 @@ def drop_nested(chunks: DataFrame, emit: list[str], heavy: dict | None = None) -
     return flag_nested(chunks, emit, heavy).filter(~F.col("nested")).drop("nested")
 
 
-def nested_prompts(prompts: DataFrame, heavy: dict | None = None) -> DataFrame:
-    """``file, prompt_id`` of prompts with a chunk inside a chunk of another prompt.
+def flag_nested_prompts(rows: DataFrame, heavy: dict | None = None) -> DataFrame:
+    """``prompt_nested`` per chunk row (``file, prompt_id, start_line, end_line``): true when any
+    chunk of its prompt lies inside a chunk of another prompt.
 
-    ``prompts`` carry ``file, prompt_id, chunks``; prompts are cut from chunks in
-    start order, so ids rise with start lines. A container in an earlier prompt is
-    found by the running maximum of ends; one in a later prompt must start on the
-    same line and end later.
+    Prompts are cut from chunks in start order, so ids rise with start lines. A
+    container in an earlier prompt is found by the running maximum of ends; one in a
+    later prompt must start on the same line and end later. All windows share the
+    file's partitioning, so rows are shuffled once.
     """
-    heavy = heavy_keys(prompts, "file") if heavy is None else heavy
-    spans = prompts.select(
-        "file", "prompt_id",
-        F.transform("chunks", lambda c: F.struct(c["start_line"].alias("s"), c["end_line"].alias("e"))).alias("spans"),
-    ).withColumn("_end", F.array_max(F.transform("spans", lambda c: c["e"])))
-    earlier = scan_within(spans, ["file"], [F.col("prompt_id")], max_before={"_covered": "_end"}, heavy=heavy)
-    inside_earlier = earlier.filter(
-        F.exists("spans", lambda c: F.coalesce(F.col("_covered") >= c["e"], F.lit(False)))
-    ).select("file", "prompt_id")
-
-    rows = spans.select("file", "prompt_id", F.inline("spans"))
-    later = scan_within(
-        rows, ["file", "s"], [F.col("prompt_id").desc(), F.col("e")], max_before={"_later": "e"}, heavy=heavy
+    heavy = heavy_keys(rows, "file") if heavy is None else heavy
+    order = [F.col("prompt_id"), F.col("start_line"), F.col("end_line")]
+    ahead = scan_within(rows, ["file"], order, max_before={"_before": "end_line"}, heavy=heavy)
+    prompt = Window.partitionBy("file", "prompt_id")
+    # the running maximum never falls, so its least value in a prompt is what came before it
+    ahead = ahead.withColumn("_earlier", F.min(F.coalesce("_before", F.lit(-1))).over(prompt))
+    both = scan_within(
+        ahead, ["file", "start_line"], [F.col("prompt_id").desc(), F.col("end_line")],
+        max_before={"_later": "end_line"}, heavy=heavy,
     )
-    inside_later = later.filter(F.col("_later") > F.col("e")).select("file", "prompt_id")
-    return inside_earlier.unionByName(inside_later).distinct()
+    inside = (F.col("_earlier") >= F.col("end_line")) | F.coalesce(F.col("_later") > F.col("end_line"), F.lit(False))
+    return both.withColumn("prompt_nested", F.bool_or(inside).over(prompt)).drop("_before", "_earlier", "_later")
 
 
 def drop_nested_prompts(prompts: DataFrame, heavy: dict | None = None) -> DataFrame:
-    return prompts.join(nested_prompts(prompts, heavy), ["file", "prompt_id"], "left_anti")
+    """``prompts(file, prompt_id, chunks)`` without those ``flag_nested_prompts`` marks."""
+    rows = prompts.select("file", "prompt_id", F.inline(F.transform(
+        "chunks", lambda c: F.struct(c["start_line"].alias("start_line"), c["end_line"].alias("end_line")))))
+    bad = flag_nested_prompts(rows, heavy).filter("prompt_nested").select("file", "prompt_id").distinct()
+    return prompts.join(bad, ["file", "prompt_id"], "left_anti")
 
 
 def batch(chunks: DataFrame, batch_size: int, columns: list[str], carry: list[str] | None = None) -> DataFrame:

@@ -71,9 +71,11 @@ SELECT f.file, f.prompt_id, CAST(min(start_line) AS INT) AS first_line, count(*)
 FROM flat f WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.file = f.file AND b.prompt_id = f.prompt_id) GROUP BY 1, 2""")
 def prompt_containment(spark, sf_dir):
     heavy = _heavy(spark, sf_dir)
-    prompts = chunks.batch(_numbered(spark, sf_dir, heavy), 3, ITEM)
-    kept = chunks.application_order(chunks.drop_nested_prompts(prompts, heavy))
-    return kept.select("file", "prompt_id", "first_line", F.size("chunks").cast("long").alias("chunks"))
+    rows = _numbered(spark, sf_dir, heavy).select(
+        "file", F.floor((F.col("chunk_no") - 1) / 3).alias("prompt_id"), "start_line", "end_line")
+    kept = chunks.flag_nested_prompts(rows, heavy).filter("NOT prompt_nested")
+    return kept.groupBy("file", "prompt_id").agg(
+        F.min("start_line").alias("first_line"), F.count(F.lit(1)).alias("chunks"))
 
 
 @query("prompt_batches", f"""

@@ -84,7 +84,7 @@ def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("(a, b=1, *args)"), F.when(F.col("doc_id") % 9 == 0, F.lit("")).otherwise(F.lit(":")),
         F.lit("\n"), body, F.lit("\n    return a\n"),
     )
-    return read(spark, sf_dir, "documents").select(
+    return read(spark, sf_dir, "documents", "doc_id").select(
         F.concat(F.lit("p/d"), i, F.lit(".py")).alias("file"), "doc_id", content.alias("content")
     )
 
@@ -104,7 +104,7 @@ def brace_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         head, F.lit('\n  if (a) {\n    s = "}";  // }\n  }\n'), body,
         F.lit("\n}\n/* {\n } ' \" */\n"), second, F.lit("\n  m(a) {\n  }\n}\n"),
     )
-    return read(spark, sf_dir, "documents").select(
+    return read(spark, sf_dir, "documents", "doc_id").select(
         F.concat(F.lit("b/d"), i).alias("file"), "doc_id",
         F.when(n == 0, F.lit("javascript")).when(n == 1, F.lit("go")).otherwise(F.lit("c")).alias("language"),
         content.alias("content"),

@@ -81,9 +81,10 @@ def apply_replies(
     """
     heavy = heavy_keys(prompts, "file")
     sent = prompts.select("file", "prompt_id", "is_batch", "chunks")
+    expected = sent.select("file", "prompt_id", F.inline("chunks")).drop("code", "metadata")
     if mode == "prompt":
-        sent = chunk_ops.drop_nested_prompts(sent, heavy)
-    expected = sent.select("file", "prompt_id", "is_batch", F.inline("chunks")).drop("code", "metadata")
+        flagged = chunk_ops.flag_nested_prompts(expected, heavy)
+        expected = flagged.filter("NOT prompt_nested").drop("prompt_nested")
     answered = replies.join(sent.select("file", "prompt_id", "is_batch", "chunks"), ["file", "prompt_id"])
     single, _ = reply_ops.single_code(answered.filter("NOT is_batch"))
     single = single.select("file", "prompt_id", F.get("chunks", F.lit(0))["chunk_id"].alias("chunk_id"), "code")

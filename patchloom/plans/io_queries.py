@@ -52,7 +52,7 @@ WITH m AS (
 SELECT 'a' || doc_id || '.zip' AS archive, member, member LIKE 'pkg/d%' AS kept, length(text) AS chars, false AS broken FROM m
 UNION ALL SELECT 'a' || doc_id || '.zip', NULL, false, NULL, true FROM documents WHERE doc_id % 11 = 0""")
 def zip_members(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents", "doc_id")
     archives = docs.select(
         F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit(".zip")).alias("file"), _archive("doc_id", "text").alias("content"))
     found = corpus.expand_archives(archives)

@@ -91,7 +91,7 @@ def _patches(spark, sf_dir):
 
 
 def _spliced(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.concat(F.lit("# head\n  "), "text").alias("content"))
+    docs = read(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("file"), F.concat(F.lit("# head\n  "), "text").alias("content"))
     kept = chunks.drop_nested(_patches(spark, sf_dir), ["emit"])
     return replies.splice(docs, kept)
 

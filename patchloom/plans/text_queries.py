@@ -149,7 +149,7 @@ def _lint_files(spark, sf_dir):
     n = F.col("doc_id")
     tail = F.when(n % 4 == 1, F.lit("  ")).when(n % 4 == 2, F.lit("\n \n")).otherwise(F.lit(""))
     code = F.when(n % 6 == 0, F.lit("\n\n\n\ndef f():\n    pass\nclass A:\n    x = 1")).otherwise(F.lit(""))
-    return read(spark, sf_dir, "documents").select(n.alias("file"), F.concat("text", tail, code).alias("content"))
+    return read(spark, sf_dir, "documents", "doc_id").select(n.alias("file"), F.concat("text", tail, code).alias("content"))
 
 
 @query("lint_lines", f"WITH {LINT} SELECT file, rule, CAST(line_no AS INT) AS line_no, message FROM found")
