@@ -42,16 +42,16 @@ def match_line(
 
 
 def unit_starts(files: DataFrame, patterns: list[tuple] | None = None, keep_control_words: bool = False) -> DataFrame:
-    """``file, language, line_no, type, name`` of lines that open a unit."""
-    lines = files.select(
-        "file", "language", F.posexplode(split_lines(F.col("content"))).alias("pos", "text")
-    )
-    found = lines.withColumn(
-        "unit", match_line(F.col("language"), F.col("text"), patterns, keep_control_words)
-    )
-    return found.filter(F.col("unit").isNotNull()).select(
-        "file", "language", (F.col("pos") + 1).alias("line_no"), "unit.type", "unit.name"
-    )
+    """``file, language, line_no, type, name`` of lines that open a unit.
+
+    Lines are matched inside the file's row, so each is tried once and only hits become rows.
+    """
+    def found(text: Column, i: Column) -> Column:
+        unit = match_line(F.col("language"), text, patterns, keep_control_words)
+        return F.struct((i + 1).alias("line_no"), unit.alias("unit"))
+
+    hits = F.filter(F.transform(split_lines(F.col("content")), found), lambda x: x["unit"].isNotNull())
+    return files.select("file", "language", F.inline(hits)).select("file", "language", "line_no", "unit.type", "unit.name")
 
 
 def _tokens(language: Column, content: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from patchloom import config
-from patchloom.functions.text import strip
+from patchloom.functions.text import let, strip
 from patchloom.skew import scan_within
 
 TERMINAL = ["completed", "failed", "cancelled"]
@@ -18,22 +18,23 @@ def parse_markers(lines: DataFrame) -> DataFrame:
 
     Works on batch and streaming input. Lines without a readable number are ignored.
     """
-    parts = F.split(strip(F.col("line")), "::")
-    number = F.get(parts, F.lit(2))
     labels = F.create_map(*[F.lit(v) for pair in config.STAGE_LABELS for v in pair])
-    stage = F.when(number.rlike(NUMBER), F.trim(number).try_cast("double"))
-    given = F.get(parts, F.lit(3))
-    # int() of a stage cuts towards zero
-    whole = F.when(F.col("stage") < 0, F.ceil("stage")).otherwise(F.floor("stage")).cast("int")
-    return (
-        lines.filter(F.contains("line", F.lit(config.STAGE_MARKER)))
-        .withColumn("stage", stage)
-        .filter(F.col("stage").isNotNull())
-        .withColumn(
-            "stage_label",
-            F.coalesce(given, F.try_element_at(labels, whole), F.lit(config.UNKNOWN_STAGE_LABEL)),
-        )
-        .drop("line")
+
+    def marker(parts: Column) -> Column:
+        number = F.get(parts, F.lit(2))
+        stage = F.when(number.rlike(NUMBER), F.trim(number).try_cast("double"))
+        # int() of a stage cuts towards zero
+        whole = lambda n: F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)).cast("int")
+        return let(stage, lambda n: F.struct(
+            n.alias("stage"),
+            F.coalesce(F.get(parts, F.lit(3)), F.try_element_at(labels, whole(n)), F.lit(config.UNKNOWN_STAGE_LABEL)).alias("stage_label"),
+        ))
+
+    # one generator instead of a filter over derived columns: each line is taken apart once
+    read = F.transform(F.array(F.split(strip(F.col("line")), "::")), marker)
+    rest = [c for c in lines.columns if c != "line"]
+    return lines.filter(F.contains("line", F.lit(config.STAGE_MARKER))).select(
+        *rest, F.inline(F.filter(read, lambda m: m["stage"].isNotNull()))
     )
 
 

@@ -24,13 +24,13 @@ def with_overrides(base: DataFrame, overrides: DataFrame, keys: list[str]) -> Da
 def detect(files: DataFrame, extensions: DataFrame | None = None) -> DataFrame:
     """Add ``ext`` and ``language`` (null when the extension is unknown)."""
     known = extensions if extensions is not None else config.extensions(files.sparkSession)
-    return files.withColumn("ext", extension(F.col("file"))).join(F.broadcast(known), "ext", "left")
+    return files.withColumn("ext", extension(F.col("file"))).join(known, "ext", "left")
 
 
 def routed(files: DataFrame, routes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Files with a ``route``, and the rest with ``reject_reason``."""
     known = routes if routes is not None else config.parser_routes(files.sparkSession)
-    tagged = files.join(F.broadcast(known), "language", "left")
+    tagged = files.join(known, "language", "left")
     accepted = tagged.filter(F.col("route").isNotNull())
     reason = F.when(
         F.col("language").isNull(), F.concat(F.lit("Unsupported file extension '"), F.col("ext"), F.lit("'"))

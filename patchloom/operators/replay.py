@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patchloom.functions.compare import error_class, results_match
-from patchloom.functions.text import cut
+from patchloom.functions.text import cut, fill
 from patchloom.skew import salted_join
 
+# Caps, widths and message texts.
 MAX_FAILURES = 5
 REPLAY_WIDTH = 80
 PROPERTY_WIDTH = 60
+MISSING_FUNCTION = "Function '{func}' missing in refactored module — was it renamed or removed?"
+UNEQUAL = "args={args}: expected='{old}', got='{new}'"
+OTHER_ERROR = "args={args}: orig raised '{old}', refactored raised '{new}'"
+DIVERGED = "args={args}: {side} returned normally, other raised — refactored error: {error}"
+NONDETERMINISTIC = "Non-deterministic: args={args} → '{new}' ≠ '{again}'"
+TYPE_CHANGED = "Return-type changed: orig={old}, refactored={new} for args={args}"
+ERROR_CHANGED = "Exception type changed: orig='{old}', refactored='{new}' for args={args}"
+ERROR_LOST = "Original raised '{old}' but refactored succeeded for args={args}"
+NOT_IDEMPOTENT = "Original is idempotent but refactored is not for args={args}"
+# Own text, for a case without a second run.
+NO_RUN = "args={args}: no refactored run recorded"
+
 RUN = ["ok", "result", "result_num", "result_type", "error"]
 SIDES = {"original": "old", "refactored": "new", "repeat": "again"}
 
@@ -35,14 +48,13 @@ def _matches(a: str, b: str, nested: bool) -> Column:
     )
 
 
-def _quoted(text: Column) -> Column:
-    return F.concat(F.lit("'"), text, F.lit("'"))
+def _shown(side: str, width: int) -> Column:
+    return cut(F.coalesce(F.col(f"{side}.result"), F.lit("None")), width)
 
 
 def verdicts(cases: DataFrame, nested: bool = True) -> DataFrame:
     """Adds ``passed`` and ``failure`` to paired cases that the original ran."""
-    args = F.concat(F.lit("args="), cut(F.col("args"), REPLAY_WIDTH), F.lit(": "))
-    show = lambda side: _quoted(cut(F.coalesce(F.col(f"{side}.result"), F.lit("None")), REPLAY_WIDTH))
+    args = cut(F.col("args"), REPLAY_WIDTH)
     old_class, new_class = error_class(F.col("old.error")), error_class(F.col("new.error"))
     both_ok = F.col("old.ok") & F.col("new.ok")
     both_raised = ~F.col("old.ok") & ~F.col("new.ok")
@@ -53,16 +65,13 @@ def verdicts(cases: DataFrame, nested: bool = True) -> DataFrame:
         .when(both_raised, old_class == new_class)
         .otherwise(F.lit(False))
     )
+    side = F.when(F.col("old.ok"), F.lit("original")).otherwise(F.lit("refactored"))
+    error = F.when(F.col("new.ok"), F.lit("no error")).otherwise(F.coalesce("new.error", F.lit("None")))
     failure = (
-        F.when(F.col("new").isNull(), F.concat(args, F.lit("no refactored run recorded")))
-        .when(both_ok, F.concat(args, F.lit("expected="), show("old"), F.lit(", got="), show("new")))
-        .when(both_raised, F.concat(
-            args, F.lit("orig raised "), _quoted(old_class), F.lit(", refactored raised "), _quoted(new_class)))
-        .otherwise(F.concat(
-            args, F.when(F.col("old.ok"), F.lit("original")).otherwise(F.lit("refactored")),
-            F.lit(" returned normally, other raised — refactored error: "),
-            F.when(F.col("new.ok"), F.lit("no error")).otherwise(F.coalesce("new.error", F.lit("None"))),
-        ))
+        F.when(F.col("new").isNull(), fill(NO_RUN, {"args": args}))
+        .when(both_ok, fill(UNEQUAL, {"args": args, "old": _shown("old", REPLAY_WIDTH), "new": _shown("new", REPLAY_WIDTH)}))
+        .when(both_raised, fill(OTHER_ERROR, {"args": args, "old": old_class, "new": new_class}))
+        .otherwise(fill(DIVERGED, {"args": args, "side": side, "error": error}))
     )
     return rows.withColumn("passed", passed).withColumn("failure", F.when(~F.col("passed"), failure)).drop("_equal")
 
@@ -84,9 +93,7 @@ def by_function(judged: DataFrame) -> DataFrame:
         .groupBy("file", "func")
         .agg(F.sort_array(F.collect_list(F.struct("n", "failure"))).alias("_failed"))
     )
-    missing = F.array(F.concat(
-        F.lit("Function '"), F.col("func"), F.lit("' missing in refactored module — was it renamed or removed?")
-    ))
+    missing = F.array(fill(MISSING_FUNCTION, {"func": F.col("func")}))
     hits = F.when(F.col("ran") > 0, F.col("hits")).otherwise(F.lit(0))
     return counts.join(failures, ["file", "func"], "left").select(
         "file", "func", "total", hits.alias("passed"),
@@ -102,7 +109,6 @@ def properties(cases: DataFrame, nested: bool = True) -> DataFrame:
     """``file, func, case_id, property, passed, message`` for determinism, type stability
     and the exception contract. Functions must have runs on both sides."""
     args = cut(F.col("args"), PROPERTY_WIDTH)
-    show = lambda side: _quoted(cut(F.coalesce(F.col(f"{side}.result"), F.lit("None")), PROPERTY_WIDTH))
     old_class, new_class = error_class(F.col("old.error")), error_class(F.col("new.error"))
     rows = cases.withColumn("_steady", _matches("new", "again", nested))
     both = F.col("old").isNotNull() & F.col("new").isNotNull()
@@ -115,23 +121,19 @@ def properties(cases: DataFrame, nested: bool = True) -> DataFrame:
 
     determinism = F.when(
         F.col("new.ok") & F.col("again.ok"),
-        item("determinism", F.col("_steady"), F.concat(
-            F.lit("Non-deterministic: args="), args, F.lit(" → "), show("new"), F.lit(" ≠ "), show("again"))),
+        item("determinism", F.col("_steady"), fill(NONDETERMINISTIC, {
+            "args": args, "new": _shown("new", PROPERTY_WIDTH), "again": _shown("again", PROPERTY_WIDTH)})),
     )
     stability = F.when(
         both & F.col("old.ok") & F.col("new.ok"),
-        item("type_stability", F.col("old.result_type") == F.col("new.result_type"), F.concat(
-            F.lit("Return-type changed: orig="), F.col("old.result_type"), F.lit(", refactored="),
-            F.col("new.result_type"), F.lit(" for args="), args)),
+        item("type_stability", F.col("old.result_type") == F.col("new.result_type"), fill(TYPE_CHANGED, {
+            "args": args, "old": F.col("old.result_type"), "new": F.col("new.result_type")})),
     )
+    lost = fill(ERROR_LOST, {"args": args, "old": old_class})
+    changed = fill(ERROR_CHANGED, {"args": args, "old": old_class, "new": new_class})
     contract = F.when(
         both & ~F.col("old.ok"),
-        item("exception_contract", ~F.col("new.ok") & (old_class == new_class), F.when(
-            F.col("new.ok"),
-            F.concat(F.lit("Original raised "), _quoted(old_class), F.lit(" but refactored succeeded for args="), args),
-        ).otherwise(F.concat(
-            F.lit("Exception type changed: orig="), _quoted(old_class), F.lit(", refactored="),
-            _quoted(new_class), F.lit(" for args="), args))),
+        item("exception_contract", ~F.col("new.ok") & (old_class == new_class), F.when(F.col("new.ok"), lost).otherwise(changed)),
     )
     checks = F.array_compact(F.array(determinism, stability, contract))
     return rows.filter(both).select("file", "func", "case_id", F.inline(checks))
@@ -168,9 +170,9 @@ def idempotence(runs: DataFrame, nested: bool = True) -> DataFrame:
     )
     return wide.filter(F.col("old") & F.col("new").isNotNull()).select(
         "file", "func", "case_id", F.lit("idempotence").alias("property"), F.col("new").alias("passed"),
-        F.when(F.col("new"), F.lit("")).otherwise(F.concat(
-            F.lit("Original is idempotent but refactored is not for args="), cut(F.col("args"), PROPERTY_WIDTH)
-        )).alias("message"),
+        F.when(F.col("new"), F.lit("")).otherwise(
+            fill(NOT_IDEMPOTENT, {"args": cut(F.col("args"), PROPERTY_WIDTH)})
+        ).alias("message"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from patchloom.functions.text import cut, percent
 from patchloom.skew import scan_within
 
-# Functional check messages.
+# Functional check messages and the text of skipped pairs.
 NO_TESTS = "No testable functions found"
 SKIPPED_IMPORT = "Skipped — unresolvable import (upload the full project for functional testing): "
 BAD_ORIGINAL = "Could not import original: "
@@ -92,6 +92,14 @@ def repo_summary(results: DataFrame) -> DataFrame:
     ).withColumn("failed", F.col("total") - F.col("passed") - F.col("skipped"))
 
 
+def write_summary(results: DataFrame, path: str) -> None:
+    """The consolidated report: one JSON object per result row, as many part files as tasks."""
+    named = F.map_from_entries(F.transform("checks", lambda c: F.struct(c["check"], c["passed"])))
+    results.select(
+        "file", "status", "pass_rate", "severity", F.col("first_failure").alias("error"), named.alias("checks")
+    ).write.mode("errorifexists").json(path, ignoreNullFields=False)
+
+
 def badge(severity: Column, pass_rate: Column) -> Column:
     """Viewer badge; null for an empty report."""
     word = F.when(severity == "pass", F.lit("✓ Validation Passed ")).otherwise(F.lit("✗ Validation Failed "))
@@ -133,6 +141,7 @@ def json_reports(
     return rows.select("file", "part", F.to_json(F.struct(*fields)).alias("report"))
 
 
+# Report layout (rules, headings, widths and caps below).
 RULE, THIN = "=" * 64, "-" * 64
 
 

@@ -229,3 +229,18 @@ SELECT f.file, n IS NULL AS ok, coalesce(message, 'AST structure preserved') AS
 FROM (SELECT DISTINCT file FROM sides) f LEFT JOIN joined j ON j.file = f.file""")
 def structure_compare(spark, sf_dir):
     return structure.compare(derive.structure_units(spark, sf_dir))
+
+
+@query("class_methods", """
+SELECT 'p/d' || doc_id || '.py' AS file, 'C' || doc_id AS name, 1 AS method_count FROM documents WHERE doc_id % 9 <> 0""")
+def class_methods(spark, sf_dir):
+    parsed = python_units.parse(derive.python_files(spark, sf_dir))
+    return python_units.class_method_counts(python_units.units(parsed))
+
+
+@query("open_literals", """
+SELECT 'b/d' || doc_id AS file, doc_id % 5 = 0 AS open_literal FROM documents""")
+def open_literals(spark, sf_dir):
+    files = derive.brace_files(spark, sf_dir)
+    cut_off = F.concat("content", F.when(F.col("doc_id") % 5 == 0, F.lit('s = "open {\n')).otherwise(F.lit("")))
+    return brace.open_literals(files.withColumn("content", cut_off))

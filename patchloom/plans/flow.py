@@ -10,6 +10,7 @@ from patchloom.operators import (
     attempts, brace, chunks as chunk_ops, languages, lint, prompts as prompt_ops, python_units, replay, replies as reply_ops,
     rollup, structure,
 )
+from patchloom.session import cut_lineage
 from patchloom.skew import heavy_keys
 
 CHUNK = ["chunk_id", "type", "name", "start_line", "end_line", "code", "metadata"]
@@ -28,7 +29,8 @@ def chunk_corpus(files: DataFrame, nested: bool = False) -> Chunked:
     from ``files(file, content)`` with unique paths."""
     accepted, rejected = languages.routed(languages.detect(files))
     python = accepted.filter("route = 'syntax'")
-    parsed = python_units.parse(python)
+    # unit rows feed both the chunks and the rejects: parse once, keep the small result
+    parsed = cut_lineage(python_units.parse(python))
     failed = python_units.syntax_status(parsed).filter("NOT ok AND NOT message LIKE 'Compile error%'")
     from_python = python_units.chunk_rows(parsed).withColumn("language", F.lit("python"))
     from_braces = brace.brace_units(accepted.filter("route = 'brace'"), nested=nested).withColumns({
@@ -111,7 +113,8 @@ def validate(
         F.struct(F.lit("original").alias("side"), F.col("original").alias("content")),
         F.struct(F.lit("refactored").alias("side"), F.col("refactored").alias("content")),
     )))
-    parsed = python_units.parse(both, keep=["side"])
+    # four branches read the unit rows: parse once, keep the small result
+    parsed = cut_lineage(python_units.parse(both, keep=["side"]))
     states = parsed.filter(F.col("kind").isNull())
     syntax = states.filter("side = 'refactored'").select("file", "ok", "message")
     gate = syntax.filter("ok").select("file")
@@ -130,9 +133,9 @@ def validate(
     parts = [(0, "syntax", syntax), (1, "ast_structure", shape), (2, "linting", linted)]
     rates = None
     if runs is not None:
-        cases = replay.pair_runs(runs)
-        failed = replay.properties(cases).filter("NOT passed")
-        totals = replay.aggregate(replay.by_function(replay.verdicts(cases)), failed)
+        judged_cases = cut_lineage(replay.verdicts(replay.pair_runs(runs)))
+        failed = replay.properties(judged_cases).filter("NOT passed")
+        totals = replay.aggregate(replay.by_function(judged_cases), failed)
         if load_errors is None:
             totals = totals.withColumns({e: F.lit(None).cast("string") for e in ("original_error", "refactored_error")})
         else:

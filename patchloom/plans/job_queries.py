@@ -64,6 +64,23 @@ def stage_times(spark, sf_dir):
     return times.select("job_id", "stage", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
 
 
+@query("stage_time_map", f"""
+WITH {MARKERS}, times AS (SELECT job_id, stage, max(ts) AS ts FROM markers GROUP BY 1, 2)
+SELECT job_id, string_agg(stage || '=' || epoch_us(ts), ',' ORDER BY stage) AS stages FROM times GROUP BY 1""")
+def stage_time_map(spark, sf_dir):
+    maps = jobs.stage_time_map(jobs.parse_markers(derive.stage_lines(read(spark, sf_dir, "events"))))
+    shown = F.transform(F.array_sort(F.map_entries("stage_times")), lambda e: F.concat(
+        e["key"].cast("string"), F.lit("="), F.unix_micros(e["value"].cast("timestamp")).cast("string")))
+    return maps.select("job_id", F.array_join(shown, ",").alias("stages"))
+
+
+@query("exit_statuses", """
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'completed' ELSE 'failed' END AS status FROM events""")
+def exit_statuses(spark, sf_dir):
+    events = read(spark, sf_dir, "events")
+    return events.select("event_id", jobs.exit_status(F.col("event_id") % 4).alias("status"))
+
+
 STATUS = """
 states AS (
   SELECT event_id // 4 AS job_id, ts, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running'

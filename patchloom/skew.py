@@ -20,6 +20,9 @@ HEAVY_ROWS = 5_000_000
 HEAVY_ROWS_CONF = "patchloom.heavyRows"
 TRACKED_ITEMS = 10_000
 MAX_HEAVY_KEYS = 1_000
+# More ranges or salts than this cost more (bound samples, repeated rows) than they spread.
+MAX_RANGES = 10_000
+MAX_SALTS = 1_000
 
 
 def heavy_rows(df: DataFrame) -> int:
@@ -76,7 +79,7 @@ def scan_within(
     if not heavy:
         return scanned
 
-    ranges = max(2, math.ceil(sum(heavy.values()) / heavy_rows(df)))
+    ranges = min(MAX_RANGES, max(2, math.ceil(sum(heavy.values()) / heavy_rows(df))))
     placed = cut_lineage(
         df.filter(_is_heavy(keys[0], heavy))
         .repartitionByRange(ranges, *[F.col(k) for k in keys], *order)
@@ -101,8 +104,8 @@ def scan_within(
     for k in keys:
         carried = carried.withColumnRenamed(k, f"_k_{k}")
     # A carried row exists per (group, range) overlap. With one key column that is at
-    # most ranges + heavy keys; finer keys can have many groups, so no hint is given
-    # for them and the planner decides by size.
+    # most MAX_RANGES + MAX_HEAVY_KEYS; finer keys can have many groups, so no hint is
+    # given for them and the planner decides by size.
     carried = F.broadcast(carried) if len(keys) == 1 else carried
     joined = placed.join(carried, same, "inner")
 
@@ -126,7 +129,7 @@ def salted_join(
     heavy = heavy_keys(many, on) if heavy is None else heavy
     if not heavy:
         return many.join(one, on, how)
-    salts = max(2, math.ceil(max(heavy.values()) / heavy_rows(many)))
+    salts = min(MAX_SALTS, max(2, math.ceil(max(heavy.values()) / heavy_rows(many))))
     hot = _is_heavy(on, heavy)
     left = many.withColumn(
         "_salt", F.when(hot, F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
