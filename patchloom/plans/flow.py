@@ -46,10 +46,14 @@ def chunk_corpus(files: DataFrame, nested: bool = False) -> Chunked:
 
 
 def build_prompts(
-    chunks: DataFrame, files: DataFrame, examples: DataFrame, batch_size: int = 1, templates: DataFrame | None = None
+    chunks: DataFrame, files: DataFrame, examples: DataFrame, batch_size: int = 1,
+    templates: DataFrame | None = None, heavy: dict | None = None,
 ) -> DataFrame:
-    """``file, language, prompt_id, is_batch, chunk_ids, chunks, prompt``."""
-    heavy = heavy_keys(chunks, "file")
+    """``file, language, prompt_id, is_batch, chunk_ids, chunks, prompt``.
+
+    ``heavy`` names files with very many chunks; by default they are looked for.
+    """
+    heavy = heavy_keys(chunks, "file") if heavy is None else heavy
     rows = chunk_ops.batch(chunks, batch_size, CHUNK, carry=["language"])
     first = F.get("chunks", F.lit(0))
     rows = prompt_ops.attach_guidance(rows.withColumn("type", first["type"]))
@@ -75,25 +79,29 @@ class Applied:
 
 def apply_replies(
     files: DataFrame, prompts: DataFrame, replies: DataFrame, mode: str = "chunk",
-    indent: str = "reference", newline: str = "reference",
+    indent: str = "reference", newline: str = "reference", heavy: dict | None = None,
 ) -> Applied:
     """Splice ``replies(file, prompt_id, reply)`` into ``files``.
 
-    ``mode="chunk"`` drops nested chunks, ``"prompt"`` drops whole prompts that hold one.
+    ``mode="chunk"`` drops nested chunks, ``"prompt"`` drops whole prompts that hold
+    one; both before replies are looked at, so an unanswered container still covers
+    what lies inside it.
     """
-    heavy = heavy_keys(prompts, "file")
+    heavy = heavy_keys(prompts, "file") if heavy is None else heavy
     sent = prompts.select("file", "prompt_id", "is_batch", "chunks")
-    expected = sent.select("file", "prompt_id", F.inline("chunks")).drop("code", "metadata")
+    expected = sent.select("file", "prompt_id", F.posexplode("chunks").alias("pos", "c")).select(
+        "file", "prompt_id", "pos", *[F.col(f"c.{n}").alias(n) for n in ("chunk_id", "start_line", "end_line")])
     if mode == "prompt":
         flagged = chunk_ops.flag_nested_prompts(expected, heavy)
         expected = flagged.filter("NOT prompt_nested").drop("prompt_nested")
+    # in prompt mode this settles nesting within one prompt, on original coordinates
+    expected = chunk_ops.drop_nested(expected, ["prompt_id", "pos"], heavy)
     answered = replies.join(sent.select("file", "prompt_id", "is_batch", "chunks"), ["file", "prompt_id"])
     single, _ = reply_ops.single_code(answered.filter("NOT is_batch"))
     single = single.select("file", "prompt_id", F.get("chunks", F.lit(0))["chunk_id"].alias("chunk_id"), "code")
     blocks = reply_ops.batched_blocks(answered.filter("is_batch"))
     usable, missing = reply_ops.expected_vs_returned(expected, single.unionByName(blocks))
-    kept = chunk_ops.drop_nested(usable, ["chunk_id"], heavy)
-    out, rejected = reply_ops.splice(files, kept.select("file", "start_line", "end_line", "code"), indent, newline)
+    out, rejected = reply_ops.splice(files, usable.select("file", "start_line", "end_line", "code"), indent, newline)
     counts = reply_ops.apply_counts(prompts, usable)
     return Applied(out, counts, missing.select("file", "prompt_id", "chunk_id"), rejected)
 
@@ -161,7 +169,7 @@ def validate(
         "file", F.lit(attempt).alias("attempt"),
         F.when(skipped, F.lit("SKIP")).otherwise(rollup.status(F.col("passed"))).alias("status"), "passed",
         F.when(skipped, F.lit("skip")).otherwise(F.col("severity")).alias("severity"),
-        F.round("pass_rate", 4).alias("pass_rate"),
+        F.bround("pass_rate", 4).alias("pass_rate"),
         F.when(skipped, F.concat(F.lit(rollup.SKIP_ERROR), reply_ops.output_name(F.col("file").cast("string"))))
         .otherwise(F.col("first_failure")).alias("first_failure"),
         "failed_checks", "checks",

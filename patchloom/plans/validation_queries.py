@@ -289,13 +289,13 @@ def functional_check(spark, sf_dir):
 @query("rate_format", """
 WITH r AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'N') AS hit, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT l_orderkey, CAST(round_even(hit / n * 100, 0) AS INT) || '%' AS even_rate, CAST(floor(hit / n * 100 + 0.5) AS BIGINT) || '%' AS half_up_rate,
-  round(hit / n, 4) AS rounded FROM r""")
+  round_even(hit / n, 4) AS rounded FROM r""")
 def rate_format(spark, sf_dir):
     rates = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         (F.count_if(F.col("l_returnflag") == "N") / F.count(F.lit(1))).alias("rate"))
     return rates.select(
         "l_orderkey", percent(F.col("rate")).alias("even_rate"), percent(F.col("rate"), half_up=True).alias("half_up_rate"),
-        F.round("rate", 4).alias("rounded"))
+        F.bround("rate", 4).alias("rounded"))
 
 
 def _detailed(spark, sf_dir):

@@ -81,7 +81,7 @@ def test_round_trip(spark):
         prompts = flow.build_prompts(made.chunks, files, examples(spark), batch_size=size)
         done = flow.apply_replies(files, prompts, echo(prompts))
         assert {r["file"]: r["content"] for r in done.files.collect()} == {r["file"]: r["content"] for r in files.collect()}
-        assert {r["file"]: r["applied"] for r in done.counts.collect()} == {"a/shop.py": 4, "web/app.js": 2}
+        assert {r["file"]: r["applied"] for r in done.counts.collect()} == {"a/shop.py": 2, "web/app.js": 2}
         assert done.missing.isEmpty() and done.rejected.isEmpty()
 
 
@@ -95,6 +95,16 @@ def test_prompt_mode_and_missing(spark, rows):
     assert rows(done.missing, "prompt_id") == [(3,)]
 
 
+def test_unanswered_container_still_covers(spark):
+    files = corpus(spark).filter("file = 'a/shop.py'")
+    prompts = flow.build_prompts(flow.chunk_corpus(files).chunks, files, examples(spark))
+    reply = spark.createDataFrame(
+        [("a/shop.py", 1, "```\nlost\n```"), ("a/shop.py", 3, "```\nnew\n```")], "file STRING, prompt_id LONG, reply STRING")
+    done = flow.apply_replies(files, prompts, reply)
+    assert done.files.head()["content"] == SHOP[: SHOP.index("def discount")] + "new\n"
+    assert [r["prompt_id"] for r in done.missing.collect()] == [0]
+
+
 def run(file, func, case, side, ok=True, result="1", kind="int", error=None, args="[1]"):
     return (file, func, case, side, args, ok, result if ok else None, float(result) if ok else None, kind if ok else None, error)
 
