@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patchloom.functions.text import cut, percent
 from patchloom.skew import scan_within
@@ -107,14 +107,17 @@ def badge(severity: Column, pass_rate: Column) -> Column:
 
 
 def json_reports(
-    results: DataFrame, failures: DataFrame | None = None, part_rows: int = REPORT_PART_ROWS, heavy: dict | None = None
+    results: DataFrame, failures: DataFrame | None = None, part_rows: int = REPORT_PART_ROWS,
+    heavy: dict | None = None, generated: Column | None = None,
 ) -> DataFrame:
     """``file, part, report`` JSON text.
 
     ``results``: ``file, passed, severity, pass_rate, checks`` and, when functional
     tests ran, ``total_tests, passed_tests, function_results``. ``failures`` are failed
     property rows; a file with more than ``part_rows`` of them gets further parts.
+    ``generated`` is the time shown, by default that of the query.
     """
+    made = F.current_timestamp() if generated is None else generated
     entries = F.transform("checks", lambda c: F.struct(
         c["check"].alias("k"), F.struct(c["passed"].alias("passed"), c["message"].alias("message")).alias("v")))
     detail = F.lit(None).cast("string")
@@ -133,7 +136,7 @@ def json_reports(
             "total_tests", "passed_tests", F.coalesce("pass_rate", F.lit(0.0)).alias("pass_rate"),
             "function_results", "property_failures"))
     fields = [
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
+        F.date_format(made, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
         "file", "passed", "severity", "pass_rate", F.map_from_entries(entries).alias("checks"),
     ]
     if failures is not None:
@@ -145,9 +148,13 @@ def json_reports(
 RULE, THIN = "=" * 64, "-" * 64
 
 
-def text_reports(results: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+def text_reports(
+    results: DataFrame, failures: DataFrame | None = None, generated: Column | None = None
+) -> DataFrame:
     """``file, report`` text: header, checks, functions with up to three failures each,
     and up to ten property violations."""
+    made = F.current_timestamp() if generated is None else generated
+
     def header(title: str) -> Column:
         return F.array(F.lit(""), F.lit(THIN), F.lit("  " + title), F.lit(THIN))
 
@@ -169,8 +176,6 @@ def text_reports(results: DataFrame, failures: DataFrame | None = None) -> DataF
         functions = F.when(F.size("function_results") > 0, F.concat(header("PER-FUNCTION BREAKDOWN"), lines)).otherwise(nothing)
     rows, violations = results, nothing
     if failures is not None:
-        from pyspark.sql import Window
-
         first = Window.partitionBy("file").orderBy("func", "case_id", "property")
         top = (
             failures.withColumn("_n", F.row_number().over(first)).filter("_n <= 10")
@@ -182,7 +187,7 @@ def text_reports(results: DataFrame, failures: DataFrame | None = None) -> DataF
             header("PROPERTY VIOLATIONS"), F.transform("_p", lambda x: x["t"]))).otherwise(nothing)
     head = F.array(
         F.lit(RULE), F.lit("  CODE VALIDATION REPORT"), F.concat(F.lit("  File      : "), F.coalesce("file", F.lit("—"))),
-        F.concat(F.lit("  Generated : "), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")), F.lit(RULE),
+        F.concat(F.lit("  Generated : "), F.date_format(made, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")), F.lit(RULE),
         F.concat(F.lit("\n  Overall Status : "), F.when(F.col("passed"), F.lit("✓ PASS")).otherwise(F.lit("✗ FAIL"))),
         F.concat(F.lit("  Severity       : "), F.upper("severity")),
     )
