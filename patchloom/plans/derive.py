@@ -139,7 +139,7 @@ def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of three sides from events; ids decide which results change."""
     e = F.col("event_id")
     cents = F.round(F.col("value") * 100).cast("long")
-    events = read(spark, sf_dir, "events").select(
+    events = read(spark, sf_dir, "events", "event_id").select(
         e, F.concat(F.lit("m"), (F.col("user_id") % 5).cast("string")).alias("file"),
         F.concat(F.lit("f"), (F.col("user_id") % 50).cast("string")).alias("func"),
         "value", (F.col("event_type") != "error").alias("old_ok"), cents.alias("cents"),

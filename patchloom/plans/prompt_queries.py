@@ -9,6 +9,7 @@ from patchloom.functions.text import bullets
 from patchloom.operators import chunks, prompts, replies
 from patchloom.plans import derive
 from patchloom.plans.registry import query, read
+from patchloom.skew import heavy_keys
 
 TYPES = ["function", "class", "method", "interface", "async_method", "constructor", "widget"]
 LANGUAGES = ["python", "Go", "java", "rust"]
@@ -38,7 +39,7 @@ def _examples(spark):
 
 def _document_chunks(spark, sf_dir):
     """One chunk per document: its first lines, with type, language and parent by id."""
-    docs = read(spark, sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents", "doc_id")
     n = F.col("doc_id")
     return docs.select(
         F.concat(F.lit("src/d"), n.cast("string")).alias("file"), n.alias("doc_id"),
@@ -55,6 +56,12 @@ def _document_texts(spark, sf_dir):
     return docs.select(F.concat(F.lit("src/d"), F.col("doc_id").cast("string")).alias("file"), F.col("text").alias("content"))
 
 
+def _heavy(spark, sf_dir):
+    """Looked for in the bare table, so the lookups do not run for it."""
+    files = read(spark, sf_dir, "documents").select(F.concat(F.lit("src/d"), F.col("doc_id").cast("string")).alias("file"))
+    return heavy_keys(files, "file")
+
+
 ROWS = f"""
 rows AS (
   SELECT doc_id, 'src/d' || doc_id AS file, {_sql_list(LANGUAGES)}[1 + doc_id % 4] AS language, {_sql_list(TYPES)}[1 + doc_id % 7] AS type,
@@ -148,7 +155,7 @@ def prompt_render(spark, sf_dir):
     rows = prompts.attach_guidance(_document_chunks(spark, sf_dir))
     rows = prompts.attach_example(prompts.attach_template(rows), _examples(spark))
     # the text joins last, so it is shuffled once per prompt and never through the lookups
-    rows = prompts.attach_context(rows, _document_texts(spark, sf_dir), ["chunk_id"])
+    rows = prompts.attach_context(rows, _document_texts(spark, sf_dir), ["chunk_id"], _heavy(spark, sf_dir))
     return prompts.single_prompt(rows).select("file", "prompt")
 
 
@@ -179,7 +186,7 @@ BATCH_SQL = (
 
 def _batch_prompts(spark, sf_dir):
     rows = prompts.attach_example(prompts.attach_guidance(_batched(spark, sf_dir)), _examples(spark))
-    rows = prompts.attach_context(rows, _document_texts(spark, sf_dir), ["prompt_id"])
+    rows = prompts.attach_context(rows, _document_texts(spark, sf_dir), ["prompt_id"], _heavy(spark, sf_dir))
     return prompts.batch_prompt(rows)
 
 

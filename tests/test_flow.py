@@ -122,7 +122,7 @@ def pairs(spark):
     return originals, rewritten
 
 
-def test_validate_and_retry(spark):
+def test_validate_and_retry(spark, tmp_path):
     originals, rewritten = pairs(spark)
     runs = spark.createDataFrame([
         run("ok.py", "f", 1, "original"), run("ok.py", "f", 1, "refactored"),
@@ -143,6 +143,11 @@ def test_validate_and_retry(spark):
     assert rollup.repo_summary(results).head().asDict() == {
         "total": 4, "passed": 1, "skipped": 1, "failed": 2, "all_pass": False, "pass_or_skip": False}
 
+    rollup.write_summary(results, str(tmp_path / "summary"))
+    written = [json.loads(l) for f in (tmp_path / "summary").glob("part*") for l in f.read_text().splitlines()]
+    assert {w["file"]: w["status"] for w in written} == {f: r["status"] for f, r in got.items()}
+    assert next(w for w in written if w["file"] == "ok.py")["checks"]["syntax"] is True
+
     first = flow.attempt_row(results)
     again = attempts.to_retry(first)
     assert {r["file"] for r in again.collect()} == {"bad.py", "odd.py"}
