@@ -18,8 +18,10 @@ from patchloom.session import cut_lineage
 
 HEAVY_ROWS = 5_000_000
 HEAVY_ROWS_CONF = "patchloom.heavyRows"
-TRACKED_ITEMS = 10_000
-MAX_HEAVY_KEYS = 1_000
+# A key with more than about one row in 6,000 is always among the tracked items.
+TRACKED_ITEMS = 8_192
+MAX_HEAVY_KEYS = 2_048
+SKETCH_GROUPS = 64
 # More ranges or salts than this cost more (bound samples, repeated rows) than they spread.
 MAX_RANGES = 10_000
 MAX_SALTS = 1_000
@@ -33,11 +35,16 @@ def heavy_rows(df: DataFrame) -> int:
 def heavy_keys(df: DataFrame, key: str) -> dict:
     """``{key: estimated rows}`` of the heavy groups, at most ``MAX_HEAVY_KEYS``.
 
-    The sketch only steers the physical route; results do not depend on it.
+    One sketch per task, merged in two steps so that no single task reads them all.
+    It only steers the physical route; results do not depend on it.
     """
-    top = df.select(
-        F.expr(f"approx_top_k(`{key}`, {MAX_HEAVY_KEYS}, {TRACKED_ITEMS})").alias("top")
-    ).head()
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g")
+    top = (
+        df.select(F.col(key).alias("k")).groupBy(group)
+        .agg(F.expr(f"approx_top_k_accumulate(k, {TRACKED_ITEMS})").alias("s"))
+        .agg(F.expr(f"approx_top_k_combine(s, {TRACKED_ITEMS})").alias("s"))
+        .select(F.expr(f"approx_top_k_estimate(s, {MAX_HEAVY_KEYS})").alias("top")).head()
+    )
     floor = heavy_rows(df)
     return {
         item["item"]: item["count"]

@@ -29,6 +29,12 @@ def test_heavy_keys_finds_the_hot_one(spark):
     assert heavy_keys(df, "file") == {}
 
 
+def test_heavy_keys_of_nothing(spark, heavy):
+    df = one_hot(spark)
+    assert heavy_keys(df.filter("false"), "file") == {}
+    assert heavy_keys(df.withColumn("file", F.lit(None).cast("string")), "file") == {}
+
+
 @pytest.mark.parametrize("limit", ["3", "50"])
 def test_scan_equals_plain_window(spark, rows, limit):
     df = one_hot(spark)
