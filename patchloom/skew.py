@@ -42,7 +42,8 @@ def heavy_keys(df: DataFrame, key: str) -> dict:
     top = (
         df.select(F.col(key).alias("k")).groupBy(group)
         .agg(F.expr(f"approx_top_k_accumulate(k, {TRACKED_ITEMS})").alias("s"))
-        .agg(F.expr(f"approx_top_k_combine(s, {TRACKED_ITEMS})").alias("s"))
+        # grouped, so an empty table gives no row instead of an empty sketch
+        .groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {TRACKED_ITEMS})").alias("s"))
         .select(F.expr(f"approx_top_k_estimate(s, {MAX_HEAVY_KEYS})").alias("top")).head()
     )
     floor = heavy_rows(df)
