@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from patchloom import schemas
 from patchloom.operators import brace, chunks, python_units, structure
 from patchloom.plans import derive
 from patchloom.plans.registry import query, read
@@ -113,6 +114,31 @@ def chunk_envelopes(spark, sf_dir):
     )
 
 
+@query("prompt_envelopes", f"""
+WITH {PROMPTS},
+made AS (SELECT file, prompt_id, count(*) AS n, string_agg('chunk_' || chunk_no, '+' ORDER BY chunk_no) AS ids FROM flat GROUP BY 1, 2)
+SELECT CAST(file AS VARCHAR) AS file_name, 'python' AS language, CAST(prompt_id // 2 AS INT) AS part, count(*) AS prompts, CAST(sum(n) AS BIGINT) AS chunks,
+  string_agg('prompt for ' || ids, ',' ORDER BY prompt_id) AS texts, sum(count(*)) OVER (PARTITION BY file)::BIGINT AS total_prompts
+FROM made GROUP BY file, prompt_id // 2""")
+def prompt_envelopes(spark, sf_dir):
+    heavy = _heavy(spark, sf_dir)
+    rows = _numbered(spark, sf_dir, heavy).select(
+        F.col("file").cast("string").alias("file"), F.lit("python").alias("language"), "chunk_no", "chunk_id",
+        F.lit("function").alias("type"), F.lit(None).cast("string").alias("name"), "start_line", "end_line",
+        F.lit("").alias("code"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    item = ["chunk_id", "type", "name", "start_line", "end_line", "code", "metadata"]
+    prompts = chunks.batch(rows, 3, item, carry=["language"]).withColumn(
+        "prompt", F.concat(F.lit("prompt for "), F.array_join("chunk_ids", "+")))
+    packed = envelopes.prompt_envelopes(prompts, part_rows=2, heavy={str(k): n for k, n in heavy.items()})
+    # through JSON text and back, as the next stage reads it
+    documents = packed.select(F.from_json(F.to_json(F.struct(*packed.columns)), schemas.PROMPT_ENVELOPE).alias("d"))
+    sizes = F.transform("d.prompts", lambda p: F.size(p["chunks"]).cast("long"))
+    return documents.select(
+        "d.file_name", "d.language", "d.part", F.size("d.prompts").cast("long").alias("prompts"),
+        F.aggregate(sizes, F.lit(0).cast("long"), lambda a, n: a + n).alias("chunks"),
+        F.array_join("d.prompts.prompt", ",").alias("texts"), "d.total_prompts")
+
+
 @query("envelope_rejects", """
 SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'missing key: file_name' WHEN 2 THEN 'missing key: chunks'
   WHEN 3 THEN '''chunks'' must be an array' WHEN 4 THEN 'not JSON' END AS reject_reason
