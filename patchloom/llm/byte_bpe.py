@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from patchloom.llm.tools import portions
+
 # Pieces remembered per Python worker; a table beyond that is emptied between portions.
-REMEMBERED = 300_000
-# Characters encoded at a time.
-PORTION = 2_000_000
+REMEMBERED = 120_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -136,18 +136,6 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
-def _portions(texts: list[str], size: int = PORTION) -> Iterator[list[str]]:
-    part, held = [], 0
-    for text in texts:
-        part.append(text)
-        held += len(text)
-        if held > size:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
-
-
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One codec per worker process."""
@@ -158,9 +146,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """``id_col, ids array<int>``; the vocabulary file must be readable on every worker."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows = [np.frombuffer(ids, "<i4") for part in _portions(texts) for ids in own.encode_all(part)]
+        for batch in (part for b in batches for part in portions(b, 1)):
+            rows = [np.frombuffer(ids, "<i4") for ids in own.encode_all([t or "" for t in batch.column(1).to_pylist()])]
             ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_col, "ids"])
@@ -174,9 +161,12 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
     little-endian unsigned 32-bit integers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
-            lists = batch.column(1).fill_null([])
-            flat, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+        # few rows at a time: a row of ids decodes to about as many bytes as it has itself
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
+            lists = batch.column(1)
+            if lists.null_count:
+                lists = pa.array([r or [] for r in lists.to_pylist()], pa.list_(pa.int32()))
+            flat, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
             rows = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0),

@@ -20,13 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from patchloom.llm.tools import portions
+
 # Labelled texts sampled per language, and characters learnt from per language.
 SAMPLE_TEXTS = 200
 SAMPLE_CHARS = 120_000
 # Languages learnt at most; more labels than this are an error, not a cut.
 MAX_LANGUAGES = 200
 # Words whose costs a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -158,7 +160,7 @@ def predict(docs: DataFrame, known: dict[str, str], id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _own_judge(sent.value)
-        for batch in batches:
+        for batch in (part for b in batches for part in portions(b, 1)):
             found = [judge.judge(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from patchloom.session import work_path
@@ -86,3 +90,14 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         out = mix64(out + words[k : len(words) - width + 1 + k])
     return out
+
+
+def portions(batch: pa.RecordBatch, column: int | str, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about ``size`` bytes each; one text stays whole."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
