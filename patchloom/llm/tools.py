@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
+    # what is only reachable from finished jobs, shuffle files above all, can go now
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
@@ -52,12 +56,17 @@ BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64))
 WORD_BASE = np.uint64(0xD1342543DE82EF95)
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: np.uint64 = WORD_BASE) -> np.ndarray:
-    """``base ** 0 .. base ** (n-1)`` modulo 2^64."""
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """``base ** 0 .. base ** (n-1)`` modulo 2^64; kept, so that a long text pays once."""
+    held = _powers.get(int(base))
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1 << 14), base, dtype=np.uint64)
+        held[0] = 1
+        held = _powers[int(base)] = np.multiply.accumulate(held)
+    return held[:n]
 
 
 INVERSE = np.uint64(pow(int(WORD_BASE), -1, 1 << 64))
