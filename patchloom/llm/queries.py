@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import byte_bpe, decontaminate, language, main_text, ngram_join, surrogates, url_filter, vector_search
+from patchloom.llm import byte_bpe, decontaminate, language, main_text, ngram_join, suffix_dedup, surrogates, url_filter, vector_search
 from patchloom.llm.tools import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ reach AS (
   SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
 SELECT s.doc_id, any_value(s.n) AS n_shingles, min(r.y) AS component_id FROM sizes s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id
 """
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
