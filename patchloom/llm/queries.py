@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import byte_bpe, decontaminate, language, main_text, ngram_join, suffix_dedup, surrogates, url_filter, vector_search
+from patchloom.llm import byte_bpe, decontaminate, language, main_text, ngram_join, passages, suffix_dedup, surrogates, url_filter, vector_search
 from patchloom.llm.tools import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ SELECT s.doc_id, any_value(s.n) AS n_shingles, min(r.y) AS component_id FROM siz
 @query
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicates(table(spark, sf_dir, "documents"))
