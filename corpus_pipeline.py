@@ -7,18 +7,49 @@ columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import byte_bpe
+from patchloom.llm import byte_bpe, decontaminate, language, ngram_join, surrogates
 from patchloom.llm.tools import stored, table
 
+# Stands in for a secret that a deployment would pass in.
+SURROGATE_KEY = "change-me"
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: null texts and texts without a letter."""
+    known = language.samples(docs.filter(~F.coalesce(language.held_out(), F.lit(False))), "text", "lang", "doc_id")
+    return language.predict(docs, known).filter(F.col("lang_pred") != language.UNKNOWN).select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of documents linked by 0.8 of their five-word runs, the one with the smallest id;
+    documents without an id stay."""
+    found = ngram_join.similar_components(docs, width=5, percent=80)
+    gone = found.filter("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Surrogates for personal data; ``n_chars`` follows the text."""
+    done = surrogates.replace(docs, SURROGATE_KEY, count_col="_replaced")
+    length = F.when(F.col("_replaced") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", length).select(docs.columns)
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every remaining text."""
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("byte_bpe", encode)]
+STAGES = [
+    ("language", known_language), ("ngram_join", one_of_each_group), ("decontaminate", without_benchmark),
+    ("surrogates", without_personal_data), ("byte_bpe", encode)]
 
 # Language ID and the surrogates of personal data have no SQL form.
 ORACLE_SQL = None

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from patchloom.llm.tools import portions
 
@@ -154,20 +155,21 @@ def _own_judge(known: dict[str, str]) -> Judge:
     return _judges[key]
 
 
-def predict(docs: DataFrame, known: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` named in ``id_col``, with ``lang_pred`` and ``score``."""
+def predict(docs: DataFrame, known: dict[str, str], text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(known)  # at most MAX_LANGUAGES * SAMPLE_CHARS characters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _own_judge(sent.value)
-        for batch in (part for b in batches for part in portions(b, 1)):
-            found = [judge.judge(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
-            ], [id_col, "lang_pred", "score"])
+        for batch in (part for b in batches for part in portions(b, text_col)):
+            found = [judge.judge(t) for t in batch.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                [*batch.schema.names, "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    out = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.mapInArrow(run, out)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -180,5 +182,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """``id_col, held_out, lang_pred, score`` for every row of ``docs``, learnt from the
     rows of ``learn`` (``docs`` itself by default) that are not held out."""
     source = (docs if learn is None else learn).filter(~F.coalesce(held_out(id_col), F.lit(False)))
-    found = predict(docs, samples(source, text_col, label_col, id_col), id_col, text_col)
+    found = predict(docs.select(id_col, text_col), samples(source, text_col, label_col, id_col), text_col)
     return found.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "lang_pred", "score")
