@@ -67,17 +67,13 @@ class SuffixAutomaton:
 
     def phrases(self, text: str) -> int:
         """Number of greedy longest matches that cut ``text``; an unseen letter is one."""
-        state, count, start = self.next[0], 1, True
+        root, state, count = self.next[0], {}, 0
         for letter in text:
             to = state.get(letter)
             if to is None:
-                if not start:
-                    count += 1
-                to = self.next[0].get(letter)
-                if to is None:
-                    state, start = self.next[0], False
-                    continue
-            state, start = self.next[to], False
+                count += 1
+                to = root.get(letter)
+            state = {} if to is None else self.next[to]
         return count
 
 
