@@ -121,6 +121,19 @@ def job_status(events: DataFrame) -> DataFrame:
     )
 
 
+def final_stage(jobs: DataFrame) -> DataFrame:
+    """``stage`` and ``stage_label`` as they stand at the end, from ``status``, ``error`` and the
+    latest marker: done where the run ended by itself, idle where it was stopped by an
+    error or the time limit; a cancelled job stays where it was."""
+    ended = F.col("status").isin("completed", "failed")
+    stopped = (F.col("status") == "failed") & F.col("error").isNotNull()
+    return jobs.withColumns({
+        "stage": F.when(stopped, F.lit(0.0)).when(ended, F.lit(5.0)).otherwise(F.col("stage")),
+        "stage_label": F.when(stopped, F.lit("idle")).when(ended, F.lit("done")).when(
+            F.col("status") == "cancelled", F.lit("cancelled")).otherwise(F.col("stage_label")),
+    })
+
+
 def exit_status(code: Column) -> Column:
     return F.when(code == 0, F.lit("completed")).otherwise(F.lit("failed"))
 

@@ -67,10 +67,14 @@ def _blank_rules(lines: Column) -> Column:
     )
 
 
+def _found(content: Column) -> Column:
+    """All violations of a text as an array."""
+    return let(split_lines(content), lambda lines: F.concat(_line_rules(lines), _blank_rules(lines)))
+
+
 def violations(files: DataFrame) -> DataFrame:
     """``file, rule, line_no, message``; no shuffle, every file is read where it lies."""
-    found = let(split_lines(F.col("content")), lambda lines: F.concat(_line_rules(lines), _blank_rules(lines)))
-    return files.select("file", F.inline(found))
+    return files.select("file", F.inline(_found(F.col("content"))))
 
 
 def statistics(found: DataFrame) -> DataFrame:
@@ -78,11 +82,12 @@ def statistics(found: DataFrame) -> DataFrame:
     return found.rollup("file", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-def lint_check(files: DataFrame, found: DataFrame) -> DataFrame:
-    """``file, ok, message`` of the lint check."""
-    counts = found.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return files.select("file").join(counts, "file", "left").select(
-        "file", (n == 0).alias("ok"),
-        F.when(n == 0, F.lit("No lint issues")).otherwise(F.concat(n.cast("string"), F.lit(" lint issue(s)"))).alias("message"),
-    )
+def lint_check(files: DataFrame) -> DataFrame:
+    """``file, ok, message`` of the lint check: one line per violation, by line and rule."""
+    ordered = F.array_sort(F.transform("_found", lambda v: F.struct(
+        v["line_no"].alias("line_no"), v["rule"].alias("rule"), v["message"].alias("message"))))
+    shown = F.array_join(F.transform(ordered, lambda v: F.concat(
+        F.lit("line "), v["line_no"].cast("string"), F.lit(": "), v["rule"], F.lit(" "), v["message"])), "\n")
+    ok = F.size("_found") == 0
+    return files.select("file", _found(F.col("content")).alias("_found")).select(
+        "file", ok.alias("ok"), F.when(ok, F.lit("No lint issues")).otherwise(shown).alias("message"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from patchloom.operators import (
     attempts, brace, chunks as chunk_ops, languages, lint, prompts as prompt_ops, python_units, replay, replies as reply_ops,
@@ -108,12 +108,15 @@ def apply_replies(
 
 def validate(
     originals: DataFrame, refactored: DataFrame, runs: DataFrame | None = None, load_errors: DataFrame | None = None,
-    attempt: int = 1, strict: bool = False,
+    attempt: int = 1, strict: bool = False, properties: bool = True, idempotence: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Results and checks for file pairs by relative path.
 
     ``runs`` are recorded executions (see ``replay``); ``load_errors(file,
-    original_error, refactored_error)`` says which modules did not load. Results:
+    original_error, refactored_error)`` says which modules did not load. ``properties``
+    turns the property checks off, ``idempotence`` adds that of a second call. The rate is
+    0 where the syntax is broken and 1 where nothing was run or loaded; it is null for
+    skipped pairs and where the runs hold no case of the file. Results:
     ``file, status, passed, severity, pass_rate, first_failure, failed_checks, checks``.
     """
     pairs = rollup.pair_files(originals, refactored)
@@ -136,13 +139,16 @@ def validate(
         F.coalesce("why", "message", F.lit(structure.PRESERVED)).alias("message"))
 
     texts = pairs.filter("status IS NULL").select("file", F.col("refactored").alias("content")).join(gate, "file", "left_semi")
-    linted = lint.lint_check(texts, lint.violations(texts))
+    linted = lint.lint_check(texts)
 
     parts = [(0, "syntax", syntax), (1, "ast_structure", shape), (2, "linting", linted)]
     rates = None
     if runs is not None:
         judged_cases = cut_lineage(replay.verdicts(replay.pair_runs(runs)))
-        failed = replay.properties(judged_cases).filter("NOT passed")
+        failed = replay.properties(judged_cases).filter("NOT passed" if properties else "false")
+        if idempotence:
+            again = replay.idempotence(runs)
+            failed = failed.unionByName(again.filter("NOT passed").select(failed.columns))
         totals = replay.aggregate(replay.by_function(judged_cases), failed)
         if load_errors is None:
             totals = totals.withColumns({e: F.lit(None).cast("string") for e in ("original_error", "refactored_error")})
@@ -150,7 +156,8 @@ def validate(
             totals = totals.join(load_errors, "file", "full_outer")
         ran = gate.join(totals, "file", "left")
         parts.append((3, "functional", rollup.functional_check(ran).select("file", "ok", "message")))
-        rates = totals.select("file", "pass_rate")
+        unloaded = F.col("original_error").isNotNull() | F.col("refactored_error").isNotNull()
+        rates = totals.select("file", F.when(unloaded, F.lit(1.0)).otherwise(F.col("pass_rate")).alias("pass_rate"))
 
     checks = None
     for ord_, name, rows in parts:
@@ -163,13 +170,15 @@ def validate(
     if rates is not None:
         judged = judged.join(rates, "file", "left")
     else:
-        judged = judged.withColumn("pass_rate", F.lit(None).cast("double"))
+        judged = judged.withColumn("pass_rate", F.lit(1.0))
     skipped = F.col("_skip").isNotNull()
+    broken = F.exists("checks", lambda c: (c["check"] == "syntax") & ~c["passed"])
+    rate = F.when(skipped, F.lit(None)).when(broken, F.lit(0.0)).otherwise(F.col("pass_rate"))
     results = judged.select(
         "file", F.lit(attempt).alias("attempt"),
         F.when(skipped, F.lit("SKIP")).otherwise(rollup.status(F.col("passed"))).alias("status"), "passed",
         F.when(skipped, F.lit("skip")).otherwise(F.col("severity")).alias("severity"),
-        F.bround("pass_rate", 4).alias("pass_rate"),
+        F.bround(rate, 4).alias("pass_rate"),
         F.when(skipped, F.concat(F.lit(rollup.SKIP_ERROR), reply_ops.output_name(F.col("file").cast("string"))))
         .otherwise(F.col("first_failure")).alias("first_failure"),
         "failed_checks", "checks",
@@ -186,25 +195,25 @@ def attempt_row(results: DataFrame) -> DataFrame:
     )
 
 
-def retry_prompts(prompts: DataFrame, results: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+def retry_prompts(
+    prompts: DataFrame, results: DataFrame, failures: DataFrame | None = None, generated: Column | None = None,
+) -> DataFrame:
     """Prompts of failed files, each prefixed with what went wrong. Chunks are reused as they are.
 
-    A violated property of a function is one line: its first failing case and how many
-    more there are, so a context is as long as the file has functions.
+    Every failed check and every failed property case is listed, by function, case and
+    property; a context is as long as its file has failures. ``generated`` is the time
+    shown in the report, by default that of the query.
     """
     failed = results.filter("NOT passed")
-    reports = rollup.text_reports(failed, failures).withColumnRenamed("report", "report_text")
+    reports = rollup.text_reports(failed, failures, generated).withColumnRenamed("report", "report_text")
     rows = failed.select("file", "severity", "checks").join(reports, "file")
     if failures is None:
         kind = "array<struct<function:string,property:string,message:string>>"
         rows = rows.withColumn("property_failures", F.lit(None).cast(kind))
     else:
-        first = failures.groupBy("file", "func", "property").agg(
-            F.min(F.struct("case_id", "message")).alias("first"), (F.count(F.lit(1)) - 1).alias("more"))
-        text = F.concat("first.message", F.when(
-            F.col("more") > 0, F.concat(F.lit(" (+"), F.col("more").cast("string"), F.lit(" more cases)"))).otherwise(F.lit("")))
-        listed = first.groupBy("file").agg(F.sort_array(F.collect_list(
-            F.struct(F.col("func").alias("function"), "property", text.alias("message")))).alias("property_failures"))
+        listed = failures.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("func", "case_id", "property", "message"))).alias("_all"))
+        listed = listed.select("file", F.transform("_all", lambda f: F.struct(
+            f["func"].alias("function"), f["property"].alias("property"), f["message"].alias("message"))).alias("property_failures"))
         rows = rows.join(listed, "file", "left")
     subset = prompts.join(failed.select("file"), "file", "left_semi")
     return prompt_ops.inject_context(subset, prompt_ops.retry_context(rows))

@@ -61,7 +61,8 @@ WITH d AS (SELECT doc_id, doc_id % 10 = 3 AS gone, doc_id % 9 = 0 AS broken, doc
 SELECT 'p/d' || doc_id || '.py' AS file, CASE WHEN gone THEN 'SKIP' WHEN broken OR changed OR dirty THEN 'FAIL' ELSE 'PASS' END AS status,
   CASE WHEN gone THEN 'skip' WHEN broken THEN 'error' WHEN changed OR dirty THEN 'warning' ELSE 'pass' END AS severity,
   CASE WHEN gone OR broken THEN NULL WHEN changed THEN 'Function ''f' || doc_id || ''': positional arg count changed 2 → 3'
-       ELSE 'AST structure preserved' END AS structure
+       ELSE 'AST structure preserved' END AS structure,
+  CASE WHEN gone THEN NULL WHEN broken THEN 0.0 ELSE 1.0 END::DOUBLE AS pass_rate
 FROM d""")
 def validate_files(spark, sf_dir):
     """Originals against a rewritten side that is missing, broken or changed by id."""
@@ -73,4 +74,4 @@ def validate_files(spark, sf_dir):
     new = rewritten.filter("doc_id % 10 <> 3").select("file", changed.alias("content"))
     results, _ = flow.validate(originals, new)
     shape = F.get(F.filter("checks", lambda c: c["check"] == "ast_structure"), F.lit(0))["message"]
-    return results.select("file", "status", "severity", shape.alias("structure"))
+    return results.select("file", "status", "severity", shape.alias("structure"), "pass_rate")

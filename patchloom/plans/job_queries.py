@@ -95,19 +95,27 @@ status AS (
 
 @query("job_state_latest", f"""
 WITH {MARKERS}, {STATUS},
-latest AS (SELECT job_id, arg_max(stage, ts) AS stage, arg_max(stage_label, ts) AS stage_label, max(ts) AS at FROM markers GROUP BY 1)
-SELECT s.job_id, s.status, l.stage, l.stage_label, epoch_us(l.at) AS stage_us, epoch_us(s.updated_at) AS status_us,
-  CASE WHEN l.stage > 1 THEN 'completed' WHEN l.stage = 1 THEN 'active' ELSE 'pending' END AS step_1,
-  CASE WHEN l.stage > 2 THEN 'completed' WHEN l.stage = 2 THEN 'active' ELSE 'pending' END AS step_2,
-  CASE WHEN l.stage > 3 THEN 'completed' WHEN l.stage = 3 THEN 'active' ELSE 'pending' END AS step_3,
-  CASE WHEN l.stage > 4 THEN 'completed' WHEN l.stage = 4 THEN 'active' ELSE 'pending' END AS step_4
-FROM status s LEFT JOIN latest l ON s.job_id = l.job_id""")
+latest AS (SELECT job_id, arg_max(stage, ts) AS stage, arg_max(stage_label, ts) AS stage_label, max(ts) AS marked FROM markers GROUP BY 1),
+span AS (SELECT job_id, min(ts) FILTER (status = 'running') AS started_at, max(ts) AS seen_at FROM states GROUP BY 1),
+late AS (SELECT s.*, coalesce(s.status = 'running' AND epoch_us(seen_at) - epoch_us(started_at) > 1800000000, false) AS timed_out
+         FROM status s JOIN span USING (job_id)),
+ended AS (
+  SELECT s.job_id, CASE WHEN timed_out THEN 'failed' ELSE s.status END AS status, marked, updated_at,
+    CASE WHEN timed_out THEN 0.0 WHEN s.status IN ('completed', 'failed') THEN 5.0 ELSE stage END::DOUBLE AS stage,
+    CASE WHEN timed_out THEN 'idle' WHEN s.status IN ('completed', 'failed') THEN 'done' WHEN s.status = 'cancelled' THEN 'cancelled' ELSE stage_label END AS stage_label
+  FROM late s LEFT JOIN latest l ON s.job_id = l.job_id)
+SELECT job_id, status, stage, stage_label, epoch_us(marked) AS stage_us, epoch_us(updated_at) AS status_us,
+  CASE WHEN stage > 1 THEN 'completed' WHEN stage = 1 THEN 'active' ELSE 'pending' END AS step_1,
+  CASE WHEN stage > 2 THEN 'completed' WHEN stage = 2 THEN 'active' ELSE 'pending' END AS step_2,
+  CASE WHEN stage > 3 THEN 'completed' WHEN stage = 3 THEN 'active' ELSE 'pending' END AS step_3,
+  CASE WHEN stage > 4 THEN 'completed' WHEN stage = 4 THEN 'active' ELSE 'pending' END AS step_4
+FROM ended""")
 def job_state_latest(spark, sf_dir):
     events = read(spark, sf_dir, "events")
     stage = jobs.current_stage(jobs.parse_markers(derive.stage_lines(events)))
-    status = jobs.job_status(derive.status_events(events)).withColumnRenamed("updated_at", "status_at")
+    status = jobs.timeouts(jobs.job_status(derive.status_events(events))).withColumnRenamed("updated_at", "status_at")
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return status.join(stage, "job_id", "left").select(
+    return jobs.final_stage(status.join(stage, "job_id", "left")).select(
         "job_id", "status", "stage", "stage_label", us("updated_at").alias("stage_us"), us("status_at").alias("status_us"),
         *[jobs.step_state(F.col("stage"), n).alias(f"step_{n}") for n in range(1, 5)],
     )

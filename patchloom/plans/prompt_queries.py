@@ -38,21 +38,29 @@ def _examples(spark):
 
 
 def _document_chunks(spark, sf_dir):
-    """One chunk per document: its first lines, with type, language and parent by id."""
+    """Every document cut into chunks of four lines or more, with type, language and parent by id.
+
+    Longer documents have longer chunks, so a document has some ten chunks at most.
+    """
     docs = read(spark, sf_dir, "documents", "doc_id")
     n = F.col("doc_id")
-    return docs.select(
-        F.concat(F.lit("src/d"), n.cast("string")).alias("file"), n.alias("doc_id"),
-        derive._pick(n % 4, LANGUAGES).alias("language"), derive._pick(n % 7, TYPES).alias("type"),
-        F.lit("chunk_1").alias("chunk_id"), F.when(n % 6 != 0, F.concat(F.lit("n"), n.cast("string"))).alias("name"),
-        F.lit(1).alias("start_line"), F.lit(2).alias("end_line"),
-        F.substring_index("text", "\n", 2).alias("code"),
-        F.when(n % 7 == 1, F.create_map(F.lit("parent_class"), F.lit("Outer"))).alias("metadata"),
+    lines = docs.select(n, F.split("text", "\n").alias("lines")).withColumn("step", F.floor(F.size("lines") / 10).cast("int") + 4)
+    starts = F.sequence(F.lit(1), F.size("lines"), F.col("step"))
+    cut = lines.select("doc_id", "lines", "step", F.posexplode(starts).alias("at", "start_line"))
+    kind = (n + F.col("at")) % 7
+    last = F.least(F.col("start_line") + F.col("step") - 1, F.size("lines"))
+    return cut.select(
+        F.concat(F.lit("src/d"), n.cast("string")).alias("file"), n, (F.col("at") + 1).cast("long").alias("chunk_no"),
+        derive._pick(n % 4, LANGUAGES).alias("language"), derive._pick(kind, TYPES).alias("type"),
+        F.concat(F.lit("chunk_"), (F.col("at") + 1).cast("string")).alias("chunk_id"),
+        F.when(n % 6 != 0, F.concat(F.lit("n"), n.cast("string"))).alias("name"), "start_line", last.alias("end_line"),
+        F.array_join(F.slice("lines", F.col("start_line"), F.col("step")), "\n").alias("code"),
+        F.when(kind == 1, F.create_map(F.lit("parent_class"), F.lit("Outer"))).alias("metadata"),
     )
 
 
 def _document_texts(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").filter("doc_id % 10 <> 0")
+    docs = read(spark, sf_dir, "documents")
     return docs.select(F.concat(F.lit("src/d"), F.col("doc_id").cast("string")).alias("file"), F.col("text").alias("content"))
 
 
@@ -63,13 +71,17 @@ def _heavy(spark, sf_dir):
 
 
 ROWS = f"""
+texts AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) // 10 + 4 AS step FROM documents),
+cuts AS (SELECT *, unnest(range(0, CAST(ceil(len(l) / step) AS BIGINT))) AS nth FROM texts),
 rows AS (
-  SELECT doc_id, 'src/d' || doc_id AS file, {_sql_list(LANGUAGES)}[1 + doc_id % 4] AS language, {_sql_list(TYPES)}[1 + doc_id % 7] AS type,
-    CASE WHEN doc_id % 6 <> 0 THEN 'n' || doc_id END AS name,
-    array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10)) AS code,
-    CASE WHEN doc_id % 10 <> 0 AND text <> '' THEN text ELSE 'Not provided.' END AS file_content,
-    CASE WHEN doc_id % 7 = 1 THEN 'Outer' END AS parent
-  FROM documents),
+  SELECT doc_id, nth + 1 AS chunk_no, 'src/d' || doc_id AS file, {_sql_list(LANGUAGES)}[1 + doc_id % 4] AS language,
+    {_sql_list(TYPES)}[1 + (doc_id + nth) % 7] AS type, 'chunk_' || (nth + 1) AS chunk_id,
+    CASE WHEN doc_id % 6 <> 0 THEN 'n' || doc_id END AS name, nth * step + 1 AS start_line, least(nth * step + step, len(l)) AS end_line,
+    array_to_string(list_slice(l, nth * step + 1, nth * step + step), chr(10)) AS code,
+    CASE WHEN text <> '' THEN text ELSE 'Not provided.' END AS file_content,
+    CASE WHEN (doc_id + nth) % 7 = 1 THEN 'Outer' END AS parent
+  FROM cuts),
 hits AS (
   SELECT *, CASE
       WHEN lower(language) = 'python' AND type = 'function' THEN 'e1'
@@ -79,15 +91,15 @@ hits AS (
   FROM rows)"""
 
 
-@query("fewshot_lookup", f"WITH {ROWS} SELECT file, language, type, example_id FROM hits")
+@query("fewshot_lookup", f"WITH {ROWS} SELECT file, chunk_id, language, type, example_id FROM hits")
 def fewshot_lookup(spark, sf_dir):
-    rows = _document_chunks(spark, sf_dir).select("file", "language", "type")
-    return prompts.attach_example(rows, _examples(spark)).select("file", "language", "type", F.col("example.id").alias("example_id"))
+    rows = _document_chunks(spark, sf_dir).select("file", "chunk_id", "language", "type")
+    return prompts.attach_example(rows, _examples(spark)).select("file", "chunk_id", "language", "type", F.col("example.id").alias("example_id"))
 
 
 @query("template_resolve", f"""
 WITH {ROWS}
-SELECT file, CASE WHEN lower(language) = 'rust' AND type = 'method' THEN 'special'
+SELECT file, chunk_id, CASE WHEN lower(language) = 'rust' AND type = 'method' THEN 'special'
   WHEN lower(language) = 'java' THEN 'plain' WHEN type = 'class' THEN 'class' WHEN type = 'interface' THEN 'interface' ELSE 'standard' END AS template
 FROM rows""")
 def template_resolve(spark, sf_dir):
@@ -95,8 +107,8 @@ def template_resolve(spark, sf_dir):
 
     extra = config.table(spark, [("rust", "method", "special", 1), ("java", "*", "plain", 2)], "language STRING, chunk_type STRING, template STRING, seq INT")
     keys = with_overrides(config.template_keys(spark), extra, ["language", "chunk_type"])
-    rows = _document_chunks(spark, sf_dir).select("file", "language", "type")
-    return prompts.attach_template(rows, keys).select("file", "template")
+    rows = _document_chunks(spark, sf_dir).select("file", "chunk_id", "language", "type")
+    return prompts.attach_template(rows, keys).select("file", "chunk_id", "template")
 
 
 def _case(column: str, pairs: list[tuple], render, default: str) -> str:
@@ -112,10 +124,10 @@ CONSTRAINTS_SQL = _case(
 STYLE_SQL = _case("language", config.STYLE_BY_LANGUAGE, lambda v: v, config.STYLE_DEFAULT)
 
 
-@query("guidance_lookup", f"WITH {ROWS} SELECT file, {GOALS_SQL} AS goals, {CONSTRAINTS_SQL} AS constraints, {STYLE_SQL} AS style_note FROM rows")
+@query("guidance_lookup", f"WITH {ROWS} SELECT file, chunk_id, {GOALS_SQL} AS goals, {CONSTRAINTS_SQL} AS constraints, {STYLE_SQL} AS style_note FROM rows")
 def guidance_lookup(spark, sf_dir):
-    rows = prompts.attach_guidance(_document_chunks(spark, sf_dir).select("file", "language", "type"))
-    return rows.select("file", bullets(F.col("goals")).alias("goals"), bullets(F.col("constraints")).alias("constraints"), "style_note")
+    rows = prompts.attach_guidance(_document_chunks(spark, sf_dir).select("file", "chunk_id", "language", "type"))
+    return rows.select("file", "chunk_id", bullets(F.col("goals")).alias("goals"), bullets(F.col("constraints")).alias("constraints"), "style_note")
 
 
 def _replace_chain(template: str, fields: list[tuple[str, str]]) -> str:
@@ -136,18 +148,19 @@ def _example_sql(scope: str) -> str:
     return f"CASE example_id {' '.join(cases)} ELSE '' END"
 
 
+LINES = "'lines ' || start_line || '–' || end_line"
 SHOWN = "coalesce(name, '<anonymous ' || type || '>')"
 FIELDS = [
     ("goals", GOALS_SQL), ("constraints", CONSTRAINTS_SQL), ("style_note", STYLE_SQL), ("file_name", "file"),
-    ("language", "language"), ("chunk_id", "'chunk_1'"), ("type", "type"), ("display_name", SHOWN),
-    ("line_range", "'lines 1–2'"), ("context_line", "CASE WHEN parent IS NOT NULL THEN chr(10) || 'Context: This ' || type || ' is defined inside the `' || parent || '` class.' || chr(10) ELSE '' END"),
+    ("language", "language"), ("chunk_id", "chunk_id"), ("type", "type"), ("display_name", SHOWN),
+    ("line_range", LINES), ("context_line", "CASE WHEN parent IS NOT NULL THEN chr(10) || 'Context: This ' || type || ' is defined inside the `' || parent || '` class.' || chr(10) ELSE '' END"),
     ("code", "code"), ("file_content", "file_content"),
 ]
 
 
 @query("prompt_render", f"""
 WITH {ROWS}
-SELECT file, CASE type WHEN 'class' THEN {_replace_chain(prompts.CLASS, FIELDS)}
+SELECT file, chunk_id, CASE type WHEN 'class' THEN {_replace_chain(prompts.CLASS, FIELDS)}
   WHEN 'interface' THEN {_replace_chain(prompts.INTERFACE, FIELDS)}
   ELSE {_replace_chain(prompts.STANDARD, FIELDS)} END || {_example_sql("")} AS prompt
 FROM hits""")
@@ -156,30 +169,27 @@ def prompt_render(spark, sf_dir):
     rows = prompts.attach_example(prompts.attach_template(rows), _examples(spark))
     # the text joins last, so it is shuffled once per prompt and never through the lookups
     rows = prompts.attach_context(rows, _document_texts(spark, sf_dir), ["chunk_id"], _heavy(spark, sf_dir))
-    return prompts.single_prompt(rows).select("file", "prompt")
+    return prompts.single_prompt(rows).select("file", "chunk_id", "prompt")
 
 
 def _batched(spark, sf_dir):
-    """Two chunks per document in one prompt."""
-    first = _document_chunks(spark, sf_dir)
-    both = first.withColumn("chunk_no", F.explode(F.array(F.lit(1), F.lit(2)).cast("array<bigint>"))).withColumn(
-        "chunk_id", F.concat(F.lit("chunk_"), F.col("chunk_no").cast("string")))
+    """Two chunks at a time in one prompt; the first gives the type."""
     item = ["chunk_id", "type", "name", "start_line", "end_line", "code", "metadata"]
-    grouped = chunks.batch(both, 2, item)
-    kinds = first.select("file", "language", "type")
-    return grouped.join(kinds, "file")
-
-
-HEAD_FIELDS = [("file_name", "file"), ("language", "language"), ("n_chunks", "'2'"), ("style_note", STYLE_SQL), ("file_content", "file_content")]
-
-
-def _chunk_sql(n: int) -> str:
-    return _replace_chain(prompts.BATCH_CHUNK, [
-        ("chunk_id", f"'chunk_{n}'"), ("type", "type"), ("display_name", SHOWN), ("line_range", "'lines 1–2'"), ("language", "language"), ("code", "code")])
-
-
+    grouped = chunks.batch(_document_chunks(spark, sf_dir), 2, item, carry=["language"])
+    return grouped.withColumn("type", F.get("chunks", F.lit(0))["type"])
+
+
+HEAD_FIELDS = [("file_name", "file"), ("language", "language"), ("n_chunks", "n"), ("style_note", STYLE_SQL), ("file_content", "file_content")]
+CHUNK_SQL = _replace_chain(prompts.BATCH_CHUNK, [
+    ("chunk_id", "chunk_id"), ("type", "type"), ("display_name", SHOWN), ("line_range", LINES), ("language", "language"), ("code", "code")])
+BATCHES = f"""batches AS (
+  SELECT file, (chunk_no - 1) // 2 AS prompt_id, language, file_content, CAST(count(*) AS VARCHAR) AS n,
+    arg_min(example_id, chunk_no) FILTER (true) AS first_example, bool_or(chunk_no % 2 = 1 AND example_id IS NULL) AS none,
+    string_agg({CHUNK_SQL}, chr(10) || chr(10) ORDER BY chunk_no) AS body
+  FROM hits GROUP BY ALL),
+filled AS (SELECT *, CASE WHEN none THEN NULL ELSE first_example END AS example_id FROM batches)"""
 BATCH_SQL = (
-    f"{_replace_chain(prompts.BATCH_HEAD, HEAD_FIELDS)} || {_chunk_sql(1)} || chr(10) || chr(10) || {_chunk_sql(2)} || "
+    f"{_replace_chain(prompts.BATCH_HEAD, HEAD_FIELDS)} || body || "
     f"{_replace_chain(prompts.BATCH_TAIL, HEAD_FIELDS)} || {_example_sql(' for single chunks')}"
 )
 
@@ -190,13 +200,13 @@ def _batch_prompts(spark, sf_dir):
     return prompts.batch_prompt(rows)
 
 
-@query("prompt_render_batch", f"WITH {ROWS} SELECT file, CAST(0 AS BIGINT) AS prompt_id, {BATCH_SQL} AS prompt FROM hits")
+@query("prompt_render_batch", f"WITH {ROWS}, {BATCHES} SELECT file, prompt_id, {BATCH_SQL} AS prompt FROM filled")
 def prompt_render_batch(spark, sf_dir):
     return _batch_prompts(spark, sf_dir).select("file", "prompt_id", "prompt")
 
 
 @query("prompt_sizes", f"""
-WITH {ROWS}, made AS (SELECT file, length({BATCH_SQL}) AS n FROM hits)
+WITH {ROWS}, {BATCHES}, made AS (SELECT file, length({BATCH_SQL}) AS n FROM filled)
 SELECT file, count(*) AS prompts, CAST(sum(n) AS BIGINT) AS chars, CAST(max(n) AS INT) AS longest FROM made GROUP BY 1""")
 def prompt_sizes(spark, sf_dir):
     return replies.prompt_sizes(_batch_prompts(spark, sf_dir))

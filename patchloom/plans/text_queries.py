@@ -162,6 +162,15 @@ def lint_stats(spark, sf_dir):
     return lint.statistics(lint.violations(_lint_files(spark, sf_dir)))
 
 
+@query("lint_check", f"""
+WITH {LINT}
+SELECT doc_id AS file, count(rule) = 0 AS ok,
+  coalesce(string_agg('line ' || line_no || ': ' || rule || ' ' || message, chr(10) ORDER BY line_no, rule), 'No lint issues') AS message
+FROM documents LEFT JOIN found ON found.file = doc_id GROUP BY 1""")
+def lint_check(spark, sf_dir):
+    return lint.lint_check(_lint_files(spark, sf_dir))
+
+
 @query("size_format", """
 WITH sizes AS (SELECT source, sum(strlen(text)) AS bytes FROM documents GROUP BY 1)
 SELECT source, CAST(bytes AS BIGINT) AS bytes,

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from patchloom.functions.compare import arrays_close, keys_equal, maps_match, numbers_match
 from patchloom.functions.text import percent
-from patchloom.operators import attempts, jobs, replay, rollup
-from patchloom.plans import derive
-from patchloom.plans.registry import query, read
+from patchloom.operators import attempts, jobs, prompts, replay, rollup
+from patchloom.plans import derive, flow
+from patchloom.plans.prompt_queries import _sql_text
+from patchloom.plans.registry import ORACLES, query, read
 from patchloom.session import cut_lineage
 from patchloom.sources import corpus, envelopes
 
@@ -347,6 +348,30 @@ def report_text(spark, sf_dir):
     return rollup.text_reports(*_detailed(spark, sf_dir), generated=F.lit("2024-01-01 00:00:00").cast("timestamp"))
 
 
+REPORT_TEXT = ORACLES["report_text"]
+
+
+@query("retry_prompts", f"""
+WITH {BY_FUNCTION}, {PROPERTIES.split(RUNS + ',')[1]},
+reports AS ({REPORT_TEXT}),
+wrong AS (
+  SELECT file, string_agg('  - [property:' || property || '] ' || func || ' — ' || m, chr(10) ORDER BY func, case_id, property) AS lines
+  FROM props WHERE NOT passed GROUP BY 1),
+total AS (SELECT file, sum(passed) = sum(total) AS ok FROM functions GROUP BY 1),
+filled AS (
+  SELECT file, replace(replace(replace({_sql_text(prompts.RETRY)}, '{{severity}}', 'WARNING'), '{{failed_block}}',
+      '  - [functional] see functions' || coalesce(chr(10) || lines, '')), '{{report_text}}', report) AS context
+  FROM total JOIN reports USING (file) LEFT JOIN wrong USING (file) WHERE NOT ok)
+SELECT file, n AS prompt_id, context || 'Task ' || n || ' of ' || file AS prompt FROM filled, (SELECT unnest([1, 2]) AS n)""")
+def retry_prompts(spark, sf_dir):
+    results, failures = _detailed(spark, sf_dir)
+    n = F.col("prompt_id").cast("string")
+    sent = results.select("file", F.explode(F.array(F.lit(1), F.lit(2))).alias("prompt_id")).withColumn(
+        "prompt", F.concat(F.lit("Task "), n, F.lit(" of "), "file"))
+    made = flow.retry_prompts(sent, results, failures, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return made.select("file", "prompt_id", "prompt")
+
+
 @query("report_roundtrip", f"""
 WITH {BY_FUNCTION}, {PROPERTIES.split(RUNS + ',')[1]},
 broken AS (SELECT file, count(*) AS n FROM props WHERE NOT passed GROUP BY 1)
@@ -460,7 +485,7 @@ def run_summary(spark, sf_dir):
 
 ARTEFACTS = """
 art AS (
-  SELECT doc_id % 20 AS job_id, doc_id AS file, text AS original_code, CASE WHEN doc_id % 7 <> 0 AND doc_id >= 25 THEN 'new ' || text END AS refactored_code,
+  SELECT doc_id % 20 AS job_id, doc_id AS file, text AS original_code, CASE WHEN doc_id % 7 <> 0 THEN 'new ' || text END AS refactored_code,
     CASE WHEN l.quality IS NOT NULL THEN '{"severity":"' || CASE WHEN l.quality = 1 THEN 'pass' ELSE 'warning' END || '"}' END AS validation_report
   FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id))"""
 
@@ -469,7 +494,7 @@ def _artefacts(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     key = F.col("doc_id").alias("file")
     originals = docs.select(key, F.col("doc_id").alias("ord"), F.col("text").alias("content"))
-    rewritten = docs.filter("doc_id % 7 <> 0 AND doc_id >= 25").select(key, F.concat(F.lit("new "), "text").alias("content"))
+    rewritten = docs.filter("doc_id % 7 <> 0").select(key, F.concat(F.lit("new "), "text").alias("content"))
     reports = read(spark, sf_dir, "labels").groupBy(key).agg(F.max("quality").alias("q")).select(
         "file", F.to_json(F.struct(F.when(F.col("q") == 1, F.lit("pass")).otherwise(F.lit("warning")).alias("severity"))).alias("report"))
     return jobs.artefacts(originals, rewritten, reports).withColumn("job_id", F.col("file") % 20)

@@ -58,9 +58,9 @@ def test_prompts(spark):
     single = {(r["file"], r["prompt_id"]): r for r in flow.build_prompts(made.chunks, corpus(spark), examples(spark)).collect()}
     assert len(single) == 6
     method = single[("a/shop.py", 1)]["prompt"]
-    assert "Name: add" in method and SHOP in method and "Example" not in method
-    assert "BEFORE:\n```python\nb\n```" in single[("a/shop.py", 3)]["prompt"]
-    assert "class `Cart`" in single[("a/shop.py", 0)]["prompt"]
+    assert "It is add (method" in method and SHOP in method and "For comparison" not in method
+    assert "For comparison, a revision that was accepted. From\n\nb\n" in single[("a/shop.py", 3)]["prompt"]
+    assert "class Cart from a/shop.py" in single[("a/shop.py", 0)]["prompt"]
     batched = flow.build_prompts(made.chunks, corpus(spark), examples(spark), batch_size=3).collect()
     assert sorted((r["file"], r["prompt_id"], len(r["chunks"])) for r in batched) == [
         ("a/shop.py", 0, 3), ("a/shop.py", 1, 1), ("web/app.js", 0, 2)]
@@ -153,6 +153,8 @@ def test_validate_and_retry(spark, tmp_path):
     assert {r["file"] for r in again.collect()} == {"bad.py", "odd.py"}
     prompts = spark.createDataFrame([("bad.py", 0, "TASK"), ("ok.py", 0, "TASK")], "file STRING, prompt_id LONG, prompt STRING")
     retried = flow.retry_prompts(prompts, results).collect()
+    rates = {f: r["pass_rate"] for f, r in got.items()}
+    assert rates["bad.py"] == 0.0 and rates["gone.py"] is None
     assert len(retried) == 1 and retried[0]["prompt"].endswith("TASK") and "[syntax] SyntaxError at line 1" in retried[0]["prompt"]
     second = spark.createDataFrame([("bad.py", True, "pass", "—"), ("odd.py", None, None, None)], "file STRING, retry_val_passed BOOLEAN, retry_severity STRING, retry_error STRING")
     final = attempts.merge_attempts(first, second)
