@@ -13,13 +13,23 @@ from patchloom import config
 from patchloom.operators import inputs, replies
 from patchloom.plans.derive import _pick
 from patchloom.plans.registry import query, read
+from patchloom.session import work_path
 from patchloom.sources import corpus
 
 
-@query("corpus_scan")
+@query("corpus_scan", """
+SELECT 'k=' || doc_id % 50 AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes,
+  CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines, CAST(sum(length(text) + 1) AS BIGINT) AS chars
+FROM documents GROUP BY 1""")
 def corpus_scan(spark, sf_dir):
-    found = corpus.scan_files(spark, sf_dir, glob="*.parquet", recursive=True)
-    return found.select(F.regexp_extract("file", r"([^/]*)\z", 1).alias("name"), "length")
+    """Documents written as text files, found again in their folders, decoded and counted."""
+    path = work_path(spark, "corpus")
+    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    docs.select((F.col("doc_id") % 50).alias("k"), "text").write.partitionBy("k").text(path)
+    found = corpus.scan_files(spark, path, glob="*.txt", recursive=True).withColumn("content", corpus.decode(F.col("content")))
+    return found.groupBy(F.regexp_extract("file", r"([^/]*)/[^/]*\z", 1).alias("folder")).agg(
+        F.sum("length").alias("bytes"), F.sum(F.size(F.split("content", "\n")) - 1).alias("lines"),
+        F.sum(F.char_length("content")).alias("chars"))
 
 
 @query("decode_text", "SELECT doc_id, text AS content, len(string_split(text, chr(10))) AS n_lines FROM documents")
