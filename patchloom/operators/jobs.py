@@ -99,8 +99,10 @@ def durations(wide: DataFrame) -> DataFrame:
 
 def current_stage(markers: DataFrame) -> DataFrame:
     """``job_id, stage, stage_label, updated_at`` of the latest marker."""
+    # the hash aggregate leaves a few rows per job for the ordered one
+    few = markers.groupBy("job_id", "stage", "stage_label").agg(F.max("ts").alias("ts"))
     last = F.max(F.struct("ts", "stage", "stage_label"))
-    return markers.groupBy("job_id").agg(last.alias("m")).select(
+    return few.groupBy("job_id").agg(last.alias("m")).select(
         "job_id", "m.stage", "m.stage_label", F.col("m.ts").alias("updated_at")
     )
 
@@ -110,11 +112,11 @@ def job_status(events: DataFrame) -> DataFrame:
 
     The first terminal status stays; otherwise the latest status counts.
     """
-    row = F.struct("ts", "status")
-    return events.groupBy("job_id").agg(
-        F.min(F.when(F.col("status").isin(TERMINAL), row)).alias("_end"),
-        F.max(row).alias("_last"), F.min("ts").alias("created_at"), F.max("ts").alias("seen_at"),
-        F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"),
+    few = events.groupBy("job_id", "status").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return few.groupBy("job_id").agg(
+        F.min(F.when(F.col("status").isin(TERMINAL), F.struct(F.col("first").alias("ts"), "status"))).alias("_end"),
+        F.max(F.struct(F.col("last").alias("ts"), "status")).alias("_last"), F.min("first").alias("created_at"), F.max("last").alias("seen_at"),
+        F.min(F.when(F.col("status") == "running", F.col("first"))).alias("started_at"),
     ).select(
         "job_id", F.coalesce("_end.status", "_last.status").alias("status"), "created_at",
         F.coalesce("_end.ts", "_last.ts").alias("updated_at"), "started_at", "seen_at",

@@ -27,15 +27,26 @@ def pair_units(units: DataFrame) -> DataFrame:
     """``file, kind, name, ord, old, new`` from top-level units with ``side`` (original, refactored).
 
     One grouping settles repeated names (the last definition wins, at the place of
-    the first) and pairs the sides.
+    the first) and pairs the sides. Every value travels as one number under its place, so
+    the maxima are kept in hash tables and no unit is sorted.
     """
-    print_ = F.struct(*FINGERPRINT)
-    old = F.col("side") == "original"
-    return units.groupBy("file", "kind", "name").agg(
-        F.min(F.when(old, F.col("ord"))).alias("ord"),
-        F.max(F.when(old, F.struct("ord", print_.alias("p")))).alias("_old"),
-        F.max(F.when(~old, F.struct("ord", print_.alias("p")))).alias("_new"),
-    ).select("file", "kind", "name", "ord", F.col("_old.p").alias("old"), F.col("_new.p").alias("new"))
+    sides = {"old": F.col("side") == "original", "new": F.col("side") != "original"}
+    types = {f.name: f.dataType for f in units.schema.fields}
+    low = (1 << 32) - 1
+
+    def placed(name: str) -> Column:
+        value = F.coalesce(F.col(name).cast("int").cast("long") + 1, F.lit(0))  # 0 stands for null
+        return F.shiftleft(F.col("ord").cast("long"), 32).bitwiseOR(value)
+
+    def value(side: str, name: str) -> Column:
+        number = F.col(f"_{side}_{name}").bitwiseAND(F.lit(low))
+        return F.when(number > 0, (number - 1).cast("int").cast(types[name])).alias(name)
+
+    grouped = units.groupBy("file", "kind", "name").agg(
+        F.min(F.when(sides["old"], F.col("ord"))).alias("ord"),
+        *[F.max(F.when(is_side, placed(n))).alias(f"_{side}_{n}") for side, is_side in sides.items() for n in FINGERPRINT])
+    return grouped.select("file", "kind", "name", "ord", *[
+        F.when(F.col(f"_{side}_{FINGERPRINT[0]}").isNotNull(), F.struct(*[value(side, n) for n in FINGERPRINT])).alias(side) for side in sides])
 
 
 def _truth(flag: Column) -> Column:
