@@ -156,6 +156,12 @@ def job_list_newest(spark, sf_dir):
     )
 
 
+@query("finished_jobs", f"WITH {STATUS} SELECT job_id, status FROM status WHERE status NOT IN ('queued', 'running')")
+def finished_jobs(spark, sf_dir):
+    rows = jobs.job_status(derive.status_events(read(spark, sf_dir, "events")))
+    return jobs.finished(rows).select("job_id", "status")
+
+
 @query("job_counts", f"""
 WITH {STATUS}
 SELECT count(*) AS jobs, count(*) FILTER (status = 'running') AS running FROM status""")

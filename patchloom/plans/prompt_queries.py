@@ -205,6 +205,12 @@ def prompt_render_batch(spark, sf_dir):
     return _batch_prompts(spark, sf_dir).select("file", "prompt_id", "prompt")
 
 
+@query("prompt_order", f"""
+WITH {ROWS} SELECT file, (chunk_no - 1) // 2 AS prompt_id, CAST(min(start_line) AS INT) AS first_line FROM rows GROUP BY 1, 2""")
+def prompt_order(spark, sf_dir):
+    return chunks.application_order(_batched(spark, sf_dir)).select("file", "prompt_id", "first_line")
+
+
 @query("prompt_sizes", f"""
 WITH {ROWS}, {BATCHES}, made AS (SELECT file, length({BATCH_SQL}) AS n FROM filled)
 SELECT file, count(*) AS prompts, CAST(sum(n) AS BIGINT) AS chars, CAST(max(n) AS INT) AS longest FROM made GROUP BY 1""")

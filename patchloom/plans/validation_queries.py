@@ -10,7 +10,7 @@ from patchloom.operators import attempts, jobs, prompts, replay, rollup
 from patchloom.plans import derive, flow
 from patchloom.plans.prompt_queries import _sql_text
 from patchloom.plans.registry import ORACLES, query, read
-from patchloom.session import cut_lineage
+from patchloom.session import cut_lineage, work_path
 from patchloom.sources import corpus, envelopes
 
 
@@ -436,6 +436,18 @@ def console_lines(spark, sf_dir):
     return rollup.console_line(_results(spark, sf_dir).withColumn("pass_rate", F.lit(0.5)))
 
 
+@query("summary_sink", f"""
+WITH {CHECKS}
+SELECT file, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS status, severity, CAST(0.5 AS DOUBLE) AS pass_rate, first_failure AS error FROM results""")
+def summary_sink(spark, sf_dir):
+    """The consolidated report written and read back."""
+    path = work_path(spark, "summary")
+    rows = _results(spark, sf_dir)
+    rollup.write_summary(rows.withColumns({"pass_rate": F.lit(0.5), "status": rollup.status(F.col("passed"))}), path)
+    schema = f"file {rows.schema['file'].dataType.simpleString()}, status string, pass_rate double, severity string, error string"
+    return spark.read.schema(schema).json(path)
+
+
 STAGES = CHECKS + """,
 first AS (
   SELECT file, file % 13 <> 0 AS s1, file % 13 <> 0 AND file % 17 <> 0 AS s2, file % 13 <> 0 AND file % 17 <> 0 AND file % 23 <> 0 AS s3, passed, severity, first_failure FROM results),
