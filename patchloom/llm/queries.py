@@ -107,3 +107,26 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_suffix_dedup"] = """
+WITH b AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS raw, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (
+  SELECT doc_id, p, array_slice(raw, p + 1, p + 100) AS s
+  FROM (SELECT doc_id, raw, unnest(range(0, n - 99)) AS p FROM b WHERE n >= 100)),
+repeats AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+marked AS (
+  SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM repeats),
+runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS z
+  FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS i FROM marked) GROUP BY doc_id, i),
+lists AS (SELECT doc_id, list(a ORDER BY a) AS av, list(z ORDER BY a) AS zv, sum(z - a) AS gone FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(len(av), 0) AS BIGINT) AS n_spans,
+  CASE WHEN av IS NULL THEN sha256(raw) ELSE sha256(unhex(array_to_string(list_transform(range(0, len(av) + 1), lambda i:
+    CASE WHEN (CASE WHEN i = 0 THEN 0 ELSE zv[i] END) < (CASE WHEN i = len(av) THEN n ELSE av[i + 1] END)
+    THEN hex(array_slice(raw, (CASE WHEN i = 0 THEN 0 ELSE zv[i] END) + 1, CASE WHEN i = len(av) THEN n ELSE av[i + 1] END))
+    ELSE '' END), ''))) END AS kept_sha256
+FROM b LEFT JOIN lists USING (doc_id)
+"""
