@@ -6,11 +6,14 @@ n-grams among the first few of each (the prefix); documents that do so are candi
 The order is cut into fragments, every candidate set with it; overlaps are counted per
 fragment and pair, summed per pair, and judged by the exact sizes.
 
-Equal sets form one class, which is matched once. Candidates come in two steps, so that
-a large group of near copies never expands into all its pairs: first every class is
-compared with the one class that leads most of its lists; then only classes that are
-still in different components are paired, each at most with the other components of a
-list. No list is cut.
+Equal sets form one class, which is matched once. Candidates come in steps, so that
+a large group of near copies never expands into all its pairs. First every class is
+compared with the one class that leads most of its lists. Classes that stay apart from
+the component of their leader are then held against it in blocks of bitmaps: each bit
+is the parity of the n-grams that hash to it, so two bitmaps differ in no more bits
+than the sets in n-grams, and only pairs whose bitmaps are near enough are compared,
+the nearest few first, the others if they are still apart. Last, classes of different
+groups that share n-grams in their prefixes are paired. No list is cut.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Null or empty texts have an empty
 set and no links; a text of fewer words than the width is one n-gram. Rows with a
@@ -32,6 +35,8 @@ from patchloom.llm.tools import mix64, portions, shingle_hashes, stored, word_ha
 SKETCH_BITS, SKETCH_ROWS = 19, 2
 SKETCH_BLOCK = 1 << 15
 FRAGMENTS = 4
+# Bits of the parity bitmap; classes per block of bitmaps; nearest pairs compared first.
+PARITY_BITS, PARITY_BLOCK, NEAREST = 1024, 1024, 3
 # A prefix holds 1 + n // AGREE n-grams more than one agreement needs.
 AGREE = 50
 MASK = (1 << 56) - 1
@@ -91,6 +96,10 @@ def body_hash(hashes: np.ndarray) -> int:
     return int(mix64(np.array([body], np.uint64))[0] >> np.uint64(8))
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+
+
 def class_key(hashes: np.ndarray, sketch: np.ndarray) -> int:
     """Identity of a set: 7 bits for how common its n-grams are (so that the largest key
     of a group is its most typical set), then its hash."""
@@ -102,16 +111,17 @@ def _needed(n: int, percent: int) -> int:
 
 
 def _rows(docs: DataFrame, sent, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``id, key, n`` of every row; key is null for an empty set."""
+    """``id, key, n, parity`` of every row; key is null for an empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in portions(b, 1)):
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([class_key(s, sent.value) if len(s) else None for s in sets], pa.int64()),
-                pa.array([len(s) for s in sets], pa.int64())], [id_col, "key", "n"])
+                pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())],
+                [id_col, "key", "n", "parity"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key long, n long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key long, n long, parity binary")
 
 
 def _postings(docs: DataFrame, sent, text_col: str, width: int, percent: int) -> DataFrame:
@@ -156,6 +166,43 @@ def _segments(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, fragment int, part array<long>")
 
 
+def _near_pairs(members: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """``a, b`` of members (``cluster, key, n, place, parity``) of one cluster in different
+    places whose bitmaps allow the similarity; with ``nearest``, only that many per member
+    and block, the nearest first."""
+    mixed = members.groupBy("cluster").agg(
+        F.min("place").alias("low"), F.max("place").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high")
+    held = members.join(mixed.select("cluster", F.ceil(F.col("size") / PARITY_BLOCK).cast("int").alias("blocks")), "cluster")
+    held = held.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+    def match(table: pa.Table) -> pa.Table:
+        key, n, place, block = (table.column(c).to_numpy() for c in ("key", "n", "place", "block"))
+        bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(key), -1)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(left), 64):
+            rows = left[at : at + 64]
+            apart = place[rows][:, None] != place[right][None]
+            most = (n[rows][:, None] + n[right][None]) * (100 - percent) // (100 + percent)
+            slack = most - np.bitwise_count(bits[rows][:, None] ^ bits[right][None]).sum(axis=2, dtype=np.int64)
+            slack[~apart] = -1
+            if nearest is not None and slack.shape[1] > nearest:
+                floor = np.partition(slack, slack.shape[1] - nearest, axis=1)[:, -nearest]
+                good = (slack >= np.maximum(floor, 0)[:, None]) & (np.cumsum(slack >= floor[:, None], axis=1) <= 4 * nearest)
+            else:
+                good = slack >= 0
+            x, y = np.nonzero(good)
+            found[0].append(key[rows[x]])
+            found[1].append(key[right[y]])
+        a, b = np.concatenate(found[0]), np.concatenate(found[1])
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return held.groupBy("cluster", "i", "j").applyInArrow(match, "a long, b long").distinct()
+
+
 def _fits(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
@@ -187,6 +234,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     sent = spark.sparkContext.broadcast(order_sketch(docs, text_col, width))
     rows = stored(_rows(docs, sent, id_col, text_col, width), "rows")
     classes = stored(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("n").alias("n"), F.min(id_col).alias("first")), "classes")
+    bitmaps = rows.filter("key IS NOT NULL").select("key", "parity").dropDuplicates(["key"])
 
     postings = _postings(docs, sent, text_col, width, percent)
     lists = postings.groupBy("token").agg(F.max("key").alias("lead"), F.min("key").alias("least")).filter("lead != least")
@@ -195,31 +243,52 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     # every class with the class that leads most of its lists
     led = live.filter("key != lead").groupBy("key", "lead").agg(F.count(F.lit(1)).alias("times"))
-    best = led.groupBy("key").agg(F.max_by("lead", F.struct("times", "lead")).alias("lead"), F.max("times").alias("times"))
+    best = stored(led.groupBy("key").agg(F.max_by("lead", F.struct("times", "lead")).alias("lead"), F.max("times").alias("times")), "leaders")
     star = best.join(classes.select("key", "n"), "key").filter(F.col("times") * AGREE >= F.col("n") / 4)
     check = lambda pairs: _verified(pairs, docs, classes, id_col, text_col, width, percent)
-    drawn = check(star.select(F.col("key").alias("a"), F.col("lead").alias("b"))).filter("similar").select("a", "b")
-    labels = components(drawn)
-
-    # pairs of different components that agree often enough in their prefixes
-    placed = live.select("token", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select(
-        "token", "key", F.coalesce("component", "key").alias("place"))
-    mixed = placed.groupBy("token").agg(F.min("place").alias("low"), F.max("place").alias("high")).filter("low != high")
-    crowd = placed.join(mixed.select("token"), "token", "left_semi").join(classes.select("key", "n"), "key")
-    crowd = stored(crowd, "crowd")
-    counts = crowd.groupBy("token", "place").agg(F.count(F.lit(1)).alias("times"))
-    main = counts.groupBy("token").agg(F.max_by("place", F.struct("times", "place")).alias("main"))
-    rare = crowd.join(main, "token").filter("place != main").select(
-        "token", "main", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"))
-    other = crowd.select("token", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
-    # two members outside a list's main component meet once
-    once = (F.col("place_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    links = check(star.select(F.col("key").alias("a"), F.col("lead").alias("b"))).filter("similar").select("a", "b")
+    labels = components(links)
+
+    # classes apart from the component of their leader, against that component
+    first = labels.select(F.col("node").alias("key"), "component")
+    own = best.join(first, "key", "left").join(first.toDF("lead", "lead_component"), "lead", "left").select(
+        "key", F.coalesce("component", "lead_component", "lead").alias("cluster"))
+    alone = first.join(own, "key", "left_anti").select("key", F.col("component").alias("cluster"))
+    leads = best.select(F.col("lead").alias("key")).distinct().join(own.unionByName(alone), "key", "left_anti").select(
+        "key", F.col("key").alias("cluster"))
+    clusters = stored(own.unionByName(alone).unionByName(leads).join(classes.select("key", "n"), "key"), "clusters")
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
+            "place", F.coalesce("component", "key")).drop("component")
+
+    tested = None
+    for nearest in (NEAREST, None):
+        pairs = _near_pairs(placed(clusters).join(bitmaps, "key"), percent, nearest)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        tested = check(pairs)
+        links = stored(links.unionByName(tested.filter("similar").select("a", "b")), "links")
+        labels = components(links)
+
+    # pairs of different clusters that agree often enough in their prefixes
+    spread = placed(live.select("token", "key").join(clusters.select("key", "cluster", "n"), "key"))
+    mixed = spread.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low != high")
+    crowd = stored(spread.join(mixed.select("token"), "token", "left_semi"), "crowd")
+    counts = crowd.groupBy("token", "cluster").agg(F.count(F.lit(1)).alias("times"))
+    main = counts.groupBy("token").agg(F.max_by("cluster", F.struct("times", "cluster")).alias("main"))
+    rare = crowd.join(main, "token").filter("cluster != main").select(
+        "token", "main", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("cluster").alias("cluster_a"))
+    other = crowd.select("token", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("cluster").alias("cluster_b"))
+    # two members outside a list's main cluster meet once
+    once = (F.col("cluster_b") == F.col("main")) | (F.col("a") < F.col("b"))
     met = rare.join(other, "token").filter(
-        (F.col("place_a") != F.col("place_b")) & once & _fits(F.col("n_a"), F.col("n_b"), percent))
+        (F.col("cluster_a") != F.col("cluster_b")) & (F.col("place_a") != F.col("place_b")) & once
+        & _fits(F.col("n_a"), F.col("n_b"), percent))
     agreed = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n_a", "n_b").alias("n")).groupBy(
         "a", "b", "n").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= 1 + F.floor(F.col("n") / AGREE))
     more = check(agreed.select("a", "b")).filter("similar").select("a", "b")
-    links = stored(drawn.unionByName(more), "links")
+    links = stored(links.unionByName(more), "links")
     labels = components(links)
 
     ends = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
