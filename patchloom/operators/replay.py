@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patchloom.functions.compare import error_class, results_match
 from patchloom.functions.text import cut, fill
-from patchloom.skew import salted_join
 
 # Caps, widths and message texts.
 MAX_FAILURES = 5
@@ -146,19 +145,18 @@ def idempotence(runs: DataFrame, nested: bool = True) -> DataFrame:
     Both sides of that lookup are reduced to distinct keys before they meet.
     """
     key = ["file", "func", "side"]
-    text = lambda column: F.concat_ws("\u0001", *key, column)
+    # no key where there is no value, so that a null result meets no call
+    text = lambda column: F.when(column.isNotNull(), F.concat_ws("\u0001", *[F.coalesce(F.col(k), F.lit("\u0002")) for k in key], column))
     ran = runs.filter(F.col("side").isin("original", "refactored"))
     as_args = F.when(F.col("result_type") == "tuple", F.col("result")).otherwise(
         F.concat(F.lit("["), "result", F.lit("]"))
     )
     first = ran.filter(F.col("ok")).withColumn("_k", text(as_args))
     second = (
-        ran.withColumn("_k", text(F.col("args")))
+        ran.withColumn("_k", text(F.col("args"))).filter("_k IS NOT NULL")
         .groupBy("_k").agg(F.max(F.struct(*RUN)).alias("then"))
     )
-    met = salted_join(
-        first.select(*key, "case_id", "args", F.struct(*RUN).alias("was"), "_k"), second, "_k", "left", ["case_id"]
-    )
+    met = first.select(*key, "case_id", "args", F.struct(*RUN).alias("was"), "_k").join(second, "_k", "left")
     same = _matches("was", "then", nested)
     steady = met.withColumn("_same", same).withColumn(
         "steady", F.when(F.col("then").isNull(), F.lit(None)).otherwise(F.col("then.ok") & F.col("_same"))

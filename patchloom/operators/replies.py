@@ -12,7 +12,9 @@ FENCE = r"(?s)```(?:(?U:\w+))?\n(.*?)\n```"
 BLOCK = r'(?s)<chunk id="([^"]+)">(?U:\s*)(.*?)(?U:\s*)</chunk>'
 RETRIABLE = "429|quota|503"
 SERVER_DELAY = r"retrydelay':\s*'(\d+)s'"
+# Attempts of a request by default; a parameter of retry_waits.
 MAX_ATTEMPTS = 10
+# Waits in seconds.
 BASE_WAIT_S = 5
 SERVER_BUFFER_S = 2
 QUOTA_EXTRA_S = 15
@@ -161,18 +163,18 @@ def retriable(message: Column) -> Column:
     return F.lower(message).rlike(RETRIABLE)
 
 
-def retry_waits(attempts: DataFrame) -> DataFrame:
+def retry_waits(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """``request_id, outcome, waits, total_wait_s`` from ``request_id, ts, message`` error rows.
 
-    Only the first ten attempts of a request count, so a group never exceeds ten
-    rows (the rank limit is applied before the shuffle). The fold stops at the first
-    fatal message.
+    A request is given up after ``max_attempts``, so no later attempt of it counts and a
+    group never exceeds that many rows (the rank limit is applied before the shuffle).
+    The fold stops at the first fatal message.
     """
     first = Window.partitionBy("request_id").orderBy("ts")
     gathered = (
         attempts.select("request_id", "ts", "message")
         .withColumn("attempt", F.row_number().over(first))
-        .filter(F.col("attempt") <= MAX_ATTEMPTS)
+        .filter(F.col("attempt") <= max_attempts)
         .groupBy("request_id")
         .agg(F.sort_array(F.collect_list(F.struct("attempt", "message"))).alias("log"))
     )
@@ -201,7 +203,7 @@ def retry_waits(attempts: DataFrame) -> DataFrame:
     return folded.select(
         "request_id",
         F.when(F.col("s.fatal"), F.lit("fatal"))
-        .when(F.size("s.waits") >= MAX_ATTEMPTS, F.lit("exhausted"))
+        .when(F.size("s.waits") >= max_attempts, F.lit("exhausted"))
         .otherwise(F.lit("waiting")).alias("outcome"),
         F.col("s.waits").alias("waits"),
         F.aggregate("s.waits", F.lit(0).cast("long"), lambda a, x: a + x).alias("total_wait_s"),

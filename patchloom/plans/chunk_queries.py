@@ -103,7 +103,7 @@ def chunk_envelopes(spark, sf_dir):
         F.lit("function").alias("type"), F.lit(None).cast("string").alias("name"), "start_line", "end_line",
         F.lit("").alias("code"), F.lit(None).cast("map<string,string>").alias("metadata"),
     )
-    packed = envelopes.chunk_envelopes(rows, part_rows=4, heavy={str(k): n for k, n in heavy.items()})
+    packed = envelopes.chunk_envelopes(rows, part_rows=4)
     # through JSON text and back: what is written is what is read
     texts = packed.select(F.to_json(F.struct(*packed.columns)).alias("value"), "total_chunks", "part")
     rows, _ = envelopes.parse_chunk_envelopes(texts, "value", keep=["part", "total_chunks"])
@@ -129,7 +129,7 @@ def prompt_envelopes(spark, sf_dir):
     item = ["chunk_id", "type", "name", "start_line", "end_line", "code", "metadata"]
     prompts = chunks.batch(rows, 3, item, carry=["language"]).withColumn(
         "prompt", F.concat(F.lit("prompt for "), F.array_join("chunk_ids", "+")))
-    packed = envelopes.prompt_envelopes(prompts, part_rows=2, heavy={str(k): n for k, n in heavy.items()})
+    packed = envelopes.prompt_envelopes(prompts, part_rows=2)
     # through JSON text and back, as the next stage reads it
     documents = packed.select(F.from_json(F.to_json(F.struct(*packed.columns)), schemas.PROMPT_ENVELOPE).alias("d"))
     sizes = F.transform("d.prompts", lambda p: F.size(p["chunks"]).cast("long"))

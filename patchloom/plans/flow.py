@@ -47,23 +47,19 @@ def chunk_corpus(files: DataFrame, nested: bool = False) -> Chunked:
 
 def build_prompts(
     chunks: DataFrame, files: DataFrame, examples: DataFrame, batch_size: int = 1,
-    templates: DataFrame | None = None, heavy: dict | None = None,
+    templates: DataFrame | None = None,
 ) -> DataFrame:
-    """``file, language, prompt_id, is_batch, chunk_ids, chunks, prompt``.
-
-    ``heavy`` names files with very many chunks; by default they are looked for.
-    """
-    heavy = heavy_keys(chunks, "file") if heavy is None else heavy
+    """``file, language, prompt_id, is_batch, chunk_ids, chunks, prompt``."""
     rows = chunk_ops.batch(chunks, batch_size, CHUNK, carry=["language"])
     first = F.get("chunks", F.lit(0))
     rows = prompt_ops.attach_guidance(rows.withColumn("type", first["type"]))
     rows = prompt_ops.attach_example(rows, examples)
     if batch_size > 1:
-        made = prompt_ops.batch_prompt(prompt_ops.attach_context(rows, files, ["prompt_id"], heavy))
+        made = prompt_ops.batch_prompt(prompt_ops.attach_context(rows, files))
     else:
         rows = prompt_ops.attach_template(rows, templates)
         rows = rows.withColumns({c: first[c] for c in CHUNK if c != "type"})
-        made = prompt_ops.single_prompt(prompt_ops.attach_context(rows, files, ["prompt_id"], heavy))
+        made = prompt_ops.single_prompt(prompt_ops.attach_context(rows, files))
     return made.select("file", "language", "prompt_id", "is_batch", "chunk_ids", "chunks", "prompt")
 
 

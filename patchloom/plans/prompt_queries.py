@@ -9,7 +9,6 @@ from patchloom.functions.text import bullets
 from patchloom.operators import chunks, prompts, replies
 from patchloom.plans import derive
 from patchloom.plans.registry import query, read
-from patchloom.skew import heavy_keys
 
 TYPES = ["function", "class", "method", "interface", "async_method", "constructor", "widget"]
 LANGUAGES = ["python", "Go", "java", "rust"]
@@ -64,12 +63,6 @@ def _document_texts(spark, sf_dir):
     return docs.select(F.concat(F.lit("src/d"), F.col("doc_id").cast("string")).alias("file"), F.col("text").alias("content"))
 
 
-def _heavy(spark, sf_dir):
-    """Looked for in the bare table, so the lookups do not run for it."""
-    files = read(spark, sf_dir, "documents").select(F.concat(F.lit("src/d"), F.col("doc_id").cast("string")).alias("file"))
-    return heavy_keys(files, "file")
-
-
 ROWS = f"""
 texts AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) // 10 + 4 AS step FROM documents),
@@ -168,7 +161,7 @@ def prompt_render(spark, sf_dir):
     rows = prompts.attach_guidance(_document_chunks(spark, sf_dir))
     rows = prompts.attach_example(prompts.attach_template(rows), _examples(spark))
     # the text joins last, so it is shuffled once per prompt and never through the lookups
-    rows = prompts.attach_context(rows, _document_texts(spark, sf_dir), ["chunk_id"], _heavy(spark, sf_dir))
+    rows = prompts.attach_context(rows, _document_texts(spark, sf_dir))
     return prompts.single_prompt(rows).select("file", "chunk_id", "prompt")
 
 
@@ -196,7 +189,7 @@ BATCH_SQL = (
 
 def _batch_prompts(spark, sf_dir):
     rows = prompts.attach_example(prompts.attach_guidance(_batched(spark, sf_dir)), _examples(spark))
-    rows = prompts.attach_context(rows, _document_texts(spark, sf_dir), ["prompt_id"], _heavy(spark, sf_dir))
+    rows = prompts.attach_context(rows, _document_texts(spark, sf_dir))
     return prompts.batch_prompt(rows)
 
 

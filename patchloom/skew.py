@@ -1,10 +1,10 @@
-"""Ordered scans and joins that hold up when one key owns a large share of the rows.
+"""Ordered scans that hold up when one key owns a large share of the rows.
 
-A plain window over a key puts a whole group in one task. Here the few heavy keys
-are found with a frequent-items sketch (one pass, one bounded row to the driver).
-All other keys take the plain window. Heavy keys are range-partitioned by the
-order columns; each range is scanned by itself and receives what the ranges
-before it add up to. Those carried values are one row per range.
+A plain window over a key puts a whole group in one task. Here the heavy keys are
+found by their exact counts. All other keys take the plain window. Heavy keys are
+range-partitioned by the order columns; each range is scanned by itself and receives
+what the ranges before it add up to. Those carried values are one row per range.
+Joins need nothing of this kind: adaptive execution splits their hot keys.
 """
 
 from __future__ import annotations
@@ -12,19 +12,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from patchloom.session import cut_lineage
 
 HEAVY_ROWS = 5_000_000
 HEAVY_ROWS_CONF = "patchloom.heavyRows"
-# A key with more than about one row in 6,000 is always among the tracked items.
-TRACKED_ITEMS = 8_192
-MAX_HEAVY_KEYS = 2_048
-SKETCH_GROUPS = 64
-# More ranges or salts than this cost more (bound samples, repeated rows) than they spread.
-MAX_RANGES = 10_000
-MAX_SALTS = 1_000
+# More keys than this are matched by a join instead of a list in the plan.
+LISTED_KEYS = 1_000
 
 
 def heavy_rows(df: DataFrame) -> int:
@@ -33,29 +28,19 @@ def heavy_rows(df: DataFrame) -> int:
 
 
 def heavy_keys(df: DataFrame, key: str) -> dict:
-    """``{key: estimated rows}`` of the heavy groups, at most ``MAX_HEAVY_KEYS``.
-
-    One sketch per task, merged in two steps so that no single task reads them all.
-    It only steers the physical route; results do not depend on it.
-    """
-    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g")
-    top = (
-        df.select(F.col(key).alias("k")).groupBy(group)
-        .agg(F.expr(f"approx_top_k_accumulate(k, {TRACKED_ITEMS})").alias("s"))
-        # grouped, so an empty table gives no row instead of an empty sketch
-        .groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {TRACKED_ITEMS})").alias("s"))
-        .select(F.expr(f"approx_top_k_estimate(s, {MAX_HEAVY_KEYS})").alias("top")).head()
-    )
-    floor = heavy_rows(df)
-    return {
-        item["item"]: item["count"]
-        for item in (top["top"] if top and top["top"] else [])
-        if item["item"] is not None and item["count"] >= floor
-    }
+    """``{key: rows}`` of every heavy group, by exact counts: one aggregate over the key
+    column. There are at most as many as the rows of the table hold the threshold."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return {r["k"]: r["n"] for r in counts.filter(F.col("n") >= heavy_rows(df)).collect()}
 
 
-def _is_heavy(key: str, heavy: dict) -> Column:
-    return F.coalesce(F.col(key).isin(list(heavy)), F.lit(False))
+def _parted(df: DataFrame, key: str, heavy: dict) -> tuple[DataFrame, DataFrame]:
+    """Rows of the other keys, and rows of the heavy ones."""
+    if len(heavy) <= LISTED_KEYS:
+        hot = F.coalesce(F.col(key).isin(list(heavy)), F.lit(False))
+        return df.filter(~hot), df.filter(hot)
+    keys = df.sparkSession.createDataFrame([(k,) for k in heavy], f"`{key}` {df.schema[key].dataType.simpleString()}")
+    return df.join(keys, key, "left_anti"), df.join(keys, key, "left_semi").select(df.columns)
 
 
 def scan_within(
@@ -75,7 +60,7 @@ def scan_within(
     """
     max_before = max_before or {}
     heavy = heavy_keys(df, keys[0]) if heavy is None else heavy
-    light = df.filter(~_is_heavy(keys[0], heavy)) if heavy else df
+    light, hot = _parted(df, keys[0], heavy) if heavy else (df, None)
 
     plain = Window.partitionBy(*keys).orderBy(*order)
     before = plain.rowsBetween(Window.unboundedPreceding, -1)
@@ -87,10 +72,9 @@ def scan_within(
     if not heavy:
         return scanned
 
-    ranges = min(MAX_RANGES, max(2, math.ceil(sum(heavy.values()) / heavy_rows(df))))
+    ranges = max(2, math.ceil(sum(heavy.values()) / heavy_rows(df)))
     placed = cut_lineage(
-        df.filter(_is_heavy(keys[0], heavy))
-        .repartitionByRange(ranges, *[F.col(k) for k in keys], *order)
+        hot.repartitionByRange(ranges, *[F.col(k) for k in keys], *order)
         .withColumn("_range", F.spark_partition_id())
     )
     group = Window.partitionBy(*keys).orderBy("_range")
@@ -111,10 +95,7 @@ def scan_within(
     carried = carried.withColumnRenamed("_range", "_c_range")
     for k in keys:
         carried = carried.withColumnRenamed(k, f"_k_{k}")
-    # A carried row exists per (group, range) overlap. With one key column that is at
-    # most MAX_RANGES + MAX_HEAVY_KEYS; finer keys can have many groups, so no hint is
-    # given for them and the planner decides by size.
-    carried = F.broadcast(carried) if len(keys) == 1 else carried
+    # one row per group and range; whether to broadcast it is left to the planner's size check
     joined = placed.join(carried, same, "inner")
 
     local = Window.partitionBy(*keys, "_range").orderBy(*order)
@@ -124,25 +105,3 @@ def scan_within(
     for out, value in max_before.items():
         joined = joined.withColumn(out, F.greatest(F.max(value).over(local_before), F.col(f"_c_{out}")))
     return scanned.unionByName(joined.select(*scanned.columns))
-
-
-def salted_join(
-    many: DataFrame, one: DataFrame, on: str, how: str, spread_by: Sequence[str], heavy: dict | None = None
-) -> DataFrame:
-    """Join ``many`` (rows per key unbounded) to ``one`` (unique per key).
-
-    Rows of heavy keys are spread over salts by a hash of ``spread_by``, and only
-    the matching rows of ``one`` are repeated per salt.
-    """
-    heavy = heavy_keys(many, on) if heavy is None else heavy
-    if not heavy:
-        return many.join(one, on, how)
-    salts = min(MAX_SALTS, max(2, math.ceil(max(heavy.values()) / heavy_rows(many))))
-    hot = _is_heavy(on, heavy)
-    left = many.withColumn(
-        "_salt", F.when(hot, F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    )
-    right = one.withColumn(
-        "_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    )
-    return left.join(right, [on, "_salt"], how).drop("_salt")

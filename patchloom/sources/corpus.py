@@ -9,7 +9,6 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patchloom.functions.text import split_lines
-from patchloom.skew import salted_join
 
 
 def scan_files(spark: SparkSession, path: str | list[str], glob: str = "*.py", recursive: bool = True) -> DataFrame:
@@ -130,8 +129,8 @@ def lookup_source(wanted: DataFrame, files: DataFrame) -> DataFrame:
     exact = files.select("file", F.col("file").alias("_path"))
     by_base = files.groupBy(base.alias("_base")).agg(F.min("file").alias("_base_path"))
     paths = wanted.select("file").distinct().withColumn("_base", base)
-    paths = salted_join(paths.join(exact, "file", "left"), by_base, "_base", "left", ["file"])
+    paths = paths.join(exact, "file", "left").join(by_base, "_base", "left")
     resolved = paths.select("file", F.coalesce("_path", "_base_path").alias("resolved"))
     content = files.select(F.col("file").alias("resolved"), "content")
-    found = salted_join(resolved, content, "resolved", "left", ["file"])
-    return salted_join(wanted, found, "file", "left", [c for c in wanted.columns if c != "file"] or ["file"])
+    # paths are settled on narrow rows; the text travels once
+    return wanted.join(resolved, "file", "left").join(content, "resolved", "left").select(*wanted.columns, "resolved", "content")

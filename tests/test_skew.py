@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchloom.operators import chunks, jobs
-from patchloom.skew import heavy_keys, salted_join, scan_within
+from patchloom.skew import heavy_keys, scan_within
 
 
 def one_hot(spark, n=400, seed=7):
@@ -76,12 +76,20 @@ def test_prompt_containment_equals_pairwise(spark, rows, heavy, seed):
     assert rows(chunks.drop_nested_prompts(prompts), "file", "prompt_id") == expected
 
 
-def test_salted_join_equals_join(spark, rows, heavy):
-    many = one_hot(spark)
-    one = many.select("file").distinct().filter("file <> 'f1'").withColumn("text", F.upper("file"))
-    for how in ("left", "inner"):
-        salted = salted_join(many, one, "file", how, ["emit"])
-        assert rows(salted, "file", "emit", "text") == rows(many.join(one, "file", how), "file", "emit", "text")
+def test_many_keys_just_over_the_threshold(spark, rows, monkeypatch):
+    data = [(f"k{i % 80}", i, i % 7, i % 7 + 1) for i in range(400)]  # five rows each
+    df = spark.createDataFrame(data, "file STRING, emit INT, start_line INT, end_line INT")
+    order = [F.col("start_line"), F.col("emit")]
+    plain = rows(scan_within(df, ["file"], order, rank="n", heavy={}))
+    spark.conf.set("patchloom.heavyRows", "5")
+    try:
+        found = heavy_keys(df, "file")
+        assert len(found) == 80 and set(found.values()) == {5}
+        assert rows(scan_within(df, ["file"], order, rank="n", heavy=found)) == plain
+        monkeypatch.setattr("patchloom.skew.LISTED_KEYS", 10)
+        assert rows(scan_within(df, ["file"], order, rank="n", heavy=found)) == plain
+    finally:
+        spark.conf.unset("patchloom.heavyRows")
 
 
 def test_logs_come_in_parts(spark, heavy):
