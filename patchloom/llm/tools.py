@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +26,32 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
-    # what is only reachable from finished jobs, shuffle files above all, can go now
+    _release(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def buckets_of(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``stored`` as a table in buckets of ``key``: later joins by it leave these rows in place.
+    ``df`` comes partitioned by ``key`` into ``buckets_of`` partitions, so that a task writes one file."""
+    spark = df.sparkSession
+    path = work_path(spark, label)
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.bucketBy(buckets_of(spark), key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    _release(spark, path)
+    return spark.table(name)
+
+
+def _release(spark: SparkSession, path: str) -> None:
+    """Remove ``path`` when the application ends, and what only finished jobs reach (shuffle files above all) now."""
+    time.sleep(0.5)  # the listeners let go of a finished job a little later
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
