@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from patchloom.llm.tools import BYTE_CODES, INVERSE, mix64, portions, powers, stored
+from patchloom.llm.tools import BYTE_CODES, INVERSE, bucketed, buckets_of, dropped, mix64, portions, powers, stored
 
 # Perfect difference covers, modulus to residues.
 COVERS = {
@@ -45,10 +45,10 @@ class Cover:
     """Places, contexts and hashes for strings of one length."""
 
     def __init__(self, length: int):
-        fit = [v for v in COVERS if v <= length * 0.6]
-        if not fit:
+        if min(COVERS) > length * 0.6:
             raise ValueError(f"length must be at least {math.ceil(min(COVERS) / 0.6)}")
-        self.length, self.v = length, max(fit)
+        # a third of the length: fewer residues would leave more strings at the ends of repeats
+        self.length, self.v = length, max([v for v in COVERS if v <= length * 0.35], default=min(COVERS))
         self.residues = np.array(COVERS[self.v])
         self.prefix = length - self.v + 1
 
@@ -231,7 +231,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     repeated = stored(repeated_places(own, cover, buckets), "places")
     leading = marked.filter("id = leader").select("id").distinct()
     repeated = repeated.join(leading, "id", "left_semi")
-    texts = stored(own.join(repeated, "id"), "texts")
+    # kept by id, so that what is found out about a document joins it without moving texts
+    texts = bucketed(own.repartition(buckets_of(docs.sparkSession), "id").join(repeated, "id"), "id", "texts")
 
     def contexts(batch: list[dict]) -> pa.RecordBatch:
         found = [Doc(r["text"], r["places"], cover) for r in batch]
@@ -247,6 +248,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         "key", F.lit(True).alias("fork"))
     leads = stored(ranks.join(forked, "key", "left").groupBy("id").agg(
         F.collect_list("context").alias("leads"), F.collect_list(F.when(F.col("fork"), F.col("context"))).alias("forks")), "leads")
+    dropped(ranks)
     known = texts.join(leads, "id", "left")
 
     def strings(batch: list[dict]) -> pa.RecordBatch:
