@@ -130,7 +130,7 @@ _PACKED = "bucket long, docs array<long>, counts array<int>, marks binary, place
 def repeated_places(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
     """``id, places array<binary>``: numbers of covered places whose prefix occurs twice."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in portions(b, 1, 16_000_000)):
+        for batch in (part for b in batches for part in portions(b, 1, 4_000_000)):
             rows = _bucket_rows(batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()], cover, buckets)
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())),
@@ -228,11 +228,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     size = marked.agg(F.sum("n_bytes")).head()[0] or 0
     buckets = max(8, math.ceil(size / cover.v * len(cover.residues) / BUCKET_ROWS))
     own = given.filter("id IS NOT NULL")
-    repeated = stored(repeated_places(own, cover, buckets), "places")
+    places = stored(repeated_places(own, cover, buckets), "places")
     leading = marked.filter("id = leader").select("id").distinct()
-    repeated = repeated.join(leading, "id", "left_semi")
+    repeated = places.join(leading, "id", "left_semi")
     # kept by id, so that what is found out about a document joins it without moving texts
     texts = bucketed(own.repartition(buckets_of(docs.sparkSession), "id").join(repeated, "id"), "id", "texts")
+    dropped(places)
 
     def contexts(batch: list[dict]) -> pa.RecordBatch:
         found = [Doc(r["text"], r["places"], cover) for r in batch]
