@@ -8,7 +8,7 @@ the smaller name. Phrases end at word ends, so a word is parsed once per worker
 process however often it occurs.
 
 A text that is null or has no letter gets ``und`` and score 0; so does every text
-where nothing was labelled. Texts with null labels are not learnt from.
+where nothing was labelled. Texts with null labels or null ids are not learnt from.
 """
 
 from __future__ import annotations

@@ -47,9 +47,10 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
 
 def _release(spark: SparkSession, path: str) -> None:
     """Remove ``path`` when the application ends, and what only finished jobs reach (shuffle files above all) now."""
-    time.sleep(0.5)  # the listeners let go of a finished job a little later
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if not spark.sparkContext.master.startswith("local["):
+        time.sleep(0.5)  # the listeners let go of a finished job a little later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 

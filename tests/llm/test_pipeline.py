@@ -7,6 +7,7 @@ import tiktoken
 
 import corpus_pipeline
 from patchloom.llm import byte_bpe, surrogates
+from patchloom.llm.tools import stored
 
 from .conftest import SF_DIR
 from .test_table_operators import brute_components
@@ -23,13 +24,13 @@ def test_stages(spark):
 
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language", "ngram_join", "decontaminate", "surrogates", "byte_bpe"]
-    kept = stages["language"](spark, docs, SF_DIR)
+    kept = stored(stages["language"](spark, docs, SF_DIR), "t")
     assert {r["doc_id"] for r in kept.collect()} == set(named) and kept.columns == docs.columns
-    single = stages["ngram_join"](spark, kept, SF_DIR)
+    single = stored(stages["ngram_join"](spark, kept, SF_DIR), "t")
     assert {r["doc_id"] for r in single.collect()} == own and single.columns == docs.columns
-    clean = stages["decontaminate"](spark, single, SF_DIR)
+    clean = stored(stages["decontaminate"](spark, single, SF_DIR), "t")
     assert {r["doc_id"] for r in clean.collect()} == free and clean.columns == docs.columns
-    private = stages["surrogates"](spark, clean, SF_DIR)
+    private = stored(stages["surrogates"](spark, clean, SF_DIR), "t")
     after = {r["doc_id"]: r["text"] for r in private.collect()}
     assert set(after) == free and private.columns == docs.columns
     replaced = {r["doc_id"] for r in surrogates.replace(clean, "k", count_col="n").filter("n > 0").collect()}
@@ -38,14 +39,15 @@ def test_stages(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
     want = {(d, len(exact.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest()) for d, t in after.items()}
-    got = corpus_pipeline.run(spark, SF_DIR).collect()
+    got = stages["byte_bpe"](spark, private, SF_DIR).collect()
     assert {(r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in got} == want
 
 
 def test_empty_and_odd_documents(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
-    odd = spark.createDataFrame([(1, None, None, None, None), (None, "words of a text", "en", "s", 15), (2, "", "en", "s", 0)], docs.schema)
-    for given, want in ((docs, 0), (odd, 1)):
+    odd = spark.createDataFrame([(1, None, None, None, None), (None, "words of a text", "en", "s", 15), (2, "", "en", "s", 0),
+                                 (6, "some more words of another text", "en", "s", 31)], docs.schema)
+    for given, want in ((docs, 0), (odd, 2)):
         for name, stage in corpus_pipeline.STAGES:
-            given = stage(spark, given, SF_DIR)
+            given = stored(stage(spark, given, SF_DIR), "t")
         assert given.count() == want
