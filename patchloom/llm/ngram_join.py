@@ -251,12 +251,11 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     # classes apart from the component of their leader, against that component
     first = labels.select(F.col("node").alias("key"), "component")
-    own = best.join(first, "key", "left").join(first.toDF("lead", "lead_component"), "lead", "left").select(
-        "key", F.coalesce("component", "lead_component", "lead").alias("cluster"))
-    alone = first.join(own, "key", "left_anti").select("key", F.col("component").alias("cluster"))
-    leads = best.select(F.col("lead").alias("key")).distinct().join(own.unionByName(alone), "key", "left_anti").select(
-        "key", F.col("key").alias("cluster"))
-    clusters = stored(own.unionByName(alone).unionByName(leads).join(classes.select("key", "n"), "key"), "clusters")
+    # every class with a list, also one that leads lists but is nobody's best leader
+    own = live.select("key").distinct().join(best.select("key", "lead"), "key", "left").join(first, "key", "left").join(
+        first.toDF("lead", "lead_component"), "lead", "left").select(
+        "key", F.coalesce("component", "lead_component", "lead", "key").alias("cluster"))
+    clusters = stored(own.join(classes.select("key", "n"), "key"), "clusters")
 
     def placed(df: DataFrame) -> DataFrame:
         return df.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(

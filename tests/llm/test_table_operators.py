@@ -61,6 +61,20 @@ def test_join_equals_brute_force(spark, documents, seed, width, percent):
     assert all(of[r["component_id"]] > 1 for r in got if r["n_links"])
 
 
+def test_join_keeps_links_of_classes_that_lead_nobody(spark, documents):
+    docs = []
+    for seed in range(60):
+        word = iter(f"w{seed}x{k}" for k in range(1000))
+        base = [next(word) for _ in range(103)]
+        changed = list(base)
+        for at in random.Random(seed).sample(range(8, 95, 8), 2):
+            changed[at] = next(word)
+        longer = base + [next(word) for _ in range(15)]
+        docs += [(seed * 10 + k, " ".join(w)) for k, w in enumerate((base, longer, changed, changed))]
+    got = ngram_join.similar_components(documents(*docs), 4, 85).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute_components(docs, 4, 85)
+
+
 def test_join_odd_rows(spark, documents, rows):
     text = "a b c d e f g h"
     docs = documents((5, text), (3, text), (None, text), (5, text), (8, "z z"), (None, None))
