@@ -221,6 +221,75 @@ def test_passages_are_found_and_clean_texts_left(spark, documents):
     assert passages.near_duplicates(documents((1, "x")).limit(0)).collect() == []
 
 
+def unique_words(seed):
+    return (f"v{seed}x{k}" for k in range(100_000))
+
+
+@pytest.mark.parametrize("rounds", [3, 0])
+def test_passages_of_pairs_apart_from_their_leader(spark, documents, monkeypatch, rounds):
+    """A template below the threshold has the smallest id; the others of its group share whole passages."""
+    monkeypatch.setattr(passages, "ROUNDS", rounds)
+    monkeypatch.setattr(passages, "BLOCK", 3)
+    docs, want = [], set()
+    for seed in range(12):
+        word = unique_words(seed)
+        own = lambda n: [next(word) for _ in range(n)]  # noqa: B023, E731
+        shared = own(60)
+        template = list(shared)
+        for at in (14, 30, 45):
+            template[at] = next(word)
+        docs.append((seed * 10, " ".join(own(30) + template + own(30))))
+        for k in (1, 2, 3):
+            docs.append((seed * 10 + k, " ".join(own(20 * k) + shared + own(30))))
+            want.add(seed * 10 + k)
+    got = {r["doc_id"]: r for r in passages.near_duplicates(documents(*docs)).collect()}
+    assert set(got) == want
+    assert all(r["first_id"] == d // 10 * 10 + 1 for d, r in got.items())
+
+
+def test_passages_at_every_place_of_a_leader(spark, documents):
+    """The first document holds the words in which another agrees with it at several places."""
+    docs, want = [], set()
+    for seed in range(12):
+        word = unique_words(seed)
+        own = lambda n: [next(word) for _ in range(n)]  # noqa: B023, E731
+        passage = own(70)
+        part = [w for at in range(0, 60, 10) for w in passage[at : at + 9] + own(1)]
+        docs.append((seed * 10, " ".join(own(40) + part + own(60) + part + own(60) + passage + own(60) + part)))
+        docs.append((seed * 10 + 1, " ".join(own(30) + passage + own(30))))
+        want |= {seed * 10, seed * 10 + 1}
+    got = {r["doc_id"]: r for r in passages.near_duplicates(documents(*docs)).collect()}
+    assert set(got) == want and all(r["n_repeated"] >= 70 for r in got.values())
+
+
+def test_equal_least_values_are_kept_for_every_passage():
+    rng = random.Random(4)
+    for least in (4, 7, 12):
+        for _ in range(40):
+            values = np.array([rng.randint(0, 4) for _ in range(rng.randint(0, 90))], np.uint64)
+            around = np.arange(len(values), dtype=np.uint64)
+            windows = set(zip(*(x.tolist() for x in passages.compact_windows(values, np.array([0]), np.array([len(values)]), least, around))))
+            for a in range(len(values)):
+                for z in range(a + least, len(values) + 1):
+                    assert any(l <= a and z - 1 <= r and a <= c < z and values[c] == min(values[a:z]) for l, c, r in windows)
+
+
+def test_matching_beside_an_edited_stretch():
+    rng = np.random.default_rng(1)
+    words = rng.integers(1, 1 << 60, 300)
+    other = words.copy()
+    for at in [*range(0, 100, 7), 100, 148, 196, 244, *range(250, 300, 7)]:
+        other[at] = at
+    a, b = (passages.shingle_hashes(w.astype(np.uint64), 5) for w in (words, other))
+    found = passages.matching(a, b, np.array([0, 160, 295, 0, 160, 295]), 50, 0.8)
+    assert found and found[1] - found[0] + 5 >= 130
+
+
+def test_texts_of_one_repeated_word(spark, documents):
+    docs = [(1, "ha " * 20000), (2, "ha " * 15000 + "end"), (3, "0 1 2 " * 9000), (4, "x " + "0 1 2 " * 8000), (5, "ha " * 30)]
+    assert {r["doc_id"] for r in passages.near_duplicates(documents(*docs)).collect()} == {1, 2, 3, 4}
+
+
 def test_passages_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     first, want = {}, set()
