@@ -48,6 +48,8 @@ SECRET = (r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Z
           r"|xox[abpr]-[A-Za-z0-9-]{10,})(?![\p{L}\p{N}])")
 KINDS = (("mail", MAIL), ("name", NAME), ("secret", SECRET), ("ip", IP), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("iban", IBAN))
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
+# Every kind has a digit, an @, a title or the start of a secret; most texts have none and skip the long pattern.
+HINT = rf"[@0-9]|(?:{_TITLES})\.? |AKIA|gh[pousr]_|sk-|xox[abpr]-|[a-fA-F]{{32}}"
 # Letters of a digest stream that one entity uses; longer entities use it again from its start.
 STREAM = 60
 MAX_DRAWS = 20
@@ -178,8 +180,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 
 def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text_col``; ``count_col`` adds the number of places."""
-    # every kind has a digit, an @ or a title; most texts have neither and skip the long pattern
-    has = F.coalesce(F.when(F.col(text_col).rlike(rf"[@0-9]|(?:{_TITLES})\.? "), F.col(text_col).rlike(ANY)), F.lit(False))
+    has = F.coalesce(F.when(F.col(text_col).rlike(HINT), F.col(text_col).rlike(ANY)), F.lit(False))
     with_any, clean = docs.filter(has), docs.filter(~has)
     place = with_any.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(_found(F.col(text_col)))).alias("entity"))
     place = place.withColumn("kind", _kind(F.col("entity"))).withColumn("canonical", _canonical(F.col("kind"), F.col("entity")))

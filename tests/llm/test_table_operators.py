@@ -357,6 +357,15 @@ def test_surrogates(spark, documents):
     assert surrogates.replace(documents(*TEXTS).limit(0), "k").collect() == []
 
 
+def test_secrets_without_a_digit(spark, documents, monkeypatch):
+    secrets = ["xoxb-abcdefghijkl", "sk-" + "Abcd_efg-h" * 3, "ghp_" + "abcDE" * 5, "AKIA" + "ABCDEFGH" * 2, "abcdefAB" * 4]
+    docs = documents(*((k, f"see {x} here") for k, x in enumerate(secrets)))
+    got = {r["doc_id"]: (r["n"], r["text"]) for r in surrogates.replace(docs, "k", count_col="n").collect()}
+    assert all(got[k][0] == 1 and x not in got[k][1] for k, x in enumerate(secrets))
+    monkeypatch.setattr(surrogates, "HINT", "")
+    assert got == {r["doc_id"]: (r["n"], r["text"]) for r in surrogates.replace(docs, "k", count_col="n").collect()}
+
+
 def test_surrogates_stay_distinct(spark):
     entities = spark.createDataFrame([("ssn", f"{k:03d}456789"[:9]) for k in range(500)] + [("phone", f"1{k}") for k in range(5)], "kind string, canonical string")
     got = surrogates.assign(entities, "k").collect()
