@@ -23,11 +23,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of documents linked by 0.8 of their five-word runs, the one with the smallest id;
-    documents without an id stay."""
-    found = ngram_join.similar_components(docs, width=5, percent=80)
-    gone = found.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of the documents linked by 0.8 of their five-word runs: the smallest id
+    (null ids last), of its texts the one with the smallest digest, and of equal rows one.
+    Rows without words are not linked to any other and stay."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    # a row's own identity: an id can occur with several texts
+    named = stored(docs.select("*", F.monotonically_increasing_id().alias("_row"), digest.alias("_digest")), "named")
+    found = ngram_join.similar_components(named, width=5, percent=80, id_col="_row").filter("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_digest", "_row")
+    grouped = named.join(found.select("_row", "component_id"), "_row")
+    first = grouped.groupBy("component_id").agg(F.min(order).getField("_row").alias("_first"))
+    gone = grouped.join(first, "component_id").filter("_row != _first").select("_row")
+    return named.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,13 @@ def test_stages(spark):
     assert {(r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in got} == want
 
 
+def test_one_row_of_each_group(spark, documents):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    docs = documents((1, a), (1, a), (2, b), (2, a), (3, b + " more"), (None, c), (None, c), (4, d), (None, d), (7, ""), (7, ""))
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, SF_DIR).collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (None, c), (4, d), (7, ""), (7, "")], key=repr)
+
+
 def test_empty_and_odd_documents(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
     odd = spark.createDataFrame([(1, None, None, None, None), (None, "words of a text", "en", "s", 15), (2, "", "en", "s", 0),
