@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import byte_bpe, decontaminate, language, main_text, ngram_join, passages, suffix_dedup, surrogates, url_filter, vector_search
+from patchloom.llm import (
+    byte_bpe, decontaminate, language, main_text, ngram_join, passages, simhash, suffix_dedup, surrogates, url_filter, vector_search)
 from patchloom.llm.tools import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +131,8 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) A
     ELSE '' END), ''))) END AS kept_sha256
 FROM b LEFT JOIN lists USING (doc_id)
 """
+
+
+@query
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
