@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patchloom.llm import (
-    byte_bpe, decontaminate, language, main_text, ngram_join, passages, simhash, suffix_dedup, surrogates, url_filter, vector_search)
+    byte_bpe, decontaminate, divergence, language, main_text, ngram_join, passages, role_repair, simhash, suffix_dedup, surrogates, url_filter,
+    vector_search)
 from patchloom.llm.tools import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +137,47 @@ FROM b LEFT JOIN lists USING (doc_id)
 @query
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT row_id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT row_id) >= 10),
+groups AS (SELECT DISTINCT lang, source FROM d),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+held AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+counts AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n, k.total FROM groups g JOIN kept k USING (lang)
+  LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+sizes AS (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL),
+shares AS (
+  SELECT c.lang, c.source, c.term, c.n, 1 + (CAST(1000000000 AS HUGEINT) * (c.n + 2)) // (s.n + 2 * l.v) AS p,
+    1 + (CAST(1000000000 AS HUGEINT) * (c.total + 2)) // (l.n + 2 * l.v) AS q
+  FROM counts c JOIN sizes s USING (lang, source) JOIN langs l USING (lang)),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN apart p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query
+def op13_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = role_repair.damage(table(spark, sf_dir, "conversations"))
+    return role_repair.reports(role_repair.repair(rows))
