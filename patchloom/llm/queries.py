@@ -181,3 +181,68 @@ FROM ranked WHERE part = 'pair' OR rank <= 10
 def op13_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = role_repair.damage(table(spark, sf_dir, "conversations"))
     return role_repair.reports(role_repair.repair(rows))
+
+
+ORACLES["op13_role_repair"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT CAST(n AS UBIGINT) AS n, CAST(n AS UBIGINT) AS c, 0 AS k FROM range(256) t(n)
+  UNION ALL
+  SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+codes AS (SELECT list(c ORDER BY n) AS code FROM bits WHERE k = 8),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+kinds AS (
+  SELECT conv_id, turn, role, text, xor(CAST(4294967295 AS UBIGINT), list_reduce(list_prepend(CAST(4294967295 AS UBIGINT),
+    list_transform(range(1, strlen(name) + 1), lambda i: CAST(ascii(substr(name, i, 1)) AS UBIGINT))),
+    lambda crc, b: xor(crc >> 8, code[CAST(xor(crc, b) & 255 AS BIGINT) + 1]))) % 20 AS kind FROM named, codes),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS nth,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS said,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+talk AS (
+  SELECT conv_id, turn, role, text, nth, bare = '' AS blank, bare <> '' AND said > 1 AS duplicate,
+    bare <> '' AND said = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated,
+    nth > 1 AND left(lag(role) OVER (PARTITION BY conv_id ORDER BY nth), 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal
+  FROM placed),
+moves(state, initial, next) AS (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'p'), ('p', 'u', 'u')),
+puts(state, next, n, put) AS (
+  VALUES ('', '', 0, []), ('', 'u', 1, ['user:']), ('', 'p', 2, ['user:', 'assistant:']), ('s', 's', 0, []), ('s', 'u', 1, ['user:']),
+    ('s', 'p', 2, ['user:', 'assistant:']), ('u', 'u', 0, []), ('u', 'p', 1, ['assistant:']), ('p', 'p', 0, []), ('p', 'u', 1, ['user:'])),
+edits AS (
+  SELECT t.conv_id, t.nth, s.state, s.state AS next, 4 AS price, 'D' AS letter, [] AS kept
+  FROM talk t, (SELECT DISTINCT state FROM puts) s
+  UNION ALL
+  SELECT t.conv_id, t.nth, m.state, m.next, CASE WHEN truncated THEN 3 ELSE 0 END, 'K', [t.role || ':' || t.text]
+  FROM talk t JOIN moves m ON m.initial = left(t.role, 1) WHERE NOT blank AND NOT duplicate
+  UNION ALL
+  SELECT t.conv_id, t.nth, m.state, m.next, CASE WHEN truncated THEN 6 ELSE 3 END, 'R',
+    [CASE m.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END || t.text]
+  FROM talk t JOIN moves m ON m.initial IN ('u', 'a') WHERE NOT blank AND NOT duplicate),
+paths AS (
+  SELECT c.conv_id, CAST(0 AS BIGINT) AS nth, p.next AS state, 3 * p.n AS cost, repeat('I', p.n) AS audit, CAST(p.put AS VARCHAR[]) AS kept
+  FROM (SELECT DISTINCT conv_id FROM conversations) c, puts p WHERE p.state = ''
+  UNION ALL
+  (SELECT h.conv_id, e.nth, p.next, h.cost + e.price + 3 * p.n, h.audit || e.letter || repeat('I', p.n),
+     list_concat(list_concat(h.kept, CAST(e.kept AS VARCHAR[])), CAST(p.put AS VARCHAR[]))
+   FROM paths h JOIN edits e ON e.conv_id IS NOT DISTINCT FROM h.conv_id AND e.nth = h.nth + 1 AND e.state = h.state
+   JOIN puts p ON p.state = e.next
+   QUALIFY row_number() OVER (PARTITION BY h.conv_id, p.next
+     ORDER BY h.cost + e.price + 3 * p.n, h.audit || e.letter || repeat('I', p.n)) = 1)),
+ends AS (
+  SELECT * FROM paths WHERE state IN ('', 'p')
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY nth DESC, cost, audit) = 1),
+sums AS (
+  SELECT conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+    sum(CAST(blank AS INTEGER)) AS blank, sum(CAST(duplicate AS INTEGER)) AS duplicate, sum(CAST(truncated AS INTEGER)) AS truncated,
+    sum(CAST(illegal AS INTEGER)) AS illegal FROM talk GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(cost AS BIGINT) AS cost, audit,
+  sha256(array_to_string(kept, chr(10))) AS repaired_sha256
+FROM ends e LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
