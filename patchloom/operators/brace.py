@@ -1,25 +1,19 @@
-"""Units of brace-delimited languages: start patterns, masked braces, matching ends."""
+"""Units of languages with blocks: start patterns, and the blocks that the lexers find.
+
+Everything happens inside the file's row: start lines are matched by built-in pattern
+functions, one Arrow function lexes the text and gives each start its end line, and only
+units become rows. Nothing is shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from patchloom import config
 from patchloom.functions.text import split_lines, unix_newlines
-
-# One token per comment, literal, brace or newline. Possessive loops keep the
-# matcher off the Java stack on long literals; an open literal runs to the end.
-_BLOCK = r"/\*[\s\S]*?(?:\*/|\z)"
-_DOUBLE = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+(?:"|\\?\z)'
-_SINGLE = r"'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+(?:'|\\?\z)"
-_BACKTICK = r"`[^`]*+(?:`|\z)"
-_RUST_CHAR = r"'(?:\\[^\n]{1,8}?|[^'\\\n])'"
-_PLAIN = r"[{}\n]"
-TOKENS = "|".join([_BLOCK, r"//[^\n]*+", _DOUBLE, _SINGLE, _BACKTICK, _PLAIN])
-TOKENS_BY_LANGUAGE = {
-    "rust": "|".join([_BLOCK, r"//[^\n]*+", _DOUBLE, _RUST_CHAR, _PLAIN]),
-    "php": "|".join([_BLOCK, r"//[^\n]*+", r"#(?!\[)[^\n]*+", _DOUBLE, _SINGLE, _BACKTICK, _PLAIN]),
-}
+from patchloom.operators import lexing
 
 
 def match_line(
@@ -41,64 +35,53 @@ def match_line(
     return found
 
 
+def _found(patterns: list[tuple] | None, keep_control_words: bool) -> Column:
+    """Lines of the file that open a unit, as ``array<struct<line_no, unit>>``."""
+    def found(text: Column, i: Column) -> Column:
+        unit = match_line(F.col("language"), text, patterns, keep_control_words)
+        return F.struct((i + 1).alias("line_no"), unit.alias("unit"))
+
+    return F.filter(F.transform(split_lines(F.col("content")), found), lambda x: x["unit"].isNotNull())
+
+
 def unit_starts(files: DataFrame, patterns: list[tuple] | None = None, keep_control_words: bool = False) -> DataFrame:
     """``file, language, line_no, type, name`` of lines that open a unit.
 
     Lines are matched inside the file's row, so each is tried once and only hits become rows.
     """
-    def found(text: Column, i: Column) -> Column:
-        unit = match_line(F.col("language"), text, patterns, keep_control_words)
-        return F.struct((i + 1).alias("line_no"), unit.alias("unit"))
-
-    hits = F.filter(F.transform(split_lines(F.col("content")), found), lambda x: x["unit"].isNotNull())
+    hits = _found(patterns, keep_control_words)
     return files.select("file", "language", F.inline(hits)).select("file", "language", "line_no", "unit.type", "unit.name")
 
 
-def _tokens(language: Column, content: Column) -> Column:
-    text = unix_newlines(content)
-    found = None
-    for special, regex in TOKENS_BY_LANGUAGE.items():
-        value = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-        found = F.when(language == special, value) if found is None else found.when(language == special, value)
-    return found.otherwise(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)))
+_END = StructType([StructField("end_line", IntegerType()), StructField("inside", BooleanType()), StructField("masked", BooleanType())])
+_MARKS = StructType([StructField("open_literal", BooleanType()), *[StructField(n, IntegerType()) for n in ("opens", "closes", "unclosed")]])
 
 
-def braces(files: DataFrame) -> DataFrame:
-    """``file, pos, line_no, step`` (+1 open, -1 close) of braces outside literals and comments.
+@F.arrow_udf(ArrayType(_END))
+def unit_ends(language: pa.Array, text: pa.Array, lines: pa.Array) -> pa.Array:
+    """Per start line: the line of the closing mark (null if there is none), whether the unit lies
+    inside an earlier one, whether the line begins inside a literal or comment."""
+    kind = pa.list_(pa.struct([("end_line", pa.int32()), ("inside", pa.bool_()), ("masked", pa.bool_())]))
+    found = (
+        lexing.bodies(k.as_py(), t.as_py() or "", n.as_py() or []) if k.is_valid and k.as_py() in lexing.RULES else []
+        for k, t, n in zip(language, text, lines))
+    return pa.array([[{"end_line": e, "inside": i, "masked": m} for e, i, m in one] for one in found], kind)
 
-    Tokens shrink to two small integers before any row leaves the scan.
-    """
-    steps = F.transform(
-        _tokens(F.col("language"), F.col("content")),
-        lambda t: F.struct(
-            F.when(t == "{", 1).when(t == "}", -1).otherwise(0).alias("step"),
-            (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).alias("newlines"),
-        ),
-    )
-    rows = files.select("file", F.posexplode(steps).alias("pos", "t")).select("file", "pos", "t.*")
-    before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        rows.withColumn("line_no", F.coalesce(F.sum("newlines").over(before), F.lit(0)).cast("int") + 1)
-        .filter("step <> 0")
-        .select("file", "pos", "line_no", "step")
-    )
-
-
-def brace_pairs(marks: DataFrame) -> DataFrame:
-    """``file, pos, line_no, close_line`` per opening brace (null when never closed).
-
-    An opening brace and its partner share a nesting level, and the partner is the
-    next brace on that level.
-    """
-    running = Window.partitionBy("file").orderBy("pos")
-    depth = F.sum("step").over(running.rowsBetween(Window.unboundedPreceding, 0))
-    level = marks.withColumn("level", F.when(F.col("step") == 1, depth).otherwise(depth + 1))
-    partner = Window.partitionBy("file", "level").orderBy("pos")
-    return (
-        level.withColumn("close_line", F.lead("line_no").over(partner))
-        .filter("step = 1")
-        .select("file", "pos", "line_no", "close_line")
-    )
+
+@F.arrow_udf(_MARKS)
+def block_marks(language: pa.Array, text: pa.Array) -> pa.Array:
+    """Whether a literal or comment never ends, and how many block marks there are."""
+    out = []
+    for k, t in zip(language, text):
+        found = lexing.lex(k.as_py(), t.as_py() or "") if k.is_valid and k.as_py() in lexing.RULES else None
+        if found is None:
+            out.append(None)
+            continue
+        opens = found.step > 0
+        out.append({
+            "open_literal": found.open, "opens": int(opens.sum()), "closes": int((~opens).sum()),
+            "unclosed": int((lexing.partners(found.step)[opens] < 0).sum())})
+    return pa.array(out, pa.struct([("open_literal", pa.bool_()), ("opens", pa.int32()), ("closes", pa.int32()), ("unclosed", pa.int32())]))
 
 
 def brace_units(
@@ -106,54 +89,36 @@ def brace_units(
     patterns: list[tuple] | None = None,
     nested: bool = False,
     keep_control_words: bool = False,
+    keep_masked: bool = False,
 ) -> DataFrame:
     """``file, language, type, name, start_line, end_line`` of units with a closed body.
 
-    A file is one row of ``files``, so each window below works on the lines of one
-    value; only line numbers and small integers are shuffled. With ``nested=False``
-    units inside an already kept unit are dropped.
+    With ``nested=False`` units inside an earlier one are dropped; with ``keep_masked=False``
+    lines inside literals and comments start no unit.
     """
-    starts = unit_starts(files, patterns, keep_control_words)
-    opens = brace_pairs(braces(files))
-    stream = starts.select(
-        "file", "line_no", F.lit(-1).alias("pos"), F.struct("language", "type", "name").alias("unit"),
-        F.lit(None).cast("struct<pos:int,close_line:int>").alias("body"),
-    ).unionByName(
-        opens.select(
-            "file", "line_no", "pos",
-            F.lit(None).cast("struct<language:string,type:string,name:string>").alias("unit"),
-            F.struct("pos", "close_line").alias("body"),
-        )
-    )
-    # Nearest opening brace at or after the line: a scan from the end of the file.
-    from_end = (
-        Window.partitionBy("file").orderBy(F.col("line_no").desc(), F.col("pos").desc())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    closed = (
-        stream.withColumn("body", F.last("body", ignorenulls=True).over(from_end))
-        .filter(F.col("unit").isNotNull() & F.col("body.close_line").isNotNull())
-        .select(
-            "file", "unit.*", F.col("line_no").alias("start_line"), F.col("body.close_line").alias("end_line")
-        )
-    )
-    if nested:
-        return closed
-    earlier = Window.partitionBy("file").orderBy("start_line").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        closed.withColumn("_covered", F.max("end_line").over(earlier))
-        .filter(F.coalesce(F.col("_covered") < F.col("end_line"), F.lit(True)))
-        .drop("_covered")
-    )
+    text = unix_newlines(F.col("content"))
+    starts = files.select("file", "language", text.alias("_text"), _found(patterns, keep_control_words).alias("_starts"))
+    # files without a start line need no lexing
+    ended = starts.filter(F.size("_starts") > 0).withColumn(
+        "_ends", unit_ends("language", "_text", F.transform("_starts", lambda s: s["line_no"])))
+    units = F.zip_with("_starts", "_ends", lambda s, e: F.struct(
+        s["unit"]["type"].alias("type"), s["unit"]["name"].alias("name"), s["line_no"].alias("start_line"), e["end_line"].alias("end_line"),
+        e["inside"].alias("_inside"), e["masked"].alias("_masked")))
+    rows = ended.select("file", "language", F.inline(units)).filter("end_line IS NOT NULL")
+    if not keep_masked:
+        rows = rows.filter("NOT _masked")
+    if not nested:
+        rows = rows.filter("NOT _inside")
+    return rows.drop("_inside", "_masked")
 
 
 def open_literals(files: DataFrame) -> DataFrame:
-    """``file, open_literal``: files whose last literal or block comment never ends."""
-    last = F.try_element_at(_tokens(F.col("language"), F.col("content")), F.lit(-1))
-    starts_literal = last.rlike(r"^(?:/\*|[\"'`])")
-    closed = (
-        (last.startswith("/*") & last.endswith("*/") & (F.length(last) >= 4))
-        | (~last.startswith("/*") & (F.length(last) >= 2) & (F.left(last, F.lit(1)) == F.right(last, F.lit(1)))
-           & ~last.rlike(r"(?<!\\)(?:\\\\)*\\[\"']\z"))
-    )
-    return files.select("file", F.coalesce(starts_literal & ~closed, F.lit(False)).alias("open_literal"))
+    """``file, open_literal``: files with a literal or block comment that never ends."""
+    marks = block_marks("language", unix_newlines(F.col("content")))
+    return files.select("file", F.coalesce(marks["open_literal"], F.lit(False)).alias("open_literal"))
+
+
+def block_balance(files: DataFrame) -> DataFrame:
+    """``file, language, opens, closes, unclosed``: block marks outside literals and comments."""
+    marks = block_marks("language", unix_newlines(F.col("content")))
+    return files.select("file", "language", marks.alias("m")).select("file", "language", "m.opens", "m.closes", "m.unclosed")

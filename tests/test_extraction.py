@@ -1,9 +1,13 @@
 """Unit extraction on hand-written files in several languages."""
 
+import random
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patchloom.operators import brace, python_units
+from patchloom.operators import brace, lexing, python_units
 
 PYTHON = '''import x
 
@@ -162,32 +166,120 @@ def test_open_literal_is_flagged(spark):
         "ok": False, "open": True, "block": True, "none": False}
 
 
-def naive_pairs(marks):
-    """Stack matching, to compare the window form with."""
+# Texts whose literals and comments hold block marks; the steps are what is left outside them.
+LITERALS = [
+    ("javascript", 'a = `x ${ {b: `}${1}`} } }`; if (/[{"]/.test(s)) { x = a / b; "}" } // {\n', [1, -1, 1, -1], False),
+    ("javascript", "x = y / 2; z = '}' / 3\nreturn /}/g\n", [], False),
+    ("typescript", "`open ${ {} } {\n", [1, -1], True),
+    ("javascript", 's = "open {\nfunction f() {\n}\n', [1, -1], True),
+    ("java", 'String s = """\n } " { \\""" x\n"""; char c = \'"\'; {}', [1, -1], False),
+    ("c", "int n = 1'000'000; char c = '{'; char d = '\\''; { /* } */ }", [1, -1], False),
+    ("cpp", 'auto s = R"x( } )" { )x"; auto t = u8R"(")"; { }', [1, -1], False),
+    ("cpp", "#error don't {\n{}", [1, -1], True),
+    ("go", "x := `{\"` + \"}\"; r := '{'\nfunc f() {}", [1, -1], False),
+    ("rust", "fn f<'a>(x: &'a str) { let s = r##\"\"} \"# {\"##; let c = '}'; /* a /* { */ } */ let q = '\\u{1F600}'; }", [1, -1], False),
+    ("rust", "/* /* */ {", [], True),
+    ("php", "<b>{</b><?php # } x ?>{<?php function f() { $x = <<<EOT\n } {$a}\n  EOT; return \"}{$x}\"; } #[A]\n{}", [1, -1, 1, -1], False),
+    ("php", "$s = <<<'X'\n{\nX;\nfunction f() { }", [1, -1], False),
+    ("php", "$s = <<<X\n{\n", [], True),
+    ("ruby", "class A\n  s = \"a #{x.map do |y| \"}#{y}\" end} end\"\n  return 1 if x\nend\n", [1, 1, -1, -1], False),
+    ("ruby", "y = <<~EOS.strip + <<~TWO\n  end class\nEOS\n  def\nTWO\nwhile x do\n  z = %w(end (def) class)\nend\n", [1, -1], False),
+    ("ruby", "def n = 1\ndef m(a)\n  v = if a then 1 else 2 end\n  /end/ =~ v\n  a.end; {end: 1}\nend\n__END__\nclass\n", [1, 1, -1, -1], False),
+    ("ruby", "x <<FOO\n=begin\nend\n=end\nmodule M; end\n", [1, -1], False),
+]
+
+
+@pytest.mark.parametrize("language, text, steps, never", LITERALS)
+def test_marks_outside_literals(language, text, steps, never):
+    found = lexing.lex(language, text)
+    assert (found.step.tolist(), found.open) == (steps, never)
+
+
+@pytest.mark.parametrize("language", lexing.LANGUAGES)
+def test_lexers_take_any_text(language):
+    rng = random.Random(language)
+    parts = ["{", "}", '"', "'", "`", "${", "#{", "/*", "*/", "//", "\n", "\\", "<<<EOT\n", "<<~EOT", "EOT", 'R"x(', ')x"', "r#\"", "\"#", "#", "/",
+             "a", "end", "def f", "class A", " ", "%w(", ")", "<?php", "?>", "if", "é\U0001F600"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        found = lexing.lex(language, text)
+        assert len(found.at) == len(found.step) and (np.diff(found.at) > 0).all()
+        assert all(0 <= a <= b <= len(text) for a, b in found.spans.tolist())
+        n = text.count("\n") + 1
+        for end, inside, _ in lexing.bodies(language, text, list(range(1, n + 1))):
+            assert end is None and not inside or 1 <= end <= n
+
+
+RUBY = """# class No
+module Shop
+  class Item < Base
+    attr_reader :name
+    def initialize(name)
+      @name = name unless name.nil?
+    end
+    def ==(other) = other.name == name
+    def self.load(rows)
+      rows.each do |r|
+        puts "end #{r}" if r
+      end
+    end
+  end
+end
+def price=(v)
+  @v = case v when 1 then 2 end
+end
+"""
+
+
+def test_ruby_units(spark):
+    assert units(spark, "ruby", RUBY) == [(2, 15, "module", "Shop"), (16, 18, "method", "price=")]
+    inside = units(spark, "ruby", RUBY, nested=True)
+    assert {(3, 14, "class", "Item"), (5, 7, "method", "initialize"), (9, 13, "method", "load")} <= set(inside)
+
+
+def test_lines_in_comments_start_no_unit(spark):
+    content = "/*\nfunction a() {\n}\n*/\nconst s = `\nclass B {\n}\n`\nfunction c() {\n}\n"
+    assert units(spark, "javascript", content) == [(9, 10, "function", "c")]
+    assert len(units(spark, "javascript", content, keep_masked=True)) == 3
+
+
+def test_a_file_of_many_braces(spark):
+    n = 100_000
+    content = "function a() {\n" * n + "}\n" * n
+    assert units(spark, "javascript", content) == [(1, 2 * n, "function", "a")]
+    df = spark.createDataFrame([("f", "go", content), ("g", "xyz", content), ("h", "go", None)], "file STRING, language STRING, content STRING")
+    got = {r["file"]: (r["opens"], r["closes"], r["unclosed"]) for r in brace.block_balance(df).collect()}
+    assert got == {"f": (n, n, 0), "g": (None, None, None), "h": (0, 0, 0)}
+
+
+def test_units_need_no_shuffle(spark):
+    df = spark.createDataFrame([("f", "go", "x")], "file STRING, language STRING, content STRING")
+    plan = brace.brace_units(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def naive_pairs(steps):
+    """Stack matching, to compare the level form with."""
     stack, found = [], {}
-    for pos, step in marks:
+    for k, step in enumerate(steps):
         if step == 1:
-            stack.append(pos)
+            stack.append(k)
         elif stack:
-            found[stack.pop()] = pos
+            found[stack.pop()] = k
     return found
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_pairs_equal_stack(spark, seed):
-    import random
-
+@pytest.mark.parametrize("seed", range(20))
+def test_partners_equal_a_stack(seed):
     rng = random.Random(seed)
-    marks = [(i, rng.choice([1, 1, -1])) for i in range(60)]
+    steps = [rng.choice([1, 1, -1, -1] if seed % 2 else [1, 1, -1]) for _ in range(rng.randint(0, 80))]
     depth, kept = 0, []
-    for pos, step in marks:
-        if step == -1 and depth == 0:
-            continue
-        depth += step
-        kept.append((pos, step))
-    df = spark.createDataFrame([("f", p, p, s) for p, s in kept], "file STRING, pos INT, line_no INT, step INT")
-    got = {r["pos"]: r["close_line"] for r in brace.brace_pairs(df).collect() if r["close_line"] is not None}
-    assert got == naive_pairs(kept)
+    for step in steps:
+        if depth + step >= 0:
+            depth += step
+            kept.append(step)
+    got = lexing.partners(np.array(kept, np.int64))
+    assert {k: int(p) for k, p in enumerate(got) if p >= 0} == naive_pairs(kept)
 
 
 def parsed(spark, content):
