@@ -187,6 +187,10 @@ def lex(language: str, text: str) -> Lexed:
             if change:
                 at.append(start)
                 step.append(change)
+            if change == 1 and _ENDLESS.match(text, start):
+                line = text.find("\n", start)
+                at.append(end if line < 0 else line)  # the body ends with its line
+                step.append(-1)
         else:
             if kind == "raw":
                 closing = ")" + found["mark"] + '"' if language == "cpp" else '"' + found["mark"]
@@ -214,7 +218,8 @@ def lex(language: str, text: str) -> Lexed:
         never = True
         if mode != "code":
             spans.append((begun, end))
-    return Lexed(np.array(at, np.int64), np.array(step, np.int64), np.array(sorted(spans), np.int64).reshape(-1, 2), never)
+    order = np.argsort(np.array(at, np.int64), kind="stable")
+    return Lexed(np.array(at, np.int64)[order], np.array(step, np.int64)[order], np.array(sorted(spans), np.int64).reshape(-1, 2), never)
 
 
 def _ruby_step(text: str, found: re.Match, loop: int) -> tuple[int, int]:
@@ -232,8 +237,6 @@ def _ruby_step(text: str, found: re.Match, loop: int) -> tuple[int, int]:
     if word in ("while", "until", "for"):
         line = text.find("\n", start)
         loop = len(text) if line < 0 else line
-    if word == "def" and _ENDLESS.match(text, start):
-        return loop, 0
     return loop, 1
 
 

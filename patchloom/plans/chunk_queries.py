@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from patchloom import schemas
 from patchloom.operators import brace, chunks, python_units, structure
-from patchloom.plans import derive
+from patchloom.plans import block_samples, derive
 from patchloom.plans.registry import query, read
 from patchloom.skew import heavy_keys, scan_within
 from patchloom.sources import envelopes
@@ -173,17 +173,44 @@ def brace_units(spark, sf_dir):
     return brace.brace_units(derive.brace_files(spark, sf_dir))
 
 
+@query("block_units", f"""
+WITH {block_samples.EXPECTED}
+SELECT file, language, type, name, start_line, end_line FROM expected WHERE NOT nested""")
+def block_units(spark, sf_dir):
+    return brace.brace_units(block_samples.files(spark, sf_dir))
+
+
+@query("block_units_nested", f"""
+WITH {block_samples.EXPECTED}
+SELECT file, language, type, name, start_line, end_line FROM expected""")
+def block_units_nested(spark, sf_dir):
+    return brace.brace_units(block_samples.files(spark, sf_dir), nested=True)
+
+
+@query("block_balance", f"""
+WITH {block_samples.EXPECTED}
+SELECT file, language, true AS even FROM (SELECT DISTINCT file, language FROM expected)""")
+def block_balance(spark, sf_dir):
+    marks = brace.block_balance(block_samples.files(spark, sf_dir))
+    return marks.select("file", "language", ((F.col("opens") == F.col("closes")) & (F.col("unclosed") == 0)).alias("even"))
+
+
 @query("brace_unit_code", """
 WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
 SELECT 'b/d' || doc_id AS file, 'f' || doc_id AS name,
   CASE doc_id % 3 WHEN 0 THEN 'function f' || doc_id || '(a) {' WHEN 1 THEN 'func f' || doc_id || '(a int) {' ELSE 'int f' || doc_id || '(int a) {' END
   || chr(10) || '  if (a) {' || chr(10) || '    s = "}";  // }' || chr(10) || '  }' || chr(10)
   || array_to_string(list_transform(l, lambda x: '  // { ' || x), chr(10)) || chr(10) || '}' AS code
+FROM lines
+UNION ALL
+SELECT 'b/d' || doc_id, 'K' || doc_id,
+  CASE doc_id % 3 WHEN 0 THEN 'class K' || doc_id || ' {' WHEN 1 THEN 'type K' || doc_id || ' struct {' ELSE 'struct K' || doc_id || ' {' END
+  || chr(10) || '  m(a) {' || chr(10) || '  }' || chr(10) || '}'
 FROM lines""")
 def brace_unit_code(spark, sf_dir):
     files = derive.brace_files(spark, sf_dir)
     coded = chunks.with_code(brace.brace_units(files), files)
-    return coded.filter("type = 'function'").select("file", "name", "code")
+    return coded.select("file", "name", "code")
 
 
 @query("python_units", f"""

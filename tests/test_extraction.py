@@ -184,7 +184,7 @@ LITERALS = [
     ("php", "$s = <<<X\n{\n", [], True),
     ("ruby", "class A\n  s = \"a #{x.map do |y| \"}#{y}\" end} end\"\n  return 1 if x\nend\n", [1, 1, -1, -1], False),
     ("ruby", "y = <<~EOS.strip + <<~TWO\n  end class\nEOS\n  def\nTWO\nwhile x do\n  z = %w(end (def) class)\nend\n", [1, -1], False),
-    ("ruby", "def n = 1\ndef m(a)\n  v = if a then 1 else 2 end\n  /end/ =~ v\n  a.end; {end: 1}\nend\n__END__\nclass\n", [1, 1, -1, -1], False),
+    ("ruby", "def n = 1\ndef m(a)\n  v = if a then 1 else 2 end\n  /end/ =~ v\n  a.end; {end: 1}\nend\n__END__\nclass\n", [1, -1, 1, 1, -1, -1], False),
     ("ruby", "x <<FOO\n=begin\nend\n=end\nmodule M; end\n", [1, -1], False),
 ]
 
