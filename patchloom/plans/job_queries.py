@@ -8,7 +8,15 @@ from patchloom.operators import jobs
 from patchloom.plans import derive
 from patchloom.plans.registry import query, read
 from patchloom.session import work_path
-from patchloom.streaming import stage_stream
+from patchloom.streaming import job_stream, stage_stream
+
+
+def _event_stream(spark, sf_dir):
+    """The event table as a stream; its times mean UTC."""
+    schema = read(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
 
 MARKERS = """
 lines AS (
@@ -93,7 +101,8 @@ status AS (
   FROM states GROUP BY 1)"""
 
 
-@query("job_state_latest", f"""
+# Status, stage and steps of every job.
+JOB_STATE = f"""
 WITH {MARKERS}, {STATUS},
 latest AS (SELECT job_id, arg_max(stage, ts) AS stage, arg_max(stage_label, ts) AS stage_label, max(ts) AS marked FROM markers GROUP BY 1),
 span AS (SELECT job_id, min(ts) FILTER (status = 'running') AS started_at, max(ts) AS seen_at FROM states GROUP BY 1),
@@ -104,21 +113,48 @@ ended AS (
     CASE WHEN timed_out THEN 0.0 WHEN s.status IN ('completed', 'failed') THEN 5.0 ELSE stage END::DOUBLE AS stage,
     CASE WHEN timed_out THEN 'idle' WHEN s.status IN ('completed', 'failed') THEN 'done' WHEN s.status = 'cancelled' THEN 'cancelled' ELSE stage_label END AS stage_label
   FROM late s LEFT JOIN latest l ON s.job_id = l.job_id)
-SELECT job_id, status, stage, stage_label, epoch_us(marked) AS stage_us, epoch_us(updated_at) AS status_us,
+"""
+JOB_STATE_COLUMNS = """
+  status, stage, stage_label, epoch_us(marked) AS stage_us, epoch_us(updated_at) AS status_us,
   CASE WHEN stage > 1 THEN 'completed' WHEN stage = 1 THEN 'active' ELSE 'pending' END AS step_1,
   CASE WHEN stage > 2 THEN 'completed' WHEN stage = 2 THEN 'active' ELSE 'pending' END AS step_2,
   CASE WHEN stage > 3 THEN 'completed' WHEN stage = 3 THEN 'active' ELSE 'pending' END AS step_3,
-  CASE WHEN stage > 4 THEN 'completed' WHEN stage = 4 THEN 'active' ELSE 'pending' END AS step_4
-FROM ended""")
+  CASE WHEN stage > 4 THEN 'completed' WHEN stage = 4 THEN 'active' ELSE 'pending' END AS step_4"""
+
+
+def _state_columns(rows):
+    """The columns of a job's state from its status, its latest marker and the times of both."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return jobs.final_stage(rows).select(
+        "job_id", "status", "stage", "stage_label", us("stage_at").alias("stage_us"), us("status_at").alias("status_us"),
+        *[jobs.step_state(F.col("stage"), n).alias(f"step_{n}") for n in range(1, 5)], *[c for c in rows.columns if c == "overdue"])
+
+
+@query("job_state_latest", f"{JOB_STATE}SELECT job_id, {JOB_STATE_COLUMNS} FROM ended")
 def job_state_latest(spark, sf_dir):
     events = read(spark, sf_dir, "events")
-    stage = jobs.current_stage(jobs.parse_markers(derive.stage_lines(events)))
+    stage = jobs.current_stage(jobs.parse_markers(derive.stage_lines(events))).withColumnRenamed("updated_at", "stage_at")
     status = jobs.timeouts(jobs.job_status(derive.status_events(events))).withColumnRenamed("updated_at", "status_at")
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return jobs.final_stage(status.join(stage, "job_id", "left")).select(
-        "job_id", "status", "stage", "stage_label", us("updated_at").alias("stage_us"), us("status_at").alias("status_us"),
-        *[jobs.step_state(F.col("stage"), n).alias(f"step_{n}") for n in range(1, 5)],
-    )
+    return _state_columns(status.join(stage, "job_id", "left"))
+
+
+@query("stream_job_state", f"""{JOB_STATE},
+bounds AS (
+  SELECT job_id, epoch_us(min(ts) FILTER (status = 'running')) + 1800000000 AS deadline,
+    epoch_us(min(ts) FILTER (status IN ('completed', 'failed', 'cancelled'))) AS end_us FROM states GROUP BY 1),
+mark AS (SELECT epoch_us(max(ts)) - 3600000000 AS us FROM events)
+SELECT job_id, coalesce(deadline < mark.us AND (end_us IS NULL OR end_us > deadline), false) AS overdue, {JOB_STATE_COLUMNS}
+FROM ended JOIN bounds USING (job_id), mark""")
+def stream_job_state(spark, sf_dir):
+    """The state of every job by way of the stream, and which jobs it reported as past their limit."""
+    events = _event_stream(spark, sf_dir)
+    changes = job_stream.job_changes(job_stream.job_events(derive.stage_lines(events), derive.status_events(events)))
+    feed = job_stream.job_feed(spark, work_path(spark, "jobs"))
+    job_stream.keep_jobs(changes, feed, work_path(spark, "jobs-progress"))
+    rows = feed.read(job_stream.feed_schema(spark))
+    table = job_stream.job_table(rows).withColumnRenamed("updated_at", "status_at")
+    marks = rows.select("job_id", job_stream.overdue(rows).alias("overdue"))
+    return _state_columns(jobs.timeouts(table).join(marks, "job_id"))
 
 
 @query("job_timeouts", f"""
@@ -187,9 +223,7 @@ WITH {MARKERS}
 SELECT job_id, arg_max(stage, ts) AS stage, arg_max(stage_label, ts) AS stage_label, epoch_us(max(ts)) AS updated_us
 FROM markers GROUP BY 1""")
 def stream_stage_state(spark, sf_dir):
-    events = spark.readStream.schema(read(spark, sf_dir, "events").schema).option(
-        "pathGlobFilter", "events.parquet").parquet(sf_dir)
-    lines = derive.stage_lines(events).withColumn("ts", F.col("ts").cast("timestamp"))
+    lines = derive.stage_lines(_event_stream(spark, sf_dir))
     feed = work_path(spark, "stage-feed")
     changes = stage_stream.change_feed(stage_stream.stage_state(lines), feed, work_path(spark, "stage-feed-progress"))
     changes.awaitTermination()
