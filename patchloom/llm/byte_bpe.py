@@ -12,16 +12,16 @@ Other columns are not read.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from patchloom.llm.tools import portions
+from patchloom.llm.tools import held, portions
 
 # Pieces remembered per Python worker; a table beyond that is emptied between portions.
 REMEMBERED = 120_000
@@ -76,15 +76,25 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
     return b"".join(out) + _field(2, trainer) + _field(3, identity)
 
 
-class Codec:
+class Decoder:
+    """The byte strings of a vocabulary by rank."""
+
+    def __init__(self, path: str):
+        self.ranks = read_ranks(path)
+        self.pieces = [piece for piece, _ in sorted(self.ranks.items(), key=lambda x: x[1])]
+
+    def decode(self, ids) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids))
+
+
+class Codec(Decoder):
     """Encoder and decoder of one vocabulary."""
 
     def __init__(self, path: str, pattern: str):
         import regex
         import sentencepiece
 
-        self.ranks = read_ranks(path)
-        self.pieces = [piece for piece, _ in sorted(self.ranks.items(), key=lambda x: x[1])]
+        super().__init__(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
         self.letters = byte_letters()
         self.split = regex.compile(pattern).findall
@@ -132,14 +142,15 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_all([text])[0], "<u4").tolist()
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
-
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One codec per worker process."""
-    return Codec(path, pattern)
+    return held(("codec", path, pattern), lambda: Codec(path, pattern))
+
+
+def decoder(path: str) -> Decoder:
+    """Decoding needs no model."""
+    return held(("pieces", path), lambda: Decoder(path))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,11 +167,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """``id_col, n_tokens, packed binary, decoded binary``: ``packed`` holds the ids as
     little-endian unsigned 32-bit integers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = decoder(path)
         # few rows at a time: a row of ids decodes to about as many bytes as it has itself
         for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             lists = batch.column(1)
@@ -181,7 +192,17 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_tokens, ids_sha256, decoded_sha256``."""
-    done = decode(encode(docs, path, pattern, id_col, text_col), path, pattern, id_col)
-    return done.select(
-        id_col, "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``id_col, n_tokens, ids_sha256, decoded_sha256``: every text encoded, and its ids decoded
+    again, in one pass, so that a worker holds one codec and no ids of another row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for batch in (part for b in batches for part in portions(b, 1)):
+            rows = []
+            for ids in own.encode_all([t or "" for t in batch.column(1).to_pylist()]):
+                decoded = own.decode(np.frombuffer(ids, "<u4").tolist())
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

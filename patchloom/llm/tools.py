@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +63,26 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: one model or index at a time, so a worker that
+    goes from one operator to the next holds only the last one's."""
+    if _held.get("key") != key:
+        _held.clear()
+        _held.update(key=key, value=make())
+    return _held["value"]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 over uint64 (wraps around)."""
     x = x + _GOLDEN
