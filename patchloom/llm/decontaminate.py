@@ -7,20 +7,22 @@ neighbouring diagonals. So shared q-grams are counted in overlapping bands of
 diagonals; a region whose count meets the bound is aligned with the item inside
 the band, and stays if it needs no more than ``k`` edits.
 
-Items that are null or shorter than ``q`` bytes match nothing, as do null and empty
-documents. Repeated rows give repeated hits.
+Items shorter than ``q`` bytes have no q-gram: they are looked up as they are, where no
+letter, digit or underscore stands next to them. Null and empty items match nothing, as
+do null and empty documents. Repeated rows give repeated hits.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from patchloom.llm.tools import portions
+from patchloom.llm.tools import held, portions
 
 # Bytes of a q-gram; edits allowed per byte of an item.
 Q = 10
@@ -76,6 +78,13 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]], q: int, budget: float):
         self.q = q
         self.items = [(key, text) for key, text in items if len(text) >= q]
+        self.short: dict[bytes, list[int]] = {}
+        for key, text in items:
+            if 0 < len(text) < q:
+                self.short.setdefault(text, []).append(key)
+        # one look-ahead per length, as items can overlap
+        by_size = [sorted(t for t in self.short if len(t) == n) for n in range(1, q)]
+        self.lookups = [re.compile(b"(?<![0-9a-z_\x80-\xff])(?=(" + b"|".join(map(re.escape, t)) + b")(?![0-9a-z_\x80-\xff]))") for t in by_size if t]
         sizes = np.array([len(t) for _, t in self.items], np.int64)
         self.most = np.array([edits_allowed(m, q, budget) for m in sizes], np.int64)
         self.need = sizes + 1 - q - self.most * q
@@ -144,19 +153,15 @@ class Index:
             hit = (key, start, min(len(text), start + len(pattern) if exact >= 0 else high + len(pattern)), edits)
             if not any(h[0] == key and h[1] <= hit[2] and hit[1] <= h[2] and h[3] <= edits for h in out[k]):
                 out[k].append(hit)
+        for pattern in self.lookups:
+            for hits, text in zip(out, texts):
+                hits += [(key, m.start(), m.end(1), 0) for m in pattern.finditer(text) for key in self.short[m[1]]]
         return out
 
 
-_indexes: dict[tuple, Index] = {}
-
-
 def _own_index(sent, q: int, budget: float) -> Index:
     """One index per worker process and block."""
-    key = (hash(tuple(sent.value)), q, budget)
-    if key not in _indexes:
-        _indexes.clear()
-        _indexes[key] = Index(sent.value, q, budget)
-    return _indexes[key]
+    return held(("benchmark", hash(tuple(sent.value)), q, budget), lambda: Index(sent.value, q, budget))
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from patchloom.llm.tools import portions
+from patchloom.llm.tools import held, portions
 
 # Labelled texts sampled per language, and characters learnt from per language.
 SAMPLE_TEXTS = 200
@@ -33,6 +33,13 @@ REMEMBERED = 250_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
+# Numerals such as fractions and circled digits that the pattern takes for letters.
+_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x30000)) if _WORD.match(c) and not c.isalpha()) + "]")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    return _WORD.findall(_NUMERALS.sub(" ", text.lower()))
 
 
 class SuffixAutomaton:
@@ -97,7 +104,7 @@ class Judge:
                 self.costs[at] = [a.phrases(f" {word} ") for a in self.automata]
 
     def judge(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.names:
             return UNKNOWN, 0.0
         if len(self.place) > REMEMBERED:
@@ -129,31 +136,26 @@ def samples(docs: DataFrame, text_col: str, label_col: str, id_col: str) -> dict
     if not keys:
         return {}
     nth = {(k["lang"], k["id"]): k["nth"] for k in keys}
-    rows = docs.filter(F.col(id_col).isin([k["id"] for k in keys])).select(
-        F.col(label_col).cast("string").alias("lang"), F.col(id_col).alias("id"),
-        F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text")).collect()
+    # rows that repeat an id give one text, so what is collected stays bounded
+    rows = docs.filter(F.col(id_col).isin([k["id"] for k in keys])).groupBy(
+        F.col(label_col).cast("string").alias("lang"), F.col(id_col).alias("id")).agg(
+        F.min(F.substring(F.col(text_col), 1, SAMPLE_CHARS)).alias("text")).collect()
     found: dict[str, str] = {}
     for row in sorted((r for r in rows if (r["lang"], r["id"]) in nth and r["text"]), key=lambda r: nth[r["lang"], r["id"]]):
-        words = " ".join(_WORD.findall(row["text"].lower()))
+        words = " ".join(words_of(row["text"]))
         found[row["lang"]] = f"{found.get(row['lang'], ' ')}{words} "[:SAMPLE_CHARS]
     return found
 
 
-_judges: dict[int, Judge] = {}
-
-
 def _own_judge(known: dict[str, str]) -> Judge:
     """One judge per worker process and sample."""
-    key = hash(tuple(sorted(known.items())))
-    if key not in _judges:
-        _judges.clear()
-        _judges[key] = Judge(known)
-    return _judges[key]
+    return held(("language", hash(tuple(sorted(known.items())))), lambda: Judge(known))
 
 
-def predict(docs: DataFrame, known: dict[str, str], text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, known: dict[str, str], text_col: str = "text", lang_col: str = "lang_pred",
+            score_col: str = "score") -> DataFrame:
+    """``docs`` with the prediction and its score; columns of these names are replaced."""
+    docs = docs.drop(lang_col, score_col)
     sent = docs.sparkSession.sparkContext.broadcast(known)  # at most MAX_LANGUAGES * SAMPLE_CHARS characters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +164,9 @@ def predict(docs: DataFrame, known: dict[str, str], text_col: str = "text") -> D
             found = [judge.judge(t) for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"])
+                [*batch.schema.names, lang_col, score_col])
 
-    out = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    out = StructType([*docs.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType())])
     return docs.mapInArrow(run, out)
 
 

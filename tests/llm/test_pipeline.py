@@ -58,3 +58,9 @@ def test_empty_and_odd_documents(spark):
         for name, stage in corpus_pipeline.STAGES:
             given = stored(stage(spark, given, SF_DIR), "t")
         assert given.count() == want
+
+
+def test_language_stage_keeps_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(1, "the old house and the sea", "en", "s", 25, 0.25, "x")],
+                                 "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string")
+    assert [tuple(r) for r in corpus_pipeline.known_language(spark, docs, SF_DIR).collect()] == [tuple(r) for r in docs.collect()]

@@ -95,6 +95,13 @@ def test_language_odd_rows(spark, documents):
     assert [r["lang_pred"] for r in language.identify(unlabelled).collect()] == ["und"]
 
 
+def test_language_of_numerals_and_repeated_ids(spark, documents):
+    docs = documents((1, "½ ² ① Ⅷ", "en"), (2, "the old house and the sea", "en"), *[(5, f"das alte Haus {k}", "de") for k in range(40)])
+    assert {r["lang_pred"] for r in language.identify(docs).filter("doc_id = 1").collect()} == {"und"}
+    known = language.samples(docs, "text", "lang", "doc_id")
+    assert known["de"].split() == ["das", "alte", "haus"]
+
+
 def test_language_labels_are_no_input(spark, documents):
     train = documents((1, "the old house and the sea of the north", "en"), (5, "das alte Haus und die See im Norden", "de"))
     known = language.samples(train, "text", "lang", "doc_id")
@@ -179,6 +186,14 @@ def test_benchmark_rows(spark, rows, documents):
     assert decontaminate.clean(docs, benchmark.limit(0)).count() == 5
 
 
+def test_short_benchmark_items_are_looked_up(spark, rows, documents):
+    benchmark = spark.createDataFrame([(1, "short one"), (2, "Yes"), (3, "one here"), (4, "Yes"), (5, "été")], "item_id long, text string")
+    docs = documents((1, "a short  ONE here"), (2, "yes, yes."), (3, "yesterday a short onerous thing"), (4, "l'été dernier"), (5, "étés"))
+    got = rows(decontaminate.find(docs, benchmark), "doc_id", "item_id", "start", "edits")
+    assert got == sorted([(1, 1, 2, 0), (1, 3, 8, 0), (2, 2, 0, 0), (2, 2, 5, 0), (2, 4, 0, 0), (2, 4, 5, 0), (4, 5, 2, 0)], key=repr)
+    assert rows(decontaminate.clean(docs, benchmark), "doc_id") == [(3,), (5,)]
+
+
 def test_benchmark_blocks_find_the_same(spark, rows, monkeypatch):
     docs, benchmark = (spark.read.parquet(f"{SF_DIR}/{n}.parquet") for n in ("documents", "benchmark"))
     whole = rows(decontaminate.find(docs, benchmark))
