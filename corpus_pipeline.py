@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patchloom.llm import byte_bpe, decontaminate, language, ngram_join, surrogates
-from patchloom.llm.tools import stored, table
+from patchloom.llm.tools import stored, table, unused
 
 # Stands in for a secret that a deployment would pass in.
 SURROGATE_KEY = "change-me"
@@ -19,7 +19,8 @@ SURROGATE_KEY = "change-me"
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and texts without a letter."""
     known = language.samples(docs.filter(~F.coalesce(language.held_out(), F.lit(False))), "text", "lang", "doc_id")
-    return language.predict(docs, known).filter(F.col("lang_pred") != language.UNKNOWN).select(docs.columns)
+    lang, score = unused(docs, "lang_pred"), unused(docs, "score")
+    return language.predict(docs, known, lang_col=lang, score_col=score).filter(F.col(lang) != language.UNKNOWN).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
