@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import math
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import BooleanType
+
+from patchloom.functions.text import let
 
 NUMERIC_TYPES = ["int", "float", "bool"]
-CONTAINER_TYPES = ["list", "tuple", "dict", "set"]
+CONTAINER_TYPES = ["list", "tuple", "dict", "set", "frozenset", "ndarray"]
 
 
 def numbers_match(a: Column, b: Column, tol: float = 1e-9) -> Column:
@@ -59,39 +56,96 @@ def maps_match(a: Column, b: Column, tol: float = 1e-9) -> Column:
     )
 
 
-def _same(a, b, tol: float) -> bool:
-    if a is None or b is None:
-        return a is b
-    if isinstance(a, (int, float)) and isinstance(b, (int, float)):
-        x, y = float(a), float(b)
-        if math.isnan(x) or math.isnan(y):
-            return math.isnan(x) and math.isnan(y)
-        return x == y or math.isclose(x, y, rel_tol=tol, abs_tol=tol)
-    if type(a) is not type(b):
-        return False
-    if isinstance(a, list):
-        return len(a) == len(b) and all(_same(x, y, tol) for x, y in zip(a, b))
-    if isinstance(a, dict):
-        return a.keys() == b.keys() and all(_same(a[k], b[k], tol) for k in a)
-    return a == b
-
-
-@F.pandas_udf(BooleanType())
-def nested_json_match(a: pd.Series, b: pd.Series, unordered: pd.Series) -> pd.Series:
-    """Deep equality of JSON texts of any depth; null where either side is null."""
-    def one(x, y, is_set):
-        if x is None or y is None:
-            return None
-        try:
-            left, right = json.loads(x), json.loads(y)
-            if is_set:
-                left = sorted(left, key=lambda v: json.dumps(v, sort_keys=True))
-                right = sorted(right, key=lambda v: json.dumps(v, sort_keys=True))
-                return left == right
-            return _same(left, right, 1e-9)
-        except (ValueError, TypeError, RecursionError, OverflowError):
-            return x == y
-    return pd.Series([one(*row) for row in zip(a, b, unordered)], dtype="object")
+# Recorded values are JSON; what JSON lacks is an object with this key: tuples, sets and
+# frozensets (``items``), arrays (``dtype``, ``shape`` and the flat ``data``), bytes (``hex``).
+TYPE_KEY = "__type__"
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+_ATOM = rf'(?:{_STRING}|[^\[\]{{}},:"]++)'
+# Stands before NaN and infinities, which canonical JSON holds as strings.
+_NUMERAL_MARK = "\ue000"
+_LOOSE = r"-?Infinity|NaN"
+
+
+def _balanced(depth: int) -> str:
+    """What may stand between brackets, with ``depth`` more levels of them inside."""
+    if not depth:
+        return rf"(?:{_ATOM}|[,:])*+"
+    inner = _balanced(depth - 1)
+    return rf"(?:{_ATOM}|[,:]|\[{inner}\]|\{{{inner}\}})*+"
+
+
+_INNER = _balanced(3)
+_ELEMENT = rf"{_ATOM}|\[{_INNER}\]|\{{{_INNER}\}}"
+_ARRAY = rf'\{{"{TYPE_KEY}":"ndarray","data":\[((?:{_STRING}|[^\]"])*+)\],"dtype":({_STRING}),"shape":\[([^\]]*+)\]\}}'
+_SET = rf'\{{"{TYPE_KEY}":"((?:frozen)?set)","items":\[({_INNER})\]\}}'
+# Arrays and sets stay whole, as their parts compare by rules of their own.
+_TOKEN = rf"{_ARRAY}|{_SET}|{_STRING}|[^\[\]{{}},:\"]++|[\[\]{{}},:]"
+_NUMBER = r"^(?:-?[0-9]|true$|false$)"
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON without blanks and with sorted keys; null where the text is none."""
+    loose = F.array_join(F.transform(_parts(text, rf"{_STRING}|{_LOOSE}|[^\"NI-]++|[NI-]"), lambda t: F.when(
+        t.rlike(rf"^(?:{_LOOSE})$"), F.concat(F.lit('"' + _NUMERAL_MARK), t, F.lit('"'))).otherwise(t)), "")
+    plain = F.when(text.rlike(_LOOSE), loose).otherwise(text)
+    return F.to_json(F.try_parse_json(plain))
+
+
+def _as_number(token: Column) -> Column:
+    return F.when(token == "true", 1.0).when(token == "false", 0.0).otherwise(token.try_cast("double"))
+
+
+def _sorted_set(token: Column) -> Column:
+    """Elements in order, numbers in one form, as 1, 1.0 and true are equal elements."""
+    shown = lambda e: F.when(e.rlike(_NUMBER), _as_number(e).cast("string")).otherwise(e)
+    return F.array_sort(F.array_distinct(F.transform(_parts(F.regexp_extract(token, _SET, 2), _ELEMENT), shown)))
+
+
+def _array_numbers(token: Column) -> Column:
+    flat = F.regexp_replace(F.regexp_extract(token, _ARRAY, 1), f'["{_NUMERAL_MARK}]', "")
+    return F.transform(F.split(flat, ","), lambda x: _as_number(x))
+
+
+def array_values_match(expected: Column, actual: Column, tol: float = 1e-9) -> Column:
+    """Two recorded arrays: equal shape and dtype; floating data close, other data equal."""
+    same = lambda group: F.regexp_extract(expected, _ARRAY, group) == F.regexp_extract(actual, _ARRAY, group)
+    floating = F.regexp_extract(expected, _ARRAY, 2).startswith('"float')
+    close = arrays_close(_array_numbers(expected), _array_numbers(actual), tol)
+    return same(2) & same(3) & (same(1) | (floating & close))
+
+
+def _token_match(x: Column, y: Column, tol: float) -> Column:
+    return (
+        F.when(x == y, F.lit(True))
+        .when(x.rlike(_NUMBER) & y.rlike(_NUMBER), numbers_match(_as_number(x), _as_number(y), tol))
+        .when(x.rlike(f"^{_ARRAY}$") & y.rlike(f"^{_ARRAY}$"), array_values_match(x, y, tol))
+        .when(x.rlike(f"^{_SET}$") & y.rlike(f"^{_SET}$"),
+              (F.regexp_extract(x, _SET, 1) == F.regexp_extract(y, _SET, 1)) & (_sorted_set(x) == _sorted_set(y)))
+        .otherwise(F.lit(False))
+    )
+
+
+def nested_json_match(a: Column, b: Column, unordered: Column, tol: float = 1e-9) -> Column:
+    """Deep equality of JSON texts of any depth; null where either side is null.
+
+    Both texts are brought to one form and cut into tokens, which must agree one by one;
+    so mappings compare by key, numbers by value, and everything else by place and type.
+    ``unordered`` lists are sets. Texts that are no JSON compare as they are.
+    """
+    as_set = lambda c: F.concat(F.lit(f'{{"{TYPE_KEY}":"set","items":'), c, F.lit("}"))
+    form = lambda text: let(canonical_json(text), lambda c: F.when(unordered & c.startswith("["), as_set(c)).otherwise(c))
+
+    def compared(pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        return F.when(x.isNull() | y.isNull(), F.lit(False)).otherwise((F.size(x) == F.size(y)) & F.forall(
+            F.zip_with(x, y, lambda s, t: _token_match(s, t, tol)), lambda ok: ok))
+
+    tokens = F.struct(_parts(form(a), _TOKEN).alias("x"), _parts(form(b), _TOKEN).alias("y"))
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(a == b, F.lit(True)).otherwise(let(tokens, compared))
 
 
 def results_match(
@@ -102,8 +156,8 @@ def results_match(
     """Semantic equality of two recorded results (type tag, text, number).
 
     Numbers compare across int, float and bool. Other types must agree; generator
-    and coroutine texts compare without addresses; containers compare deeply when
-    ``nested`` (only their texts are sent to the Python worker).
+    and coroutine texts compare without addresses; containers and arrays compare deeply
+    when ``nested``.
     """
     e_none, a_none = F.coalesce(e_type == "NoneType", F.lit(True)), F.coalesce(a_type == "NoneType", F.lit(True))
     scalar = strip_addresses(e_text).eqNullSafe(strip_addresses(a_text))
@@ -117,7 +171,7 @@ def results_match(
         return plain.otherwise(e_text.eqNullSafe(a_text))
     deep = e_type.isin(CONTAINER_TYPES) & (e_type == a_type)
     compared = nested_json_match(
-        F.when(deep, e_text), F.when(deep, a_text), F.coalesce(e_type == "set", F.lit(False))
+        F.when(deep, e_text), F.when(deep, a_text), F.coalesce(e_type.isin("set", "frozenset"), F.lit(False))
     )
     return plain.when(deep, F.coalesce(compared, F.lit(False))).otherwise(e_text.eqNullSafe(a_text))
 

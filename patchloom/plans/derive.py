@@ -135,6 +135,29 @@ def structure_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Results that are no plain number: remainder of the id to type, text of the original side, text of the others.
+RECORDED = {
+    0: ("list", '[#, {"a": [#]}]', '[#, {"a": [#]}]'),
+    1: ("ndarray", '{"__type__": "ndarray", "dtype": "float64", "shape": [2], "data": [#, 0.5]}',
+        '{"data": [#, 0.5000001], "dtype": "float64", "shape": [2], "__type__": "ndarray"}'),
+    2: ("list", '[{"__type__": "tuple", "items": [#, true]}]', '[{"items": [#, 1.0], "__type__": "tuple"}]'),
+    3: ("set", '[#, "b", 1]', '[1, "b", #]'),
+    4: ("dict", '{"x": {"__type__": "set", "items": [#, "c"]}, "y": NaN}', '{"y": NaN, "x": {"items": ["c", #], "__type__": "set"}}'),
+    5: ("generator", "<generator object g at 0x7f01>", "<generator object g at 0xAB#>"),
+    6: ("ndarray", '{"__type__": "ndarray", "dtype": "int64", "shape": [2], "data": [#, 2]}',
+        '{"__type__": "ndarray", "shape": [2], "dtype": "int64", "data": [#, 2]}'),
+}
+# Texts of the other sides that must not match, by remainder and form.
+RECORDED_ODD = {
+    (1, 3): '{"__type__": "ndarray", "dtype": "float32", "shape": [2], "data": [#, 0.5]}',
+    (1, 4): '{"__type__": "ndarray", "dtype": "float64", "shape": [2, 1], "data": [#, 0.5]}',
+    (1, 6): '{"__type__": "ndarray", "dtype": "float64", "shape": [2], "data": [#, 0.501]}',
+    (2, 5): "[[#, true]]",
+    (3, 7): '[1, "b", #, 0.25]',
+    (4, 8): '{"y": null, "x": {"items": ["c", #], "__type__": "set"}}',
+}
+
+
 def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of three sides from events; ids decide which results change."""
     e = F.col("event_id")
@@ -150,17 +173,27 @@ def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     error = F.when(old, F.concat(F.lit("ValueError: e"), e.cast("string"))).when(
         e % 11 == 0, F.lit("RuntimeError: boom")).when(e % 3 == 0, F.lit("KeyError: x")).otherwise(F.lit("ValueError: other"))
     shift = F.when(~old & (e % 17 == 0), 1).otherwise(0) + F.when((F.col("side") == "repeat") & (e % 29 == 0), 1).otherwise(0)
-    is_list = e % 13 == 0
+    kind, form = e % 13, e % 19
     number = F.when(e % 17 == 1, F.lit(float("nan"))).when(
         ~old & (e % 17 == 2), (F.col("value") + shift) * F.lit(1 + 1e-12)).otherwise(F.col("value") + shift)
     shown = (F.col("cents") + shift * 100).cast("string")
-    text = F.when(is_list, F.concat(F.lit("["), shown, F.lit(', {"a": ['), shown, F.lit("]}]"))).otherwise(shown)
-    kind = F.when(is_list, F.lit("list")).when(~old & (e % 23 == 0), F.lit("int")).otherwise(F.lit("float"))
+    # texts with # for the number: as the original writes them, and as the other sides do
+    texts = F.create_map(*[F.lit(x) for k, (_, first, _) in RECORDED.items() for x in (k, first)])
+    others = F.create_map(*[F.lit(x) for k, (_, _, other) in RECORDED.items() for x in (k, other)])
+    kinds = F.create_map(*[F.lit(x) for k, (name, _, _) in RECORDED.items() for x in (k, name)])
+    odd = F.lit(None).cast("string")
+    for (k, f), text in RECORDED_ODD.items():
+        odd = F.when((kind == k) & (form == f), text).otherwise(odd)
+    written = F.when(old, F.try_element_at(texts, kind.cast("int"))).otherwise(
+        F.coalesce(odd, F.try_element_at(others, kind.cast("int"))))
+    is_nested = kind < len(RECORDED)
+    text = F.when(is_nested, F.replace(written, F.lit("#"), shown)).otherwise(shown)
+    type_ = F.coalesce(F.try_element_at(kinds, kind.cast("int")), F.when(~old & (e % 23 == 0), F.lit("int")).otherwise(F.lit("float")))
     return rows.filter(old | (F.col("func") != "f7")).select(
         "file", "func", e.alias("case_id"), "side",
         F.concat(F.lit("["), F.col("cents").cast("string"), F.lit("]")).alias("args"),
-        ok.alias("ok"), F.when(ok, text).alias("result"), F.when(ok & ~is_list, number).alias("result_num"),
-        F.when(ok, kind).alias("result_type"), F.when(~ok, error).alias("error"),
+        ok.alias("ok"), F.when(ok, text).alias("result"), F.when(ok & ~is_nested, number).alias("result_num"),
+        F.when(ok, type_).alias("result_type"), F.when(~ok, error).alias("error"),
     )
 
 

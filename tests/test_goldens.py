@@ -1,5 +1,10 @@
 """Hand-worked cases for scalar rules and operators."""
 
+import json
+import math
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +85,87 @@ def test_results(spark, left, right, same):
     assert df.select(compare.results_match(c("at"), c("a"), c("an"), c("bt"), c("b"), c("bn"))).head()[0] is same
 
 
+def typed(value):
+    """Recorded form of a value, with tags for what JSON lacks."""
+    if isinstance(value, (tuple, set, frozenset)):
+        return {"items": [typed(v) for v in value], "__type__": type(value).__name__}
+    if isinstance(value, np.ndarray):
+        return {"__type__": "ndarray", "dtype": str(value.dtype), "shape": list(value.shape), "data": value.ravel().tolist()}
+    if isinstance(value, list):
+        return [typed(v) for v in value]
+    if isinstance(value, dict):
+        return {k: typed(v) for k, v in value.items()}
+    return value
+
+
+def equal(a, b):
+    """What two results must satisfy to count as equal, value by value."""
+    number = (int, float)
+    if a is None or b is None:
+        return a is b
+    if isinstance(a, number) and isinstance(b, number):
+        return (a != a and b != b) or a == b or (math.isfinite(a) and math.isfinite(b) and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9))
+    if type(a) is not type(b):
+        return False
+    if isinstance(a, np.ndarray):
+        if a.shape != b.shape or a.dtype != b.dtype:
+            return False
+        return bool(np.allclose(a, b, atol=1e-9, equal_nan=True)) if a.dtype.kind == "f" else bool(np.array_equal(a, b))
+    if isinstance(a, (list, tuple)):
+        return len(a) == len(b) and all(equal(x, y) for x, y in zip(a, b))
+    if isinstance(a, dict):
+        return a.keys() == b.keys() and all(equal(a[k], b[k]) for k in a)
+    return a == b
+
+
+def random_value(rng, depth=3):
+    kind = rng.choice(["int", "float", "str", "bool", "none", "nan", "array", "set"] + ["list", "tuple", "dict"] * (depth > 0))
+    inner = lambda: random_value(rng, depth - 1)
+    return {
+        "int": lambda: rng.randint(-3, 3), "float": lambda: rng.choice([0.5, 1.0, -2.0, 1e20, 1e-12]), "bool": lambda: rng.random() < 0.5,
+        "str": lambda: rng.choice(["", "a", 'q"[{', "NaN", "1", "é\\\n", "\"__type__\":\"set\""]), "none": lambda: None,
+        "nan": lambda: rng.choice([float("nan"), float("inf"), float("-inf")]),
+        "array": lambda: np.array([rng.choice([0.5, 1.5, float("nan"), 2.0]) for _ in range(4)], rng.choice(["float64", "float32"])).reshape(
+            rng.choice([(4,), (2, 2)])) if rng.random() < 0.7 else np.array([1, rng.randint(1, 2)]),
+        "set": lambda: {rng.choice([1, 2, "b", "]", (1, "x"), 2.5, True]) for _ in range(3)},
+        "list": lambda: [inner() for _ in range(rng.randint(0, 3))], "tuple": lambda: tuple(inner() for _ in range(rng.randint(0, 3))),
+        "dict": lambda: {rng.choice("abc"): inner() for _ in range(rng.randint(0, 3))},
+    }[kind]()
+
+
+def changed(rng, value):
+    """The same value, written or built in another way, or nearly the same."""
+    if isinstance(value, dict):
+        keys = list(value)
+        rng.shuffle(keys)
+        return {k: changed(rng, value[k]) for k in keys}
+    if isinstance(value, (list, tuple)):
+        kind = type(value) if rng.random() < 0.95 else (list if type(value) is tuple else tuple)
+        return kind(changed(rng, v) for v in value)
+    if isinstance(value, set):
+        return set(sorted(value, key=lambda v: rng.random()))
+    if isinstance(value, np.ndarray):
+        return rng.choice([value, value, value.reshape(-1, 1), value + np.array(1e-8, value.dtype) if value.dtype.kind == "f" else value,
+                           value.astype("float32") if value.dtype == "float64" else value])
+    if isinstance(value, float):
+        return rng.choice([value, value, value * (1 + 1e-12), value + 1e-5])
+    return rng.choice([value] * 8 + [random_value(rng, 0)])
+
+
+def test_nested_values_equal_python(spark):
+    rng = random.Random(11)
+    pairs = []
+    for _ in range(600):
+        a = random_value(rng)
+        pairs.append((a, changed(rng, a) if rng.random() < 0.8 else random_value(rng)))
+    shown = lambda v: json.dumps(typed(v), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+    df = spark.createDataFrame([(k, shown(a), shown(b)) for k, (a, b) in enumerate(pairs)], "k INT, a STRING, b STRING")
+    got = {r["k"]: r["same"] for r in df.select("k", compare.nested_json_match(F.col("a"), F.col("b"), F.lit(False)).alias("same")).collect()}
+    wrong = [(shown(a), shown(b), got[k]) for k, (a, b) in enumerate(pairs) if got[k] != equal(a, b)]
+    assert not wrong, wrong[:3]
+    assert 100 < sum(got.values()) < 500
+
+
 def test_error_class(spark):
     assert one(spark, compare.error_class(F.lit("ValueError: a: b"))) == "ValueError"
     assert one(spark, compare.error_class(F.lit(None).cast("string"))) == ""
