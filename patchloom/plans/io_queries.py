@@ -79,7 +79,16 @@ def output_names(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", replies.output_name(path).alias("output"))
 
 
-TYPES = ["int", "float", "str", "bool", "list", "dict", "tuple", "set", "list[int]", "union[int,str]", "literal[a,b,c]", "dict[str,int]", "any"]
+TYPES = ["int", "float", "str", "bool", "list", "dict", "tuple", "set", "list[int]", "union[int,str]", "literal[a,b,c]", "dict[str,int]", "any",
+         "List[list[int]]", "tuple[int, ...]", "dict[int, list[str]]", "Optional[Tuple[int, str]]", "set[int | str]", "int | None",
+         "dict[str, dict[int, tuple[float, ...]]]", "Literal['a,b', 3, True]", "SomeClass"]
+# The same types as trees, for the SQL.
+TREES = {
+    "List[list[int]]": ("list", ("list", "int")), "tuple[int, ...]": ("some", "int"), "dict[int, list[str]]": ("dict", "int", ("list", "str")),
+    "Optional[Tuple[int, str]]": ("union", True, ("tuple", "int", "str")), "set[int | str]": ("set", ("union", False, "int", "str")),
+    "int | None": ("union", True, "int"), "dict[str, dict[int, tuple[float, ...]]]": ("dict", "str", ("dict", "int", ("some", "float"))),
+    "Literal['a,b', 3, True]": ("literal", '"a,b"', "3", "true"), "SomeClass": ("literal", "null"),
+}
 
 
 def _signatures(spark, sf_dir):
@@ -120,13 +129,47 @@ def _choice(kind: str, roll: str) -> str:
     return f"({pool})[1 + {roll} % len({pool})]"
 
 
+def _tree_sql(tree, seed: str, first: str, level: int = 0) -> str:
+    roll, j = ROLL.format(parts=seed), f"j{level}"
+    if isinstance(tree, str):
+        return f"CASE WHEN {first} THEN ({_sql_edges(tree)})[1] ELSE {_choice(tree, roll)} END"
+    kind, *parts = tree
+    inner = lambda t, mark, at, start="false": _tree_sql(t, f"{seed} || '|{mark}|' || {at}", start, level + 1)
+    count = lambda most: f"generate_series(1, CASE WHEN {first} THEN 0 ELSE {roll} % {most} END)"
+    if kind in ("list", "some", "set"):
+        found = f"list_transform({count(4 if kind == 'set' else 5)}, lambda {j}: {inner(parts[0], 'item', j)})"
+        if kind == "set":
+            found = f"list_filter({found}, lambda x{level}, i{level}: list_position({found}, x{level}) = i{level})"
+        return f"'[' || array_to_string({found}, ', ') || ']'"
+    if kind == "tuple":
+        return "'[' || " + " || ', ' || ".join(inner(t, "item", k, first) for k, t in enumerate(parts)) + " || ']'"
+    if kind == "union":
+        none, *some = parts
+        chosen = " ".join(f"WHEN {k} THEN {inner(t, 'item', 0, first)}" for k, t in enumerate(some))
+        value = f"CASE CASE WHEN {first} THEN 0 ELSE {roll} % {len(some)} END {chosen} END"
+        gone = ROLL.format(parts=f"{seed} || '|none'")
+        return f"CASE WHEN NOT {first} AND {gone} % 100 < 15 THEN 'null' ELSE {value} END" if none else value
+    if kind == "dict":
+        key = f"'\"k' || {j} || '\"'" if parts[0] == "str" else f"'\"' || {inner(parts[0], 'key', j)} || '\"'"
+        keys = f"list_transform({count(4)}, lambda {j}: {key})"
+        pairs = f"list_transform({count(4)}, lambda {j}: CASE WHEN list_position({keys}, {key}) = {j} THEN {key} || ': ' || {inner(parts[1], 'item', j)} END)"
+        return f"'{{' || array_to_string(list_filter({pairs}, lambda p{level}: p{level} IS NOT NULL), ', ') || '}}'"
+    return f"[{', '.join(_quoted(p) for p in parts)}][CASE WHEN {first} THEN 1 ELSE 1 + {roll} % {len(parts)} END]"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _value_sql() -> str:
     seed = "func || '|a|' || c"
     roll = ROLL.format(parts=seed)
     item = lambda j: ROLL.format(parts=f"{seed} || '|item|' || {j}")
     whens = []
     for i, kind in enumerate(TYPES):
-        if kind == "list[int]":
+        if kind in TREES:
+            value = _tree_sql(TREES[kind], seed, "(c = 0)")
+        elif kind == "list[int]":
             value = f"CASE WHEN c = 0 THEN '[]' ELSE '[' || array_to_string(list_transform(generate_series(1, {roll} % 5), lambda j: {_choice('int', item('j'))}), ', ') || ']' END"
         elif kind == "dict[str,int]":
             value = f"CASE WHEN c = 0 THEN '{{}}' ELSE '{{' || array_to_string(list_transform(generate_series(1, {roll} % 4), lambda j: '\"k' || j || '\": ' || {_choice('int', item('j'))}), ', ') || '}}' END"

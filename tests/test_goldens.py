@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchloom.functions import compare, text
-from patchloom.operators import chunks, jobs, languages, replies, rollup
+from patchloom.operators import chunks, inputs, jobs, languages, replies, rollup
 
 
 def one(spark, column):
@@ -166,6 +166,40 @@ def test_nested_values_equal_python(spark):
     assert 100 < sum(got.values()) < 500
 
 
+def fits(tree, value):
+    """Whether a JSON value is one of a type, given as a tree."""
+    if isinstance(tree, str):
+        return {"int": lambda v: type(v) is int, "str": lambda v: type(v) is str, "bool": lambda v: type(v) is bool, "none": lambda v: v is None,
+                "float": lambda v: type(v) in (int, float)}[tree](value)
+    kind, *parts = tree
+    if kind in ("list", "set"):
+        return type(value) is list and all(fits(parts[0], v) for v in value)
+    if kind == "tuple":
+        return type(value) is list and len(value) == len(parts) and all(map(fits, parts, value))
+    if kind == "dict":
+        return type(value) is dict and all(fits(parts[1], v) and (parts[0] == "str" or fits(parts[0], json.loads(k))) for k, v in value.items())
+    if kind == "literal":
+        return value in parts
+    return any(fits(p, value) for p in parts)
+
+
+@pytest.mark.parametrize("declared, tree", [
+    ("list[list[int]]", ("list", ("list", "int"))), ("Tuple[int, ...]", ("list", "int")), ("tuple[()]", ("tuple",)),
+    ("Dict[int, List[str]]", ("dict", "int", ("list", "str"))), ("Optional[Union[int, str]]", ("union", "int", "str", "none")),
+    ("int | list[str | None] | None", ("union", "int", ("list", ("union", "str", "none")), "none")),
+    ("dict[tuple[str, int], bool]", ("dict", ("tuple", "str", "int"), "bool")), ("set[tuple[int, int]]", ("set", ("tuple", "int", "int"))),
+    ("Literal['a|b', 'c\"d', -2, False, None]", ("literal", "a|b", 'c"d', -2, False, None)), ("Unknown[int]", "none"), ("None", "none"),
+    ("list[dict[str, list[tuple[int, Optional[float]]]]]", ("list", ("dict", "str", ("list", ("tuple", "int", ("union", "float", "none")))))),
+    ("typing.List[typing.Optional[int]]", ("list", ("union", "int", "none"))),
+])
+def test_values_of_nested_types(spark, declared, tree):
+    params = spark.createDataFrame([(f"f{k}", 0, "x", declared, False, None) for k in range(8)],
+                                   "func STRING, ord INT, param STRING, type STRING, optional BOOLEAN, default STRING")
+    got = [json.loads(r["args"])[0] for r in inputs.edge_cases(params, 12).collect()]
+    assert all(fits(tree, v) for v in got), [v for v in got if not fits(tree, v)][:3]
+    assert len({json.dumps(v) for v in got}) > 1 or tree in ("none", ("tuple",))
+
+
 def test_error_class(spark):
     assert one(spark, compare.error_class(F.lit("ValueError: a: b"))) == "ValueError"
     assert one(spark, compare.error_class(F.lit(None).cast("string"))) == ""
