@@ -104,12 +104,18 @@ def by_function(judged: DataFrame) -> DataFrame:
     )
 
 
-def properties(cases: DataFrame, nested: bool = True) -> DataFrame:
+def of_shared(rows: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """Rows of functions that ``shared(file, func)`` holds; all where it is not given."""
+    return rows if shared is None else rows.join(shared, ["file", "func"], "left_semi")
+
+
+def properties(cases: DataFrame, nested: bool = True, shared: DataFrame | None = None) -> DataFrame:
     """``file, func, case_id, property, passed, message`` for determinism, type stability
-    and the exception contract. Functions must have runs on both sides."""
+    and the exception contract. Functions must have runs on both sides, and be public on
+    both where ``shared(file, func)`` says which are."""
     args = cut(F.col("args"), PROPERTY_WIDTH)
     old_class, new_class = error_class(F.col("old.error")), error_class(F.col("new.error"))
-    rows = cases.withColumn("_steady", _matches("new", "again", nested))
+    rows = of_shared(cases, shared).withColumn("_steady", _matches("new", "again", nested))
     both = F.col("old").isNotNull() & F.col("new").isNotNull()
 
     def item(name: str, passed: Column, message: Column) -> Column:
@@ -138,7 +144,7 @@ def properties(cases: DataFrame, nested: bool = True) -> DataFrame:
     return rows.filter(both).select("file", "func", "case_id", F.inline(checks))
 
 
-def idempotence(runs: DataFrame, nested: bool = True) -> DataFrame:
+def idempotence(runs: DataFrame, nested: bool = True, shared: DataFrame | None = None) -> DataFrame:
     """``file, func, case_id, property, passed, message``; only cases where the original is idempotent.
 
     The second call is the recorded run whose arguments are the first call's result.
@@ -147,7 +153,7 @@ def idempotence(runs: DataFrame, nested: bool = True) -> DataFrame:
     key = ["file", "func", "side"]
     # no key where there is no value, so that a null result meets no call
     text = lambda column: F.when(column.isNotNull(), F.concat_ws("\u0001", *[F.coalesce(F.col(k), F.lit("\u0002")) for k in key], column))
-    ran = runs.filter(F.col("side").isin("original", "refactored"))
+    ran = of_shared(runs.filter(F.col("side").isin("original", "refactored")), shared)
     as_args = F.when(F.col("result_type") == "tuple", F.col("result")).otherwise(
         F.concat(F.lit("["), "result", F.lit("]"))
     )

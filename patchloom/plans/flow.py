@@ -102,15 +102,31 @@ def apply_replies(
     return Applied(out, counts, missing.select("file", "prompt_id", "chunk_id"), rejected)
 
 
-def validate(
+@dataclass
+class Validated:
+    """Results per file, all checks, and the property rows that failed (null where nothing was run)."""
+
+    results: DataFrame
+    checks: DataFrame
+    failures: DataFrame | None
+
+
+def validate(originals: DataFrame, refactored: DataFrame, *args, **options) -> tuple[DataFrame, DataFrame]:
+    """Results and checks of ``validate_detail``."""
+    done = validate_detail(originals, refactored, *args, **options)
+    return done.results, done.checks
+
+
+def validate_detail(
     originals: DataFrame, refactored: DataFrame, runs: DataFrame | None = None, load_errors: DataFrame | None = None,
-    attempt: int = 1, strict: bool = False, properties: bool = True, idempotence: bool = False,
-) -> tuple[DataFrame, DataFrame]:
-    """Results and checks for file pairs by relative path.
+    attempt: int = 1, strict: bool = False, properties: bool = True, idempotence: bool = False, shared_only: bool = True,
+) -> Validated:
+    """Results, checks and failed properties for file pairs by relative path.
 
     ``runs`` are recorded executions (see ``replay``); ``load_errors(file,
     original_error, refactored_error)`` says which modules did not load. ``properties``
-    turns the property checks off, ``idempotence`` adds that of a second call. The rate is
+    turns the property checks off, ``idempotence`` adds that of a second call; both look at
+    functions that are public on both sides, unless ``shared_only`` is off. The rate is
     0 where the syntax is broken and 1 where nothing was run or loaded; it is null for
     skipped pairs and where the runs hold no case of the file. Results:
     ``file, status, passed, severity, pass_rate, first_failure, failed_checks, checks``.
@@ -138,12 +154,13 @@ def validate(
     linted = lint.lint_check(texts)
 
     parts = [(0, "syntax", syntax), (1, "ast_structure", shape), (2, "linting", linted)]
-    rates = None
+    rates = failed = None
     if runs is not None:
         judged_cases = cut_lineage(replay.verdicts(replay.pair_runs(runs)))
-        failed = replay.properties(judged_cases).filter("NOT passed" if properties else "false")
+        shared = replay.shared_functions(python_units.public_functions(parsed)) if shared_only else None
+        failed = replay.properties(judged_cases, shared=shared).filter("NOT passed" if properties else "false")
         if idempotence:
-            again = replay.idempotence(runs)
+            again = replay.idempotence(runs, shared=shared)
             failed = failed.unionByName(again.filter("NOT passed").select(failed.columns))
         totals = replay.aggregate(replay.by_function(judged_cases), failed)
         if load_errors is None:
@@ -179,7 +196,7 @@ def validate(
         .otherwise(F.col("first_failure")).alias("first_failure"),
         "failed_checks", "checks",
     )
-    return results, checks
+    return Validated(results, checks, failed)
 
 
 def attempt_row(results: DataFrame) -> DataFrame:

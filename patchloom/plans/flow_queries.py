@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patchloom import config
-from patchloom.plans import derive, flow
+from patchloom.plans import derive, flow, rounds
 from patchloom.plans.prompt_queries import EXAMPLE_SCHEMA, EXAMPLES
 from patchloom.plans.registry import query
 from patchloom.session import cut_lineage
@@ -75,3 +75,34 @@ def validate_files(spark, sf_dir):
     results, _ = flow.validate(originals, new)
     shape = F.get(F.filter("checks", lambda c: c["check"] == "ast_structure"), F.lit(0))["message"]
     return results.select("file", "status", "severity", shape.alias("structure"), "pass_rate")
+
+
+@query("retry_rounds", f"""
+WITH d AS (
+  SELECT doc_id, doc_id % 9 = 0 AS broken, doc_id % 10 = 3 AS silent, doc_id % 7 = 0 AS wrong, doc_id % 14 = 0 AS mended, {BAD_LINT} AS dirty FROM documents),
+s AS (SELECT *, broken OR silent AS gone, wrong OR dirty AS bad, (wrong AND NOT mended) OR dirty AS still FROM d)
+SELECT 'p/d' || doc_id || '.py' AS file, CASE WHEN NOT gone THEN NOT bad END AS val_passed, NOT gone AND bad AS retried,
+  CASE WHEN NOT gone AND bad THEN NOT still END AS retry_val_passed, CASE WHEN NOT gone AND bad THEN mended END AS changed,
+  CASE WHEN gone THEN 'SKIP' WHEN bad AND still THEN 'FAIL' ELSE 'PASS' END AS final_status,
+  CASE WHEN broken THEN 'Stage 1 failed' WHEN silent THEN 'Stage 3 failed' END AS stopped,
+  CASE WHEN gone THEN NULL WHEN wrong AND NOT mended THEN 3 ELSE 2 END AS arguments
+FROM s""")
+def retry_rounds(spark, sf_dir):
+    """Two attempts from prompts to merged rows: some replies change a signature, half of those are mended
+    when asked again, and some files never get an answer."""
+    docs = derive.python_files(spark, sf_dir).select("file", "content")
+    examples = config.table(spark, EXAMPLES, EXAMPLE_SCHEMA)
+
+    def answer(prompts, attempt):
+        number = F.regexp_extract("file", r"d(\d+)\.py$", 1).cast("long")
+        wrong = (number % 7 == 0) & ((number % 14 != 0) | F.lit(attempt == 1))
+        code = lambda c: F.when(wrong, F.replace(c["code"], F.lit("(a, b=1,"), F.lit("(a, b=1, c=2,"))).otherwise(c["code"])
+        block = F.transform("chunks", lambda c: F.concat(F.lit('<chunk id="'), c["chunk_id"], F.lit('">\n```\n'), code(c), F.lit("\n```\n</chunk>")))
+        return prompts.filter(number % 10 != 3).select("file", "prompt_id", F.array_join(block, "\n").alias("reply"))
+
+    done = rounds.run_rounds(docs, examples, answer, batch_size=3)
+    changed = done.attempts.filter("attempt = 2").select("file", "changed")
+    left = done.files.select("file", F.when(F.contains("content", F.lit("(a, b=1, c=2,")), 3).otherwise(2).alias("arguments"))
+    stopped = F.when(F.col("final_status") == "SKIP", F.col("error"))
+    return done.merged.join(changed, "file", "left").join(left, "file", "left").select(
+        "file", "val_passed", "retried", "retry_val_passed", "changed", "final_status", stopped.alias("stopped"), "arguments")

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from patchloom.operators import attempts, replies, rollup
-from patchloom.plans import flow
+from patchloom.plans import flow, rounds
 from patchloom.sources import envelopes
 from patchloom.plans.prompt_queries import EXAMPLE_SCHEMA
 
@@ -207,3 +207,34 @@ def test_output_table(spark, tmp_path):
     named = files.withColumn("output", replies.output_name(F.col("file")))
     named.write.parquet(str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).head()["output"] == "a/shop.refactored.py"
+
+
+def test_rounds_take_failed_files_only_and_end_when_nothing_changes(spark):
+    files = spark.createDataFrame([(f"{n}.py", "def f(a):\n    return a\n") for n in ("ok", "late", "never", "mute", "lost")] + [
+        ("broken.py", "def f(:\n")], "file STRING, content STRING")
+    # attempt of the reply with the right signature; wrong replies before it
+    mended = {"ok.py": 1, "late.py": 3, "never.py": 9, "lost.py": 9}
+    asked = []
+
+    def answer(prompts, attempt):
+        asked.append({r["file"]: r["prompt"] for r in prompts.collect()})
+        rows = []
+        for r in prompts.collect():
+            if r["file"] in mended and not (r["file"] == "lost.py" and attempt > 1):
+                wrong = f"def f(a, b{attempt if r['file'] == 'late.py' else ''}):\n    return a"
+                code = "def f(a):\n    return a" if attempt >= mended[r["file"]] else wrong
+                rows.append((r["file"], r["prompt_id"], f"```\n{code}\n```"))
+        return spark.createDataFrame(rows, "file STRING, prompt_id INT, reply STRING")
+
+    done = rounds.run_rounds(files, examples(spark), answer, most=6)
+    assert [set(a) for a in asked] == [{f"{n}.py" for n in ("ok", "late", "never", "mute", "lost")}, {"late.py", "never.py", "lost.py"}, {"late.py", "never.py"}, {"never.py"}]
+    assert "positional arg count changed 1 → 2" in asked[1]["late.py"] and asked[1]["late.py"].endswith(asked[0]["late.py"])
+    assert done.rounds == 4  # the fourth changed nothing
+    got = {r["file"]: (r["final_status"], r["retried"], r["error"]) for r in done.merged.collect()}
+    assert got["ok.py"][:2] == ("PASS", False) and got["late.py"][:2] == ("PASS", True)
+    assert got["never.py"][:2] == ("FAIL", True) and "arg count" in got["never.py"][2]
+    assert got["mute.py"] == ("SKIP", False, "Stage 3 failed") and got["broken.py"] == ("SKIP", False, "Stage 1 failed")
+    assert got["lost.py"] == ("FAIL", True, rounds.NOT_AGAIN)
+    texts = {r["file"]: r["content"] for r in done.files.collect()}
+    assert texts["late.py"] == "def f(a):\n    return a\n" and set(texts) == {"ok.py", "late.py", "never.py", "lost.py"}
+    assert done.attempts.filter("attempt = 3").count() == 2
