@@ -8,7 +8,7 @@ from patchloom.operators import jobs
 from patchloom.plans import derive
 from patchloom.plans.registry import query, read
 from patchloom.session import work_path
-from patchloom.streaming import job_stream, stage_stream
+from patchloom.streaming import job_stream, log_source, stage_stream
 
 
 def _event_stream(spark, sf_dir):
@@ -229,3 +229,19 @@ def stream_stage_state(spark, sf_dir):
     changes.awaitTermination()
     return stage_stream.latest_state(spark, feed).select(
         "job_id", "stage", "stage_label", F.unix_micros("updated_at").alias("updated_us"))
+
+
+@query("stream_log_lines", f"""
+WITH {MARKERS}
+SELECT job_id, arg_max(stage, ts) AS stage, arg_max(stage_label, ts) AS stage_label, epoch_us(max(ts)) AS updated_us
+FROM markers GROUP BY 1""")
+def stream_log_lines(spark, sf_dir):
+    """Stage lines as text logs, written first and then followed line by line."""
+    lines = derive.stage_lines(read(spark, sf_dir, "events"))
+    logs = work_path(spark, "stage-logs")
+    time = F.unix_micros(F.col("ts").cast("timestamp")).cast("string")
+    lines.select(F.concat_ws("\t", time, F.col("job_id").cast("string"), F.rtrim("line", F.lit("\n")))).write.text(logs)
+    followed = log_source.stage_lines(log_source.log_lines(spark, logs, work_path(spark, "stage-logs-read")))
+    feed = work_path(spark, "log-feed")
+    stage_stream.change_feed(stage_stream.stage_state(followed), feed, work_path(spark, "log-feed-progress"), drain=True)
+    return stage_stream.latest_state(spark, feed).select("job_id", "stage", "stage_label", F.unix_micros("updated_at").alias("updated_us"))

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from patchloom import schemas
 from patchloom.operators.jobs import TERMINAL, parse_markers
+from patchloom.streaming.feed import EVERY, Feed, newest
 
 
 def line_stream(spark: SparkSession, path: str, schema: str = schemas.EVENT_LINE, **options: str) -> DataFrame:
@@ -46,22 +47,33 @@ def silent_jobs(lines: DataFrame, limit: str = "30 minutes", delay: str = "1 hou
     )
 
 
-def change_feed(state: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write every change of ``state`` as parquet rows tagged with the batch, then stop.
+def _feed(spark: SparkSession, path: str, key: str, every: int = EVERY) -> Feed:
+    return Feed(spark, path, newest(key), every)
 
-    Each batch goes to a folder of its own, so a repeated batch replaces itself.
+
+def change_feed(
+    state: DataFrame, path: str, checkpoint: str, key: str = "job_id", every: int = EVERY, drain: bool = False,
+) -> StreamingQuery:
+    """Write every change of ``state``, tagged with its batch, into a feed under ``path``, then stop.
+
+    The feed is one base and fewer than ``every`` deltas however many batches there were;
+    a repeated batch changes nothing. ``drain`` runs batch after batch until nothing is
+    left, for sources that limit a batch themselves.
     """
+    feed = _feed(state.sparkSession, path, key, every)
+
     def write(changes: DataFrame, batch_id: int) -> None:
-        changes.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        feed.commit(changes.withColumn("batch_id", F.lit(batch_id)), batch_id)
 
-    return (
-        state.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(write).start()
-    )
+    writer = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+    if not drain:
+        return writer.trigger(availableNow=True).start()
+    query = writer.start()
+    query.processAllAvailable()
+    query.stop()
+    return query
 
 
 def latest_state(spark: SparkSession, path: str, key: str = "job_id") -> DataFrame:
     """The newest row per key of a change feed."""
-    feed = spark.read.parquet(path)
-    columns = [c for c in feed.columns if c not in (key, "batch_id")]
-    return feed.groupBy(key).agg(F.max_by(F.struct(*columns), "batch_id").alias("s")).select(key, "s.*")
+    return _feed(spark, path, key).read().drop("batch_id")
