@@ -24,6 +24,7 @@ _MARKS = r"(?P<open>\{)|(?P<close>\})"
 # One line only, and over lines; a backslash guards what follows it.
 _DOUBLE, _SINGLE = r'"(?:[^"\\\n]|\\[\s\S])*+"', r"'(?:[^'\\\n]|\\[\s\S])*+'"
 _LONG_DOUBLE, _LONG_SINGLE = r'"(?:[^"\\]|\\[\s\S])*+"', r"'(?:[^'\\]|\\[\s\S])*+'"
+_TRIPLE_DOUBLE, _TRIPLE_SINGLE = (rf"{3 * q}(?:[^{q}\\]|\\[\s\S]|{q}(?!{2 * q}))*+{3 * q}" for q in (chr(34), chr(39)))
 _QUOTED = rf"(?P<skip3>{_DOUBLE}|{_SINGLE})|(?P<cutline>[\"'])"
 _CUT = r"(?P<cut>/\*)"
 
@@ -49,6 +50,9 @@ RULES = {
             r"(?P<html>\?>)", r"(?P<skip1>(?://|#(?!\[))(?:(?!\?>)[^\n])*+)", _BLOCK, r"(?P<here><<<[ \t]*(?P<quote>[\"']?)(?P<mark>\w+)(?P=quote)\n)",
             rf"(?P<skip3>{_LONG_DOUBLE}|{_LONG_SINGLE}|`[^`]*+`)|(?P<cut>[\"'`]|/\*)", _MARKS),
         "page": _rules(r"(?P<leave><\?(?:php\b|=))")},
+    "python": {"code": _rules(
+        r"(?P<skip1>#[^\n]*+)", rf"(?P<skip2>{_TRIPLE_DOUBLE}|{_TRIPLE_SINGLE})", rf"(?P<cut>{3 * chr(34)}|{3 * chr(39)})",
+        _QUOTED, r"(?P<join>\\\n)", r"(?P<open>[(\[{])|(?P<close>[)\]}])")},
     "ruby": {
         "code": _rules(
             r"(?P<skip1>#[^\n]*+)", r"(?P<skip2>^=begin\b[\s\S]*?^=end\b[^\n]*|^__END__$[\s\S]*)", r"(?P<here><<[~-]?(?P<quote>[\"'`]?)(?P<mark>[A-Z_]\w*)(?P=quote))",
@@ -156,6 +160,8 @@ def lex(language: str, text: str) -> Lexed:
                 if kind == "close":
                     at.append(start)
                     step.append(-1)
+        elif kind == "join":
+            spans.append((start, pos + 1))  # the line behind belongs to this one
         elif kind == "hash":
             depth += 1
         elif kind in _LITERALS:
@@ -261,6 +267,23 @@ def line_starts(text: str) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(codes == 10) + 1])
 
 
+def continued_lines(language: str, text: str) -> np.ndarray:
+    """For each line whether it begins inside a literal, between marks of a pair, or as the rest of
+    the line before. Marks without a partner hold nothing together."""
+    found, starts = lex(language, text), line_starts(text)
+    inside = np.zeros(len(starts), bool)
+    if len(found.spans):
+        held = np.searchsorted(found.spans[:, 0], starts) - 1
+        inside = (held >= 0) & (np.maximum.accumulate(found.spans[:, 1])[held] > starts)
+    pair = partners(found.step)
+    opens = np.flatnonzero(pair >= 0)
+    change = np.zeros(len(found.at) + 1, np.int64)
+    np.add.at(change, opens + 1, 1)
+    np.add.at(change, pair[opens] + 1, -1)
+    # pairs that are open before each line
+    return inside | (np.cumsum(change)[np.searchsorted(found.at, starts)] > 0)
+
+
 def bodies(language: str, text: str, lines: list[int]) -> list[tuple[int | None, bool, bool]]:
     """For units that begin on ``lines`` (from 1, ascending): the line on which their block
     ends, whether the unit lies inside an earlier one, and whether its line begins inside a

@@ -1,10 +1,18 @@
-"""Line-rule lint: a subset of the usual style rules, evaluated inside each file's row."""
+"""Line-rule lint: a subset of the usual style rules, evaluated inside each file's row.
+
+Rules about blank lines look at lines that begin a statement: what lies inside a string or
+between brackets is neither a blank run nor a definition. One Arrow function finds those
+lines in the texts that can hold any.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
-from patchloom.functions.text import let, split_lines
+from patchloom.functions.text import let, split_lines, unix_newlines
+from patchloom.operators import lexing
 
 MAX_LINE = 120
 BLANK_BEFORE_TOP_LEVEL = 2
@@ -18,6 +26,22 @@ def _violation(rule: str, line: Column, message: Column) -> Column:
     return F.struct(F.lit(rule).alias("rule"), line.cast("int").alias("line_no"), message.alias("message"))
 
 
+@F.arrow_udf(ArrayType(BooleanType()))
+def continued(text: pa.Array) -> pa.Array:
+    """Per line of a Python text, whether it goes on with a statement; null for a null text."""
+    found = (lexing.continued_lines("python", t.as_py()).tolist() if t.is_valid else None for t in text)
+    return pa.array(list(found), pa.list_(pa.bool_()))
+
+
+# Texts that can hold a statement of several lines: triple quotes, or a bracket or backslash before a line's end.
+_MANY_LINES = r"\x22{3}|\x27{3}|[(\[{][^)\]}\n]*\n|\\\n"
+
+
+def _continued(content: Column) -> Column:
+    text = unix_newlines(content)
+    return continued(F.when(text.rlike(_MANY_LINES), text))
+
+
 def _line_rules(lines: Column) -> Column:
     """Rules that look at one line only."""
     def checks(text: Column, i: Column) -> Column:
@@ -33,13 +57,14 @@ def _line_rules(lines: Column) -> Column:
     return F.filter(F.flatten(F.transform(lines, checks)), lambda v: v.isNotNull())
 
 
-def _blank_rules(lines: Column) -> Column:
-    """Rules on the blank run before a line, from the list of non-blank lines."""
+def _blank_rules(lines: Column, going: Column) -> Column:
+    """Rules on the blank run before a line, from the list of lines that are not blank or go on."""
     def marked(text: Column, i: Column) -> Column:
+        on = F.coalesce(F.get(going, i), F.lit(False))
         return F.struct(
-            (i + 1).alias("no"), text.rlike(r"^\S").alias("top"),
-            text.rlike(STARTS).alias("starts"), text.startswith("@").alias("deco"),
-            text.startswith("#").alias("comment"), text.rlike(BLANK).alias("blank"),
+            (i + 1).alias("no"), (text.rlike(r"^\S") & ~on).alias("top"),
+            (text.rlike(STARTS) & ~on).alias("starts"), (text.startswith("@") & ~on).alias("deco"),
+            (text.startswith("#") & ~on).alias("comment"), (text.rlike(BLANK) & ~on).alias("blank"), on.alias("on"),
         )
 
     def rules(full: Column, n_lines: Column) -> Column:
@@ -51,7 +76,8 @@ def _blank_rules(lines: Column) -> Column:
             # a comment right above a definition takes its blank lines over
             glued = F.coalesce(previous["comment"] & previous["top"], F.lit(False)) & (gap == 0)
             return (
-                F.when(gap > allowed, _violation("E303", x["no"], F.concat(
+                F.when(x["on"], F.lit(None))
+                .when(gap > allowed, _violation("E303", x["no"], F.concat(
                     F.lit("too many blank lines ("), gap.cast("string"), F.lit(")"))))
                 .when(x["starts"] & (i > 0) & ~after_deco & ~glued & (gap < BLANK_BEFORE_TOP_LEVEL), _violation(
                     "E302", x["no"], F.concat(F.lit("expected 2 blank lines, found "), gap.cast("string"))))
@@ -67,14 +93,15 @@ def _blank_rules(lines: Column) -> Column:
     )
 
 
-def _found(content: Column) -> Column:
-    """All violations of a text as an array."""
-    return let(split_lines(content), lambda lines: F.concat(_line_rules(lines), _blank_rules(lines)))
+def _found(content: Column, going: Column) -> Column:
+    """All violations of a text as an array; ``going`` marks lines that go on with a statement."""
+    return let(split_lines(content), lambda lines: F.concat(_line_rules(lines), _blank_rules(lines, going)))
 
 
 def violations(files: DataFrame) -> DataFrame:
     """``file, rule, line_no, message``; no shuffle, every file is read where it lies."""
-    return files.select("file", F.inline(_found(F.col("content"))))
+    read = files.select("file", "content", _continued(F.col("content")).alias("_going"))
+    return read.select("file", F.inline(_found(F.col("content"), F.col("_going"))))
 
 
 def statistics(found: DataFrame) -> DataFrame:
@@ -89,5 +116,6 @@ def lint_check(files: DataFrame) -> DataFrame:
     shown = F.array_join(F.transform(ordered, lambda v: F.concat(
         F.lit("line "), v["line_no"].cast("string"), F.lit(": "), v["rule"], F.lit(" "), v["message"])), "\n")
     ok = F.size("_found") == 0
-    return files.select("file", _found(F.col("content")).alias("_found")).select(
+    read = files.select("file", "content", _continued(F.col("content")).alias("_going"))
+    return read.select("file", _found(F.col("content"), F.col("_going")).alias("_found")).select(
         "file", ok.alias("ok"), F.when(ok, F.lit("No lint issues")).otherwise(shown).alias("message"))

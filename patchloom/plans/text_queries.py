@@ -171,6 +171,32 @@ def lint_check(spark, sf_dir):
     return lint.lint_check(_lint_files(spark, sf_dir))
 
 
+LOGICAL = """
+texts AS (SELECT doc_id, translate(coalesce(text, ''), '"''\\' || chr(13), '') AS t FROM documents),
+body AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM texts),
+inner_lines AS (SELECT doc_id, len(l) AS n, unnest(generate_series(1, len(l))) + 1 AS no, unnest(l) AS s FROM body),
+found AS (
+  SELECT doc_id AS file, 'E501' AS rule, no AS line_no, 'line too long (' || length(s) || ' > 120 characters)' AS message FROM inner_lines WHERE length(s) > 120
+  UNION ALL SELECT doc_id, 'W293', no, 'blank line contains whitespace' FROM inner_lines WHERE s <> '' AND regexp_full_match(s, '[ \\t]*')
+  UNION ALL SELECT doc_id, 'W291', no, 'trailing whitespace' FROM inner_lines WHERE NOT regexp_full_match(s, '[ \\t]*') AND regexp_matches(s, '[ \\t]+$')
+  UNION ALL SELECT doc_id, 'E302', len(l) + 17, 'expected 2 blank lines, found 1' FROM body WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, 'E303', len(l) + CASE WHEN doc_id % 3 = 0 THEN 23 ELSE 24 END, 'too many blank lines (3)' FROM body WHERE doc_id % 4 = 0)"""
+
+
+@query("lint_logical_lines", f"""WITH {LOGICAL} SELECT file, rule, CAST(line_no AS INT) AS line_no, message FROM found""")
+def lint_logical_lines(spark, sf_dir):
+    """Files whose strings and brackets hold blank runs and lines that look like definitions."""
+    n = F.col("doc_id")
+    text = F.translate(F.coalesce("text", F.lit("")), "\"'\\\r", "")
+    quotes = 3 * '"'
+    # lines 2 .. n + 1 are the document; then the end of the string and what looks like code in it
+    content = F.concat(
+        F.lit(f"x = {quotes}\n"), text, F.lit(f"\n\n\n\n\ndef none():\n{quotes}\ny = [\n\n\n\n    1,  # (\n]\nz = 1 + \\\n    2\n"),
+        F.when(n % 3 == 0, F.lit("\n")).otherwise(F.lit("\n\n")), F.lit("def f(a):\n    b = {\n"),
+        F.when(n % 4 == 0, F.lit("    }\n\n\n\n    return b\n")).otherwise(F.lit("\n\n\n    }\n    return b\n")))
+    return lint.violations(read(spark, sf_dir, "documents", "doc_id").select(n.alias("file"), content.alias("content")))
+
+
 @query("size_format", """
 WITH sizes AS (SELECT source, sum(strlen(text)) AS bytes FROM documents GROUP BY 1)
 SELECT source, CAST(bytes AS BIGINT) AS bytes,

@@ -321,3 +321,27 @@ def test_syntax_status(spark, content, start):
 def test_last_definition_wins(spark):
     top = python_units.top_level(python_units.units(parsed(spark, "def f(a): pass\ndef g(): pass\ndef f(a, b): pass\n")))
     assert sorted((r["name"], r["ord"], r["positional_args"]) for r in top.collect()) == [("f", 1, 2), ("g", 2, 0)]
+
+
+def test_continued_lines_equal_the_tokenizer():
+    """Lines that go on with a statement, in this repository's own files."""
+    import io
+    import tokenize
+    from pathlib import Path
+
+    for path in sorted(Path(__file__).parent.parent.glob("**/*.py")):
+        text = path.read_text()
+        begun, fresh, on = True, True, set()
+        for token in tokenize.generate_tokens(io.StringIO(text).readline):
+            if token.type in (tokenize.NEWLINE, tokenize.ENDMARKER) or token.type == tokenize.NL and fresh:
+                fresh = True
+                continue
+            if token.type in (tokenize.INDENT, tokenize.DEDENT):
+                continue
+            if token.type == tokenize.COMMENT and fresh:
+                continue  # a line of its own
+            first = token.start[0] if fresh else begun
+            on |= set(range(first + 1, token.end[0] + (token.type != tokenize.NL)))
+            begun, fresh = first, False
+        got = {k + 1 for k, x in enumerate(lexing.continued_lines("python", text)) if x}
+        assert got - {text.count("\n") + 1} == on - {text.count("\n") + 1}, (path, sorted(got ^ on)[:10])
