@@ -14,7 +14,7 @@ from patchloom.operators import inputs, replies
 from patchloom.plans.derive import _pick
 from patchloom.plans.registry import query, read
 from patchloom.session import work_path
-from patchloom.sources import corpus
+from patchloom.sources import corpus, documents
 
 
 @query("corpus_scan", """
@@ -194,3 +194,26 @@ v AS (
 SELECT func, CAST(c AS INT) AS case_no, '[' || a || ', ' || b || ']' AS args FROM v""")
 def edge_case_rows(spark, sf_dir):
     return inputs.edge_cases(_signatures(spark, sf_dir))
+
+
+@query("document_files", """
+WITH d AS (SELECT 'p/d' || doc_id AS stem, doc_id, n_chars, coalesce(text, '') AS text FROM documents)
+SELECT stem || '.refactored.py' AS path, CAST(strlen('# ' || doc_id || chr(10) || text) AS BIGINT) AS bytes, sha256('# ' || doc_id || chr(10) || text) AS sha256 FROM d
+UNION ALL
+SELECT path, CAST(strlen(t) AS BIGINT), sha256(t) FROM (
+  SELECT stem || '_validation_report' || CASE WHEN part > 0 THEN '.' || part ELSE '' END || '.json' AS path,
+    '{"file":"' || stem || '.py","part":' || part || ',"chars":' || n_chars || '}' AS t
+  FROM d, (SELECT unnest([0, 1]) AS part) WHERE part = 0 OR doc_id % 10 = 0)""")
+def document_files(spark, sf_dir):
+    """Rewritten files and reports written one file each, the second time over the first, and read back."""
+    docs = read(spark, sf_dir, "documents", "doc_id")
+    name = F.concat(F.lit("p/d"), F.col("doc_id").cast("string"), F.lit(".py"))
+    text = F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")))
+    reports = docs.select(name.alias("file"), "n_chars", F.explode(
+        F.when(F.col("doc_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("part"))
+    reports = reports.select("file", "part", F.to_json(F.struct("file", "part", F.col("n_chars").alias("chars"))).alias("report"))
+    root = work_path(spark, "documents")
+    documents.write_documents(documents.outputs(docs.filter("doc_id % 2 = 0").select(name.alias("file"), F.lit("earlier").alias("content"))), root)
+    written = documents.write_documents(documents.outputs(docs.select(name.alias("file"), text.alias("content")), reports), root)
+    back = documents.read_documents(written, root)
+    return back.select("path", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from patchloom.operators import jobs, languages
 from patchloom.plans.prompt_queries import EXAMPLES
 from patchloom.session import work_path
-from patchloom.sources import corpus, envelopes
+from patchloom.sources import corpus, documents, envelopes
 from patchloom.streaming import stage_stream
 
 
@@ -114,3 +114,23 @@ def test_statuses(spark):
     assert {r["job_id"]: r["status"] for r in jobs.job_status(df).collect()} == {1: "cancelled", 2: "running"}
     assert {r["job_id"]: r["status"] for r in stage_stream.status_state(df).collect()} == {1: "cancelled", 2: "running"}
     assert jobs.finished(jobs.job_status(df)).count() == 1
+
+
+def test_documents_are_written_all_or_none(spark, tmp_path, rows):
+    root = str(tmp_path / "out")
+    made = lambda *r: spark.createDataFrame(list(r), "path STRING, text STRING").repartition(3)
+    files = lambda: {str(f.relative_to(root)): f.read_text() for f in (tmp_path / "out").rglob("*") if f.is_file() and "_manifests" not in f.parts}
+    first = documents.write_documents(made(("a/b/x.refactored.py", "é\n"), ("__init__.py", None), ("y.json", "{}")), root)
+    assert files() == {"a/b/x.refactored.py": "é\n", "__init__.py": "", "y.json": "{}"}
+    assert rows(documents.read_documents(first, root)) == [("__init__.py", ""), ("a/b/x.refactored.py", "é\n"), ("y.json", "{}")]
+    before = files()
+    for bad in ("../up.py", "/abs.py", "a//b.py", "a/./b.py", "", None, "_staging-1/x", "a\\b"):
+        with pytest.raises(Exception, match="no safe path"):
+            documents.write_documents(made(("new.py", "1"), (bad, "2"), ("a/b/x.refactored.py", "changed")), root)
+        assert files() == before
+    with pytest.raises(ValueError, match="two rows name 'z.py'"):
+        documents.write_documents(made(("z.py", "1"), ("z.py", "2")), root)
+    assert files() == before
+    documents.write_documents(made(("y.json", "[]"), ("_manifest.txt", "kept")), root)
+    assert files() == {**before, "y.json": "[]", "_manifest.txt": "kept"}
+    assert documents.write_documents(made().limit(0), root).count() == 0 and not list((tmp_path / "out").glob("_staging*"))
