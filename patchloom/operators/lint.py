@@ -109,13 +109,18 @@ def statistics(found: DataFrame) -> DataFrame:
     return found.rollup("file", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-def lint_check(files: DataFrame) -> DataFrame:
-    """``file, ok, message`` of the lint check: one line per violation, by line and rule."""
+def with_lint(rows: DataFrame, content: str = "content", out: str = "lint") -> DataFrame:
+    """Adds ``out``, a struct of ``ok`` and ``message``: one line per violation, by line and rule."""
+    text = F.col(content)
+    found = rows.withColumn("_going", _continued(text)).withColumn("_found", _found(text, F.col("_going")))
     ordered = F.array_sort(F.transform("_found", lambda v: F.struct(
         v["line_no"].alias("line_no"), v["rule"].alias("rule"), v["message"].alias("message"))))
     shown = F.array_join(F.transform(ordered, lambda v: F.concat(
         F.lit("line "), v["line_no"].cast("string"), F.lit(": "), v["rule"], F.lit(" "), v["message"])), "\n")
     ok = F.size("_found") == 0
-    read = files.select("file", "content", _continued(F.col("content")).alias("_going"))
-    return read.select("file", _found(F.col("content"), F.col("_going")).alias("_found")).select(
-        "file", ok.alias("ok"), F.when(ok, F.lit("No lint issues")).otherwise(shown).alias("message"))
+    return found.withColumn(out, F.struct(ok.alias("ok"), F.when(ok, F.lit("No lint issues")).otherwise(shown).alias("message"))).drop("_going", "_found")
+
+
+def lint_check(files: DataFrame) -> DataFrame:
+    """``file, ok, message`` of the lint check."""
+    return with_lint(files.select("file", "content")).select("file", "lint.ok", "lint.message")

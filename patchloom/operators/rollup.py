@@ -62,19 +62,24 @@ def roll_up(checks: DataFrame, gate: bool = True) -> DataFrame:
         F.min("ord").alias("ord"), F.max(F.struct("ord", "ok", "message")).alias("last")
     ).select("file", "attempt", F.struct("ord", "check", F.col("last.ok").alias("passed"), "last.message").alias("c"))
     grouped = named.groupBy("file", "attempt").agg(F.sort_array(F.collect_list("c")).alias("_all"))
+    return judged(grouped, gate).select("file", "attempt", *VERDICT)
+
+
+VERDICT = ["passed", "severity", "first_failure", "failed_checks", "checks"]
+
+
+def judged(rows: DataFrame, gate: bool = True) -> DataFrame:
+    """The columns of ``VERDICT`` from ``_all``, the checks of a file in order; other columns stay."""
     syntax = F.filter("_all", lambda c: (c["check"] == "syntax") & ~c["passed"])
     shown = F.when(F.size(syntax) > 0, syntax).otherwise(F.col("_all")) if gate else F.col("_all")
-    judged = grouped.select(
-        "file", "attempt", shown.alias("checks"), (F.size(syntax) > 0).alias("_broken"),
-    ).withColumn("_failed", F.filter("checks", lambda c: ~c["passed"]))
     first = F.get("_failed", F.lit(0))
-    return judged.select(
-        "file", "attempt", (F.size("_failed") == 0).alias("passed"),
-        F.when(F.col("_broken"), F.lit("error")).when(F.size("_failed") > 0, F.lit("warning")).otherwise(F.lit("pass")).alias("severity"),
-        F.when(F.size("_failed") > 0, F.concat(F.lit("["), first["check"], F.lit("] "), first["message"])).alias("first_failure"),
-        F.array_join(F.transform("_failed", lambda c: c["check"]), ", ").alias("failed_checks"),
-        "checks",
-    )
+    return rows.withColumns({"checks": shown, "_broken": F.size(syntax) > 0}).withColumn(
+        "_failed", F.filter("checks", lambda c: ~c["passed"])).withColumns({
+            "passed": F.size("_failed") == 0,
+            "severity": F.when(F.col("_broken"), F.lit("error")).when(F.size("_failed") > 0, F.lit("warning")).otherwise(F.lit("pass")),
+            "first_failure": F.when(F.size("_failed") > 0, F.concat(F.lit("["), first["check"], F.lit("] "), first["message"])),
+            "failed_checks": F.array_join(F.transform("_failed", lambda c: c["check"]), ", "),
+        }).drop("_all", "_broken", "_failed")
 
 
 def status(passed: Column) -> Column:

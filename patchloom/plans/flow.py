@@ -136,25 +136,28 @@ def validate_detail(
         F.struct(F.lit("original").alias("side"), F.col("original").alias("content")),
         F.struct(F.lit("refactored").alias("side"), F.col("refactored").alias("content")),
     )))
-    # four branches read the unit rows: parse once, keep the small result
+    # the unit rows are read several times: parse once, keep the small result
     parsed = cut_lineage(python_units.parse(both, keep=["side"]))
-    states = parsed.filter(F.col("kind").isNull())
-    syntax = states.filter("side = 'refactored'").select("file", "ok", "message")
-    gate = syntax.filter("ok").select("file")
-
-    units = parsed.filter(F.col("top_level")).withColumn("ord", F.col("def_line"))
-    compared = structure.compare(units.join(gate, "file", "left_semi"), strict).select("file", "ok", "message")
-    unreadable = states.filter("side = 'original' AND NOT ok AND NOT message LIKE 'Compile error%'").select(
-        "file", F.lit(False).alias("bad"), F.concat(F.lit("Cannot parse for AST comparison: "), "message").alias("why"))
-    shape = gate.join(compared, "file", "left").join(unreadable, "file", "left").select(
-        "file", F.coalesce("bad", "ok", F.lit(True)).alias("ok"),
-        F.coalesce("why", "message", F.lit(structure.PRESERVED)).alias("message"))
-
-    texts = pairs.filter("status IS NULL").select("file", F.col("refactored").alias("content")).join(gate, "file", "left_semi")
-    linted = lint.lint_check(texts)
-
-    parts = [(0, "syntax", syntax), (1, "ast_structure", shape), (2, "linting", linted)]
-    rates = failed = None
+    # all that follows goes by file, so rows are dealt out once and stay where they are
+    dealt = parsed.repartition("file")
+    state = lambda side: F.max(F.when(F.col("side") == side, F.struct("ok", "message")))
+    states = dealt.filter(F.col("kind").isNull()).groupBy("file").agg(state("original").alias("_old"), state("refactored").alias("_new"))
+    shapes = structure.compare(dealt.filter(F.col("top_level")).withColumn("ord", F.col("def_line")), strict).select(
+        "file", F.struct("ok", "message").alias("_shape"))
+    rows = lint.with_lint(pairs.select("file", F.col("status").alias("_skip"), "refactored"), "refactored", "_lint").drop("refactored").join(
+        states, "file", "left").join(shapes, "file", "left")
+
+    gate = F.coalesce(F.col("_new.ok"), F.lit(False))
+    unreadable = ~F.col("_old.ok") & ~F.col("_old.message").like("Compile error%")
+    shape_ok = F.when(unreadable, F.lit(False)).otherwise(F.coalesce("_shape.ok", F.lit(True)))
+    shape_message = F.when(unreadable, F.concat(F.lit("Cannot parse for AST comparison: "), "_old.message")).otherwise(
+        F.coalesce("_shape.message", F.lit(structure.PRESERVED)))
+    check = lambda ord_, name, ok, message, when: F.when(when, F.struct(
+        F.lit(ord_).alias("ord"), F.lit(name).alias("check"), ok.alias("passed"), message.alias("message")))
+    parts = [
+        check(0, "syntax", F.col("_new.ok"), F.col("_new.message"), F.col("_new").isNotNull()),
+        check(1, "ast_structure", shape_ok, shape_message, gate), check(2, "linting", F.col("_lint.ok"), F.col("_lint.message"), gate)]
+    failed, rate = None, F.lit(1.0)
     if runs is not None:
         judged_cases = cut_lineage(replay.verdicts(replay.pair_runs(runs)))
         shared = replay.shared_functions(python_units.public_functions(parsed)) if shared_only else None
@@ -167,34 +170,26 @@ def validate_detail(
             totals = totals.withColumns({e: F.lit(None).cast("string") for e in ("original_error", "refactored_error")})
         else:
             totals = totals.join(load_errors, "file", "full_outer")
-        ran = gate.join(totals, "file", "left")
-        parts.append((3, "functional", rollup.functional_check(ran).select("file", "ok", "message")))
+        rows = rollup.functional_check(rows.join(totals, "file", "left"))
+        parts.append(check(3, "functional", F.col("ok"), F.col("message"), gate))
         unloaded = F.col("original_error").isNotNull() | F.col("refactored_error").isNotNull()
-        rates = totals.select("file", F.when(unloaded, F.lit(1.0)).otherwise(F.col("pass_rate")).alias("pass_rate"))
-
-    checks = None
-    for ord_, name, rows in parts:
-        tagged = rows.select(
-            "file", F.lit(attempt).alias("attempt"), F.lit(ord_).alias("ord"), F.lit(name).alias("check"), "ok", "message")
-        checks = tagged if checks is None else checks.unionByName(tagged)
-
-    rolled = rollup.roll_up(checks)
-    judged = pairs.select("file", F.col("status").alias("_skip")).join(rolled, "file", "left")
-    if rates is not None:
-        judged = judged.join(rates, "file", "left")
-    else:
-        judged = judged.withColumn("pass_rate", F.lit(1.0))
+        rate = F.when(unloaded, F.lit(1.0)).otherwise(F.col("pass_rate"))
+
+    # a file that was skipped has no checks
+    listed = rows.select("file", "_skip", rate.alias("_rate"), F.array_compact(F.array(*parts)).alias("_all"))
+    checks = listed.select("file", F.lit(attempt).alias("attempt"), F.inline("_all")).withColumnRenamed("passed", "ok")
+    ruled = rollup.judged(listed)
     skipped = F.col("_skip").isNotNull()
     broken = F.exists("checks", lambda c: (c["check"] == "syntax") & ~c["passed"])
-    rate = F.when(skipped, F.lit(None)).when(broken, F.lit(0.0)).otherwise(F.col("pass_rate"))
-    results = judged.select(
+    unless = lambda c: F.when(~skipped, c)
+    results = ruled.select(
         "file", F.lit(attempt).alias("attempt"),
-        F.when(skipped, F.lit("SKIP")).otherwise(rollup.status(F.col("passed"))).alias("status"), "passed",
+        F.when(skipped, F.lit("SKIP")).otherwise(rollup.status(F.col("passed"))).alias("status"), unless(F.col("passed")).alias("passed"),
         F.when(skipped, F.lit("skip")).otherwise(F.col("severity")).alias("severity"),
-        F.bround(rate, 4).alias("pass_rate"),
+        F.bround(F.when(skipped, F.lit(None)).when(broken, F.lit(0.0)).otherwise(F.col("_rate")), 4).alias("pass_rate"),
         F.when(skipped, F.concat(F.lit(rollup.SKIP_ERROR), reply_ops.output_name(F.col("file").cast("string"))))
         .otherwise(F.col("first_failure")).alias("first_failure"),
-        "failed_checks", "checks",
+        unless(F.col("failed_checks")).alias("failed_checks"), unless(F.col("checks")).alias("checks"),
     )
     return Validated(results, checks, failed)
 
