@@ -33,13 +33,14 @@ REMEMBERED = 250_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
-# Numerals such as fractions and circled digits that the pattern takes for letters.
-_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x30000)) if _WORD.match(c) and not c.isalpha()) + "]")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _WORD.findall(_NUMERALS.sub(" ", text.lower()))
+    """Runs of letters, in lower case; numerals such as fractions and circled digits are none."""
+    words = _WORD.findall(text.lower())
+    if "".join(words).isalpha():
+        return words
+    return [w for word in words for w in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 class SuffixAutomaton:
