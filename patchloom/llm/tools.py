@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is executed here go when it ends: what is written is read back, not computed again."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends
     there, so lost executors cost no recomputation. Removed when the application ends."""
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.parquet(path)
-    _release(spark, path)
+    with _shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    _remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,17 +54,13 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     name = path.rsplit("/", 1)[-1].replace("-", "_")
-    df.write.bucketBy(buckets_of(spark), key).option("path", path).option("compression", "zstd").saveAsTable(name)
-    _release(spark, path)
+    with _shuffles_removed(spark):
+        df.write.bucketBy(buckets_of(spark), key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    _remove_at_exit(spark, path)
     return spark.table(name)
 
 
-def _release(spark: SparkSession, path: str) -> None:
-    """Remove ``path`` when the application ends, and what only finished jobs reach (shuffle files above all) now."""
-    if not spark.sparkContext.master.startswith("local["):
-        time.sleep(0.5)  # the listeners let go of a finished job a little later
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
