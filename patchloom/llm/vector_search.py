@@ -9,7 +9,8 @@ few, then those whose upper bound still reaches the kth exact score.
 Equal vectors form one class, of which the ``k + 1`` smallest ids can be in a result.
 Queries and classes are matched in blocks of fixed size, so neither side has to fit
 anywhere whole. Vectors that are null or hold null, NaN or infinite components take no
-part; a vector shorter than others counts as padded with zeros; a row that repeats an
+part; a vector shorter than others, an empty one too, counts as padded with zeros; scores
+must stay below 2^63; a row that repeats an
 id with the same vector counts once. Rows with a null id take no part.
 """
 
@@ -46,7 +47,7 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     """Integer vectors as rows, padded with zeros."""
     ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
     size = np.diff(ends)
-    if (size == dims).all():
+    if dims and (size == dims).all():
         return flat[ends[0] : ends[-1]].reshape(-1, dims)
     out = np.zeros((len(size), dims), np.int64)
     for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
@@ -111,17 +112,20 @@ def _bounded(queries: DataFrame, classes: DataFrame, marks: np.ndarray, keep: in
         if asked.num_rows and there.num_rows:
             rows = _matrix(asked.column("v").combine_chunks(), dims)
             ids, own = there.column("id").to_numpy(), asked.column("id").to_numpy()
-            cells = np.frombuffer(b"".join(there.column("cells").to_pylist()), np.uint8).reshape(-1, dims)
+            cells = np.frombuffer(b"".join(there.column("cells").to_pylist()), np.uint8).reshape(len(ids), dims)
             low_edge, high_edge = (e.astype(np.float64).T for e in cell_edges(cells, marks))
+            # sums of products of doubles are this much off at most, as a share of the sum of their sizes
+            largest, share = np.maximum(np.abs(low_edge), np.abs(high_edge)), (dims + 2) * 2.0 ** -52
             for at in range(0, len(rows), TILE):
                 plus, minus = np.maximum(rows[at : at + TILE], 0).astype(float), np.minimum(rows[at : at + TILE], 0).astype(float)
-                low, high = plus @ low_edge + minus @ high_edge, plus @ high_edge + minus @ low_edge
+                slack = (plus - minus) @ largest * share
+                low, high = plus @ low_edge + minus @ high_edge - slack, plus @ high_edge + minus @ low_edge + slack
                 if low.shape[1] > keep:
                     floor = np.partition(low, low.shape[1] - keep, axis=1)[:, -keep]
                 else:
                     floor = low.min(axis=1)
                 q, c = np.nonzero(high >= floor[:, None])
-                for part, values in zip(parts, (own[at : at + TILE][q], ids[c], low[q, c].astype(np.int64), high[q, c].astype(np.int64))):
+                for part, values in zip(parts, (own[at : at + TILE][q], ids[c], np.floor(low[q, c]).astype(np.int64), np.ceil(high[q, c]).astype(np.int64))):
                     part.append(values)
         return pa.table([pa.array(np.concatenate(p)) for p in parts], names=names)
 

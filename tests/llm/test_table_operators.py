@@ -119,6 +119,16 @@ def test_search_of_few_rows(spark, rows):
     assert rows(vector_search.top_k(make((0, [1.0]), (0, [1.0]), (3, [-2.0])))) == [(0, 1, 3, -131072)]
     assert rows(vector_search.top_k(make((0, [1.0])))) == []
     assert rows(vector_search.top_k(make((1, [1.0])).limit(0))) == []
+    assert rows(vector_search.top_k(make((0, []), (7, []), (3, [])))) == [(0, 1, 3, 0), (0, 2, 7, 0)]
+    assert rows(vector_search.top_k(make((0, [1.0, 2.0]), (7, []), (3, [-1.0])))) == [(0, 1, 7, 0), (0, 2, 3, -65536)]
+
+
+def test_search_of_large_components(spark, rows):
+    rng = random.Random(2)
+    vectors = [(i, [float(np.float32(rng.gauss(0, 1) * 2**20)) for _ in range(4)]) for i in range(60)]
+    vectors += [(100 + i, [float(np.float32(2.0**20 + i % 3)) for _ in range(4)]) for i in range(30)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    assert rows(vector_search.top_k(df, 5, 5)) == sorted(brute_search(vectors, 5, 5), key=repr)
 
 
 def brute_repeats(docs, length):
