@@ -12,8 +12,9 @@ compared with the one class that leads most of its lists. Classes that stay apar
 the component of their leader are then held against it in blocks of bitmaps: each bit
 is the parity of the n-grams that hash to it, so two bitmaps differ in no more bits
 than the sets in n-grams, and only pairs whose bitmaps are near enough are compared,
-the nearest few first, the others if they are still apart. Last, classes of different
-groups that share n-grams in their prefixes are paired. No list is cut.
+the nearest few first, the others if they are still apart. Last, a class that shares
+n-grams of its prefix with another group is held against that group in the same way. No
+list is cut, and no list is expanded into pairs.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Null or empty texts have an empty
 set and no links; a text of fewer words than the width is one n-gram. Rows with a
@@ -30,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from patchloom.llm.components import components
-from patchloom.llm.tools import mix64, portions, shingle_hashes, stored, word_hashes
+from patchloom.llm.tools import dropped, mix64, portions, shingle_hashes, stored, word_hashes
 
 SKETCH_BITS, SKETCH_ROWS = 19, 2
 SKETCH_BLOCK = 1 << 15
 FRAGMENTS = 4
-# Bits of the parity bitmap; classes per block of bitmaps; nearest pairs compared first.
-PARITY_BITS, PARITY_BLOCK, NEAREST = 1024, 1024, 3
+# Bits of the parity bitmap; nearest pairs compared first; classes per block that asks and per chunk that
+# is asked; bitmap pairs compared at a time.
+PARITY_BITS, NEAREST = 1024, 3
+ASK_BLOCK, CHUNK, COMPARED = 1024, 16_384, 1 << 16
 # A prefix holds 1 + n // AGREE n-grams more than one agreement needs.
 AGREE = 50
 MASK = (1 << 56) - 1
@@ -166,29 +169,31 @@ def _segments(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, fragment int, part array<long>")
 
 
-def _near_pairs(members: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """``a, b`` of members (``cluster, key, n, place, parity``) of one cluster in different
-    places whose bitmaps allow the similarity; with ``nearest``, only that many per member
-    and block, the nearest first."""
-    mixed = members.groupBy("cluster").agg(
-        F.min("place").alias("low"), F.max("place").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high")
-    held = members.join(mixed.select("cluster", F.ceil(F.col("size") / PARITY_BLOCK).cast("int").alias("blocks")), "cluster")
-    held = held.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+def _near_pairs(asking: DataFrame, members: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """``a, b``: rows that ask a cluster (``cluster, key, n, place, parity``) with those of its members in
+    other places whose bitmaps allow the similarity; with ``nearest``, only that many per row
+    and chunk, the nearest first. Askers go in blocks, members in chunks, so a cluster of any
+    size with few askers is sent about once."""
+    asked = asking.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / ASK_BLOCK).cast("int").alias("blocks"))
+    sizes = members.join(asked, "cluster").groupBy("cluster", "blocks").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    plan = stored(sizes, "asked")
+    slot = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    row = ["key", "n", "place", "parity"]
+    left = asking.join(plan, "cluster").select("cluster", slot("blocks").alias("block"), every("chunks").alias("chunk"), F.lit(True).alias("asks"), *row)
+    right = members.join(plan, "cluster").select("cluster", every("blocks").alias("block"), slot("chunks").alias("chunk"), F.lit(False).alias("asks"), *row)
 
     def match(table: pa.Table) -> pa.Table:
-        key, n, place, block = (table.column(c).to_numpy() for c in ("key", "n", "place", "block"))
+        key, n, place, asks = (table.column(c).to_numpy() for c in ("key", "n", "place", "asks"))
         bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(key), -1)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
         found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in range(0, len(left), 64):
-            rows = left[at : at + 64]
-            apart = place[rows][:, None] != place[right][None]
+        step = max(1, COMPARED // max(1, len(right)))
+        for at in range(0, len(left) if len(right) else 0, step):
+            rows = left[at : at + step]
             most = (n[rows][:, None] + n[right][None]) * (100 - percent) // (100 + percent)
             slack = most - np.bitwise_count(bits[rows][:, None] ^ bits[right][None]).sum(axis=2, dtype=np.int64)
-            slack[~apart] = -1
+            slack[place[rows][:, None] == place[right][None]] = -1
             if nearest is not None and slack.shape[1] > nearest:
                 floor = np.partition(slack, slack.shape[1] - nearest, axis=1)[:, -nearest]
                 good = (slack >= np.maximum(floor, 0)[:, None]) & (np.cumsum(slack >= floor[:, None], axis=1) <= 4 * nearest)
@@ -200,7 +205,14 @@ def _near_pairs(members: DataFrame, percent: int, nearest: int | None) -> DataFr
         a, b = np.concatenate(found[0]), np.concatenate(found[1])
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return held.groupBy("cluster", "i", "j").applyInArrow(match, "a long, b long").distinct()
+    return left.unionByName(right).groupBy("cluster", "block", "chunk").applyInArrow(match, "a long, b long").distinct()
+
+
+def _outliers(members: DataFrame) -> DataFrame:
+    """Members apart from the place that most members of their cluster share."""
+    places = members.groupBy("cluster", "place").agg(F.count(F.lit(1)).alias("size"))
+    main = places.groupBy("cluster").agg(F.max_by("place", F.struct("size", "place")).alias("main"), F.count(F.lit(1)).alias("places"))
+    return members.join(main.filter("places > 1").select("cluster", "main"), "cluster").filter("place != main").drop("main")
 
 
 def _fits(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -221,8 +233,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str
         parts.toDF("b", "fragment", "part_b"), ["b", "fragment"])
     partial = joined.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("shared"))
     total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
-    return stored(total.select("a", "b", (
+    done = stored(total.select("a", "b", (
         F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent).alias("similar")), "verified")
+    dropped(parts)
+    dropped(sized)
+    return done
 
 
 def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,8 +253,10 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     postings = _postings(docs, sent, text_col, width, percent)
     lists = postings.groupBy("token").agg(F.max("key").alias("lead"), F.min("key").alias("least")).filter("lead != least")
-    live = stored(postings.join(lists.select("token", "lead"), "token").distinct(), "postings")
-    del postings, lists
+    # lists of one class are done with here; the shuffle files go before the others are read
+    lists = stored(lists.select("token", "lead"), "lists")
+    live = stored(postings.join(lists, "token").distinct(), "postings")
+    dropped(lists)
 
     # every class with the class that leads most of its lists
     led = live.filter("key != lead").groupBy("key", "lead").agg(F.count(F.lit(1)).alias("times"))
@@ -263,30 +280,34 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     tested = None
     for nearest in (NEAREST, None):
-        pairs = _near_pairs(placed(clusters).join(bitmaps, "key"), percent, nearest)
+        members = stored(placed(clusters).join(bitmaps, "key").select("cluster", "key", "n", "place", "parity"), "members")
+        pairs = _near_pairs(_outliers(members), members, percent, nearest)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         tested = check(pairs)
+        dropped(members)
         links = stored(links.unionByName(tested.filter("similar").select("a", "b")), "links")
         labels = components(links)
 
-    # pairs of different clusters that agree often enough in their prefixes
-    spread = placed(live.select("token", "key").join(clusters.select("key", "cluster", "n"), "key"))
+    # classes that share n-grams of their prefixes with a cluster other than their own, against that cluster
+    spread = live.select("token", "key").join(clusters.select("key", "cluster"), "key")
     mixed = spread.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low != high")
     crowd = stored(spread.join(mixed.select("token"), "token", "left_semi"), "crowd")
-    counts = crowd.groupBy("token", "cluster").agg(F.count(F.lit(1)).alias("times"))
+    dropped(live)
+    counts = stored(crowd.groupBy("token", "cluster").agg(F.count(F.lit(1)).alias("times")), "counts")
     main = counts.groupBy("token").agg(F.max_by("cluster", F.struct("times", "cluster")).alias("main"))
-    rare = crowd.join(main, "token").filter("cluster != main").select(
-        "token", "main", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("cluster").alias("cluster_a"))
-    other = crowd.select("token", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("cluster").alias("cluster_b"))
-    # two members outside a list's main cluster meet once
-    once = (F.col("cluster_b") == F.col("main")) | (F.col("a") < F.col("b"))
-    met = rare.join(other, "token").filter(
-        (F.col("cluster_a") != F.col("cluster_b")) & (F.col("place_a") != F.col("place_b")) & once
-        & _fits(F.col("n_a"), F.col("n_b"), percent))
-    agreed = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n_a", "n_b").alias("n")).groupBy(
-        "a", "b", "n").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= 1 + F.floor(F.col("n") / AGREE))
-    more = check(agreed.select("a", "b")).filter("similar").select("a", "b")
+    # a pair of clusters meets through the members outside the list's largest cluster
+    rare = crowd.join(main, "token").filter("cluster != main").select("token", "key", F.col("cluster").alias("own"))
+    met = rare.join(counts.select("token", "cluster"), "token").filter("cluster != own").groupBy("key", "cluster").agg(
+        F.count(F.lit(1)).alias("times"))
+    members = stored(placed(clusters).join(bitmaps, "key").select("cluster", "key", "n", "place", "parity"), "members")
+    # two similar sets share one n-gram of their prefixes, and one more for every AGREE of the smaller
+    asking = met.join(members.select("key", "n", "place", "parity"), "key").filter(
+        F.col("times") >= 1 + F.floor(F.col("n") * percent / 100 / AGREE)).select("cluster", "key", "n", "place", "parity")
+    asking = stored(asking, "asking")
+    dropped(crowd)
+    dropped(counts)
+    more = check(_near_pairs(asking, members, percent, None)).filter("similar").select("a", "b")
     links = stored(links.unionByName(more), "links")
     labels = components(links)
 
