@@ -4,7 +4,7 @@ A page is cut into text blocks. A linear classifier gives each block a cost of b
 called content and a cost of being called boilerplate; these are the capacities to the
 two terminals. Blocks that follow each other, and blocks under the same parent element,
 are joined by smoothness edges. The cheapest labelling is a minimum cut, found by
-augmenting paths. Blocks whose own costs outweigh all their edges are settled first,
+blocking flows. Blocks whose own costs outweigh all their edges are settled first,
 which changes no minimum cut, so the flow runs over the undecided blocks alone.
 
 Null or empty html gives an empty text. Broken markup is read as far as it goes: an
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -23,10 +24,13 @@ from pyspark.sql import DataFrame
 
 from patchloom.llm.tools import portions
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|select|svg|iframe|math|object|canvas|video|audio)\b"
-                  r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-                  r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-_HINT = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+# A tag whose quoted values hold no "<"; others are ended by way of _TagEnds.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_MARKS = re.compile(r"[\"'>]")
+RAW = frozenset("script style noscript template textarea select svg iframe math object canvas video audio".split())
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_HINT = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
@@ -55,7 +59,16 @@ BOILERPLATE_HINTS = dict.fromkeys(
     "recommended share social sharing comment comments reply replies disqus respond footer header masthead copyright newsletter "
     "subscribe subscription signup login search pagination pager skip toolbar tags metadata byline complementary contentinfo".split(),
     -12.0)
-PARAGRAPH, HEADING, BARE = 1.0, 0.5, 0.0
+# Parts of a name that leave its meaning to the part before them, and parts that speak of a state.
+GENERIC = frozenset(
+    "list lists box section sections wrapper wrap block blocks area container bar widget menu links link inner outer left right top "
+    "bottom item items form button buttons title text body content header footer panel module group holder row col icon image".split())
+STATES = frozenset("no has with without is not".split())
+PARTLY = -2.0
+# Short blocks of this kind belong to no article.
+_NOTICE = re.compile(r"©|\(c\) ?\d{4}|all rights reserved|\bcopyright\b", re.I)
+NOTICE, NOTICE_WORDS = -4.0, 20
+PARAGRAPH, HEADING, BARE = 1.6, 0.5, 0.0
 PER_WORD, MOST_WORDS = 0.04, 50
 LINKS = -4.0
 BIAS = -0.5
@@ -71,19 +84,102 @@ class Block:
         self.text, self.linked, self.score, self.parent, self.tag = text, linked, score, parent, tag
 
 
+def _name_weight(token: str) -> float:
+    """Weight of one class name or id. A listed word counts in full where it is the name, or stands
+    before nothing but general parts (``comment-list``); elsewhere (``comments-open``) it counts little."""
+    parts = [p.lower() for p in _WORD.findall(token)]
+    if not parts or parts[0] in STATES:
+        return 0.0
+    bad = [k for k, p in enumerate(parts) if p in BOILERPLATE_HINTS]
+    if bad:
+        last = bad[-1]
+        return BOILERPLATE_HINTS[parts[last]] if all(p in GENERIC for p in parts[last + 1 :]) else PARTLY
+    return max((CONTENT_HINTS[p] for p in parts if p in CONTENT_HINTS), default=0.0)
+
+
+def _hint_weight(kind: str, value: str) -> float:
+    if kind == "aria-label":
+        words = {w.lower() for w in _WORD.findall(value)}
+        return min((BOILERPLATE_HINTS[w] for w in words if w in BOILERPLATE_HINTS), default=0.0)
+    weights = [_name_weight(token) for token in value.strip("\"'").split()]
+    worst = min(weights, default=0.0)
+    # one name that says boilerplate outright decides; else the best and the weak ones add up
+    return worst if worst < PARTLY else max(0.0, *weights, 0.0) + min(0.0, worst)
+
+
 def _weight(name: str, attributes: str) -> float:
     weight = CONTENT_TAGS.get(name, 0.0) + BOILERPLATE_TAGS.get(name, 0.0)
     if attributes:
         if name not in ("html", "body"):
-            for value in _HINT.findall(attributes):
-                words = {w.lower() for w in _WORD.findall(value)}
-                bad = [BOILERPLATE_HINTS[w] for w in words if w in BOILERPLATE_HINTS]
-                weight += min(bad) if bad else max((CONTENT_HINTS[w] for w in words if w in CONTENT_HINTS), default=0.0)
+            weight += sum(_hint_weight(kind.lower(), value) for kind, value in _HINT.findall(attributes))
         if _HIDDEN.search(attributes):
             weight -= 12.0
     return weight
 
 
+class _TagEnds:
+    """Where a tag ends that opens at a place: the first ``>`` outside quotes, found for all places at
+    once by one pass from the page's end."""
+
+    def __init__(self, page: str):
+        marks = [(m.start(), m.group()) for m in _MARKS.finditer(page)]
+        self.places = [at for at, _ in marks]
+        self.ends = [-1] * (len(marks) + 1)
+        plain = double = single = -1
+        for k in range(len(marks) - 1, -1, -1):
+            at, mark = marks[k]
+            if mark == ">":
+                plain = at
+            elif mark == '"':
+                plain, double = double, plain
+            else:
+                plain, single = single, plain
+            self.ends[k] = plain
+
+    def __getitem__(self, at: int) -> int:
+        return self.ends[bisect_left(self.places, at)]
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """``start, end, name, closing, attributes`` of every tag; comments, declarations and elements
+    whose content is no text have no name. A tag with an open quote ends at the next ``>``."""
+    ends, last, at = None, page.rfind(">"), page.find("<")
+    while 0 <= at:
+        start = at
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield start, end, None, False, ""
+        elif at > last:
+            return
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at) + 1
+            yield start, end, None, False, ""
+        else:
+            found = _TAG.match(page, at)
+            if found:
+                close, name, attributes, end = *found.groups(), found.end()
+            else:
+                opened = _NAME.match(page, at)
+                if not opened:
+                    at = page.find("<", at + 1)
+                    continue
+                ends = ends or _TagEnds(page)
+                close, name = opened.groups()
+                stop = ends[opened.end()]
+                stop = page.find(">", opened.end()) if stop < 0 else stop
+                attributes, end = page[opened.end() : stop], stop + 1
+            name = name.lower()
+            if name in RAW and not close:
+                if not attributes.endswith("/"):
+                    finish = _RAW_END[name].search(page, end)
+                    end = finish.end() if finish else len(page)
+                yield start, end, None, False, ""
+            else:
+                yield start, end, name, bool(close), attributes
+        at = page.find("<", end)
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order."""
     out: list[Block] = []
@@ -103,53 +199,62 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(text, linked, weight, parent, name))
         linked = 0
 
-    for tag in _TAG.finditer(page):
-        if tag.start() > at:
-            pending.append(page[at : tag.start()])
+    # how often a name is open, so that no path is searched in vain
+    opened: dict[str, int] = {}
+
+    def opening(name: str, weight: float) -> None:
+        nonlocal number
+        number += 1
+        path.append((name, path[-1][1] + weight, number))
+        opened[name] = opened.get(name, 0) + 1
+
+    def closing(depth: int) -> None:
+        for name, _, _ in path[depth:]:
+            opened[name] -= 1
+        del path[depth:]
+
+    for start, end, name, close, attributes in tags(page):
+        if start > at:
+            pending.append(page[at:start])
             if links:
-                linked += tag.start() - at
-        at = tag.end()
-        name = tag["name"]
+                linked += start - at
+        at = end
         if name is None:
             continue
-        name = name.lower()
         if name in INLINE:
             if name == "a":
-                links = 0 if tag["close"] else 1
+                links = 0 if close else 1
             elif name == "br":
                 pending.append(" ")
-            attributes = tag["attributes"]
-            if not tag["close"] and attributes and name not in VOID and _weight(name, attributes) < -1:
+            if not close and attributes and name not in VOID and _weight(name, attributes) < PARTLY:
                 # an inline element that is boilerplate by its own marks is a block of its own
                 flush()
-                number += 1
-                path.append((name, path[-1][1] + _weight(name, attributes), number))
-            elif tag["close"] and path[-1][0] == name:
+                opening(name, _weight(name, attributes))
+            elif close and path[-1][0] == name:
                 flush()
-                path.pop()
+                closing(len(path) - 1)
             continue
         flush()
-        if tag["close"]:
-            for depth in range(len(path) - 1, 0, -1):
+        if close:
+            for depth in range(len(path) - 1 if opened.get(name) else 0, 0, -1):
                 if path[depth][0] == name:
-                    del path[depth:]
+                    closing(depth)
                     break
                 if path[depth][0] in BARRIER and name not in BARRIER:
                     break
             links = 0
             continue
         ended = ENDS.get(name, ()) if name not in CLOSES_P else ("p",)
-        for depth in range(len(path) - 1, 0, -1):
+        for depth in range(len(path) - 1 if any(opened.get(e) for e in ended) else 0, 0, -1):
             if path[depth][0] in ended:
-                del path[depth:]
+                closing(depth)
             elif path[depth][0] in BARRIER:
                 break
         if name == "body":
-            del path[1:]
-        if name in VOID or tag["attributes"].endswith("/"):
+            closing(1)
+        if name in VOID or attributes.endswith("/"):
             continue
-        number += 1
-        path.append((name, path[-1][1] + _weight(name, tag["attributes"]), number))
+        opening(name, _weight(name, attributes))
     if at < len(page):
         pending.append(page[at:])
     flush()
@@ -162,7 +267,8 @@ def score(block: Block) -> float:
     tag = block.tag
     kind = PARAGRAPH if tag in ("p", "pre", "blockquote") else HEADING if tag[:1] == "h" and tag[1:].isdigit() else BARE
     share = min(1.0, block.linked / max(1, len(block.text)))
-    return block.score + kind + PER_WORD * min(words, MOST_WORDS) + LINKS * share
+    notice = NOTICE if words <= NOTICE_WORDS and _NOTICE.search(block.text) else 0.0
+    return block.score + kind + PER_WORD * min(words, MOST_WORDS) + LINKS * share + notice
 
 
 def minimum_cut(gains: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -190,34 +296,70 @@ def minimum_cut(gains: list[float], edges: list[tuple[int, int, float]]) -> list
             near[a] = {}
     open_ = [a for a in range(n) if label[a] is None]
     if open_:
-        source, sink = n, n + 1
-        room: dict[int, dict[int, float]] = {a: dict(near[a]) for a in open_} | {source: {}, sink: {}}
-        for a in open_:
-            if gains[a] > 0:
-                room[source][a], room[a][source] = gains[a], 0.0
-            elif gains[a] < 0:
-                room[a][sink], room[sink][a] = -gains[a], 0.0
+        place = {a: k for k, a in enumerate(open_)}
+        reached = _source_side([gains[a] for a in open_], [{place[b]: w for b, w in near[a].items()} for a in open_])
+        for a, on in zip(open_, reached):
+            label[a] = on
+    return [bool(x) for x in label]
+
+
+def _source_side(gains: list[float], near: list[dict[int, float]]) -> list[bool]:
+    """Which nodes a maximum flow leaves within reach of the source. The flow grows by blocking flows
+    over the levels of a breadth-first search, so that each round saturates all shortest paths."""
+    n = len(gains)
+    source, sink = n, n + 1
+    to: list[int] = []
+    room: list[float] = []
+    arcs: list[list[int]] = [[] for _ in range(n + 2)]
+
+    def arc(a: int, b: int, there: float, back: float) -> None:
+        arcs[a].append(len(to))
+        arcs[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((there, back))
+
+    for a, gain in enumerate(gains):
+        if gain > 0:
+            arc(source, a, gain, 0.0)
+        elif gain < 0:
+            arc(a, sink, -gain, 0.0)
+        for b, w in near[a].items():
+            if a < b:
+                arc(a, b, w, w)
+    while True:
+        level = [-1] * (n + 2)
+        level[source] = 0
+        queue = deque([source])
+        while queue and level[sink] < 0:
+            a = queue.popleft()
+            for e in arcs[a]:
+                if room[e] > 1e-9 and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if level[sink] < 0:
+            return [x >= 0 for x in level[:n]]
+        tried, path, a = [0] * (n + 2), [], source
         while True:
-            came, queue = {source: source}, deque([source])
-            while queue and sink not in came:
-                a = queue.popleft()
-                for b, w in room[a].items():
-                    if w > 1e-9 and b not in came:
-                        came[b] = a
-                        queue.append(b)
-            if sink not in came:
+            if a == sink:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                full = next(k for k, e in enumerate(path) if room[e] <= 1e-9)
+                a = to[path[full] ^ 1]
+                del path[full:]
+                continue
+            own = arcs[a]
+            while tried[a] < len(own) and not (room[own[tried[a]]] > 1e-9 and level[to[own[tried[a]]]] == level[a] + 1):
+                tried[a] += 1
+            if tried[a] < len(own):
+                path.append(own[tried[a]])
+                a = to[path[-1]]
+            elif a == source:
                 break
-            steps, b = [], sink
-            while b != source:
-                steps.append((came[b], b))
-                b = came[b]
-            flow = min(room[a][b] for a, b in steps)
-            for a, b in steps:
-                room[a][b] -= flow
-                room[b][a] = room[b].get(a, 0.0) + flow
-        for a in open_:
-            label[a] = a in came
-    return [bool(x) for x in label]
+            else:
+                a = to[path.pop() ^ 1]
+                tried[a] += 1
 
 
 def main_text(page: str | None) -> str:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import public_tokenizers
@@ -199,3 +200,33 @@ def test_benchmark_blocks_find_the_same(spark, rows, monkeypatch):
     whole = rows(decontaminate.find(docs, benchmark))
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 3000)
     assert whole and rows(decontaminate.find(docs, benchmark)) == whole
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article class='post tags-news'><p>Some words of an article</p></article>", "Some words of an article"),
+    ("<div class='main-content comments-open no-sidebar'><p>Some words</p></div>", "Some words"),
+    ("<div class='main-content'><p>Some words</p><div id='article-comments'><p>Nice words of a reader</p></div></div>", "Some words"),
+    ("<div><p>Some words here</p><ul class='comment-list'><li>Nice words of a reader</li></ul></div>", "Some words here"),
+    ("<ul class=menu><li><a href=x>Home</a></li></ul><p>short text</p>", "short text"),
+    ("<p>Some long enough words of a text here</p><p>All rights reserved 2024.</p>", "Some long enough words of a text here"),
+    ("<p title='a > b' data-x=\"<b>\">One</p><p class=\"open>Two</p><p>Three</p>", "One\nTwo\nThree"),
+    ("<p>One<script>x = '<p>no'</script> two<!-- <p>no --> three</p><br/><style>p {}", "One two three"),
+    ("<p>1 < 2 and <3</p>", "1 < 2 and <3"),
+])
+def test_main_text_of_odd_pages(page, text):
+    assert main_text.main_text(page) == text
+
+
+def test_main_text_takes_time_in_proportion():
+    start = time.process_time()
+    main_text.main_text('<a "' * 250_000)
+    main_text.main_text('<a "' * 250_000 + '">')
+    main_text.main_text("<!x" * 300_000)
+    main_text.main_text("<div>" * 50_000 + "</section>" * 50_000)
+    assert time.process_time() - start < 10
+    rng = random.Random(5)
+    start = time.process_time()
+    main_text.main_text("".join(rng.choice(["<div>a b</div>", "<p>a</p>", "<h2>c d</h2>", "<ul><li>a</li></ul>"]) for _ in range(50_000)))
+    gains = [rng.uniform(-1, 1) for _ in range(20_000)]
+    main_text.minimum_cut(gains, [(k, k + 1, 0.6) for k in range(19_999)] + [(k, k + 3, 0.6) for k in range(19_997)])
+    assert time.process_time() - start < 20
