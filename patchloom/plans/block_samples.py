@@ -22,12 +22,13 @@ class Unit(NamedTuple):
     first: int
     last: int
     nested: bool = False
+    parent: str | None = None
 
 
 SLOTS = 3
 # Characters that end a literal or comment somewhere, or begin one.
 UNQUOTED = "`\"'\\*/#$?<>\r"
-FIRST_LINES = {"php": "<?php // {", "ruby": "# class {"}
+FIRST_LINES = {"php": "<?php // {", "ruby": "# class {", "python": "# def f():"}
 OTHER_FIRST = "// {"
 SAMPLES: dict[str, list[tuple[str, list[Unit]]]] = {
     "javascript": [
@@ -100,45 +101,73 @@ NAMES = list(SAMPLES)
 KINDS = 4
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Python files: decorators, nested functions and classes, definitions inside strings and branches.
+PYTHON = {"python": [
+    ('class A@I(Base, metaclass=M):\n    x = """\n@T\ndef no():\n"""\n\n    @property\n    def p(self):\n        return 1\n\n'
+     '    async def q(self, a, *, b=2):\n        def inner():\n            return a\n        return inner\n\n    class Deep:\n        def d(self): pass',
+     [Unit("class", "A@I", 1, 17), Unit("method", "p", 7, 9, True, "A@I"), Unit("async_method", "q", 11, 14, True, "A@I"),
+      Unit("class", "Deep", 16, 17, True), Unit("method", "d", 17, 17, True, "Deep")]),
+    ("@deco\n@other(\n    1,\n)\nasync def f@I(a, /, b=1, *c, d, **e) -> None:\n    async with a as x:\n        def g@I(): yield x\n    return None",
+     [Unit("async_function", "f@I", 1, 8), Unit("function", "g@I", 7, 7, True)]),
+    ("if True:\n    def h@I(): pass\nelse:\n    class E@I: pass\nlam = lambda x: x", [Unit("function", "h@I", 2, 2), Unit("class", "E@I", 4, 4)]),
+    ('def k@I(x):\n    return """\n@T\n""" + x\n\n\nclass _P@I(k@I, object): ...', [Unit("function", "k@I", 1, 4), Unit("class", "_P@I", 7, 7)]),
+]}
+KINDS = 4
+
+
+def files(spark: SparkSession, sf_dir: str, samples_of: dict | None = None, path: str = "s/d") -> DataFrame:
     """``file, doc_id, language, content``: one file per document."""
-    at = F.col("doc_id")
-    texts = F.create_map(*[F.lit(x) for i, name in enumerate(NAMES) for k, (text, _) in enumerate(SAMPLES[name]) for x in (i * KINDS + k, text)])
-    language = F.element_at(F.array(*[F.lit(n) for n in NAMES]), (at % len(NAMES) + 1).cast("int"))
+    samples_of = samples_of or SAMPLES
+    names, at = list(samples_of), F.col("doc_id")
+    texts = F.create_map(*[F.lit(x) for i, name in enumerate(names) for k, (text, _) in enumerate(samples_of[name]) for x in (i * KINDS + k, text)])
+    language = F.element_at(F.array(*[F.lit(n) for n in names]), (at % len(names) + 1).cast("int"))
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("{ "), F.translate(x, UNQUOTED, "")))
+    kind = lambda j: (F.floor(at / len(names)) + j * (1 + F.floor(at / (len(names) * KINDS)) % 3)) % KINDS
     chosen = [
-        F.replace(F.replace(F.element_at(texts, (at % len(NAMES) * KINDS + (F.floor(at / 9) + j * (1 + F.floor(at / 36) % 3)) % KINDS).cast("int")),
+        F.replace(F.replace(F.element_at(texts, (at % len(names) * KINDS + kind(j)).cast("int")),
                             F.lit("@I"), F.concat(at.cast("string"), F.lit(f"_{j}"))), F.lit("@T"), F.array_join(lines, "\n")) for j in range(SLOTS)]
-    first = F.coalesce(*[F.when(language == n, F.lit(line)) for n, line in FIRST_LINES.items()], F.lit(OTHER_FIRST))
+    firsts = [F.when(language == n, F.lit(line)) for n, line in FIRST_LINES.items()]
     return read(spark, sf_dir, "documents", "doc_id").select(
-        F.concat(F.lit("s/d"), at.cast("string")).alias("file"), "doc_id", language.alias("language"),
-        F.concat(F.concat_ws("\n", first, *chosen), F.lit("\n")).alias("content"))
+        F.concat(F.lit(path), at.cast("string")).alias("file"), "doc_id", language.alias("language"),
+        F.concat(F.concat_ws("\n", F.coalesce(*firsts, F.lit(OTHER_FIRST)), *chosen), F.lit("\n")).alias("content"))
 
 
-def _rows() -> tuple[str, str]:
+def _rows(samples_of: dict) -> tuple[str, str]:
     samples, units = [], []
-    for i, name in enumerate(NAMES):
-        for k, (text, found) in enumerate(SAMPLES[name]):
+    for i, name in enumerate(samples_of):
+        for k, (text, found) in enumerate(samples_of[name]):
             lines = text.split("\n")
             mark = lines.index("@T") + 1 if "@T" in lines else 0
             samples.append(f"({i}, {k}, {len(lines)}, {mark})")
-            units += [f"({i}, {k}, '{u.type}', '{u.name}', {u.first}, {u.last}, {str(u.nested).lower()})" for u in found]
+            units += [f"({i}, {k}, '{u.type}', '{u.name}', {u.first}, {u.last}, {str(u.nested).lower()}, {_text(u.parent)})" for u in found]
     return ", ".join(samples), ", ".join(units)
 
 
-# SQL of the expected units: ``file, language, type, name, start_line, end_line, nested``.
-EXPECTED = """
-samples(l, k, lines, mark) AS (VALUES {0}),
-sample_units(l, k, type, name, first, last, nested) AS (VALUES {1}),
-docs AS (SELECT doc_id, doc_id % 9 AS l, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents),
+def _text(value: str | None) -> str:
+    return "NULL" if value is None else f"'{value}'"
+
+
+def expected(samples_of: dict, path: str) -> str:
+    """SQL of the units: ``file, language, type, name, start_line, end_line, nested, parent`` in ``expected``."""
+    samples, units = _rows(samples_of)
+    names = ", ".join(f"'{n}'" for n in samples_of)
+    n = len(samples_of)
+    return f"""
+samples(l, k, lines, mark) AS (VALUES {samples}),
+sample_units(l, k, type, name, first, last, nested, parent) AS (VALUES {units}),
+docs AS (SELECT doc_id, doc_id % {n} AS l, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents),
 slots AS (
-  SELECT doc_id, l, n, j, (doc_id // 9 + j * (1 + (doc_id // 36) % 3)) % 4 AS k FROM docs, (SELECT unnest([0, 1, 2]) AS j)),
+  SELECT doc_id, l, n, j, (doc_id // {n} + j * (1 + (doc_id // {n * KINDS}) % 3)) % {KINDS} AS k FROM docs, (SELECT unnest([0, 1, 2]) AS j)),
 placed AS (
   SELECT p.*, s.mark, 1 + coalesce(sum(s.lines + CASE WHEN s.mark > 0 THEN n - 1 ELSE 0 END) OVER (
     PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above
   FROM slots p JOIN samples s USING (l, k)),
 expected AS (
-  SELECT 's/d' || doc_id AS file, [{2}][1 + l] AS language, type, replace(name, '@I', doc_id || '_' || j) AS name,
+  SELECT '{path}' || doc_id AS file, [{names}][1 + l] AS language, type, replace(name, '@I', doc_id || '_' || j) AS name,
     CAST(above + first + CASE WHEN mark > 0 AND first > mark THEN n - 1 ELSE 0 END AS INT) AS start_line,
-    CAST(above + last + CASE WHEN mark > 0 AND last > mark THEN n - 1 ELSE 0 END AS INT) AS end_line, nested
-  FROM placed JOIN sample_units USING (l, k))""".format(*_rows(), ", ".join(f"'{n}'" for n in NAMES))
+    CAST(above + last + CASE WHEN mark > 0 AND last > mark THEN n - 1 ELSE 0 END AS INT) AS end_line, nested,
+    replace(parent, '@I', doc_id || '_' || j) AS parent
+  FROM placed JOIN sample_units USING (l, k))"""
+
+
+EXPECTED = expected(SAMPLES, "s/d")

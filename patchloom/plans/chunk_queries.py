@@ -231,6 +231,14 @@ def python_units_query(spark, sf_dir):
     )
 
 
+@query("python_units_varied", f"""
+WITH {block_samples.expected(block_samples.PYTHON, "v/d")}
+SELECT file, type, name, parent, start_line, end_line FROM expected""")
+def python_units_varied(spark, sf_dir):
+    files = block_samples.files(spark, sf_dir, block_samples.PYTHON, "v/d")
+    return python_units.units(python_units.parse(files)).select("file", "type", "name", "parent", "start_line", "end_line")
+
+
 @query("syntax_check", """
 SELECT 'p/d' || doc_id || '.py' AS file, doc_id % 9 <> 0 AS ok,
   CASE WHEN doc_id % 9 <> 0 THEN 'Syntax OK'

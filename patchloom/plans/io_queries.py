@@ -14,7 +14,7 @@ from patchloom.operators import inputs, replies
 from patchloom.plans.derive import _pick
 from patchloom.plans.registry import query, read
 from patchloom.session import work_path
-from patchloom.sources import corpus, documents
+from patchloom.sources import corpus, documents, envelopes
 
 
 @query("corpus_scan", """
@@ -217,3 +217,22 @@ def document_files(spark, sf_dir):
     written = documents.write_documents(documents.outputs(docs.select(name.alias("file"), text.alias("content")), reports), root)
     back = documents.read_documents(written, root)
     return back.select("path", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+
+
+@query("example_source", """
+WITH d AS (SELECT doc_id, lang, doc_id // 10 AS k, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) - 1 AS position FROM documents)
+SELECT 'e' || doc_id AS id, coalesce(lang, '*') AS language, 'function' AS chunk_type, CAST(position AS INT) AS position
+FROM d WHERE k % 7 <> 3""")
+def example_source(spark, sf_dir):
+    """Example files of ten entries each, of which some are no JSON; a folder that is not there gives none."""
+    docs = read(spark, sf_dir, "documents", "doc_id")
+    entry = F.struct(
+        F.col("doc_id").alias("_at"), F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("id"), F.coalesce("lang", F.lit("*")).alias("language"),
+        F.lit("function").alias("chunk_type"), F.lit("d").alias("description"), F.lit("b").alias("before"), F.lit("a").alias("after"), F.lit("").alias("notes"))
+    packed = docs.groupBy(F.floor(F.col("doc_id") / 10).alias("k")).agg(F.sort_array(F.collect_list(entry)).alias("examples"))
+    whole = F.to_json(F.struct(F.transform("examples", lambda e: e.dropFields("_at")).alias("examples")))
+    text = F.when(F.col("k") % 7 == 3, F.concat(F.lit("{oops"), whole)).otherwise(whole)
+    root = work_path(spark, "examples")
+    documents.write_documents(packed.select(F.concat(F.lit("x"), F.col("k").cast("string"), F.lit(".json")).alias("path"), text.alias("text")), root)
+    found = envelopes.read_examples(spark, root).unionByName(envelopes.read_examples(spark, root + "-none"))
+    return found.select("id", "language", "chunk_type", "position")

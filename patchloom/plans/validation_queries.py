@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions.compare import arrays_close, keys_equal, maps_match, numbers_match
 from patchloom.functions.text import percent
-from patchloom.operators import attempts, jobs, prompts, replay, rollup
+from patchloom.operators import attempts, jobs, prompts, python_units, replay, rollup
 from patchloom.plans import derive, flow
 from patchloom.plans.prompt_queries import _sql_text
 from patchloom.plans.registry import ORACLES, query, read
@@ -140,6 +140,23 @@ def property_checks(spark, sf_dir):
     return replay.properties(replay.pair_runs(derive.recorded_runs(spark, sf_dir)))
 
 
+@query("property_shared", f"""
+WITH {PROPERTIES}
+SELECT file, func, property, count(*) AS cases, count(*) FILTER (passed) AS held FROM props
+WHERE func NOT LIKE 'f%3' GROUP BY 1, 2, 3""")
+def property_shared(spark, sf_dir):
+    """Properties of functions that are public on both sides; some are private on the second."""
+    runs = derive.recorded_runs(spark, sf_dir)
+    names = runs.select("file", "func").distinct()
+    side = lambda name, column: F.struct(F.lit(name).alias("side"), column.alias("name"))
+    hidden = F.when(F.col("func").endswith("3"), F.concat(F.lit("_"), F.col("func"))).otherwise(F.col("func"))
+    units = names.select("file", F.inline(F.array(side("original", F.col("func")), side("refactored", hidden)))).withColumns(
+        {"kind": F.lit("function"), "top_level": F.lit(True)})
+    shared = replay.shared_functions(python_units.public_functions(units))
+    found = replay.properties(replay.pair_runs(runs), shared=shared)
+    return found.groupBy("file", "func", "property").agg(F.count(F.lit(1)).alias("cases"), F.count_if("passed").alias("held"))
+
+
 @query("replay_aggregate", f"""
 WITH {BY_FUNCTION}, {PROPERTIES.split(RUNS + ',')[1]},
 broken AS (SELECT file, count(*) AS n FROM props WHERE NOT passed GROUP BY 1)
