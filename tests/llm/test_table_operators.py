@@ -383,6 +383,65 @@ def test_surrogates_stay_distinct(spark):
     assert not {(r["kind"], r["surrogate"]) for r in got} & {(r["kind"], r["canonical"]) for r in got}
 
 
+def test_one_person_has_one_surrogate(spark, documents):
+    docs = documents(
+        (1, "Mr. John Smith met Ms. Ada Smith-Jones. Dr. John Smith left; John Smith said Smithy. Mr. Smith and Prof. Lee stayed, Lee too."),
+        (2, "Dr. John Smith wrote. Frau Anna Smith did not. Smith did."), (None, "Mrs. Smith"), (None, "Mr. Brown"), (2, "Herr Brown, Brown-Lee"))
+    out = {k: r["text"] for k, r in enumerate(surrogates.replace(docs, "k").collect())}
+    texts = sorted(out.values(), key=len, reverse=True)
+    first = re.fullmatch(r"Mr\. (\w+) (\w+) met Ms\. (\w+) (\w+)-(\w+)\. Dr\. (\w+) (\w+) left; (\w+) (\w+) said Smithy\. Mr\. (\w+) and Prof\. (\w+) stayed, (\w+) too\.", texts[0])
+    john, smith, ada, smith2, jones, john2, smith3, john3, smith4, smith5, lee, lee2 = first.groups()
+    assert {smith, smith2, smith3, smith4, smith5} == {smith} and {john, john2, john3} == {john} and lee == lee2
+    assert len({john, smith, ada, jones, lee}) == 5 and not {"John", "Smith", "Ada", "Jones", "Lee"} & {john, smith, ada, jones, lee}
+    male, female = surrogates.GIVEN["m", "latin"], surrogates.GIVEN["f", "latin"]
+    assert (john in male or john.endswith("in")) and (ada in female or ada.endswith("a"))
+    second = re.fullmatch(r"Dr\. (\w+) (\w+) wrote\. Frau (\w+) (\w+) did not\. (\w+) did\.", texts[1])
+    assert second.groups()[:2] == (john, smith) and second[4] == second[5] == smith and second[3] != ada
+    assert {f"Mrs. {smith}", "Mr. " + texts[2].split()[1].strip(",")} <= set(out.values())
+    assert texts[2] == f"Herr {texts[2].split()[1]} {texts[2].split()[1].strip(',')}-{lee}" or texts[2].endswith("-Lee")
+
+
+def test_a_space_of_names_and_numbers_can_fill(spark):
+    names = [("family", a + b) for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    names += [("given", f"{g}:{a}{b}") for g in "mf?" for a in "abcdefgh" for b in "aeiou"]
+    phones = [("phone", f"{k:04d}") for k in range(4800)] + [("phone", f"{k:02d}") for k in range(60)]
+    entities = spark.createDataFrame(names + phones, "kind string, canonical string")
+    got = [tuple(r) for r in surrogates.assign(entities, "k").select("kind", "canonical", "surrogate").collect()]
+    assert len(got) == len(names + phones) and {g[:2] for g in got} == set(names + phones)
+    spoken = [s.lower() for k, _, s in got if k != "phone"]
+    assert len(set(spoken)) == len(spoken) and not set(spoken) & {c.split(":")[-1] for _, c in names}
+    numbers = [s for k, _, s in got if k == "phone"]
+    assert len(set(numbers)) == len(numbers) and all(len(s) == len(c) for k, c, s in got if k == "phone")
+    # of 4,800 numbers of four digits all have a place among the other 5,200; of 60 of two digits only 40 have
+    assert not {s for s in numbers if len(s) == 4} & {c for _, c in phones}
+
+
+def test_surrogates_are_distinct_over_a_corpus(spark, documents):
+    rng = random.Random(6)
+    word = lambda: rng.choice("ABCDEFGHKLMNPRST") + "".join(rng.choice("aeiourlnst") for _ in range(rng.randint(1, 4)))
+    people = [(rng.choice(["Mr.", "Mrs.", "Dr."]), word(), word()) for _ in range(150)]
+    docs = [(k, f"Then {t} {g} {f} came with {g} {f}; call +1{rng.randint(100, 999)}{rng.randint(1000, 9999)}.") for k, (t, g, f) in enumerate(people)]
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace(documents(*docs), "k").collect()}
+    full = {}
+    for k, (t, g, f) in enumerate(people):
+        m = re.fullmatch(rf"Then {re.escape(t)} (\S+) (\S+) came with (\S+) (\S+); call \+\d{{8}}\.", got[k])
+        assert m and m[1] == m[3] and m[2] == m[4], got[k]
+        full.setdefault(f, set()).add(m[2])
+        full.setdefault((g, f, t), set()).add((m[1], m[2]))
+    assert all(len(v) == 1 for v in full.values())
+    families = [next(iter(v)) for k, v in full.items() if isinstance(k, str)]
+    assert len(set(families)) == len(families)
+    real = {w.lower() for p in people for w in p[1:]}
+    assert not real & {w.lower() for v in full.values() for x in v for w in ([x] if isinstance(x, str) else x)}
+
+
+def test_surrogates_keep_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "Mr. John Smith", 5, "a", "b"), (None, "Mr. John Smith", 6, None, "b")],
+                                 "doc_id long, text string, _n int, _map string, _text string")
+    got = surrogates.replace(docs, "k", count_col="n").collect()
+    assert [tuple(r)[2:] for r in sorted(got, key=lambda r: r["_n"])] == [(5, "a", "b", 1), (6, None, "b", 1)] and got[0]["text"] == got[1]["text"]
+
+
 def test_surrogates_run_without_python(spark, documents):
     plan = surrogates.replace(documents(*TEXTS), "k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
