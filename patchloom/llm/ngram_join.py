@@ -1,7 +1,7 @@
 """Documents whose word n-grams are similar, by vertical partitioning of a global order.
 
 All n-grams stand in one global order: rare ones first, by a sketch of fixed size that
-counts them over the whole corpus, then by hash. Two similar sets share at least ``c``
+counts them over the whole corpus and a list of the commonest ones, then by hash. Two similar sets share at least ``c``
 n-grams among the first few of each (the prefix); documents that do so are candidates.
 The order is cut into fragments, every candidate set with it; overlaps are counted per
 fragment and pair, summed per pair, and judged by the exact sizes.
@@ -35,6 +35,8 @@ from patchloom.llm.tools import dropped, mix64, portions, shingle_hashes, stored
 
 SKETCH_BITS, SKETCH_ROWS = 19, 2
 SKETCH_BLOCK = 1 << 15
+# N-grams known to be common by themselves, and the texts of a portion that must hold one for it to be counted.
+COMMON, OFTEN = 1 << 18, 3
 FRAGMENTS = 4
 # Bits of the parity bitmap; nearest pairs compared first; classes per block that asks and per chunk that
 # is asked; bitmap pairs compared at a time.
@@ -54,22 +56,59 @@ def _slots(hashes: np.ndarray, row: int) -> np.ndarray:
     return ((hashes if row == 0 else mix64(hashes ^ np.uint64(row))) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def order_sketch(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """Logarithmic counts per slot over the whole corpus: ``SKETCH_ROWS * 2**SKETCH_BITS`` bytes
-    on the driver, whatever the input."""
+class Order:
+    """The global order: logarithmic counts per slot, and the counts of the commonest n-grams by
+    themselves. Any such order gives the same result; a good one puts what is common last."""
+
+    def __init__(self, sketch: np.ndarray, common: np.ndarray, counts: np.ndarray):
+        self.sketch, self.common, self.counts = sketch, common, counts
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        level = self.sketch[0][_slots(hashes, 0)]
+        for row in range(1, SKETCH_ROWS):
+            level = np.minimum(level, self.sketch[row][_slots(hashes, row)])
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
+            own = self.common[at] == hashes
+            level = np.where(own, 128 + self.counts[at], np.minimum(level, 127))
+        return level
+
+
+def global_order(docs: DataFrame, text_col: str, width: int) -> Order:
+    """Counts per slot over the whole corpus (``SKETCH_ROWS * 2**SKETCH_BITS`` bytes on the driver)
+    and the ``COMMON`` commonest n-grams among those that several texts of a portion hold
+    (nine bytes each), whatever the input."""
     size = 1 << SKETCH_BITS
+    names = ["block", "token", "times", "counts"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((SKETCH_ROWS, size), np.int64)
+        tokens, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def rows(tokens: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+            n = len(tokens)
+            return pa.RecordBatch.from_arrays([
+                pa.nulls(n, pa.int64()), pa.array(tokens.view(np.int64)), pa.array(times), pa.nulls(n, pa.binary())], names)
+
         for batch in (part for b in batches for part in portions(b, 0)):
             sets = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
             for row in range(SKETCH_ROWS):
                 seen[row] += np.bincount(_slots(flat, row), minlength=size)
+            own, many = np.unique(flat, return_counts=True)
+            often = many >= OFTEN
+            # a task adds up what its portions tell, a bounded number of n-grams at a time
+            tokens, inverse = np.unique(np.concatenate([tokens, own[often]]), return_inverse=True)
+            times = np.bincount(inverse, np.concatenate([times, many[often]]), len(tokens)).astype(np.int64)
+            if len(tokens) > COMMON:
+                yield rows(tokens, times)
+                tokens, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        yield rows(tokens, times)
         blocks = seen.ravel().reshape(-1, SKETCH_BLOCK)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(blocks), dtype=np.int64)), pa.array([b.astype("<u4").tobytes() for b in blocks], pa.binary())],
-            ["block", "counts"])
+        n = len(blocks)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.arange(n, dtype=np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+            pa.array([b.astype("<u4").tobytes() for b in blocks], pa.binary())], names)
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH_BLOCK, np.int64)
@@ -78,19 +117,20 @@ def order_sketch(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
         level = np.ceil(np.log2(total + 1) * 2).astype(np.uint8)
         return pa.table([table.column("block").slice(0, 1), pa.array([level.tobytes()], pa.binary())], names=["block", "counts"])
 
-    parts = docs.select(text_col).mapInArrow(count, "block long, counts binary")
-    rows = parts.groupBy("block").applyInArrow(add, "block long, counts binary").collect()
+    parts = stored(docs.select(text_col).mapInArrow(count, "block long, token long, times long, counts binary"), "counts")
+    rows = parts.filter("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(add, "block long, counts binary").collect()
     found = {r["block"]: r["counts"] for r in rows}
     empty = bytes(SKETCH_BLOCK)
     count_blocks = SKETCH_ROWS * size // SKETCH_BLOCK
-    return np.frombuffer(b"".join(found.get(k, empty) for k in range(count_blocks)), np.uint8).reshape(SKETCH_ROWS, size)
-
-
-def _levels(hashes: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    level = sketch[0][_slots(hashes, 0)]
-    for row in range(1, SKETCH_ROWS):
-        level = np.minimum(level, sketch[row][_slots(hashes, row)])
-    return level
+    sketch = np.frombuffer(b"".join(found.get(k, empty) for k in range(count_blocks)), np.uint8).reshape(SKETCH_ROWS, size)
+    told = parts.filter("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times"))
+    # a rank limit: only the order depends on which are listed
+    top = told.orderBy(F.desc("times"), "token").limit(COMMON).select(
+        "token", F.least(F.lit(120), F.ceil(F.log2("times") * 2)).cast("int").alias("level")).toArrow()
+    dropped(parts)
+    tokens, levels = top.column("token").to_numpy().view(np.uint64), top.column("level").to_numpy().astype(np.int16)
+    order = np.argsort(tokens)
+    return Order(sketch, tokens[order], levels[order])
 
 
 def body_hash(hashes: np.ndarray) -> int:
@@ -103,10 +143,10 @@ def parity(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
 
 
-def class_key(hashes: np.ndarray, sketch: np.ndarray) -> int:
+def class_key(hashes: np.ndarray, order: Order) -> int:
     """Identity of a set: 7 bits for how common its n-grams are (so that the largest key
     of a group is its most typical set), then its hash."""
-    return min(127, int(_levels(hashes, sketch).mean() * 2)) << 56 | body_hash(hashes)
+    return int(order.levels(hashes).mean() / 2) << 56 | body_hash(hashes)
 
 
 def _needed(n: int, percent: int) -> int:
@@ -138,7 +178,7 @@ def _postings(docs: DataFrame, sent, text_col: str, width: int, percent: int) ->
                 if not n:
                     continue
                 take = min(n, n - _needed(n, percent) + 1 + n // AGREE)
-                first = np.lexsort((hashes, _levels(hashes, sent.value)))[:take]
+                first = np.lexsort((hashes, sent.value.levels(hashes)))[:take]
                 tokens.append(hashes[first])
                 keys.append(class_key(hashes, sent.value))
                 sizes.append(take)
@@ -246,7 +286,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     that were drawn, at least one where there is any."""
     spark = docs.sparkSession
     docs = docs.select(id_col, text_col)
-    sent = spark.sparkContext.broadcast(order_sketch(docs, text_col, width))
+    sent = spark.sparkContext.broadcast(global_order(docs, text_col, width))
     rows = stored(_rows(docs, sent, id_col, text_col, width), "rows")
     classes = stored(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("n").alias("n"), F.min(id_col).alias("first")), "classes")
     bitmaps = rows.filter("key IS NOT NULL").select("key", "parity").dropDuplicates(["key"])
