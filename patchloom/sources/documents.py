@@ -10,6 +10,7 @@ folder goes and the target is as it was. Files of an earlier run are replaced.
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -42,8 +43,9 @@ def write_documents(rows: DataFrame, root: str, path_col: str = "path", text_col
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, top = fs.FileSystem.from_uri(root)
-        folder = f"{top}/{staging}/{uuid.uuid4().hex}"  # of this attempt
-        target.create_dir(folder, recursive=True)
+        # of this attempt; where the staging folder is gone, the job has failed and nothing may be written any more
+        folder = f"{top}/{staging}/{uuid.uuid4().hex}"
+        target.create_dir(folder, recursive=False)
         count = 0
         for batch in batches:
             out = []
@@ -69,6 +71,7 @@ def write_documents(rows: DataFrame, root: str, path_col: str = "path", text_col
 
     written = f"{root.rstrip('/')}/{staging}/_written"
     listed = f"{root.rstrip('/')}/_manifests/{uuid.uuid4().hex}"
+    files.create_dir(f"{base}/{staging}", recursive=True)
     try:
         chosen.mapInArrow(stage, MANIFEST).write.parquet(written)
         manifest = spark.read.schema(MANIFEST).parquet(written)
@@ -77,11 +80,21 @@ def write_documents(rows: DataFrame, root: str, path_col: str = "path", text_col
             raise ValueError(f"two rows name {twice[0]['path']!r}")
         manifest.mapInArrow(publish, MANIFEST).drop("staged").write.parquet(listed)
     finally:
-        if files.get_file_info(f"{base}/{staging}").type != fs.FileType.NotFound:
-            files.delete_dir(f"{base}/{staging}")
+        _gone(files, f"{base}/{staging}")
     return spark.read.schema("path string, bytes long, sha256 string").parquet(listed)
 
 
+def _gone(files: fs.FileSystem, folder: str) -> None:
+    """Delete a folder that tasks of a failed job may still be writing into."""
+    for _ in range(20):
+        if files.get_file_info(folder).type == fs.FileType.NotFound:
+            return
+        try:
+            files.delete_dir(folder)
+        except OSError:
+            time.sleep(0.1)  # a file came in between
+
+
 def read_documents(written: DataFrame, root: str) -> DataFrame:
     """``path, text`` of the files that ``written`` (what ``write_documents`` returned) names."""
     kind = pa.schema([("path", pa.string()), ("text", pa.string())])
