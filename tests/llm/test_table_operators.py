@@ -257,6 +257,24 @@ def test_passages_of_pairs_apart_from_their_leader(spark, documents, monkeypatch
     assert all(r["first_id"] == d // 10 * 10 + 1 for d, r in got.items())
 
 
+@pytest.mark.parametrize("rounds", [3, 1, 0])
+def test_passages_of_texts_that_only_a_placed_one_shares(spark, documents, monkeypatch, rounds):
+    """The second of each three is placed with the first; the third matches the second alone."""
+    monkeypatch.setattr(passages, "ROUNDS", rounds)
+    monkeypatch.setattr(passages, "BLOCK", 3)
+    docs = []
+    for seed in range(25):
+        word = unique_words(seed)
+        own = lambda n: [next(word) for _ in range(n)]  # noqa: B023, E731
+        shared = own(100)
+        for k, edits in enumerate([(20, 60), (), (40, 80)]):
+            part = [next(word) if at in edits else w for at, w in enumerate(shared)]
+            docs.append((seed * 10 + k, " ".join(own(30) + part + own(30))))
+    got = {r["doc_id"]: r for r in passages.near_duplicates(documents(*docs)).collect()}
+    assert set(got) == {d for d, _ in docs}
+    assert all(r["first_id"] == (d // 10 * 10 + (d % 10 == 2)) for d, r in got.items())
+
+
 def test_passages_at_every_place_of_a_leader(spark, documents):
     """The first document holds the words in which another agrees with it at several places."""
     docs, want = [], set()
