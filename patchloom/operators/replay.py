@@ -23,6 +23,7 @@ NOT_IDEMPOTENT = "Original is idempotent but refactored is not for args={args}"
 # Own text, for a case without a second run.
 NO_RUN = "args={args}: no refactored run recorded"
 
+CASE = ["file", "func", "case_id"]
 RUN = ["ok", "result", "result_num", "result_type", "error"]
 SIDES = {"original": "old", "refactored": "new", "repeat": "again"}
 
@@ -31,10 +32,11 @@ def pair_runs(runs: DataFrame) -> DataFrame:
     """``file, func, case_id, args, old, new, again`` from runs with ``side`` (original, refactored, repeat).
 
     One grouping on the case key pairs all sides; a case has one row per side, so no
-    key is hot. ``repeat`` is a second run of the refactored side.
+    key is hot. ``repeat`` is a second run of the refactored side. Rows are dealt out before
+    they are sorted for it: a large split would be sorted whole, though it merges little.
     """
     run = F.struct(*RUN)
-    return runs.groupBy("file", "func", "case_id").agg(
+    return runs.repartition(*CASE).groupBy(*CASE).agg(
         F.max("args").alias("args"),
         *[F.max(F.when(F.col("side") == side, run)).alias(out) for side, out in SIDES.items()],
     )
@@ -153,7 +155,8 @@ def idempotence(runs: DataFrame, nested: bool = True, shared: DataFrame | None =
     key = ["file", "func", "side"]
     # no key where there is no value, so that a null result meets no call
     text = lambda column: F.when(column.isNotNull(), F.concat_ws("\u0001", *[F.coalesce(F.col(k), F.lit("\u0002")) for k in key], column))
-    ran = of_shared(runs.filter(F.col("side").isin("original", "refactored")), shared)
+    # small portions before the sort that ``second`` begins with, as in ``pair_runs``
+    ran = of_shared(runs.filter(F.col("side").isin("original", "refactored")), shared).repartition(*CASE)
     as_args = F.when(F.col("result_type") == "tuple", F.col("result")).otherwise(
         F.concat(F.lit("["), "result", F.lit("]"))
     )
