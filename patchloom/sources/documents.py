@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from patchloom.functions.text import unix_newlines
 
+# Files per task where they are moved or read, and bytes of texts in one batch of rows.
+FILES, BATCH_BYTES = 10_000, 4_000_000
 MANIFEST = "path string, staged string, bytes long, sha256 string"
 _ARROW = pa.schema([("path", pa.string()), ("staged", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
@@ -61,11 +63,15 @@ def write_documents(rows: DataFrame, root: str, path_col: str = "path", text_col
 
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, top = fs.FileSystem.from_uri(root)
+        made = set()
         for batch in batches:
             for path, staged in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if target.get_file_info(staged).type == fs.FileType.NotFound:
                     continue  # an earlier attempt has moved it
-                target.create_dir(f"{top}/{path}".rsplit("/", 1)[0], recursive=True)
+                folder = f"{top}/{path}".rsplit("/", 1)[0]
+                if folder not in made:
+                    target.create_dir(folder, recursive=True)
+                    made.add(folder)
                 target.move(staged, f"{top}/{path}")
             yield batch
 
@@ -78,12 +84,17 @@ def write_documents(rows: DataFrame, root: str, path_col: str = "path", text_col
         twice = manifest.groupBy("path").count().filter("count > 1").limit(1).collect()
         if twice:
             raise ValueError(f"two rows name {twice[0]['path']!r}")
-        manifest.mapInArrow(publish, MANIFEST).drop("staged").write.parquet(listed)
+        _dealt(manifest).mapInArrow(publish, MANIFEST).drop("staged").write.parquet(listed)
     finally:
         _gone(files, f"{base}/{staging}")
     return spark.read.schema("path string, bytes long, sha256 string").parquet(listed)
 
 
+def _dealt(paths: DataFrame) -> DataFrame:
+    """Rows of a table of paths in tasks of about ``FILES`` files; small rows would else come in few large splits."""
+    return paths.repartition(-(-paths.count() // FILES) or 1, "path")
+
+
 def _gone(files: fs.FileSystem, folder: str) -> None:
     """Delete a folder that tasks of a failed job may still be writing into."""
     for _ in range(20):
@@ -101,13 +112,20 @@ def read_documents(written: DataFrame, root: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, top = fs.FileSystem.from_uri(root)
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                with target.open_input_stream(f"{top}/{path}") as stream:
-                    text = stream.read().decode()
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text])], schema=kind)
-
-    return written.select("path").mapInArrow(read, "path string, text string")
+        paths, texts, size = [], [], 0
+        for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+            with target.open_input_stream(f"{top}/{path}") as stream:
+                raw = stream.read()
+            paths.append(path)
+            texts.append(raw.decode())
+            size += len(raw)
+            if size >= BATCH_BYTES or len(paths) >= FILES:
+                yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts)], schema=kind)
+                paths, texts, size = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts)], schema=kind)
+
+    return _dealt(written.select("path")).mapInArrow(read, "path string, text string")
 
 
 def outputs(files: DataFrame, reports: DataFrame | None = None) -> DataFrame:
