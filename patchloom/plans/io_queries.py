@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from patchloom import config
 from patchloom.operators import inputs, replies
@@ -41,8 +41,8 @@ def decode_text(spark, sf_dir):
     return corpus.with_lines(decoded).select("doc_id", "content", F.size("lines").cast("long").alias("n_lines"))
 
 
-@F.pandas_udf(BinaryType())
-def _archive(number: pd.Series, text: pd.Series) -> pd.Series:
+def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``file, content`` from ``file, doc_id, text``, a few megabytes of texts at a time."""
     def build(i: int, body: str) -> bytes:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
@@ -52,8 +52,10 @@ def _archive(number: pd.Series, text: pd.Series) -> pd.Series:
             z.writestr("__main__.py", body)
             z.writestr("readme.txt", body)
         data = out.getvalue()
-        return data[: len(data) // 2] if i % 11 == 0 else data
-    return pd.Series([build(i, t) for i, t in zip(number, text)])
+        return data[: len(data) // 2] if i is not None and i % 11 == 0 else data
+    for batch in (part for b in batches for part in corpus.portions(b, "text")):
+        made = [build(i, t) for i, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["file", "content"])
 
 
 @query("zip_members", """
@@ -64,7 +66,8 @@ UNION ALL SELECT 'a' || doc_id || '.zip', NULL, false, NULL, true FROM documents
 def zip_members(spark, sf_dir):
     docs = read(spark, sf_dir, "documents", "doc_id")
     archives = docs.select(
-        F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit(".zip")).alias("file"), _archive("doc_id", "text").alias("content"))
+        F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit(".zip")).alias("file"), "doc_id", "text").mapInArrow(
+        _archives, "file string, content binary")
     found = corpus.expand_archives(archives)
     return found.select(
         "archive", "member", F.coalesce("kept", F.lit(False)).alias("kept"),

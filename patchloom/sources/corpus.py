@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patchloom.functions.text import split_lines
 
+# Bytes of members or texts that a Python worker holds at a time, besides one that is larger.
+PORTION = 4_000_000
+
 
 def scan_files(spark: SparkSession, path: str | list[str], glob: str = "*.py", recursive: bool = True) -> DataFrame:
     """``file, content BINARY, length`` of matching files; missing folders are skipped.
@@ -80,23 +85,30 @@ def require_any(accepted: DataFrame) -> DataFrame:
     return accepted
 
 
-@F.udtf(returnType="member STRING, content BINARY, error STRING")
-class ZipMembers:
-    """Members of one archive; a broken archive or member becomes one error row."""
-
-    def eval(self, content):
-        if content is None:
-            return
+def zip_members(content: pa.Buffer) -> Iterator[tuple[str | None, bytes | None, str | None]]:
+    """Member, content and error of one archive; a broken archive or member becomes one error row."""
+    try:
+        archive = zipfile.ZipFile(pa.BufferReader(content))
+    except zipfile.BadZipFile as error:
+        yield None, None, f"BadZipFile: {error}"
+        return
+    for name in archive.namelist():
         try:
-            archive = zipfile.ZipFile(io.BytesIO(bytes(content)))
-        except zipfile.BadZipFile as error:
-            yield None, None, f"BadZipFile: {error}"
-            return
-        for name in archive.namelist():
-            try:
-                yield name, archive.read(name), None
-            except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError) as error:
-                yield name, None, f"{type(error).__name__}: {error}"
+            yield name, archive.read(name), None
+        except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError) as error:
+            yield name, None, f"{type(error).__name__}: {error}"
+
+
+def portions(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose ``column`` has about ``PORTION`` bytes; one row stays whole."""
+    at = size = 0
+    for k, n in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+        if size and size + n > PORTION:
+            yield batch.slice(at, k - at)
+            at, size = k, 0
+        size += n
+    if batch.num_rows > at:
+        yield batch.slice(at)
 
 
 def expand_archives(archives: DataFrame) -> DataFrame:
@@ -104,11 +116,32 @@ def expand_archives(archives: DataFrame) -> DataFrame:
 
     ``kept`` marks ``.py`` members outside cache folders whose names are safe.
     """
-    rows = archives.select(F.col("file").alias("archive"), "content")
+    kind = archives.schema["file"].dataType.simpleString()
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([("archive", batch.schema.field(0).type), ("member", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+            rows, size = [], 0
+            for k, content in enumerate(batch.column(1)):
+                for name, data, error in zip_members(content.as_buffer()) if content.is_valid else ():
+                    rows.append((k, name, data, error))
+                    size += len(data or b"")
+                    # what is held is bounded by bytes, however many members an archive has
+                    if size >= PORTION:
+                        yield made(batch.column(0), rows, schema)
+                        rows, size = [], 0
+            if rows:
+                yield made(batch.column(0), rows, schema)
+
+    def made(archive: pa.Array, rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        at, *columns = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [archive.take(pa.array(at)), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
+
     member = F.col("member")
     return (
-        rows.lateralJoin(ZipMembers(F.col("content").outer()).alias("z"))
-        .select("archive", "z.member", "z.content", "z.error")
+        archives.select(F.col("file").alias("archive"), F.col("content").cast("binary").alias("content"))
+        .mapInArrow(expand, f"archive {kind}, member string, content binary, error string")
         .withColumn(
             "kept",
             F.col("error").isNull()
