@@ -19,8 +19,9 @@ def unix_newlines(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines without terminators; a final terminator opens no extra line."""
+    # a split at one character needs no pattern
     return let(
-        F.split(text, "\r\n|\n|\r"),
+        F.when(F.contains(text, F.lit("\r")), F.split(text, "\r\n|\n|\r")).otherwise(F.split(text, "\n")),
         lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts),
     )
 

@@ -7,6 +7,8 @@ units become rows. Nothing is shuffled.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
@@ -21,18 +23,23 @@ def match_line(
 ) -> Column:
     """``STRUCT<type, name>`` of the first pattern that fits, else null.
 
-    Patterns are literals, so each is compiled once per task.
+    Patterns are literals, so each is compiled once per task. Those of one language stand
+    together, and a known one is tried only where the line holds what it needs.
     """
-    found = None
-    for languages, kind, pattern, group in patterns or config.UNIT_PATTERNS:
-        regex = "(?U)" + pattern
-        name = F.nullif(F.regexp_extract(line, regex, group), F.lit(""))
-        fits = language.isin(*languages) & line.rlike(regex)
-        if kind == "method" and not keep_control_words:
-            fits = fits & ~F.coalesce(name, F.lit("")).isin(*config.CONTROL_WORDS)
-        value = F.struct(F.lit(kind).alias("type"), name.alias("name"))
-        found = F.when(fits, value) if found is None else found.when(fits, value)
-    return found
+    parts = []
+    for languages, some in groupby(patterns or config.UNIT_PATTERNS, key=lambda p: p[0]):
+        found = F
+        for _, kind, pattern, group in some:
+            regex = "(?U)" + pattern
+            name = F.nullif(F.regexp_extract(line, regex, group), F.lit(""))
+            fits = line.rlike(regex)
+            for text in reversed(config.UNIT_NEEDS.get(pattern, [])):
+                fits = F.contains(line, F.lit(text)) & fits
+            if kind == "method" and not keep_control_words:
+                fits = fits & ~F.coalesce(name, F.lit("")).isin(*config.CONTROL_WORDS)
+            found = found.when(fits, F.struct(F.lit(kind).alias("type"), name.alias("name")))
+        parts.append(F.when(language.isin(*languages), found))
+    return F.coalesce(*parts)
 
 
 def _found(patterns: list[tuple] | None, keep_control_words: bool) -> Column:
@@ -98,9 +105,9 @@ def brace_units(
     """
     text = unix_newlines(F.col("content"))
     starts = files.select("file", "language", text.alias("_text"), _found(patterns, keep_control_words).alias("_starts"))
-    # files without a start line need no lexing
-    ended = starts.filter(F.size("_starts") > 0).withColumn(
-        "_ends", unit_ends("language", "_text", F.transform("_starts", lambda s: s["line_no"])))
+    # files without a start line need no lexing; a filter here would look for the lines once more
+    ended = starts.withColumn("_ends", unit_ends(
+        "language", F.when(F.size("_starts") > 0, F.col("_text")), F.transform("_starts", lambda s: s["line_no"])))
     units = F.zip_with("_starts", "_ends", lambda s, e: F.struct(
         s["unit"]["type"].alias("type"), s["unit"]["name"].alias("name"), s["line_no"].alias("start_line"), e["end_line"].alias("end_line"),
         e["inside"].alias("_inside"), e["masked"].alias("_masked")))
