@@ -62,15 +62,17 @@ def parse_chunk_envelopes(
 ) -> tuple[DataFrame, DataFrame]:
     """Chunk rows of valid documents, and the rest with ``reject_reason``; ``keep`` names columns carried along."""
     keep = keep or []
-    parsed = documents.withColumn(
-        "_doc", F.from_json(text, schemas.CHUNK_ENVELOPE, {"mode": "PERMISSIVE"})
-    )
+    # behind a generator an expression is evaluated once, however often its value is used
+    once = lambda rows, *values: rows.select(*keep, F.inline(F.array(F.struct(*values))))
+    parsed = once(
+        once(documents, F.col(text)), F.col(text), F.from_json(text, schemas.CHUNK_ENVELOPE, {"mode": "PERMISSIVE"}).alias("_doc"),
+        F.get_json_object(text, "$").isNull().alias("_broken"), F.get_json_object(text, "$.chunks").alias("_chunks"))
     reason = (
-        F.when(F.col("_doc").isNull() | F.get_json_object(text, "$").isNull(), F.lit("not JSON"))
+        F.when(F.col("_doc").isNull() | F.col("_broken"), F.lit("not JSON"))
         .when(F.col("_doc.file_name").isNull(), F.lit("missing key: file_name"))
         .when(F.col("_doc.language").isNull(), F.lit("missing key: language"))
-        .when(F.get_json_object(text, "$.chunks").isNull(), F.lit("missing key: chunks"))
-        .when(~F.ltrim(F.get_json_object(text, "$.chunks")).startswith("["), F.lit("'chunks' must be an array"))
+        .when(F.col("_chunks").isNull(), F.lit("missing key: chunks"))
+        .when(~F.ltrim("_chunks").startswith("["), F.lit("'chunks' must be an array"))
     )
     checked = parsed.withColumn("reject_reason", reason)
     rows = checked.filter(F.col("reject_reason").isNull()).select(
