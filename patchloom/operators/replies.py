@@ -9,7 +9,7 @@ from patchloom.skew import scan_within
 
 # Reply formats.
 FENCE = r"(?s)```(?:(?U:\w+))?\n(.*?)\n```"
-BLOCK = r'(?s)<chunk id="([^"]+)">(?U:\s*)(.*?)(?U:\s*)</chunk>'
+BLOCK = r'(?s)<chunk id="([^"]+)">(.*?)</chunk>'
 RETRIABLE = "429|quota|503"
 SERVER_DELAY = r"retrydelay':\s*'(\d+)s'"
 # Attempts of a request by default; a parameter of retry_waits.
@@ -22,7 +22,8 @@ QUOTA_EXTRA_S = 15
 
 def code_block(reply: Column) -> Column:
     """First fenced block, else the whole text; trimmed."""
-    return strip(F.when(reply.rlike(FENCE), F.regexp_extract(reply, FENCE, 1)).otherwise(reply))
+    # an empty extract is an empty block or none
+    return strip(let(F.regexp_extract(reply, FENCE, 1), lambda code: F.when((code != "") | reply.rlike(FENCE), code).otherwise(reply)))
 
 
 def single_code(replies: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,9 +4,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from patchloom import config
-from patchloom.operators import brace, replay
+from patchloom.operators import brace, replay, replies
 from patchloom.plans import io_queries
-from patchloom.sources import corpus, documents
+from patchloom.sources import corpus, documents, envelopes
 
 
 def plan_of(df):
@@ -48,7 +48,7 @@ def test_start_lines_are_looked_for_once(spark, tmp_path):
     spark.createDataFrame([("f", "c", "struct p {\n};\n")], "file string, language string, content string").write.parquet(str(tmp_path / "t"))
     files = spark.read.parquet(str(tmp_path / "t"))
     times = lambda df: plan_of(df).count(config.UNIT_PATTERNS[11][2])
-    assert times(brace.brace_units(files)) == times(files.select(brace._found(None, False)))
+    assert times(brace.brace_units(files)) == times(files.select(brace._found(None, False).alias("x")))
     assert [tuple(r) for r in brace.brace_units(files).collect()] == [("f", "c", "struct", "p", 1, 2)]
 
 
@@ -73,3 +73,21 @@ def test_runs_are_dealt_out_before_they_are_sorted(spark, tmp_path):
     steps = [line for line in plan_of(paired).split("\n") if "Aggregate" in line or "Exchange" in line]
     assert "Exchange" in steps[-1] and sum("Exchange" in s for s in steps) == 1
     assert paired.count() == 1
+
+
+def test_envelopes_are_parsed_once(spark, tmp_path):
+    good = '{"file_name": "f", "language": "c", "chunks": [{"chunk_id": "chunk_1", "start_line": 1}]}'
+    bad = [None, "oops", '{"file_name": "f", "language": "c"}', '{"file_name": "f", "language": "c", "chunks": {"a": 1}}']
+    spark.createDataFrame([(k, t) for k, t in enumerate([good, *bad])], "n int, value string").write.parquet(str(tmp_path / "e"))
+    rows, rejects = envelopes.parse_chunk_envelopes(spark.read.parquet(str(tmp_path / "e")), "value", keep=["n"])
+    plan = plan_of(rows)
+    assert plan.count("from_json(") == 1 and plan.count("get_json_object(") == 2
+    assert [(r["n"], r["file"], r["chunk_id"]) for r in rows.collect()] == [(0, "f", "chunk_1")]
+    assert [r["reject_reason"] for r in rejects.orderBy("n").collect()] == ["not JSON", "not JSON", "missing key: chunks", "'chunks' must be an array"]
+
+
+def test_blocks_end_at_their_first_end(spark):
+    reply = '<chunk id="a">　 x = 1 \n</chunk> <chunk id="b"></chunk><chunk id="c">\n```py\n y\n```\n</chunk><chunk id="d">```\n\n```</chunk>'
+    rows = spark.createDataFrame([("f", 0, reply)], "file string, prompt_id long, reply string")
+    found = {r["chunk_id"]: r["code"] for r in replies.batched_blocks(rows).collect()}
+    assert found == {"a": "x = 1", "b": "", "c": "y", "d": ""}
