@@ -103,49 +103,47 @@ def parity(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
 
 
-def class_key(hashes: np.ndarray, sketch: np.ndarray) -> int:
+def class_key(hashes: np.ndarray, levels: np.ndarray) -> int:
     """Identity of a set: 7 bits for how common its n-grams are (so that the largest key
     of a group is its most typical set), then its hash."""
-    return min(127, int(_levels(hashes, sketch).mean() * 2)) << 56 | body_hash(hashes)
+    return min(127, int(levels.mean() * 2)) << 56 | body_hash(hashes)
 
 
 def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _rows(docs: DataFrame, sent, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``id, key, n, parity`` of every row; key is null for an empty set."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in portions(b, 1)):
-            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([class_key(s, sent.value) if len(s) else None for s in sets], pa.int64()),
-                pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())],
-                [id_col, "key", "n", "parity"])
+def _agreed(n: int) -> int:
+    """N-grams that two similar sets share in their prefixes, if the smaller has ``n``."""
+    return 1 + n // AGREE
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key long, n long, parity binary")
 
+def _enough(times: str, percent: int) -> Column:
+    """Whether a set of ``n`` shares as many lists with others as a similar one would."""
+    return F.col(times) >= 1 + F.floor(F.col("n") * percent / 100 / AGREE)
 
-def _postings(docs: DataFrame, sent, text_col: str, width: int, percent: int) -> DataFrame:
-    """``token, key`` of every prefix."""
+
+def _rows(docs: DataFrame, sent, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """``id, key, n, parity, prefix`` of every row; key is null for an empty set, and the prefix
+    stands with the first row of a portion that has the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in portions(b, 0)):
-            tokens, keys, sizes = [np.zeros(0, np.uint64)], [], []
-            for text in batch.column(0).to_pylist():
-                hashes = shingle_set(text, width)
-                n = len(hashes)
-                if not n:
-                    continue
-                take = min(n, n - _needed(n, percent) + 1 + n // AGREE)
-                first = np.lexsort((hashes, _levels(hashes, sent.value)))[:take]
-                tokens.append(hashes[first])
-                keys.append(class_key(hashes, sent.value))
-                sizes.append(take)
+        for batch in (part for b in batches for part in portions(b, 1)):
+            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            levels = [_levels(s, sent.value) for s in sets]
+            keys = [class_key(s, at) if len(s) else None for s, at in zip(sets, levels)]
+            prefixes, seen = [], {None}
+            for key, s, at in zip(keys, sets, levels):
+                n = len(s)
+                take = min(n, n - _needed(n, percent) + _agreed(n))
+                prefixes.append(None if key in seen else s[np.lexsort((s, at))[:take]].view(np.int64))
+                seen.add(key)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), sizes))], ["token", "key"])
+                batch.column(0), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([parity(s) for s in sets], pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                [id_col, "key", "n", "parity", "prefix"])
 
-    return docs.select(text_col).mapInArrow(run, "token long, key long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key long, n long, parity binary, prefix array<long>")
 
 
 def _segments(texts: DataFrame, width: int) -> DataFrame:
@@ -208,6 +206,19 @@ def _near_pairs(asking: DataFrame, members: DataFrame, percent: int, nearest: in
     return left.unionByName(right).groupBy("cluster", "block", "chunk").applyInArrow(match, "a long, b long").distinct()
 
 
+def _near(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sizes and bitmaps (``key, n, parity``) allow the similarity."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(n_a), PARITY_BITS // 64) for c in ("p_a", "p_b")]
+            good = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64) <= (n_a + n_b) * (100 - percent) // (100 + percent)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], ["a", "b"])
+
+    both = pairs.join(bitmaps.toDF("a", "n_a", "p_a"), "a").join(bitmaps.toDF("b", "n_b", "p_b"), "b")
+    return both.filter(_fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(run, "a long, b long")
+
+
 def _outliers(members: DataFrame) -> DataFrame:
     """Members apart from the place that most members of their cluster share."""
     places = members.groupBy("cluster", "place").agg(F.count(F.lit(1)).alias("size"))
@@ -247,32 +258,40 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     spark = docs.sparkSession
     docs = docs.select(id_col, text_col)
     sent = spark.sparkContext.broadcast(order_sketch(docs, text_col, width))
-    rows = stored(_rows(docs, sent, id_col, text_col, width), "rows")
+    cut = stored(_rows(docs, sent, id_col, text_col, width, percent), "cut")
+    rows = stored(cut.drop("prefix"), "rows")
     classes = stored(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("n").alias("n"), F.min(id_col).alias("first")), "classes")
-    bitmaps = rows.filter("key IS NOT NULL").select("key", "parity").dropDuplicates(["key"])
 
-    postings = _postings(docs, sent, text_col, width, percent)
+    postings = cut.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "key")
     lists = postings.groupBy("token").agg(F.max("key").alias("lead"), F.min("key").alias("least")).filter("lead != least")
     # lists of one class are done with here; the shuffle files go before the others are read
     lists = stored(lists.select("token", "lead"), "lists")
     live = stored(postings.join(lists, "token").distinct(), "postings")
     dropped(lists)
+    dropped(cut)
+
+    # a class in fewer lists than two similar sets share is similar to none
+    held = live.groupBy("key").agg(F.count(F.lit(1)).alias("times")).join(classes.select("key", "n"), "key").filter(
+        _enough("times", percent)).select("key", "n")
+    able = stored(rows.select("key", "parity").join(held, "key").dropDuplicates(["key"]).select("key", "n", "parity"), "able")
 
     # every class with the class that leads most of its lists
     led = live.filter("key != lead").groupBy("key", "lead").agg(F.count(F.lit(1)).alias("times"))
     best = stored(led.groupBy("key").agg(F.max_by("lead", F.struct("times", "lead")).alias("lead"), F.max("times").alias("times")), "leaders")
-    star = best.join(classes.select("key", "n"), "key").filter(F.col("times") * AGREE >= F.col("n") / 4)
+    star = best.join(able.select("key", "n"), "key").filter(F.col("times") * AGREE >= F.col("n") / 4)
+    star = _near(star.select(F.col("key").alias("a"), F.col("lead").alias("b")), able, percent)
     check = lambda pairs: _verified(pairs, docs, classes, id_col, text_col, width, percent)
-    links = check(star.select(F.col("key").alias("a"), F.col("lead").alias("b"))).filter("similar").select("a", "b")
+    links = check(star).filter("similar").select("a", "b")
     labels = components(links)
 
     # classes apart from the component of their leader, against that component
     first = labels.select(F.col("node").alias("key"), "component")
-    # every class with a list, also one that leads lists but is nobody's best leader
-    own = live.select("key").distinct().join(best.select("key", "lead"), "key", "left").join(first, "key", "left").join(
+    # every class with enough lists, also one that leads lists but is nobody's best leader
+    own = able.select("key", "n").join(best.select("key", "lead"), "key", "left").join(first, "key", "left").join(
         first.toDF("lead", "lead_component"), "lead", "left").select(
-        "key", F.coalesce("component", "lead_component", "lead", "key").alias("cluster"))
-    clusters = stored(own.join(classes.select("key", "n"), "key"), "clusters")
+        "key", "n", F.coalesce("component", "lead_component", "lead", "key").alias("cluster"))
+    clusters = stored(own, "clusters")
+    bitmaps = able.select("key", "parity")
 
     def placed(df: DataFrame) -> DataFrame:
         return df.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
@@ -289,24 +308,24 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         links = stored(links.unionByName(tested.filter("similar").select("a", "b")), "links")
         labels = components(links)
 
-    # classes that share n-grams of their prefixes with a cluster other than their own, against that cluster
-    spread = live.select("token", "key").join(clusters.select("key", "cluster"), "key")
-    mixed = spread.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low != high")
+    # classes that share n-grams of their prefixes with a cluster other than their own, against that cluster:
+    # of two clusters the members of the smaller ask, in every list
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    ranked = clusters.join(sizes, "cluster").select("key", "n", F.struct("size", "cluster").alias("own"))
+    spread = live.select("token", "key").join(ranked, "key")
+    mixed = spread.groupBy("token").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low != high")
     crowd = stored(spread.join(mixed.select("token"), "token", "left_semi"), "crowd")
     dropped(live)
-    counts = stored(crowd.groupBy("token", "cluster").agg(F.count(F.lit(1)).alias("times")), "counts")
-    main = counts.groupBy("token").agg(F.max_by("cluster", F.struct("times", "cluster")).alias("main"))
-    # a pair of clusters meets through the members outside the list's largest cluster
-    rare = crowd.join(main, "token").filter("cluster != main").select("token", "key", F.col("cluster").alias("own"))
-    met = rare.join(counts.select("token", "cluster"), "token").filter("cluster != own").groupBy("key", "cluster").agg(
-        F.count(F.lit(1)).alias("times"))
-    members = stored(placed(clusters).join(bitmaps, "key").select("cluster", "key", "n", "place", "parity"), "members")
-    # two similar sets share one n-gram of their prefixes, and one more for every AGREE of the smaller
-    asking = met.join(members.select("key", "n", "place", "parity"), "key").filter(
-        F.col("times") >= 1 + F.floor(F.col("n") * percent / 100 / AGREE)).select("cluster", "key", "n", "place", "parity")
-    asking = stored(asking, "asking")
+    # the lists of classes that are in enough of them
+    crowd_of = crowd.groupBy("key", "n").agg(F.count(F.lit(1)).alias("times")).filter(_enough("times", percent)).select("key")
+    there = stored(crowd.join(crowd_of, "key", "left_semi"), "there")
     dropped(crowd)
-    dropped(counts)
+    asked = there.select("token", F.col("own").alias("other")).distinct()
+    met = there.join(asked, "token").filter("own < other").groupBy("key", "n", "other").agg(
+        F.count(F.lit(1)).alias("times")).filter(_enough("times", percent)).select("key", F.col("other.cluster").alias("cluster"))
+    members = stored(placed(clusters).join(bitmaps, "key").select("cluster", "key", "n", "place", "parity"), "members")
+    asking = stored(met.join(members.select("key", "n", "place", "parity"), "key").select("cluster", "key", "n", "place", "parity"), "asking")
+    dropped(there)
     more = check(_near_pairs(asking, members, percent, None)).filter("similar").select("a", "b")
     links = stored(links.unionByName(more), "links")
     labels = components(links)

@@ -75,6 +75,22 @@ def test_join_keeps_links_of_classes_that_lead_nobody(spark, documents):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute_components(docs, 4, 85)
 
 
+def test_join_leaves_classes_in_few_lists_alone(spark, documents, monkeypatch):
+    """Texts that share one passage too short for a link are neither grouped nor compared."""
+    counts, write = {}, ngram_join.stored
+
+    def counted(df, label):
+        out = write(df, label)
+        counts.setdefault(label, out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    docs = [(k, " ".join([f"w{k}x{n}" for n in range(200)] + ["one", "two", "three", "four"])) for k in range(12)]
+    got = ngram_join.similar_components(documents(*docs), 4, 85).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(k, 201, k) for k in range(12)}
+    assert counts["postings"] == 12 and counts["clusters"] == 0 and counts["pairs"] == 0
+
+
 def test_join_odd_rows(spark, documents, rows):
     text = "a b c d e f g h"
     docs = documents((5, text), (3, text), (None, text), (5, text), (8, "z z"), (None, None))
