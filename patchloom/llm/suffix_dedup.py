@@ -125,10 +125,29 @@ def _bucket_rows(ids: list[int], texts: list[bytes], cover: Cover, buckets: int)
 
 
 _PACKED = "bucket long, docs array<long>, counts array<int>, marks binary, places binary"
+_SHARE = "share long, docs array<long>, counts array<int>, places binary"
+
+
+def _shares(docs: np.ndarray, places: np.ndarray, shares: int) -> pa.Table:
+    """Places by the share their document falls into, one row per share."""
+    share = (mix64(docs.view(np.uint64)) % np.uint64(shares)).astype(np.int64)
+    order = np.lexsort((docs, share))
+    share, docs, places = share[order], docs[order], places[order]
+    cut = np.append(np.flatnonzero(np.append(True, np.diff(share) != 0)), len(share)) if len(share) else np.zeros(1, np.int64)
+    out = []
+    for a, b in zip(cut[:-1], cut[1:]):
+        at = np.flatnonzero(np.append(True, np.diff(docs[a:b]) != 0))
+        out.append((int(share[a]), docs[a:b][at], np.diff(np.append(at, b - a)).astype(np.int32), places[a:b].astype("<u4").tobytes()))
+    return pa.table([
+        pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())),
+        pa.array([o[2] for o in out], pa.list_(pa.int32())), pa.array([o[3] for o in out], pa.binary())], ["share", "docs", "counts", "places"])
 
 
 def repeated_places(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
-    """``id, places array<binary>``: numbers of covered places whose prefix occurs twice."""
+    """``id, places array<binary>``: numbers of covered places whose prefix occurs twice.
+
+    A bucket answers with one row per share of the documents, and there are as many shares as
+    buckets; a share then gives one row per document."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in portions(b, 1, 4_000_000)):
             rows = _bucket_rows(batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()], cover, buckets)
@@ -152,16 +171,23 @@ def repeated_places(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
             same = np.diff(marks[order]) == 0
             tied = order[np.append(same, False) | np.append(False, same)]
             docs, places = docs[tied], places[tied]
+        return _shares(docs, places, buckets)
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows = table.to_pydict()
+        docs = np.concatenate([np.repeat(np.array(d, np.int64), n) for d, n in zip(rows["docs"], rows["counts"])])
+        places = np.concatenate([np.frombuffer(p, "<u4") for p in rows["places"]])
         order = np.argsort(docs, kind="stable")
         docs, places = docs[order], places[order]
-        at = np.flatnonzero(np.append(True, np.diff(docs) != 0)) if len(docs) else np.zeros(0, np.int64)
+        at = np.flatnonzero(np.append(True, np.diff(docs) != 0))
         ends = np.append(at[1:], len(docs))
-        return pa.table([pa.array(docs[at]), pa.array([places[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())], names=["id", "places"])
+        # what one document holds: bounded by its text
+        held = [[places[a:b].tobytes()] for a, b in zip(at, ends)]
+        return pa.table([pa.array(docs[at]), pa.array(held, pa.list_(pa.binary()))], names=["id", "places"])
 
     packed = docs.filter(F.octet_length("text") >= cover.length).select("id", "text").mapInArrow(cut, _PACKED)
-    found = packed.groupBy("bucket").applyInArrow(sort_bucket, "id long, places binary")
-    # what one document holds: bounded by its text
-    return found.groupBy("id").agg(F.collect_list("places").alias("places"))
+    found = packed.groupBy("bucket").applyInArrow(sort_bucket, _SHARE)
+    return found.groupBy("share").applyInArrow(gather, "id long, places array<binary>")
 
 
 class Doc:

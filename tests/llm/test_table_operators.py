@@ -76,7 +76,7 @@ def test_join_keeps_links_of_classes_that_lead_nobody(spark, documents):
 
 
 def test_join_leaves_classes_in_few_lists_alone(spark, documents, monkeypatch):
-    """Texts that share one passage too short for a link are neither grouped nor compared."""
+    """Texts that share too few n-grams of their prefixes for a link are neither grouped nor compared."""
     counts, write = {}, ngram_join.stored
 
     def counted(df, label):
@@ -85,10 +85,10 @@ def test_join_leaves_classes_in_few_lists_alone(spark, documents, monkeypatch):
         return out
 
     monkeypatch.setattr(ngram_join, "stored", counted)
-    docs = [(k, " ".join([f"w{k}x{n}" for n in range(200)] + ["one", "two", "three", "four"])) for k in range(12)]
+    docs = [(k, " ".join([f"w{n}" for n in range(165)] + [f"w{k}x{n}" for n in range(30)])) for k in range(12)]
     got = ngram_join.similar_components(documents(*docs), 4, 85).collect()
-    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(k, 201, k) for k in range(12)}
-    assert counts["postings"] == 12 and counts["clusters"] == 0 and counts["pairs"] == 0
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(k, 192, k) for k in range(12)}
+    assert counts["postings"] == 24 and counts["clusters"] == 0 and counts["pairs"] == 0
 
 
 def test_join_odd_rows(spark, documents, rows):
@@ -191,6 +191,20 @@ def test_covers_reach_every_difference():
         assert {(a - b) % v for a in cover for b in cover} == set(range(v))
 
 
+def test_buckets_answer_by_shares_of_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id AS id", "text")
+    cover = suffix_dedup.Cover(100)
+    found = {n: {r["id"]: r["places"] for r in suffix_dedup.repeated_places(docs, cover, n).collect()} for n in (1, 40)}
+    # one value per document, whatever the number of buckets
+    assert found[40] and all(len(p) == 1 for p in found[40].values())
+    told = lambda rows: {d: set(np.frombuffer(b"".join(p), "<u4").tolist()) for d, p in rows.items()}
+    one, many = told(found[1]), told(found[40])
+    # the marks of one bucket may collide, so it may name more places
+    assert all(p <= one[d] for d, p in many.items())
+    ids, places = np.repeat(np.arange(50), 3), np.arange(150, dtype="<u4")
+    assert suffix_dedup._shares(ids, places, 4).num_rows == 4
+
+
 def test_repeats_in_many_buckets(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 500)
