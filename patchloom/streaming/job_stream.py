@@ -1,8 +1,8 @@
 """Jobs as a stream with bounded state: stage, status and time limit per job.
 
 State holds live jobs only. A job leaves it when the watermark has passed its end, its
-time limit, or ``idle`` without being started; an event-time timer per job does that, and
-a job that passes its limit is reported as it goes. Each change is a row of partial
+time limit, or ``idle`` without being started; an event-time timer per bucket of jobs does
+that, and a job that passes its limit is reported as it goes. Each change is a row of partial
 aggregates, all minima and maxima, so rows of one job can be merged in any order and a
 line that is delivered again changes nothing. The merged table gives what the batch
 functions give over all events, also for a job that came back after it had left.
@@ -28,6 +28,8 @@ FIELDS = [
     ("started_us", "long"), ("seen_us", "long"), ("mark_us", "long"), ("mark_stage", "double"), ("mark_label", "string"), ("limit_us", "long")]
 NAMES = [n for n, _ in FIELDS]
 _STATE = ", ".join(f"{n} {t}" for n, t in FIELDS)
+# Groups of jobs that share one state and one timer.
+BUCKETS = 4096
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -66,14 +68,15 @@ def folded(state: dict, us: int, status: str | None, stage: float | None, label:
 
 
 class JobProcessor(StatefulProcessor):
-    """State per job: the fields above, and when its timer goes off."""
+    """State per bucket of jobs: the fields above and the expiry of each live job, and the timer of the
+    next expiry. A call for the state goes from Python to the JVM, so it is made per bucket, not per job."""
 
-    def __init__(self, limit_s: int, idle_s: int):
-        self.limit_us, self.idle_us = limit_s * 1_000_000, idle_s * 1_000_000
+    def __init__(self, limit_s: int, idle_s: int, kind: str = "long"):
+        self.limit_us, self.idle_us, self.kind = limit_s * 1_000_000, idle_s * 1_000_000, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("job", f"{_STATE}, timer_ms long")
+        self.held = handle.getValueState("jobs", f"jobs array<struct<{_columns(self.kind)}, expiry_ms: bigint>>, timer_ms long")
 
     def _expiry(self, state: dict) -> int:
         """First whole millisecond after the job's end, its time limit, or too long without a start."""
@@ -85,42 +88,78 @@ class JobProcessor(StatefulProcessor):
     def _limit(self, state: dict) -> int | None:
         return None if state["started_us"] is None else state["started_us"] + self.limit_us
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def _live(self) -> tuple[dict, int | None]:
+        """State and expiry of the bucket's jobs, and its timer."""
         held = self.held.get()
-        old = dict(zip(NAMES, held)) if held is not None else dict.fromkeys(NAMES)
-        timer, state = held[len(NAMES)] if held is not None else None, old
-        for row in rows:
-            state = folded(state, row["us"], row["status"], row["stage"], row["stage_label"])
-        if state == old:
+        if held is None:
+            return {}, None
+        return {job[0]: (dict(zip(NAMES, job[1:])), job[-1]) for job in held[0]}, held[1]
+
+    def _keep(self, live: dict, timer: int | None, gone: bool = False) -> None:
+        """``gone``: the timer has gone off, and is not there any more."""
+        if not live:
+            self.held.clear()
             return
-        expiry = self._expiry(state)
-        if timer is not None and timer != expiry:
+        expiry = min(e for _, e in live.values())
+        if timer is not None and timer != expiry and not gone:
             self.handle.deleteTimer(timer)
-        if timer != expiry:
+        if timer != expiry or gone:
             self.handle.registerTimer(expiry)
-        self.held.update((*state.values(), expiry))
-        yield Row(job_id=key[0], **state)
+        self.held.update(([(job, *state.values(), e) for job, (state, e) in live.items()], expiry))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        live, timer = self._live()
+        new = {}
+        for job, us, status, stage, label in rows_of(rows):
+            state = new.get(job)
+            if state is None:
+                state = live[job][0] if job in live else dict.fromkeys(NAMES)
+            new[job] = folded(state, us, status, stage, label)
+        new = {job: state for job, state in new.items() if job not in live or state != live[job][0]}
+        # a line without a stage or status says nothing
+        new = {job: state for job, state in new.items() if any(v is not None for v in state.values())}
+        if not new:
+            return
+        live.update((job, (state, self._expiry(state))) for job, state in new.items())
+        self._keep(live, timer)
+        for job, state in new.items():
+            yield Row(job_id=job, **state)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = self.held.get()
-        if held is None or held[len(NAMES)] != expiredTimerInfo.getExpiryTimeInMs():
+        live, timer = self._live()
+        if timer != expiredTimerInfo.getExpiryTimeInMs():
             return
-        state = dict(zip(NAMES, held))
-        self.held.clear()
-        limit = self._limit(state)
-        if limit is not None and (state["end_us"] is None or state["end_us"] > limit):
-            yield Row(job_id=key[0], **{**state, "limit_us": limit})
+        mark = timerValues.getCurrentWatermarkInMs()
+        over = {job: state for job, (state, expiry) in live.items() if expiry < mark or expiry <= timer}
+        self._keep({job: held for job, held in live.items() if job not in over}, timer, gone=True)
+        for job, state in over.items():
+            limit = self._limit(state)
+            if limit is not None and (state["end_us"] is None or state["end_us"] > limit):
+                yield Row(job_id=job, **{**state, "limit_us": limit})
 
     def close(self) -> None:
         pass
 
 
-def job_changes(events: DataFrame, limit_s: int = config.JOB_TIME_LIMIT_S, idle_s: int = 86_400, delay: str = "1 hour") -> DataFrame:
-    """Stream of ``job_id`` and ``FIELDS``: what is known of a job after each change."""
+def rows_of(rows: Iterator[Row]) -> Iterator[tuple]:
+    for row in rows:
+        yield row["job_id"], row["us"], row["status"], row["stage"], row["stage_label"]
+
+
+def _columns(kind: str) -> str:
+    return f"job_id: {kind}, " + ", ".join(f"{n}: {t}" for n, t in FIELDS)
+
+
+def job_changes(events: DataFrame, limit_s: int = config.JOB_TIME_LIMIT_S, idle_s: int = 86_400, delay: str = "1 hour",
+                buckets: int = BUCKETS) -> DataFrame:
+    """Stream of ``job_id`` and ``FIELDS``: what is known of a job after each change. The state is kept in
+    ``buckets`` of jobs; a bucket that changes is written whole, so it should hold a few thousand live jobs
+    at most, and the number must stay the same over the life of a stream."""
     kind = events.schema["job_id"].dataType.simpleString()
-    rows = events.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
-    return rows.groupBy("job_id").transformWithState(
-        statefulProcessor=JobProcessor(limit_s, idle_s), outputStructType=f"job_id {kind}, {_STATE}", outputMode="Update", timeMode="EventTime")
+    rows = events.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts")).withColumn(
+        "bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
+    return rows.groupBy("bucket").transformWithState(
+        statefulProcessor=JobProcessor(limit_s, idle_s, kind), outputStructType=f"job_id {kind}, {_STATE}", outputMode="Update", timeMode="EventTime")
 
 
 def merged(rows: DataFrame) -> DataFrame:
