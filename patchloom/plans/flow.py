@@ -18,10 +18,11 @@ CHUNK = ["chunk_id", "type", "name", "start_line", "end_line", "code", "metadata
 
 @dataclass
 class Chunked:
-    """Chunks of a corpus, and the files that gave none with the reason."""
+    """Chunks of a corpus, the files that gave none with the reason, and the parsed rows of its Python files."""
 
     chunks: DataFrame
     rejects: DataFrame
+    parsed: DataFrame | None = None
 
 
 def chunk_corpus(files: DataFrame, nested: bool = False) -> Chunked:
@@ -42,7 +43,7 @@ def chunk_corpus(files: DataFrame, nested: bool = False) -> Chunked:
     rejects = rejected.select("file", "reject_reason").unionByName(
         failed.select("file", F.col("message").alias("reject_reason"))
     )
-    return Chunked(chunk_ops.with_code(numbered, files), rejects)
+    return Chunked(chunk_ops.with_code(numbered, files), rejects, parsed)
 
 
 def build_prompts(
@@ -120,24 +121,34 @@ def validate(originals: DataFrame, refactored: DataFrame, *args, **options) -> t
 def validate_detail(
     originals: DataFrame, refactored: DataFrame, runs: DataFrame | None = None, load_errors: DataFrame | None = None,
     attempt: int = 1, strict: bool = False, properties: bool = True, idempotence: bool = False, shared_only: bool = True,
+    known: DataFrame | None = None,
 ) -> Validated:
     """Results, checks and failed properties for file pairs by relative path.
 
     ``runs`` are recorded executions (see ``replay``); ``load_errors(file,
     original_error, refactored_error)`` says which modules did not load. ``properties``
     turns the property checks off, ``idempotence`` adds that of a second call; both look at
-    functions that are public on both sides, unless ``shared_only`` is off. The rate is
+    functions that are public on both sides, unless ``shared_only`` is off. ``known`` are parsed rows
+    of originals (as ``chunk_corpus`` gives them), which are not parsed again. The rate is
     0 where the syntax is broken and 1 where nothing was run or loaded; it is null for
     skipped pairs and where the runs hold no case of the file. Results:
     ``file, status, passed, severity, pass_rate, first_failure, failed_checks, checks``.
     """
     pairs = rollup.pair_files(originals, refactored)
-    both = pairs.filter("status IS NULL").select("file", F.inline(F.array(
-        F.struct(F.lit("original").alias("side"), F.col("original").alias("content")),
-        F.struct(F.lit("refactored").alias("side"), F.col("refactored").alias("content")),
-    )))
+    both = pairs.filter("status IS NULL")
+    sides = [F.struct(F.lit("original").alias("side"), F.col("original").alias("content")),
+             F.struct(F.lit("refactored").alias("side"), F.col("refactored").alias("content"))]
+    if known is None:
+        texts, before = both.select("file", F.inline(F.array(*sides))), None
+    else:
+        there = known.select("file").distinct().withColumn("_known", F.lit(True))
+        texts = both.join(there, "file", "left").select(
+            "file", F.inline(F.when(F.col("_known"), F.array(sides[1])).otherwise(F.array(*sides))))
+        before = known.join(both.select("file"), "file", "left_semi").withColumn("side", F.lit("original"))
     # the unit rows are read several times: parse once, keep the small result
-    parsed = cut_lineage(python_units.parse(both, keep=["side"]))
+    parsed = cut_lineage(python_units.parse(texts, keep=["side"]))
+    if before is not None:
+        parsed = parsed.unionByName(before)
     # all that follows goes by file, so rows are dealt out once and stay where they are
     dealt = parsed.repartition("file")
     state = lambda side: F.max(F.when(F.col("side") == side, F.struct("ok", "message")))

@@ -47,7 +47,8 @@ def run_rounds(
 ) -> Rounds:
     """``answer`` gives ``file, prompt_id, reply`` for the prompts of a round; ``runs`` its recorded
     executions. ``options`` go to the validation."""
-    chunks = cut_lineage(flow.chunk_corpus(files).chunks)
+    chunked = flow.chunk_corpus(files)
+    chunks = cut_lineage(chunked.chunks)
     prompts = cut_lineage(flow.build_prompts(chunks, files, examples, batch_size))
     tried, sent, before, rows = files, prompts, None, []
     results = failures = None
@@ -58,16 +59,16 @@ def run_rounds(
                 break
             tried = files.join(failed, "file", "left_semi")
             sent = cut_lineage(flow.retry_prompts(prompts, results, failures))
-        applied = flow.apply_replies(tried, sent, answer(sent, attempt)).files
+        made = flow.apply_replies(tried, sent, answer(sent, attempt)).files
         # texts of this round, and whether they differ from the round before
-        made = applied.filter("applied > 0").select("file", "content")
         if before is not None:
             made = made.join(before.select("file", F.col("content").alias("_was")), "file", "left").select(
-                "file", "content", F.coalesce(F.col("content") != F.col("_was"), F.lit(True)).alias("changed"))
+                "file", "content", "applied", F.coalesce(F.col("content") != F.col("_was"), F.lit(True)).alias("changed"))
         else:
             made = made.withColumn("changed", F.lit(True))
-        made = cut_lineage(made)
-        checked = flow.validate_detail(tried, made.drop("changed"), runs(attempt) if runs else None, attempt=attempt, **options)
+        # what is left out is left out of the written rows: a filter in the same plan would splice every file twice
+        made = cut_lineage(made).filter("applied > 0").drop("applied")
+        checked = flow.validate_detail(tried, made.drop("changed"), runs(attempt) if runs else None, attempt=attempt, known=chunked.parsed, **options)
         results = cut_lineage(checked.results)
         failures = checked.failures
         rows.append(results.select("file", "attempt", "passed", "severity", "pass_rate", "checks").join(made.select("file", "changed"), "file", "left"))
