@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -17,6 +19,16 @@ def unix_newlines(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
+def starts(text: Column, *heads: str) -> Column:
+    """Whether ``text`` begins with one of ``heads``; no pattern, so no line is decoded for it."""
+    return reduce(or_, [text.startswith(h) for h in heads])
+
+
+def begins(text: Column) -> Column:
+    """Whether ``text`` begins with a character that is not white space."""
+    return (text != "") & ~starts(text, *" \t\n\x0b\f\r")
+
+
 def split_lines(text: Column) -> Column:
     """Lines without terminators; a final terminator opens no extra line."""
     # a split at one character needs no pattern

@@ -7,19 +7,31 @@ lines in the texts that can hold any.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType
 
-from patchloom.functions.text import let, split_lines, unix_newlines
+from patchloom.functions.text import begins, let, split_lines, starts, unix_newlines
 from patchloom.operators import lexing
 
 MAX_LINE = 120
 BLANK_BEFORE_TOP_LEVEL = 2
 RULES = ["E302", "E303", "E501", "W291", "W293", "W391"]
 BLANK = r"^[ \t\f\x0b]*\z"
-TRAILING = r"[ \t\f\x0b]+\z"
-STARTS = r"^(?:def |class |async def |@)"
+STARTS = ("def ", "class ", "async def ", "@")
+
+
+def _blank(text: Column) -> Column:
+    """A pattern is needed only where other white space follows the spaces."""
+    rest = F.ltrim(text)
+    return (rest == "") | (starts(rest, *"\t\f\x0b") & text.rlike(BLANK))
+
+
+def _trailing(text: Column) -> Column:
+    return reduce(or_, [text.endswith(c) for c in " \t\f\x0b"])
 
 
 def _violation(rule: str, line: Column, message: Column) -> Column:
@@ -47,12 +59,11 @@ def _line_rules(lines: Column) -> Column:
     def checks(text: Column, i: Column) -> Column:
         no = i + 1
         none = F.lit(None).cast("struct<rule:string,line_no:int,message:string>")
-        blank = text.rlike(BLANK)
         return F.array(
             F.when(F.length(text) > MAX_LINE, _violation("E501", no, F.concat(
                 F.lit("line too long ("), F.length(text).cast("string"), F.lit(f" > {MAX_LINE} characters)")))).otherwise(none),
-            F.when(blank & (F.length(text) > 0), _violation("W293", no, F.lit("blank line contains whitespace")))
-            .when(~blank & text.rlike(TRAILING), _violation("W291", no, F.lit("trailing whitespace"))).otherwise(none),
+            F.when(_trailing(text) & _blank(text), _violation("W293", no, F.lit("blank line contains whitespace")))
+            .when(_trailing(text), _violation("W291", no, F.lit("trailing whitespace"))).otherwise(none),
         )
     return F.filter(F.flatten(F.transform(lines, checks)), lambda v: v.isNotNull())
 
@@ -62,9 +73,9 @@ def _blank_rules(lines: Column, going: Column) -> Column:
     def marked(text: Column, i: Column) -> Column:
         on = F.coalesce(F.get(going, i), F.lit(False))
         return F.struct(
-            (i + 1).alias("no"), (text.rlike(r"^\S") & ~on).alias("top"),
-            (text.rlike(STARTS) & ~on).alias("starts"), (text.startswith("@") & ~on).alias("deco"),
-            (text.startswith("#") & ~on).alias("comment"), (text.rlike(BLANK) & ~on).alias("blank"), on.alias("on"),
+            (i + 1).alias("no"), (begins(text) & ~on).alias("top"),
+            (starts(text, *STARTS) & ~on).alias("starts"), (text.startswith("@") & ~on).alias("deco"),
+            (text.startswith("#") & ~on).alias("comment"), (_blank(text) & ~on).alias("blank"), on.alias("on"),
         )
 
     def rules(full: Column, n_lines: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from patchloom.functions.text import let, strip
+from patchloom.functions.text import begins, let, strip, unix_newlines
 from patchloom.skew import scan_within
 
 # Reply formats.
@@ -74,15 +74,17 @@ def fix_indent(code: Column, first_line: Column, mode: str = "reference", keep_b
     moves the whole block, which keeps body depth when the reply lost it.
     """
     indent = F.regexp_extract(first_line, r"^([ \t\f\x0b\r\n]*)", 1)
-    lines = F.split(F.regexp_replace(code, "\r\n?", "\n"), "\n")
+    lines = F.split(unix_newlines(code), "\n")
     ends_blank = (code == "") if keep_blank_end else (F.element_at(lines, -1) == "")
     kept = F.when(ends_blank, F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
     if mode == "shift":
         return F.transform(kept, lambda x: F.when(x == "", x).otherwise(F.concat(indent, x)))
-    return F.transform(kept, lambda x: F.when(x.rlike(r"^\S"), F.concat(indent, x)).otherwise(x))
+    return F.transform(kept, lambda x: F.when(begins(x), F.concat(indent, x)).otherwise(x))
 
 
 _KEEP_ENDS = r"(?<=\n)|(?<=\r)(?!\n)"
+# The same for a text whose lines all end with a line feed.
+_KEEP_FEEDS = r"(?<=\n)"
 
 
 def splice(
@@ -105,9 +107,9 @@ def splice(
     joined = files.select("file", "content").join(gathered, "file", "left")
     text = F.col("content")
     if newline == "reference":
-        text = F.regexp_replace(text, "\r\n?", "\n")
+        text = unix_newlines(text)
     pieces = let(
-        F.split(text, _KEEP_ENDS),
+        F.split(text, _KEEP_FEEDS if newline == "reference" else _KEEP_ENDS),
         lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p),
     )
 

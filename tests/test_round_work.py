@@ -1,6 +1,9 @@
-"""What a round does not do again: parse the originals, or splice a file twice."""
+"""What a round does not do again: parse the originals, splice a file twice, or decode a line for each test of it."""
 
-from patchloom.operators import python_units
+from pyspark.sql import functions as F
+
+from patchloom.functions import text
+from patchloom.operators import lint, python_units
 from patchloom.plans import rounds
 from patchloom.plans.prompt_queries import EXAMPLE_SCHEMA, EXAMPLES
 
@@ -31,6 +34,19 @@ def test_originals_are_parsed_once_and_files_spliced_once(spark, monkeypatch):
     every = [f"{n}.py" for n in range(4)]
     assert parsed == [every, every[:3], every[:2]]
     # the lines of a file are cut out where it is spliced
-    assert {p.count(r"(?<=\n)|(?<=\r)(?!\n)") for p in plans} == {0, 1}
+    assert {p.count(r"(?<=\n)") for p in plans} == {0, 1}
     assert {r["file"]: r["final_status"] for r in done.merged.collect()} == {
         "0.py": "FAIL", "1.py": "FAIL", "2.py": "PASS", "3.py": "SKIP"}
+
+
+def test_line_tests_are_those_of_their_patterns(spark):
+    parts = ["", " ", "\t", "\f", "\x0b", "\r", "\n", "x", "@", "def ", "class", "\xa0", "é", "\x1c"]
+    texts = sorted({a + b + c for a in parts for b in parts for c in parts})
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t STRING")
+    t = F.col("t")
+    pairs = [
+        (lint._blank(t), r"^[ \t\f\x0b]*\z"), (lint._trailing(t), r"[ \t\f\x0b]+\z"), (text.begins(t), r"^\S"),
+        (text.starts(t, *lint.STARTS), r"^(?:def |class |async def |@)")]
+    # no line holds a line feed
+    lines = df.filter("t IS NULL OR NOT contains(t, '\n')")
+    assert lines.filter(sum((~got.eqNullSafe(t.rlike(p))).cast("int") for got, p in pairs) > 0).collect() == []
