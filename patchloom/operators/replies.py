@@ -33,28 +33,50 @@ def single_code(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     return coded.filter(~empty), coded.filter(empty)
 
 
-def batched_blocks(replies: DataFrame) -> DataFrame:
-    """``file, prompt_id, chunk_id, code`` from ``<chunk id>`` blocks; the last of an id wins.
-
-    Ids repeat within one reply only, so duplicates are settled inside its row.
-    """
-    ids = F.regexp_extract_all("reply", F.lit(BLOCK), F.lit(1))
-    bodies = F.regexp_extract_all("reply", F.lit(BLOCK), F.lit(2))
+def _last_blocks(reply: Column) -> Column:
+    """``array<struct<chunk_id, from_last, body>>`` of the ``<chunk id>`` blocks; the last of an id wins."""
+    ids = F.regexp_extract_all(reply, F.lit(BLOCK), F.lit(1))
+    bodies = F.regexp_extract_all(reply, F.lit(BLOCK), F.lit(2))
     pairs = F.arrays_zip(ids.alias("id"), bodies.alias("body"))
     ordered = F.array_sort(F.transform(
         pairs, lambda x, i: F.struct(x["id"].alias("chunk_id"), (-i).alias("from_last"), x["body"].alias("body"))
     ))
-    last = let(ordered, lambda blocks: F.filter(
+    return let(ordered, lambda blocks: F.filter(
         blocks, lambda x, i: (i == 0) | (F.get(blocks, i - 1)["chunk_id"] != x["chunk_id"])
     ))
-    rows = replies.select("file", "prompt_id", F.inline(last))
+
+
+def batched_blocks(replies: DataFrame) -> DataFrame:
+    """``file, prompt_id, chunk_id, code`` from ``<chunk id>`` blocks; the last of an id wins.
+
+    Ids repeat within one reply only, so duplicates are settled inside its row.
+    """
+    rows = replies.select("file", "prompt_id", F.inline(_last_blocks(F.col("reply"))))
     return rows.select("file", "prompt_id", "chunk_id", code_block(F.col("body")).alias("code"))
 
 
-def expected_vs_returned(expected: DataFrame, returned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chunks to apply, and expected chunks the reply left out."""
+def returned_code(replies: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``file, prompt_id, chunk_id, code`` of single replies, as ``single_code`` reads them, and of batched
+    ones, as ``batched_blocks`` does. Rows: ``file, prompt_id, reply, is_batch, chunk_id``, the chunk of a
+    single reply. All in one pass, so rows stay where they are; a union would deal them out again."""
+    carried = ["file", "prompt_id", *(keep or [])]
+    single = F.struct("chunk_id", F.lit(0).alias("from_last"), F.col("reply").alias("body"))
+    bodies = F.when(F.col("is_batch"), _last_blocks(F.col("reply"))).when(~F.col("is_batch"), F.array(single))
+    rows = replies.select(*carried, "is_batch", F.inline(bodies)).withColumn("code", code_block(F.col("body")))
+    return rows.filter(F.col("is_batch") | (F.coalesce(F.length("code"), F.lit(0)) > 0)).select(*carried, "chunk_id", "code")
+
+
+def expected_vs_returned(expected: DataFrame, returned: DataFrame, listed: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chunks to apply, and expected chunks the reply left out. Where ``returned`` has the expected chunks of
+    its prompt in a list ``listed`` of structs with ``chunk_id``, no code travels to meet them."""
     keys = ["file", "prompt_id", "chunk_id"]
-    return expected.join(returned, keys, "inner"), expected.join(returned, keys, "left_anti")
+    if listed is None:
+        return expected.join(returned, keys, "inner"), expected.join(returned, keys, "left_anti")
+    others = [c for c in returned.columns if c not in (*keys, listed)]
+    met = F.inline(F.transform(
+        F.filter(listed, lambda x: x["chunk_id"] == F.col("chunk_id")), lambda x: F.struct(x.alias("_x"))))
+    found = returned.select(*keys, *others, met).select("file", "prompt_id", "_x.*", *others)
+    return found, expected.join(returned.select(*keys), keys, "left_anti")
 
 
 def apply_counts(prompts: DataFrame, applied: DataFrame) -> DataFrame:

@@ -93,11 +93,15 @@ def apply_replies(
         expected = flagged.filter("NOT prompt_nested").drop("prompt_nested")
     # in prompt mode this settles nesting within one prompt, on original coordinates
     expected = chunk_ops.drop_nested(expected, ["prompt_id", "pos"], heavy)
-    answered = replies.join(sent.select("file", "prompt_id", "is_batch", "chunks"), ["file", "prompt_id"])
-    single, _ = reply_ops.single_code(answered.filter("NOT is_batch"))
-    single = single.select("file", "prompt_id", F.get("chunks", F.lit(0))["chunk_id"].alias("chunk_id"), "code")
-    blocks = reply_ops.batched_blocks(answered.filter("is_batch"))
-    usable, missing = reply_ops.expected_vs_returned(expected, single.unionByName(blocks))
+    # a reply, its prompt and the chunks expected of it meet by file, so a text is dealt out once and spliced where it is
+    asked = sent.select("file", "prompt_id", F.struct("is_batch", F.get("chunks", F.lit(0))["chunk_id"].alias("chunk_id")).alias("_sent"))
+    wanted = expected.select("file", "prompt_id", F.struct("chunk_id", "start_line", "end_line").alias("_wanted"))
+    rows = replies.select("file", "prompt_id", "reply").unionByName(asked, allowMissingColumns=True).unionByName(wanted, allowMissingColumns=True)
+    met = rows.filter("file IS NOT NULL AND prompt_id IS NOT NULL").repartition("file").groupBy("file", "prompt_id").agg(
+        *[F.collect_list(c).alias(c) for c in ("reply", "_sent", "_wanted")])
+    answered = met.select("file", "prompt_id", "_wanted", "_sent", F.explode("reply").alias("reply")).select(
+        "file", "prompt_id", "_wanted", "reply", F.inline("_sent"))
+    usable, missing = reply_ops.expected_vs_returned(expected, reply_ops.returned_code(answered, ["_wanted"]), "_wanted")
     out, rejected = reply_ops.splice(files, usable.select("file", "start_line", "end_line", "code"), indent, newline)
     counts = reply_ops.apply_counts(prompts, usable)
     return Applied(out, counts, missing.select("file", "prompt_id", "chunk_id"), rejected)

@@ -39,10 +39,10 @@ UNION ALL SELECT 'b/d' || doc_id || ['.js', '.go', '.c'][1 + doc_id % 3], true F
 def splice_round_trip(spark, sf_dir):
     """Chunks become prompts, replies give the code back, and every file must come out as it went in."""
     files = _corpus(spark, sf_dir)
-    # chunks are read by the prompts and again by the splice, as a retry would reuse them
-    chunks = cut_lineage(flow.chunk_corpus(files).chunks)
     examples = config.table(spark, EXAMPLES, EXAMPLE_SCHEMA)
-    prompts = flow.build_prompts(chunks, files, examples, batch_size=2)
+    prompts = flow.build_prompts(flow.chunk_corpus(files).chunks, files, examples, batch_size=2)
+    # pieces are read by the replies and again by the splice, as a retry would reuse them
+    prompts = cut_lineage(prompts.select("file", "prompt_id", "is_batch", "chunks"))
     block = F.transform("chunks", lambda c: F.concat(
         F.lit('<chunk id="'), c["chunk_id"], F.lit('">\n```\n'), c["code"], F.lit("\n```\n</chunk>")))
     replies = prompts.select("file", "prompt_id", F.array_join(block, "\n").alias("reply"))
