@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from patchloom.operators import attempts
 from patchloom.plans import flow
-from patchloom.session import cut_lineage
+from patchloom.session import cut_lineage, dropped
 
 # Own text, for a file that gave nothing when it was tried again.
 NOT_AGAIN = "Stage 3 failed on retry"
@@ -46,10 +46,13 @@ def run_rounds(
     runs: Callable[[int], DataFrame] | None = None, **options,
 ) -> Rounds:
     """``answer`` gives ``file, prompt_id, reply`` for the prompts of a round; ``runs`` its recorded
-    executions. ``options`` go to the validation."""
+    executions. ``options`` go to the validation. The prompts of a retry are there until it is spliced."""
     chunked = flow.chunk_corpus(files)
     chunks = cut_lineage(chunked.chunks)
     prompts = cut_lineage(flow.build_prompts(chunks, files, examples, batch_size))
+    # of the chunks, only their files are asked for again
+    reached = cut_lineage(chunks.select("file").distinct())
+    dropped(chunks)
     tried, sent, before, rows = files, prompts, None, []
     results = failures = None
     for attempt in range(1, most + 1):
@@ -62,12 +65,15 @@ def run_rounds(
         made = flow.apply_replies(tried, sent, answer(sent, attempt)).files
         # texts of this round, and whether they differ from the round before
         if before is not None:
-            made = made.join(before.select("file", F.col("content").alias("_was")), "file", "left").select(
-                "file", "content", "applied", F.coalesce(F.col("content") != F.col("_was"), F.lit(True)).alias("changed"))
+            # a digest stands for the text of before, which need not travel
+            made = made.join(before.select("file", F.sha2("content", 256).alias("_was")), "file", "left").select(
+                "file", "content", "applied", F.coalesce(F.sha2("content", 256) != F.col("_was"), F.lit(True)).alias("changed"))
         else:
             made = made.withColumn("changed", F.lit(True))
         # what is left out is left out of the written rows: a filter in the same plan would splice every file twice
         made = cut_lineage(made).filter("applied > 0").drop("applied")
+        if attempt > 1:
+            dropped(sent)
         checked = flow.validate_detail(tried, made.drop("changed"), runs(attempt) if runs else None, attempt=attempt, known=chunked.parsed, **options)
         results = cut_lineage(checked.results)
         failures = checked.failures
@@ -75,7 +81,7 @@ def run_rounds(
         before = made.drop("changed") if before is None else _newest(before, made.drop("changed"))
         if attempt > 1 and made.filter("changed").isEmpty():
             break
-    first = _first_rows(rows[0], chunks, prompts)
+    first = _first_rows(rows[0], reached, prompts)
     again = [_again_rows(r) for r in rows[1:]]
     retried = again[0] if again else _again_rows(rows[0]).limit(0)
     for later in again[1:]:

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from patchloom.plans import flow
+from patchloom.plans import flow, rounds
 from patchloom.plans.prompt_queries import EXAMPLE_SCHEMA, EXAMPLES
 from patchloom.session import cut_lineage
 
@@ -78,3 +78,20 @@ def test_shuffle_files_behind_a_cut_go(spark):
     assert blocks() <= before and made.count() == 1000
     size = sum(os.path.getsize(f.removeprefix("file:")) for f in made.inputFiles())
     assert size < 100_000
+
+
+def test_chunks_and_the_prompts_of_a_retry_go_with_their_round(spark, monkeypatch):
+    files, tables, cut = _sources(spark, 2), [], rounds.cut_lineage
+
+    def seen(df):
+        tables.append(cut(df))
+        return tables[-1]
+
+    monkeypatch.setattr(rounds, "cut_lineage", seen)
+    answer = lambda prompts, attempt: _echo(prompts).withColumn("reply", F.replace("reply", F.lit("(a)"), F.lit(f"(a, b{attempt})")))
+    done = rounds.run_rounds(files, spark.createDataFrame(EXAMPLES, EXAMPLE_SCHEMA), answer, batch_size=2)
+    assert done.rounds == 2 and {r["final_status"] for r in done.merged.collect()} == {"FAIL"}
+    left = [t.columns for t in tables if any(os.path.exists(f.removeprefix("file:")) for f in t.inputFiles())]
+    # the first prompts are asked for again, so of all that hold texts only they and the files of both rounds stay
+    assert [("code" in c, "prompt" in c, "content" in c) for c in left if {"code", "prompt", "content"} & {*c}] == [
+        (False, True, False), (False, False, True), (False, False, True)]
